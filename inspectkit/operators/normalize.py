@@ -120,11 +120,10 @@ def normalize(df: DataFrame, date_formats: tuple[str, ...] | None = None) -> Dat
 
 
 def cost_source_column(raw: DataFrame) -> str | None:
-    """Name of the raw column that ``normalize`` maps into CostImpact."""
+    """Column holding cost values before the clamp: the alias source kept
+    next to CostImpact after normalisation, else CostImpact itself."""
     cols = list(raw.columns)
-    if C.COST_IMPACT in cols:
-        return C.COST_IMPACT
     for src, dst in C.COLUMN_ALIASES:
         if dst == C.COST_IMPACT and src in cols:
             return src
-    return None
+    return C.COST_IMPACT if C.COST_IMPACT in cols else None
