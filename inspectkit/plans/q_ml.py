@@ -1 +1,65 @@
-"""Registered queries."""
+"""Registered queries: correlation, PCA, candidate targets, anomalies, classifier."""
+
+from __future__ import annotations
+
+from inspectkit import columns as C
+from inspectkit.operators import multivariate as M
+from inspectkit.plans.catalog import fact, register, rounded
+from inspectkit.plans.oracle import with_fact
+from inspectkit.plans.q_report import FACT_COLUMNS
+
+NUMERIC = [c for c, t in FACT_COLUMNS if t in ("double", "bigint")]
+
+
+def _corr_cte(cols: list[str]) -> str:
+    conds = " AND ".join(f'"{c}" IS NOT NULL AND NOT isnan(CAST("{c}" AS DOUBLE))' for c in cols)
+    sel = ", ".join(f'CAST("{c}" AS DOUBLE) AS x{i}' for i, c in enumerate(cols))
+    aggs = [f"stddev_samp(x{i}) AS s{i}" for i in range(len(cols))]
+    aggs += [f"covar_samp(x{i}, x{j}) AS c{i}_{j}" for i in range(len(cols)) for j in range(i, len(cols))]
+    rows = []
+    for i in range(len(cols)):
+        for j in range(len(cols)):
+            a, b = min(i, j), max(i, j)
+            rows.append(f"SELECT {i} AS seq_a, '{cols[i]}' AS col_a, {j} AS seq_b, '{cols[j]}' AS col_b, "
+                        f"round(c{a}_{b} / nullif(s{i} * s{j}, 0.0), 3) AS corr FROM cagg")
+    return (f"cdata AS (SELECT {sel} FROM fact WHERE {conds}),\n"
+            f"cagg AS (SELECT {', '.join(aggs)} FROM cdata),\n"
+            f"corr_long AS (\n" + "\nUNION ALL ".join(rows) + "\n)")
+
+
+_CORR = _corr_cte(NUMERIC)
+
+
+@register("numeric_correlation", "M1", with_fact("SELECT * FROM corr_long", _CORR))
+def q_numeric_correlation(spark, sf_dir):
+    return M.correlation_long(fact(spark, sf_dir))
+
+
+@register("top_correlations", "M2", with_fact("""
+SELECT col_a, col_b, corr FROM corr_long WHERE seq_a < seq_b AND corr IS NOT NULL
+ORDER BY abs(corr) DESC, seq_a, seq_b LIMIT 5""", _CORR))
+def q_top_correlations(spark, sf_dir):
+    return M.top_correlations(fact(spark, sf_dir))
+
+
+@register("pca_explained_variance", "M3", None)
+def q_pca_explained_variance(spark, sf_dir):
+    _, ratio = M.pca_projection(fact(spark, sf_dir), 2)
+    return rounded(ratio)
+
+
+@register("pca_projection", "M3 scores", None)
+def q_pca_projection(spark, sf_dir):
+    scores, _ = M.pca_projection(fact(spark, sf_dir), 2)
+    return scores
+
+
+def _targets_sql() -> str:
+    parts = [f"SELECT {i} AS seq, '{c}' AS \"column\", CAST(count(DISTINCT \"{c}\") AS BIGINT) AS n_distinct FROM fact"
+             for i, (c, _) in enumerate(FACT_COLUMNS) if c != C.DATE]
+    return "SELECT * FROM (\n" + "\nUNION ALL ".join(parts) + "\n) WHERE n_distinct BETWEEN 2 AND 50"
+
+
+@register("candidate_targets", "M6", with_fact(_targets_sql()))
+def q_candidate_targets(spark, sf_dir):
+    return M.candidate_targets(fact(spark, sf_dir))
