@@ -63,3 +63,70 @@ def _targets_sql() -> str:
 @register("candidate_targets", "M6", with_fact(_targets_sql()))
 def q_candidate_targets(spark, sf_dir):
     return M.candidate_targets(fact(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- M4-M5, M7-M10
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from inspectkit.operators import classify as CL  # noqa: E402
+from inspectkit.operators import forest as FR  # noqa: E402
+
+CLASSIFIER_FEATURES = [C.PART_TYPE, C.MATERIAL, C.QUALITY_SCORE, C.UNITS_INSPECTED, C.YIELD, C.COST_IMPACT,
+                       C.ON_TIME_FLAG]
+CLASSIFIER_TARGET = C.DEFECT_SEVERITY
+_TRAINED: dict[tuple, CL.ClassifierResult] = {}
+
+
+def _trained(spark, sf_dir) -> CL.ClassifierResult:
+    """One training per (session, tables) in this process: the model is a
+    driver-side object; queries M7, M9 and M10 share it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = CL.train_defect_classifier(fact(spark, sf_dir), CLASSIFIER_FEATURES, CLASSIFIER_TARGET)
+    return _TRAINED[key]
+
+
+@register("detect_anomalies", "M4", None)
+def q_detect_anomalies(spark, sf_dir):
+    out = FR.detect_anomalies(fact(spark, sf_dir))
+    return out.select(C.SUPPLIER, C.DATE, C.DEFECT_TYPE, C.COST_IMPACT, "anomaly_score", "is_anomaly")
+
+
+@register("anomaly_summary", "M5", None)
+def q_anomaly_summary(spark, sf_dir):
+    return rounded(FR.anomaly_summary(FR.detect_anomalies(fact(spark, sf_dir))))
+
+
+@register("stratified_split", "M8", with_fact("""
+SELECT label, CAST(n - ntest AS BIGINT) AS train_rows, CAST(ntest AS BIGINT) AS test_rows FROM (
+  SELECT Defect_Severity AS label, count(*) AS n,
+         CASE WHEN count(*) >= 2 THEN greatest(1, round(count(*) * 0.3)) ELSE 0 END AS ntest
+  FROM fact WHERE Defect_Severity IS NOT NULL GROUP BY 1)"""))
+def q_stratified_split(spark, sf_dir):
+    d = fact(spark, sf_dir).filter(F.col(CLASSIFIER_TARGET).isNotNull())
+    train, test = CL.stratified_split(d, CLASSIFIER_TARGET, 0.3, 42)
+    a = train.groupBy(F.col(CLASSIFIER_TARGET).alias("label")).agg(F.count(F.lit(1)).alias("train_rows"))
+    b = test.groupBy(F.col(CLASSIFIER_TARGET).alias("label")).agg(F.count(F.lit(1)).alias("test_rows"))
+    return a.join(b, "label", "full").select(
+        "label", F.coalesce("train_rows", F.lit(0)).alias("train_rows"), F.coalesce("test_rows", F.lit(0)).alias("test_rows"))
+
+
+@register("train_defect_classifier", "M7", None)
+def q_train_defect_classifier(spark, sf_dir):
+    r = _trained(spark, sf_dir)
+    if not r.success:
+        return spark.createDataFrame([(r.error,)], "error string")
+    return rounded(r.metrics)
+
+
+@register("feature_importance", "M9", None)
+def q_feature_importance(spark, sf_dir):
+    return rounded(_trained(spark, sf_dir).importance)
+
+
+@register("score_defects", "M10", None)
+def q_score_defects(spark, sf_dir):
+    r = _trained(spark, sf_dir)
+    scored = CL.score_defects(r.model, fact(spark, sf_dir))
+    return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("rows"))
