@@ -304,3 +304,89 @@ SELECT round(avg(QualityIndex), 6) AS mean, round(quantile_cont(QualityIndex, 0.
 FROM qi""", QI_CTE))
 def q_quality_index_stats(spark, sf_dir):
     return rounded(quality_index_stats(fact(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- S1, N2-N4 on text derived from the tables
+
+from inspectkit.functions import NUMBER_PATTERN, parse_date, safe_numeric  # noqa: E402
+from inspectkit.operators.normalize import detect_date_column, normalize  # noqa: E402
+from inspectkit.session import scratch_path  # noqa: E402
+from inspectkit.sources.files import read_quality_csv  # noqa: E402
+from inspectkit.sources.tables import quality_raw, read_table  # noqa: E402
+
+
+def _text_lineitem(spark, sf_dir):
+    """Every lineitem row with numbers and dates as text; the line number
+    picks a spelling (a rule over all rows, not a subset): junk, a Spark-only
+    suffix, padded, NaN, or plain; dates ISO or US style."""
+    li = read_table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("string")
+    ln = F.col("l_linenumber")
+    units = (F.when(ln == 1, F.lit("abc")).when(ln == 2, F.concat(q, F.lit("d")))
+             .when(ln == 3, F.concat(F.lit(" "), q, F.lit(" "))).when(ln == 4, F.lit("NaN")).otherwise(q))
+    ship = F.when(ln % 2 == 0, F.date_format("l_shipdate", "MM/dd/yyyy")).otherwise(
+        F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return li.select(units.alias("units_text"), ship.alias("ship_text"), "l_linenumber")
+
+
+_TEXT_CTE = """txt AS (
+  SELECT CASE l_linenumber WHEN 1 THEN 'abc' WHEN 2 THEN CAST(l_quantity AS VARCHAR) || 'd'
+              WHEN 3 THEN ' ' || CAST(l_quantity AS VARCHAR) || ' ' WHEN 4 THEN 'NaN'
+              ELSE CAST(l_quantity AS VARCHAR) END AS units_text,
+         CASE WHEN l_linenumber % 2 = 0 THEN strftime(l_shipdate, '%m/%d/%Y') ELSE strftime(l_shipdate, '%Y-%m-%d') END
+           AS ship_text, l_linenumber
+  FROM lineitem)"""
+
+
+@register("safe_numeric", "N3", with_fact(f"""
+SELECT l_linenumber, count(*) AS n_rows, count(v) AS n_parsed, round(sum(v), 4) AS total FROM (
+  SELECT l_linenumber, CASE WHEN regexp_matches(units_text, '{NUMBER_PATTERN}')
+                            THEN TRY_CAST(trim(units_text) AS DOUBLE) END AS v FROM txt)
+GROUP BY l_linenumber""", _TEXT_CTE))
+def q_safe_numeric(spark, sf_dir):
+    t = _text_lineitem(spark, sf_dir)
+    v = safe_numeric("units_text", t.schema["units_text"].dataType)
+    out = t.select("l_linenumber", v.alias("v")).groupBy("l_linenumber").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("v").alias("n_parsed"), F.sum("v").alias("total"))
+    return rounded(out, money=("total",))
+
+
+@register("parse_date", "N4", with_fact("""
+SELECT l_linenumber, count(*) AS n_rows, count(d) AS n_parsed, min(d) AS min_date, max(d) AS max_date FROM (
+  SELECT l_linenumber, coalesce(try_strptime(ship_text, '%Y-%m-%d'), try_strptime(ship_text, '%m/%d/%Y')) AS d
+  FROM txt)
+GROUP BY l_linenumber""", _TEXT_CTE))
+def q_parse_date(spark, sf_dir):
+    t = _text_lineitem(spark, sf_dir)
+    d = parse_date("ship_text", t.schema["ship_text"].dataType, ("MM/dd/yyyy",))
+    return t.select("l_linenumber", d.alias("d")).groupBy("l_linenumber").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("d").alias("n_parsed"), F.min("d").alias("min_date"),
+        F.max("d").alias("max_date"))
+
+
+@register("detect_date_column", "N2", None)
+def q_detect_date_column(spark, sf_dir):
+    """Which column normalisation would pick on a table with no candidate
+    name: text 'ship_date_text' (parses fully) vs 'units_date_text' (does not)."""
+    t = _text_lineitem(spark, sf_dir).select(
+        F.col("units_text").alias("units_date_text"), F.col("ship_text").alias("ship_date_text"))
+    t = t.withColumn("ship_date_text", F.when(F.col("ship_date_text").contains("/"), F.lit(None))
+                     .otherwise(F.col("ship_date_text")))
+    return spark.createDataFrame([(detect_date_column(t),)], "detected string")
+
+
+@register("csv_round_trip", "S1", with_fact("""
+SELECT Part_Type, count(*) AS n_rows, CAST(coalesce(sum(DefectCount), 0) AS BIGINT) AS defects,
+  round(coalesce(sum(CostImpact), 0.0), 4) AS copq, count("Date") AS n_dates
+FROM fact GROUP BY Part_Type"""))
+def q_csv_round_trip(spark, sf_dir):
+    """The raw records written as CSV text to the shared folder, read
+    back with header and an explicit schema, normalised and aggregated."""
+    raw = quality_raw(spark, sf_dir)
+    path = scratch_path(spark, "csv")
+    raw.write.option("header", True).csv(path)
+    back = read_quality_csv(spark, path + "/", schema=raw.schema)
+    f = normalize(back)
+    out = f.groupBy(C.PART_TYPE).agg(F.count(F.lit(1)).alias("n_rows"), K.defects_expr(f).alias("defects"),
+                                     K.copq_expr(f).alias("copq"), F.count(C.DATE).alias("n_dates"))
+    return rounded(out, money=("copq",))
