@@ -1,11 +1,12 @@
 """V1-V7: supplier scorecard.
 
-Plan shape: one ``groupBy(Supplier)`` over the fact (partial aggregation
-collapses a hot supplier map-side), one ``groupBy(Supplier, month)`` for the
-trend, and one global 1-row aggregation of min/max over the per-supplier
-table that is broadcast back (one row: a proven size bound).  The
-per-supplier table is computed once; the min/max branch reuses its
-exchange.  Nothing uses a window over all suppliers.
+Plan shape: ONE aggregation of the fact per (Supplier, month) (partial
+aggregation collapses a hot supplier map-side before the shuffle); the
+per-supplier metrics and the monthly trend are both re-aggregations of
+those partials (rows = suppliers x months), and one global 1-row
+aggregation of min/max over the per-supplier table is broadcast back (one
+row: a proven size bound).  Identical sub-plans are shared through exchange
+reuse.  Nothing uses a window over all suppliers.
 """
 
 from __future__ import annotations
@@ -30,24 +31,46 @@ SCORECARD_SCHEMA = (
 )
 
 
-def supplier_metrics(df: DataFrame) -> DataFrame:
+def supplier_month_partials(df: DataFrame) -> DataFrame:
+    """One aggregation of the fact per (Supplier, month): every scorecard
+    input is a sum or count of these partials, so the fact is scanned and
+    shuffled once for both the metrics (all rows, month NULL for undated
+    rows) and the trend (dated months only)."""
+    month = F.date_trunc("month", C.DATE) if C.has(df, C.DATE) else F.lit(None).cast("timestamp")
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    if C.has(df, C.DEFECT_COUNT):
+        aggs.append(F.sum(F.col(C.DEFECT_COUNT).cast("double")).alias("__d"))
+    if C.has(df, C.UNITS_INSPECTED):
+        aggs.append(F.sum(F.col(C.UNITS_INSPECTED).cast("double")).alias("__u"))
+    if C.has(df, C.DEFECT_TYPE):
+        aggs.append(F.count(C.DEFECT_TYPE).alias("__c"))
+    if C.has(df, C.ON_TIME_FLAG):
+        aggs += [F.sum(F.col(C.ON_TIME_FLAG).cast("double")).alias("__ot_s"), F.count(C.ON_TIME_FLAG).alias("__ot_n")]
+    if C.has(df, C.COST_IMPACT):
+        aggs += [F.sum(F.col(C.COST_IMPACT).cast("double")).alias("__ci_s"), F.count(C.COST_IMPACT).alias("__ci_n")]
+    return df.filter(F.col(C.SUPPLIER).isNotNull()).groupBy(C.SUPPLIER, month.alias("__m")).agg(*aggs)
+
+
+def supplier_metrics(df: DataFrame, partials: DataFrame | None = None) -> DataFrame:
     """V1: Volume, DefectRate, OnTimeRate, AvgCostImpact per non-NULL Supplier."""
-    has_units = C.has(df, C.DEFECT_COUNT, C.UNITS_INSPECTED)
-    aggs = [F.count(F.lit(1)).alias("Volume")]
+    p = supplier_month_partials(df) if partials is None else partials
+    cols = set(p.columns)
+    has_units = {"__d", "__u"} <= cols
+    aggs = [F.sum("__n").alias("Volume")]
     if has_units:
-        aggs += [F.sum(C.DEFECT_COUNT).cast("double").alias("__d"), F.sum(C.UNITS_INSPECTED).cast("double").alias("__u")]
-    elif C.has(df, C.DEFECT_TYPE):
-        aggs.append(F.count(C.DEFECT_TYPE).cast("double").alias("__c"))
-    aggs.append((F.coalesce(F.avg(C.ON_TIME_FLAG), F.lit(0.0)) if C.has(df, C.ON_TIME_FLAG)
-                 else F.lit(None).cast("double")).alias("OnTimeRate"))
-    aggs.append((F.coalesce(F.avg(C.COST_IMPACT), F.lit(0.0)) if C.has(df, C.COST_IMPACT)
-                 else F.lit(None).cast("double")).alias("AvgCostImpact"))
-    g = df.filter(F.col(C.SUPPLIER).isNotNull()).groupBy(C.SUPPLIER).agg(*aggs)
+        aggs += [F.sum("__d").alias("__d"), F.sum("__u").alias("__u")]
+    elif "__c" in cols:
+        aggs.append(F.sum("__c").cast("double").alias("__c"))
+    aggs.append((F.coalesce(F.sum("__ot_s") / F.nullif(F.sum("__ot_n").cast("double"), F.lit(0.0)), F.lit(0.0))
+                 if "__ot_s" in cols else F.lit(None).cast("double")).alias("OnTimeRate"))
+    aggs.append((F.coalesce(F.sum("__ci_s") / F.nullif(F.sum("__ci_n").cast("double"), F.lit(0.0)), F.lit(0.0))
+                 if "__ci_s" in cols else F.lit(None).cast("double")).alias("AvgCostImpact"))
+    g = p.groupBy(C.SUPPLIER).agg(*aggs)
     if has_units:
         rate = F.coalesce(F.col("__d") / F.nullif(F.col("__u"), F.lit(0.0)), F.lit(0.0))
         return g.select(C.SUPPLIER, "Volume", rate.alias("DefectRate"), "OnTimeRate", "AvgCostImpact")
-    # without units: count relative to the largest supplier count
-    cnt = "__c" if C.has(df, C.DEFECT_TYPE) else "Volume"
+    # without units: count relative to the largest supplier count (1-row broadcast)
+    cnt = "__c" if "__c" in cols else "Volume"
     mx = g.agg(F.max(F.col(cnt).cast("double")).alias("__mx"))
     rate = F.coalesce(F.col(cnt).cast("double") / F.nullif(F.col("__mx"), F.lit(0.0)), F.lit(0.0))
     return g.crossJoin(F.broadcast(mx)).select(C.SUPPLIER, "Volume", rate.alias("DefectRate"), "OnTimeRate", "AvgCostImpact")
@@ -92,15 +115,15 @@ def supplier_scores(metrics: DataFrame, params: QualityParams = DEFAULT_PARAMS)
     )
 
 
-def supplier_trend(df: DataFrame, params: QualityParams = DEFAULT_PARAMS) -> DataFrame:
+def supplier_trend(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, partials: DataFrame | None = None) -> DataFrame:
     """V4: monthly defects per supplier (months with data only); with at
     least ``w`` months, mean of the last ``w`` vs the first ``w`` gives an
     up/down/flat arrow, else flat.  Suppliers without a dated row are absent
     (their arrow is NULL after the left join)."""
     w = params.supplier_trend_window
-    d = df.filter(F.col(C.SUPPLIER).isNotNull() & F.col(C.DATE).isNotNull())
-    val = F.coalesce(F.sum(C.DEFECT_COUNT), F.lit(0)) if C.has(df, C.DEFECT_COUNT) else F.count(F.lit(1))
-    monthly = d.groupBy(C.SUPPLIER, F.date_trunc("month", C.DATE).alias("__m")).agg(val.cast("double").alias("__v"))
+    p = supplier_month_partials(df) if partials is None else partials
+    val = F.coalesce(F.col("__d"), F.lit(0.0)) if C.has(df, C.DEFECT_COUNT) else F.col("__n").cast("double")
+    monthly = p.filter(F.col("__m").isNotNull()).select(C.SUPPLIER, "__m", val.alias("__v"))
     # per-supplier windows over that supplier's months only (bounded by the calendar)
     asc = Window.partitionBy(C.SUPPLIER).orderBy(F.col("__m").asc())
     desc = Window.partitionBy(C.SUPPLIER).orderBy(F.col("__m").desc())
@@ -134,9 +157,10 @@ def supplier_scorecard(df: DataFrame, params: QualityParams = DEFAULT_PARAMS) ->
     """V1-V5 + eligibility, unordered (use ``supplier_ranking`` for the order)."""
     if not C.has(df, C.SUPPLIER):
         return empty(df.sparkSession, SCORECARD_SCHEMA)
-    s = supplier_scores(supplier_metrics(df), params)
+    partials = supplier_month_partials(df)
+    s = supplier_scores(supplier_metrics(df, partials), params)
     if C.has(df, C.DATE):
-        s = s.join(supplier_trend(df, params), C.SUPPLIER, "left")
+        s = s.join(supplier_trend(df, params, partials), C.SUPPLIER, "left")
     else:
         s = s.withColumn("TrendArrow", F.lit(ARROW_FLAT))
     return s.select(
