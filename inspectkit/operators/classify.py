@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +63,9 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
 
     Guards as the reference: no features, target among features, missing
     columns, target all NULL.  Numeric features are imputed (mean / median /
-    mode); text features are indexed and one-hot encoded with an extra slot
-    for unseen or NULL values.  No scaling: tree splits are scale-free.
+    mode); text features are indexed as nominal features with an extra
+    category for unseen or NULL values (the forest's categorical splits
+    replace one-hot columns).  No scaling: tree splits are scale-free.
     """
     if not features:
         return ClassifierResult(False, "No feature columns selected")
@@ -93,21 +94,29 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
         num_out = [f"__imp_{c}" for c in num]
     cat_out = []
     if cat:
-        stages.append(StringIndexer(inputCols=cat, outputCols=[f"__idx_{c}" for c in cat], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"__idx_{c}" for c in cat], outputCols=[f"__ohe_{c}" for c in cat],
-                                    handleInvalid="keep", dropLast=False))
-        cat_out = [f"__ohe_{c}" for c in cat]
-    label_idx = StringIndexer(inputCol=LABEL, outputCol="__y", handleInvalid="keep")
+        # indexed text features stay nominal (category metadata flows through
+        # the assembler), so the forest splits on category sets natively; one
+        # extra index holds NULL and unseen values
+        stages.append(StringIndexer(inputCols=cat, outputCols=[f"__idx_{c}" for c in cat], handleInvalid="keep",
+                                    stringOrderType="alphabetAsc"))
+        cat_out = [f"__idx_{c}" for c in cat]
+    label_idx = StringIndexer(inputCol=LABEL, outputCol="__y", handleInvalid="keep", stringOrderType="alphabetAsc")
     stages.append(label_idx)
     stages.append(VectorAssembler(inputCols=num_out + cat_out, outputCol="__features", handleInvalid="keep"))
-    stages.append(RandomForestClassifier(featuresCol="__features", labelCol="__y", predictionCol="__pred",
-                                         numTrees=params.classifier_trees, maxDepth=params.classifier_max_depth,
-                                         seed=params.random_state))
-    pipe = Pipeline(stages=stages)
-    model = pipe.fit(train)
-    labels = model.stages[-3].labels
-    model = PipelineModel(stages=model.stages + [
-        IndexToString(inputCol="__pred", outputCol="prediction", labels=labels)])
+    prep = Pipeline(stages=stages).fit(train)
+    # bins: 32 unless an indexed feature has more categories (labels + the
+    # extra NULL/unseen index); more bins than needed only slow every pass
+    label_pos = len(stages) - 2
+    n_cat = [len(lbls) + 1 for i, st in enumerate(prep.stages)
+             if isinstance(st, StringIndexerModel) and i != label_pos for lbls in st.labelsArray]
+    rf = RandomForestClassifier(featuresCol="__features", labelCol="__y", predictionCol="__pred",
+                                numTrees=params.classifier_trees, maxDepth=params.classifier_max_depth,
+                                maxBins=max([32] + n_cat), maxMemoryInMB=1024, cacheNodeIds=True,
+                                seed=params.random_state)
+    forest = rf.fit(prep.transform(train))
+    labels = prep.stages[label_pos].labels
+    model = PipelineModel(stages=prep.stages + [forest,
+                                                IndexToString(inputCol="__pred", outputCol="prediction", labels=labels)])
     pred = model.transform(test)
     metrics = pred.agg(
         F.count(F.lit(1)).alias("test_rows"),
@@ -118,23 +127,14 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
 
 
 def feature_importance(model: PipelineModel, features, num, cat, spark) -> DataFrame:
-    """M9: forest importances summed back to each source column (D6: by
-    vector slot ranges from the assembler's attribute metadata, not by a
-    name prefix).  The vector has one entry per slot: bounded by the
-    feature width, so it is read on the driver."""
+    """M9: forest importances per source column (D6: one vector slot per
+    source column -- numeric imputed values, then indexed categories -- so no
+    name parsing is involved).  The vector has one entry per feature: it is
+    read on the driver."""
     rf = model.stages[-2]
     imp = rf.featureImportances.toArray()
-    sizes = []
-    for c in num:
-        sizes.append((c, 1))
-    ohe = [s for s in model.stages if s.__class__.__name__ == "OneHotEncoderModel"]
-    if cat and ohe:
-        for c, n in zip(cat, ohe[0].categorySizes):
-            sizes.append((c, int(n) + 1))  # handleInvalid='keep' adds one slot
-    out, pos = [], 0
-    for c, n in sizes:
-        out.append((c, float(imp[pos:pos + n].sum())))
-        pos += n
+    order = list(num) + list(cat)
+    out = [(c, float(imp[i])) for i, c in enumerate(order)]
     return spark.createDataFrame(out, "feature string, importance double").orderBy(
         F.col("importance").desc(), F.col("feature").asc())
 

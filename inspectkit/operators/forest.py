@@ -5,11 +5,11 @@ splits on small subsamples; anomaly score 2^(-E[h(x)] / c(psi))) is
 expressed as Spark jobs:
 
 1. Subsample pool.  Every complete row gets a repeatable 64-bit hash of its
-   values and the seed.  Rows whose hash falls under a threshold sized for
-   about twice the pool are kept, then the exact ``trees x psi`` smallest
-   hashes are taken (a short ``limit`` over the candidates).  If the
-   threshold admitted too few rows it is widened and retried, so the pool
-   is exact, and it never depends on partitioning.
+   values and the seed.  One aggregation counts the rows and, for each
+   power-of-two threshold, the rows hashing below it; the smallest threshold
+   holding the pool bounds a filter, and the exact ``trees x psi``
+   smallest hashes are taken from it (a short ``limit``).  The pool never
+   depends on partitioning.
 2. Trees.  Each tree draws its own ``psi`` rows from the pool by a second
    hash, and ``groupBy(tree).applyInPandas`` grows all trees in parallel
    (one small group of ``psi`` rows per tree).
@@ -84,18 +84,32 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[t
     return [tuple(n) for n in nodes]
 
 
-def _pool(d: DataFrame, cols: list[str], size: int, seed: int, n: int) -> DataFrame:
-    """Exactly ``min(size, n)`` rows with the smallest value hashes."""
+def _hashed(d: DataFrame, cols: list[str], seed: int) -> DataFrame:
     h = F.xxhash64(*[F.col(f"`{c}`") for c in cols], F.lit(seed))
-    u = (F.abs(h % F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40)))
-    d = d.select("*", h.alias("__h"), u.alias("__u"))
-    want = min(size, n)
-    frac = min(1.0, 2.0 * want / max(n, 1))
-    while True:
-        cand = d.filter(F.col("__u") < F.lit(frac)) if frac < 1.0 else d
-        if frac >= 1.0 or cand.count() >= want:
-            return cand.orderBy("__u", "__h").limit(want)
-        frac = min(1.0, frac * 2.0)
+    u = F.abs(h % F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
+    return d.select("*", h.alias("__h"), u.alias("__u"))
+
+
+_LEVELS = 41  # thresholds 2^0 .. 2^-40 of the 40-bit hash fraction
+
+
+def _pool_threshold(hd: DataFrame, want_max: int) -> tuple[int, float]:
+    """One aggregation: the row count and, for every threshold 2^-k, how many
+    rows hash below it.  Returns (n, the smallest threshold admitting at
+    least min(want_max, n) rows), so the pool filter is exact in one pass."""
+    aggs = [F.count(F.lit(1)).alias("n")] + [
+        F.count(F.when(F.col("__u") < F.lit(2.0 ** -k), 1)).alias(f"k{k}") for k in range(1, _LEVELS)
+    ]
+    r = hd.agg(*aggs).first()
+    n = int(r["n"])
+    want = min(want_max, n)
+    thr = 1.0
+    for k in range(1, _LEVELS):
+        if r[f"k{k}"] >= want:
+            thr = 2.0 ** -k
+        else:
+            break
+    return n, thr
 
 
 def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: QualityParams = DEFAULT_PARAMS,
@@ -106,13 +120,15 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: Q
     n_trees = n_trees or params.anomaly_trees
     sample_rows = sample_rows or params.anomaly_sample_rows
     seed = params.random_state if seed is None else seed
-    d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    d = d.dropna()
-    n = d.count()
+    d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).dropna()
+    hd = _hashed(d, cols, seed)
+    n, thr = _pool_threshold(hd, n_trees * sample_rows) if cols else (0, 1.0)
     if n < 10 or not cols:
         return None
     psi = min(sample_rows, n)
-    pool = _pool(d, cols, n_trees * psi, seed, n)
+    # exact pool: the trees*psi smallest hashes, all inside the threshold
+    pool = (hd.filter(F.col("__u") < F.lit(thr)) if thr < 1.0 else hd).orderBy("__u", "__h").limit(
+        min(n_trees * psi, n))
     trees = df.sparkSession.range(n_trees).select(F.col("id").cast("int").alias("tree_id"))
     # both sides are bounded by the parameters (pool <= trees*psi rows)
     per_tree = pool.crossJoin(F.broadcast(trees)).withColumn(

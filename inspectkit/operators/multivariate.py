@@ -1,7 +1,7 @@
 """M1-M3, M6: correlation, strongest pairs, PCA, candidate target columns.
 
-M1 is one aggregation over the whole table (covariances of every column
-pair plus standard deviations): partial aggregates per partition, merged
+M1 is two aggregations over the whole table (means, then sums of centred
+products for every column pair): partial aggregates per partition, merged
 once.  M3 uses Spark ML, whose PCA builds the p x p covariance with a tree
 aggregation (p = number of numeric columns, not rows).
 """
@@ -31,26 +31,36 @@ def complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def correlation_long(df: DataFrame, cols: list[str] | None = None, digits: int | None = 3) -> DataFrame:
     """M1: Pearson r for every ordered column pair ``(col_a, col_b, corr)``
-    after listwise deletion; a constant column gives NULL (never an error)."""
+    after listwise deletion; a constant column gives NULL (never an error).
+
+    Two cheap passes instead of p(p+1)/2 covariance aggregates (whose
+    buffers exceed the codegen field limit): means, minima and maxima (one
+    row, broadcast), then plain sums of centred products -- numerically
+    stable, and every aggregate a codegen'd ``sum``.
+    """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if len(cols) < 2:
         return empty(df.sparkSession, "seq_a int, col_a string, seq_b int, col_b string, corr double")
     d = complete_rows(df, cols)
-    aggs = [F.stddev_samp(F.col(f"`{c}`")).alias(f"__s{i}") for i, c in enumerate(cols)]
+    x = [F.col(f"`{c}`") for c in cols]
+    first = d.agg(F.count(F.lit(1)).alias("__n"),
+                  *[F.avg(v).alias(f"__m{i}") for i, v in enumerate(x)],
+                  *[(F.min(v) == F.max(v)).alias(f"__k{i}") for i, v in enumerate(x)])
+    z = d.crossJoin(F.broadcast(first)).select(*[(v - F.col(f"__m{i}")).alias(f"__z{i}") for i, v in enumerate(x)])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs += [F.covar_samp(F.col(f"`{cols[i]}`"), F.col(f"`{cols[j]}`")).alias(f"__c{i}_{j}") for i, j in pairs]
-    one = d.agg(*aggs)
-    cells = []
+    sums = z.agg(*[F.sum(F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"__s{i}_{j}") for i, j in pairs])
+    st = sums.crossJoin(F.broadcast(first))
+    rs = []
     for i, j in pairs:
-        r = F.col(f"__c{i}_{j}") / F.nullif(F.col(f"__s{i}") * F.col(f"__s{j}"), F.lit(0.0))
-        if digits is not None:
-            r = F.round(r, digits)
-        cells.append(F.struct(F.lit(i).alias("seq_a"), F.lit(cols[i]).alias("col_a"),
-                              F.lit(j).alias("seq_b"), F.lit(cols[j]).alias("col_b"), r.alias("corr")))
-        if i != j:
-            cells.append(F.struct(F.lit(j).alias("seq_a"), F.lit(cols[j]).alias("col_a"),
-                                  F.lit(i).alias("seq_b"), F.lit(cols[i]).alias("col_b"), r.alias("corr")))
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        den = F.sqrt(F.col(f"__s{i}_{i}")) * F.sqrt(F.col(f"__s{j}_{j}"))
+        r = F.when(~F.col(f"__k{i}") & ~F.col(f"__k{j}") & (F.col("__n") >= 2),
+                   F.col(f"__s{i}_{j}") / F.nullif(den, F.lit(0.0)))
+        rs.append((F.round(r, digits) if digits is not None else r).alias(f"r{i}_{j}"))
+    long = st.select(*rs).unpivot([], [f"r{i}_{j}" for i, j in pairs], "__key", "corr")
+    # the pair table has p*p rows: bounded by the column count
+    names = [(f"r{min(i, j)}_{max(i, j)}", i, cols[i], j, cols[j]) for i in range(len(cols)) for j in range(len(cols))]
+    grid = df.sparkSession.createDataFrame(names, "__key string, seq_a int, col_a string, seq_b int, col_b string")
+    return F.broadcast(grid).join(long, "__key").select("seq_a", "col_a", "seq_b", "col_b", "corr")
 
 
 def top_correlations(df: DataFrame, n: int = 5, cols: list[str] | None = None) -> DataFrame:

@@ -95,3 +95,36 @@ def q_supplier_trend(spark, sf_dir):
 def q_quality_index_histogram(spark, sf_dir):
     return rounded(X.quality_index_histogram(fact(spark, sf_dir)))
 
+
+
+@register("supplier_metrics", "V1", with_fact("""
+SELECT Supplier, Volume, round(DefectRate, 6) AS DefectRate, round(OnTimeRate, 6) AS OnTimeRate,
+  round(AvgCostImpact, 6) AS AvgCostImpact FROM m""", _SCORE_CTE))
+def q_supplier_metrics(spark, sf_dir):
+    return rounded(V.supplier_metrics(fact(spark, sf_dir)))
+
+
+@register("supplier_scores", "V2+V3+V5", with_fact("""
+SELECT Supplier, round(DefectScore, 6) AS DefectScore, round(DeliveryScore, 6) AS DeliveryScore,
+  round(CostScore, 6) AS CostScore, round(TotalScore, 6) AS TotalScore,
+  round(DefectRateLower, 6) AS DefectRateLower, round(DefectRateUpper, 6) AS DefectRateUpper, RiskBand
+FROM card""", _SCORE_CTE))
+def q_supplier_scores(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    s = V.supplier_scores(V.supplier_metrics(fact(spark, sf_dir)))
+    return rounded(s.select("Supplier", "DefectScore", "DeliveryScore", "CostScore", "TotalScore",
+                            "DefectRateLower", "DefectRateUpper", V.risk_band(F.col("TotalScore")).alias("RiskBand")))
+
+
+def _qi_sql():
+    from inspectkit.plans.q_basic import QI_CTE
+
+    return with_fact("""
+SELECT Supplier, Part_Type, "Date", DefectCount, round(QualityIndex, 6) AS QualityIndex FROM qi""", QI_CTE)
+
+
+@register("quality_index", "X1", _qi_sql())
+def q_quality_index(spark, sf_dir):
+    q = X.quality_index(fact(spark, sf_dir))
+    return rounded(q.select("Supplier", "Part_Type", "Date", "DefectCount", X.INDEX))

@@ -22,7 +22,10 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     if master:
         b = b.master(master)
     b = (
-        b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # local mode: the driver JVM is the only executor; it is sized here
+        # (takes effect when this call launches the JVM)
+        b.config("spark.driver.memory", os.environ.get("INSPECTKIT_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -21,6 +21,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .appName("inspectkit-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
