@@ -19,13 +19,12 @@ from inspectkit.params import DEFAULT_PARAMS, QualityParams
 def copq_what_if(df: DataFrame, pct=None, by=(), params: QualityParams = DEFAULT_PARAMS) -> DataFrame:
     """Baseline COPQ, savings = baseline * pct / 100, projected =
     max(0, baseline - savings); no savings when defects <= 0 or baseline <= 0.
-    ``pct`` may be a list: every scenario in one pass (a cross join with a
-    table of ``len(pct)`` rows)."""
+    ``pct`` may be a list: every scenario from the same aggregate row
+    (an exploded literal array)."""
     by = list(by)
     pcts = [params.roi_defect_reduction_pct] if pct is None else (list(pct) if isinstance(pct, (list, tuple)) else [pct])
     base = _agg(df, by, copq_expr(df).alias("baseline_copq"), defects_expr(df).alias("__defects"))
-    scen = df.sparkSession.createDataFrame([(float(p),) for p in pcts], "reduction_pct double")
-    j = base.crossJoin(F.broadcast(scen))
+    j = base.select("*", F.explode(F.array(*[F.lit(float(p)) for p in pcts])).alias("reduction_pct"))
     none = (F.col("__defects") <= 0) | (F.col("baseline_copq") <= 0)
     sav = F.when(none, F.lit(0.0)).otherwise(F.col("baseline_copq") * (F.col("reduction_pct") / F.lit(100.0)))
     proj = F.when(none, F.col("baseline_copq")).otherwise(

@@ -136,15 +136,17 @@ def read_presets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def apply_presets(df: DataFrame, presets: DataFrame, date_column: str = C.DATE,
-                  max_broadcast_presets: int = 100000) -> DataFrame:
+                  max_broadcast_presets: int = 64) -> DataFrame:
     """every row tagged with each preset it satisfies, all presets in one pass.
 
     A preset with an "All ..." label (or NULL) leaves that dimension open.
     Presets are a small user-made table; its row count is checked (one tiny
-    job) and under ``max_broadcast_presets`` it is broadcast into a non-equi
-    join.  Above that, presets are split by which dimensions they fix and
-    each group is equi-joined on exactly those dimensions (a shuffle join),
-    then unioned; the date range is applied after the join.
+    job) and up to ``max_broadcast_presets`` it is broadcast into a non-equi
+    join (each row is tested against every preset, so this is only for a
+    handful).  Above that, presets are split by which dimensions they fix
+    and each group is equi-joined on exactly those dimensions; presets
+    fixing none are equi-joined on a month bucket of the date range.  The
+    exact date bounds are a residual condition of each join.
     """
     cols = set(df.columns)
     p = presets.select(
@@ -172,26 +174,55 @@ def apply_presets(df: DataFrame, presets: DataFrame, date_column: str = C.DATE,
                 conds.append(pc.isNull() | (F.col(col).cast("string") == pc))
         cond = reduce(lambda x, y: x & y, conds, F.lit(True)) & date_ok()
         return df.join(F.broadcast(p), cond, "inner").drop(*drop)
-    # large preset tables: one equi-join per pattern of fixed dimensions
+    # many presets: one equi-join per pattern of fixed dimensions (a shuffle
+    # join; AQE may still broadcast a small side by its measured size)
     parts = []
     masks = p.select(*[F.col(f"__p_{a}").isNotNull().alias(a) for a, _, _ in _EQ_FILTERS]).distinct().collect()
     for m in masks:
         fixed = [(a, col) for a, col, _ in _EQ_FILTERS if m[a]]
+        if any(col not in cols for _, col in fixed):
+            continue  # a preset on an absent column never matches
         sel = reduce(lambda x, y: x & y,
                      [F.col(f"__p_{a}").isNotNull() == F.lit(bool(m[a])) for a, _, _ in _EQ_FILTERS])
         pg = p.filter(sel)
-        if any(col not in cols for _, col in fixed):
-            continue
         if fixed:
             cond = reduce(lambda x, y: x & y, [F.col(col).cast("string") == F.col(f"__p_{a}") for a, col in fixed])
             parts.append(df.join(pg, cond & date_ok(), "inner").drop(*drop))
         else:
-            parts.append(df.join(pg, date_ok(), "inner").drop(*drop))
+            parts.append(_date_bucket_join(df, pg, date_column if date_column in cols else None, date_ok()).drop(*drop))
     if not parts:
         return df.limit(0).withColumn("preset", F.lit(None).cast("string"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+_NO_DATE_BUCKET = "0001-01-01"
+
+
+def _date_bucket_join(df: DataFrame, presets: DataFrame, date_column: str | None, cond: Column) -> DataFrame:
+    """Range-match presets that fix no dimension by an equi-join on month.
+
+    Each preset is exploded into the months its range covers (open ends use
+    the data's first/last date, a 1-row aggregate); each row carries its
+    month.  Undated rows and presets without a date bound also meet on a
+    sentinel bucket.  Output = matching pairs only, and the join is an
+    equi-join (AQE splits a hot month)."""
+    sentinel = F.to_date(F.lit(_NO_DATE_BUCKET))
+    if date_column is None:
+        rows = df.withColumn("__bucket", sentinel)
+        ps = presets.withColumn("__bucket", sentinel)
+        return rows.join(ps, "__bucket", "inner").drop("__bucket")
+    bounds = df.agg(F.min(date_column).alias("__dmin"), F.max(date_column).alias("__dmax"))
+    first = F.trunc(F.coalesce(F.col("__p_start").cast("timestamp"), F.col("__dmin")), "month")
+    last = F.trunc(F.coalesce(F.date_sub(F.col("__p_end"), 1).cast("timestamp"), F.col("__dmax")), "month")
+    months = presets.crossJoin(F.broadcast(bounds)).select(
+        "*", F.explode_outer(F.when(first <= last, F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))).alias("__bucket"))
+    months = months.filter(F.col("__bucket").isNotNull()).drop("__dmin", "__dmax")
+    undated = presets.filter(F.col("__p_start").isNull() & F.col("__p_end").isNull()).withColumn("__bucket", sentinel)
+    ps = months.unionByName(undated)
+    rows = df.withColumn("__bucket", F.coalesce(F.trunc(F.col(date_column), "month"), sentinel))
+    return rows.join(ps, (rows["__bucket"] == ps["__bucket"]) & cond, "inner").drop(rows["__bucket"]).drop("__bucket")
+
+
 def date_bounds(df: DataFrame, preferred: str = C.DATE) -> DataFrame:
     """min and max of the date column, NULLs ignored (one aggregation;
     parquet footers can answer it with ``spark.sql.parquet.aggregatePushdown``)."""

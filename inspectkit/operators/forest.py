@@ -129,9 +129,9 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: Q
     # exact pool: the trees*psi smallest hashes, all inside the threshold
     pool = (hd.filter(F.col("__u") < F.lit(thr)) if thr < 1.0 else hd).orderBy("__u", "__h").limit(
         min(n_trees * psi, n))
-    trees = df.sparkSession.range(n_trees).select(F.col("id").cast("int").alias("tree_id"))
-    # both sides are bounded by the parameters (pool <= trees*psi rows)
-    per_tree = pool.crossJoin(F.broadcast(trees)).withColumn(
+    # every pool row is a candidate for every tree: pool x trees rows, both
+    # bounded by the parameters (pool <= trees * psi)
+    per_tree = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")).withColumn(
         "__r", F.xxhash64(F.col("__h"), F.col("tree_id"), F.lit(seed)))
     w = Window.partitionBy("tree_id").orderBy("__r", "__h")
     sample = per_tree.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= psi)

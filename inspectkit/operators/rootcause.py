@@ -4,8 +4,8 @@ All of these aggregate first (partial aggregation on the map side, so a hot
 key is collapsed before the shuffle) and only then sort or window, so every
 ``Window`` without ``partitionBy`` runs on at most ``n`` aggregated rows.
 Cross-tabs are long ``(row, col, n)`` tables whose axes are cut to a fixed
-number of labels; the full grid of kept labels is built from two
-``limit``-ed (hence size-bounded) axis tables.
+number of labels; the zero-filled grid of kept labels is bounded by those
+cuts (``limit``-ed axis tables), never by the data.
 """
 
 from __future__ import annotations
@@ -88,27 +88,34 @@ def crosstab_long(
 
     NULL labels become 'Unknown'.  Axes are sorted by label; the first
     ``max_rows`` rows and the first (or, with ``last_cols``, the last)
-    ``max_cols`` columns are kept.  The grid is the product of two axis
-    tables capped by ``limit`` (so its size is bounded by the parameters,
-    never by the data) and is broadcast; the counts are aggregated before
-    the join.
+    ``max_cols`` columns are kept.  With both axes capped, the grid is the
+    kept row labels each exploded with the array of kept column labels (a
+    1-row table), so zero cells appear and the grid size is bounded by the
+    parameters; counts are aggregated before the join.  With an uncapped
+    axis only observed cells are returned.
     """
     r = F.coalesce(F.col(row_col).cast("string"), F.lit(UNKNOWN)).alias(row_name)
     c = F.coalesce(F.col(col_col).cast("string"), F.lit(UNKNOWN)).alias(col_name)
     counts = df.groupBy(r, c).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.select(row_name).distinct()
-    cols = counts.select(col_name).distinct()
-    if max_rows is not None:
-        rows = rows.orderBy(F.col(row_name).asc()).limit(max_rows)
-    if max_cols is not None:
-        order = F.col(col_name).desc() if last_cols else F.col(col_name).asc()
-        cols = cols.orderBy(order).limit(max_cols)
     if max_rows is None or max_cols is None:
-        # unbounded axes: no broadcast, a plain (shuffled) cross product of
-        # the label sets is still bounded by the product of distinct labels
-        grid = rows.crossJoin(cols)
-    else:
-        grid = F.broadcast(rows).crossJoin(F.broadcast(cols))
+        # unbounded axes: the observed cells only (absent pairs are zero);
+        # a full grid would be a product of two data-sized label sets
+        rows_ok = counts
+        if max_rows is not None:
+            keep = counts.select(row_name).distinct().orderBy(F.col(row_name).asc()).limit(max_rows)
+            rows_ok = rows_ok.join(F.broadcast(keep), row_name, "left_semi")
+        if max_cols is not None:
+            order = F.col(col_name).desc() if last_cols else F.col(col_name).asc()
+            keep = counts.select(col_name).distinct().orderBy(order).limit(max_cols)
+            rows_ok = rows_ok.join(F.broadcast(keep), col_name, "left_semi")
+        return rows_ok.select(row_name, col_name, F.col("n").cast("bigint").alias("n"))
+    rows = counts.select(row_name).distinct().orderBy(F.col(row_name).asc()).limit(max_rows)
+    order = F.col(col_name).desc() if last_cols else F.col(col_name).asc()
+    cols = counts.select(col_name).distinct().orderBy(order).limit(max_cols)
+    # grid: each kept row label x the (at most max_cols) kept column labels,
+    # carried as one array in a 1-row table
+    col_arr = cols.agg(F.collect_list(col_name).alias("__cols"))
+    grid = rows.crossJoin(F.broadcast(col_arr)).select(row_name, F.explode("__cols").alias(col_name))
     out = grid.join(counts, [row_name, col_name], "left")
     return out.select(row_name, col_name, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 

@@ -49,12 +49,13 @@ def _positions(spark, n_df: DataFrame, k: int, by: list[str]) -> DataFrame:
     in double arithmetic for i < k-1 and n-1 last (``linspace`` with an
     integer dtype); every position when n <= k.  At most ``k`` rows per group."""
     step = (F.col("__n") - 1).cast("double") / F.lit(float(max(k - 1, 1)))
-    ids = spark.range(k).withColumnRenamed("id", "__i")
-    grid = n_df.crossJoin(F.broadcast(ids)) if by else F.broadcast(n_df).crossJoin(ids)
+    grid = n_df.select(*by, "__n", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                        F.least(F.col("__n"), F.lit(k)).cast("bigint") - 1)).alias("__i"))
+    grid = grid.filter(F.col("__n") > 0)
     pos = F.when(F.col("__n") <= k, F.col("__i")).when(
         F.col("__i") == k - 1, F.col("__n") - 1
     ).otherwise(F.floor(F.col("__i") * step).cast("bigint"))
-    return grid.filter(F.col("__i") < F.col("__n")).select(*by, pos.alias("__pos")).distinct()
+    return grid.select(*by, pos.alias("__pos")).distinct()
 
 
 def downsample_rows(df: DataFrame, order_cols: list[str], k: int, name: str = "pos") -> DataFrame:

@@ -89,11 +89,12 @@ def stream_alerts_query(spark: SparkSession, sdf: DataFrame, base: str, params:
     one emitted for that key.
 
     State lives in tables under ``base`` (the shared checkpoint folder):
-    ``daily/epoch=N`` holds each batch's per-day partial sums (a distributed
-    aggregation of the batch) and ``alerts/epoch=N`` the alerts emitted by
-    batch N.  Each epoch overwrites only its own folders, so a replayed
-    epoch after a failure reproduces the same output.  The rules run on the
-    per-day table (bounded by the calendar) with the batch operators A1/A2.
+    ``state/epoch=N`` is the per-day table (cost, rate sums) after batch N --
+    the previous state plus the batch's per-day partial sums, a distributed
+    aggregation -- and ``alerts/epoch=N`` the alerts emitted by batch N.
+    Each epoch overwrites only its own folders, so a replayed epoch after a
+    failure reproduces the same output.  The rules run on the per-day table
+    (bounded by the calendar) with the batch operators A1/A2.
     """
     from pyspark.sql import Window
 
@@ -108,11 +109,19 @@ def stream_alerts_query(spark: SparkSession, sdf: DataFrame, base: str, params:
             copq_expr(batch).alias("cost"),
             (F.sum(C.DEFECT_RATE) if has_rate else F.lit(None)).cast("double").alias("rate_sum"),
             (F.count(C.DEFECT_RATE) if has_rate else F.lit(0)).cast("bigint").alias("rate_n"),
-        ).withColumn("epoch", F.lit(epoch))
-        part.write.mode("overwrite").parquet(f"{base}/daily/epoch={epoch}")
-        hist = spark.read.parquet(f"{base}/daily").filter(F.col("epoch") <= epoch)
-        days = hist.groupBy("day").agg(F.sum("cost").alias("cost"), F.sum("rate_sum").alias("rate_sum"),
+        )
+        # compacted state: the per-day table after the previous epoch plus
+        # this batch's partials, written as this epoch's state (one row per
+        # day: bounded by the calendar, not by rows or epochs)
+        prev_state = _read_or_none(spark, f"{base}/state")
+        if prev_state is not None:
+            last_epoch = prev_state.filter(F.col("epoch") < epoch).agg(F.max("epoch").alias("__e"))
+            prev_days = prev_state.join(F.broadcast(last_epoch), F.col("epoch") == F.col("__e")).drop("__e", "epoch")
+            part = part.unionByName(prev_days)
+        days = part.groupBy("day").agg(F.sum("cost").alias("cost"), F.sum("rate_sum").alias("rate_sum"),
                                        F.sum("rate_n").alias("rate_n"))
+        days.write.mode("overwrite").parquet(f"{base}/state/epoch={epoch}")
+        days = spark.read.parquet(f"{base}/state/epoch={epoch}")
         rate = days.agg((F.sum("rate_sum") / F.nullif(F.sum("rate_n").cast("double"), F.lit(0.0)) * 100.0)
                         .alias("value")).filter(F.col("value") > F.lit(thr_rate)).select(
             F.lit(KEY_DEFECT_RATE).alias("key"),
@@ -132,7 +141,8 @@ def stream_alerts_query(spark: SparkSession, sdf: DataFrame, base: str, params:
                 "key", F.col("message").alias("__last"))
             current = current.join(last, "key", "left").filter(
                 F.col("__last").isNull() | (F.col("__last") != F.col("message"))).drop("__last")
-        current.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/alerts/epoch={epoch}")
+        # the epoch is the partition folder name (read back as a column)
+        current.write.mode("overwrite").parquet(f"{base}/alerts/epoch={epoch}")
 
     w = sdf.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(sink)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")

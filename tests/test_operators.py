@@ -286,3 +286,29 @@ def test_report_counts_and_warnings(spark):
     assert msg == "High missingness (>40%) in: Yield, YieldPercentage"
     miss = {m.column: m.missing for m in Q.missing_by_column(f).collect()}
     assert miss["DefectType"] == 1 and miss["DefectRate"] == 1
+
+
+def test_crosstab_unbounded_axes_are_sparse(spark):
+    df = spark.createDataFrame([("s1", "p1"), ("s2", "p2"), ("s2", "p2")], "a string, b string")
+    got = sorted(tuple(r) for r in P.crosstab_long(df, "a", "b", None, None).collect())
+    assert got == [("s1", "p1", 1), ("s2", "p2", 2)]
+
+
+def test_presets_bucket_join_matches_broadcast_path(spark):
+    presets = spark.createDataFrame(
+        [("q1", None, None, None, None, "2024-01-01", "2024-03-31"),
+         ("open", "All Part Types", None, None, None, None, None),
+         ("from_feb", None, None, None, None, "2024-02-15", None),
+         ("a_only", "A", None, None, None, None, "2024-02-01")],
+        FL.PRESET_SCHEMA)
+    rows = [("A", ts(2024, 1, 5)), ("A", ts(2024, 2, 20)), ("B", ts(2024, 3, 31, 23)), ("B", ts(2024, 4, 1)),
+            ("A", None)]
+    df = spark.createDataFrame(rows, "Part_Type string, Date timestamp")
+    small = sorted((r.preset, r.Part_Type, str(r.Date)) for r in FL.apply_presets(df, presets).collect())
+    large = sorted((r.preset, r.Part_Type, str(r.Date))
+                   for r in FL.apply_presets(df, presets, max_broadcast_presets=0).collect())
+    assert small == large
+    assert sum(1 for p, _, _ in small if p == "open") == 5
+    assert sum(1 for p, _, _ in small if p == "q1") == 3
+    assert sum(1 for p, _, _ in small if p == "from_feb") == 3
+    assert sum(1 for p, _, _ in small if p == "a_only") == 1
