@@ -76,22 +76,33 @@ def quality_index(
             F.col(f"__q{i}")[0].alias(f"__lo{i}"), F.col(f"__q{i}")[1].alias(f"__hi{i}"))],
     )
     j = join_stats(df, stats, by)
-    scaled = []
+    # staged projections: every sub-expression is a column used by the next
+    # stage, so Catalyst keeps it computed once instead of inlining it into
+    # each CASE branch (one huge expression would exceed codegen limits)
+    raw = []
     for i, (c, higher_better) in enumerate(parts):
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         v = F.col(c).cast("double")
         if params.quality_index_winsorize:
             v = F.when(v < lo, lo).when(v > hi, hi).otherwise(v)
-        s = (v - lo) / (hi - lo)
+        r = (v - lo) / (hi - lo)
         if not higher_better:
-            s = F.lit(1.0) - s
-        s = F.when(s < 0, F.lit(0.0)).when(s > 1, F.lit(1.0)).otherwise(s)
+            r = F.lit(1.0) - r
         const = lo.isNull() | hi.isNull() | (lo == hi)
-        scaled.append(F.when(const, F.lit(0.5)).otherwise(s))
-    total = sum((F.coalesce(s, F.lit(0.0)) for s in scaled[1:]), F.coalesce(scaled[0], F.lit(0.0)))
-    cnt = sum((s.isNotNull().cast("int") for s in scaled[1:]), scaled[0].isNotNull().cast("int"))
-    idx = F.when(cnt > 0, total / cnt.cast("double") * F.lit(100.0))
-    drop = [f"__lo{i}" for i in range(len(parts))] + [f"__hi{i}" for i in range(len(parts))]
+        raw += [r.alias(f"__r{i}"), const.alias(f"__c{i}")]
+    j = j.select("*", *raw)
+    parts_s = []
+    for i in range(len(parts)):
+        r = F.col(f"__r{i}")
+        clipped = F.when(r < 0, F.lit(0.0)).when(r > 1, F.lit(1.0)).otherwise(r)
+        parts_s.append(F.when(F.col(f"__c{i}"), F.lit(0.5)).otherwise(clipped).alias(f"__s{i}"))
+    j = j.select("*", *parts_s)
+    sc = [F.col(f"__s{i}") for i in range(len(parts))]
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in sc[1:]), F.coalesce(sc[0], F.lit(0.0)))
+    cnt = sum((x.isNotNull().cast("int") for x in sc[1:]), sc[0].isNotNull().cast("int"))
+    j = j.select("*", total.alias("__tot"), cnt.alias("__cnt"))
+    idx = F.when(F.col("__cnt") > 0, F.col("__tot") / F.col("__cnt").cast("double") * F.lit(100.0))
+    drop = [f"__{k}{i}" for i in range(len(parts)) for k in ("lo", "hi", "r", "c", "s")] + ["__tot", "__cnt"]
     return j.withColumn(name, idx).drop(*drop)
 
 
