@@ -10,14 +10,17 @@ expressed as Spark jobs:
    holding the pool bounds a filter, and the exact ``trees x psi``
    smallest hashes are taken from it (a short ``limit``).  The pool never
    depends on partitioning.
-2. Trees.  Each tree draws its own ``psi`` rows from the pool by a second
-   hash, and ``groupBy(tree).applyInPandas`` grows all trees in parallel
-   (one small group of ``psi`` rows per tree).
+2. Trees.  With enough rows the hash-ordered pool is dealt into disjoint
+   samples of ``psi`` rows per tree (small inputs: each tree draws its own
+   ``psi`` rows by a second hash), and ``groupBy(tree).applyInPandas`` grows
+   all trees in parallel (one small group of ``psi`` rows per tree).
 3. Scoring.  The forest is a table of at most ``trees x (2 psi - 1)`` nodes,
    a size fixed by the parameters, so it is broadcast; a vectorised pandas
    UDF walks all trees level by level over Arrow batches of rows.
-4. Threshold.  ``percentile_approx`` of the scores at 1 - contamination;
-   rows above it are flagged.  Rows with a NULL feature are never flagged.
+4. Threshold.  The exact 1 - contamination quantile of the training
+   pool's scores (the estimator's offset comes from its fitted sample);
+   every row scoring above it is flagged, so all rows are scored in one
+   pass and nothing is cached.  Rows with a NULL feature are never flagged.
 """
 
 from __future__ import annotations
@@ -114,8 +117,8 @@ def _pool_threshold(hd: DataFrame, want_max: int) -> tuple[int, float]:
 
 def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: QualityParams = DEFAULT_PARAMS,
                          n_trees: int | None = None, sample_rows: int | None = None, seed: int | None = None):
-    """Grow the forest; returns ``(nodes DataFrame, psi, cols)`` or None when
-    fewer than 10 complete rows exist."""
+    """Grow the forest; returns ``(nodes DataFrame, psi, cols, pool)`` or None
+    when fewer than 10 complete rows exist (``pool`` = the training rows)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     n_trees = n_trees or params.anomaly_trees
     sample_rows = sample_rows or params.anomaly_sample_rows
@@ -129,12 +132,23 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: Q
     # exact pool: the trees*psi smallest hashes, all inside the threshold
     pool = (hd.filter(F.col("__u") < F.lit(thr)) if thr < 1.0 else hd).orderBy("__u", "__h").limit(
         min(n_trees * psi, n))
-    # every pool row is a candidate for every tree: pool x trees rows, both
-    # bounded by the parameters (pool <= trees * psi)
-    per_tree = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")).withColumn(
-        "__r", F.xxhash64(F.col("__h"), F.col("tree_id"), F.lit(seed)))
-    w = Window.partitionBy("tree_id").orderBy("__r", "__h")
-    sample = per_tree.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= psi)
+    # the pool is bounded (trees x psi rows) and read twice (trees, then the
+    # threshold): kept in memory, recomputable from lineage if lost
+    pool = pool.cache()
+    if n >= n_trees * psi:
+        # enough rows: deal the hash-ordered pool round-robin into disjoint
+        # per-tree samples of exactly psi rows (each a uniform random sample);
+        # the window spans the pool only, trees x psi rows (parameter-bounded)
+        w = Window.orderBy("__u", "__h")
+        sample = pool.withColumn("__k", F.row_number().over(w) - 1).select(
+            "*", (F.col("__k") % F.lit(n_trees)).cast("int").alias("tree_id"), F.col("__h").alias("__r"))
+    else:
+        # small input: every tree draws psi of the n rows by its own hash
+        # (pool x trees rows, both bounded by the parameters)
+        per_tree = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")).withColumn(
+            "__r", F.xxhash64(F.col("__h"), F.col("tree_id"), F.lit(seed)))
+        wt = Window.partitionBy("tree_id").orderBy("__r", "__h")
+        sample = per_tree.withColumn("__k", F.row_number().over(wt)).filter(F.col("__k") <= psi)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +161,7 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: Q
         return out.astype({"tree_id": "int32", "node_id": "int32", "feature": "int32", "left": "int32", "right": "int32"})
 
     nodes = sample.select("tree_id", "__r", "__h", *cols).groupBy("tree_id").applyInPandas(build, NODE_SCHEMA)
-    return nodes, psi, cols
+    return nodes, psi, cols, pool.select(*cols)
 
 
 def _forest_arrays(nodes_pdf: pd.DataFrame):
@@ -170,7 +184,7 @@ def detect_anomalies(df: DataFrame, cols: list[str] | None = None, params: Quali
     fitted = fit_isolation_forest(df, cols, params, n_trees, sample_rows, seed)
     if fitted is None:
         return df.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
-    nodes, psi, cols = fitted
+    nodes, psi, cols, pool = fitted
     # forest size is fixed by the parameters (trees x (2 psi - 1) nodes)
     forest = spark.sparkContext.broadcast(_forest_arrays(nodes.toPandas()))
     c_psi = float(avg_path_length(psi))
@@ -198,16 +212,20 @@ def detect_anomalies(df: DataFrame, cols: list[str] | None = None, params: Quali
         s[~ok] = np.nan
         return pd.Series(s)
 
-    feats = F.struct(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(cols)])
-    scored = df.withColumn("__s", score(feats)).withColumn(
+    def feats():
+        return F.struct(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(cols)])
+
+    # threshold from the training pool's scores (at most trees x psi rows),
+    # as the published estimator derives its offset from the fitted sample:
+    # one number, read on the driver and used as a literal
+    pool_scores = pool.select(score(feats()).alias("__s"))
+    thr = pool_scores.agg(F.percentile("__s", 1.0 - contamination).alias("__t")).first()["__t"]
+    pool.unpersist()
+    scored = df.withColumn("__s", score(feats())).withColumn(
         "anomaly_score", F.when(~F.isnan(F.col("__s")), F.col("__s"))).drop("__s")
-    # the UDF is deterministic; persisting only avoids scoring twice (the
-    # threshold and the flags read the same scores); lost blocks recompute
-    scored = scored.persist()
-    thr = scored.agg(F.percentile_approx("anomaly_score", 1.0 - contamination, 100000).alias("__t"))
-    out = scored.crossJoin(F.broadcast(thr)).withColumn(
-        "is_anomaly", F.coalesce(F.col("anomaly_score") > F.col("__t"), F.lit(False))).drop("__t")
-    return out
+    if thr is None:
+        return scored.withColumn("is_anomaly", F.lit(False))
+    return scored.withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") > F.lit(float(thr)), F.lit(False)))
 
 
 def anomaly_summary(flagged: DataFrame) -> DataFrame:

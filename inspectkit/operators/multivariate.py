@@ -34,9 +34,9 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None, digits: int |
     after listwise deletion; a constant column gives NULL (never an error).
 
     Two cheap passes instead of p(p+1)/2 covariance aggregates (whose
-    buffers exceed the codegen field limit): means, minima and maxima (one
-    row, broadcast), then plain sums of centred products -- numerically
-    stable, and every aggregate a codegen'd ``sum``.
+    buffers exceed the codegen field limit): means and constant flags (one
+    row), then plain sums of centred products -- numerically stable, and
+    every aggregate a codegen'd ``sum``.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if len(cols) < 2:
@@ -45,16 +45,23 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None, digits: int |
     x = [F.col(f"`{c}`") for c in cols]
     first = d.agg(F.count(F.lit(1)).alias("__n"),
                   *[F.avg(v).alias(f"__m{i}") for i, v in enumerate(x)],
-                  *[(F.min(v) == F.max(v)).alias(f"__k{i}") for i, v in enumerate(x)])
-    z = d.crossJoin(F.broadcast(first)).select(*[(v - F.col(f"__m{i}")).alias(f"__z{i}") for i, v in enumerate(x)])
+                  *[(F.min(v) == F.max(v)).alias(f"__k{i}") for i, v in enumerate(x)]).first()
+    # pass 1 is one row of 2p+1 numbers (bounded by the column count): it is
+    # read on the driver and enters pass 2 as literals
+    n = int(first["__n"])
+    means = [first[f"__m{i}"] for i in range(len(cols))]
+    const = [bool(first[f"__k{i}"]) if first[f"__k{i}"] is not None else True for i in range(len(cols))]
+    z = d.select(*[(v - F.lit(float(means[i]) if means[i] is not None else 0.0)).alias(f"__z{i}")
+                   for i, v in enumerate(x)])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    sums = z.agg(*[F.sum(F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"__s{i}_{j}") for i, j in pairs])
-    st = sums.crossJoin(F.broadcast(first))
+    st = z.agg(*[F.sum(F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"__s{i}_{j}") for i, j in pairs])
     rs = []
     for i, j in pairs:
         den = F.sqrt(F.col(f"__s{i}_{i}")) * F.sqrt(F.col(f"__s{j}_{j}"))
-        r = F.when(~F.col(f"__k{i}") & ~F.col(f"__k{j}") & (F.col("__n") >= 2),
-                   F.col(f"__s{i}_{j}") / F.nullif(den, F.lit(0.0)))
+        if const[i] or const[j] or n < 2:
+            r = F.lit(None).cast("double")
+        else:
+            r = F.col(f"__s{i}_{j}") / F.nullif(den, F.lit(0.0))
         rs.append((F.round(r, digits) if digits is not None else r).alias(f"r{i}_{j}"))
     long = st.select(*rs).unpivot([], [f"r{i}_{j}" for i, j in pairs], "__key", "corr")
     # the pair table has p*p rows: bounded by the column count

@@ -85,7 +85,7 @@ def quality_index(
         v = F.col(c).cast("double")
         if params.quality_index_winsorize:
             v = F.when(v < lo, lo).when(v > hi, hi).otherwise(v)
-        r = (v - lo) / (hi - lo)
+        r = (v - lo) / F.nullif(hi - lo, F.lit(0.0))  # constant part: guarded below
         if not higher_better:
             r = F.lit(1.0) - r
         const = lo.isNull() | hi.isNull() | (lo == hi)

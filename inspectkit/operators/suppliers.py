@@ -77,7 +77,7 @@ def supplier_metrics(df: DataFrame, partials: DataFrame | None = None) -> DataFr
 
 
 def _minmax_score(v: Column, lo: Column, hi: Column, higher_better: bool) -> Column:
-    scaled = (v - lo) / (hi - lo)
+    scaled = (v - lo) / F.nullif(hi - lo, F.lit(0.0))
     if not higher_better:
         scaled = F.lit(1.0) - scaled
     return F.when(lo.isNull() | hi.isNull() | (lo == hi), F.lit(0.5)).otherwise(scaled)
