@@ -54,6 +54,30 @@ def stratified_split(df: DataFrame, label: str, test_frac: float, seed: int = 42
     return train, test
 
 
+def _memory_mb(text: str | None, default_mb: int = 1024) -> int:
+    """Parse a JVM memory setting such as '16g' or '512m' into MB."""
+    if not text:
+        return default_mb
+    t = text.strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    try:
+        if t[-1] in units:
+            return int(float(t[:-1]) * units[t[-1]])
+        return int(int(t) / (1024 * 1024))
+    except ValueError:
+        return default_mb
+
+
+def forest_memory_mb(spark) -> int:
+    """Node-statistics budget per training pass: a quarter of an executor's
+    heap (the driver's in local mode), between 256 MB and 1 GB.  A larger
+    budget means fewer passes over the data per tree level."""
+    conf = spark.sparkContext.getConf()
+    key = "spark.driver.memory" if spark.sparkContext.master.startswith("local") else "spark.executor.memory"
+    heap = _memory_mb(conf.get(key, None))
+    return max(256, min(1024, heap // 4))
+
+
 def _impute_strategy(s: str) -> str:
     return {"most_frequent": "mode", "mode": "mode", "median": "median"}.get(s, "mean")
 
@@ -112,7 +136,8 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
              if isinstance(st, StringIndexerModel) and i != label_pos for lbls in st.labelsArray]
     rf = RandomForestClassifier(featuresCol="__features", labelCol="__y", predictionCol="__pred",
                                 numTrees=params.classifier_trees, maxDepth=params.classifier_max_depth,
-                                maxBins=max([32] + n_cat), maxMemoryInMB=1024, cacheNodeIds=True,
+                                maxBins=max([32] + n_cat), maxMemoryInMB=forest_memory_mb(df.sparkSession),
+                                cacheNodeIds=True,
                                 seed=params.random_state)
     forest = rf.fit(prep.transform(train))
     labels = prep.stages[label_pos].labels
