@@ -20,19 +20,24 @@ from inspectkit.session import empty
 INDEX = "QualityIndex"
 
 
+def _method(params: QualityParams) -> str:
+    return params.quantile_method if params.exact_quantiles else "approx"
+
+
 def quantiles(col: Column, probs: list[float], params: QualityParams) -> Column:
     """Linear-interpolated quantiles (exact), or Greenwald-Khanna sketches
     (``percentile_approx``) when ``params.exact_quantiles`` is off: the
     exact aggregate keeps a value->count map per group, which is the right
     choice only while distinct values per group fit in memory."""
-    if params.exact_quantiles:
-        return F.percentile(col, probs)
-    return F.percentile_approx(col, probs, params.approx_accuracy)
+    if _method(params) == "approx":
+        return F.percentile_approx(col, probs, params.approx_accuracy)
+    return F.percentile(col, probs)
 
 
 def join_stats(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    """Attach group statistics: a broadcast cross join for one global row,
-    a null-safe equi-join (planner decides broadcast by size) per group."""
+    """Attach group statistics: a broadcast cross join for one global row
+    (a proven size of one), a null-safe equi-join (the planner decides
+    broadcast by measured size) per group."""
     if not by:
         return df.crossJoin(F.broadcast(stats))
     s = stats
@@ -62,19 +67,26 @@ def quality_index(
     if not parts:
         return df.withColumn(name, F.lit(None).cast("double"))
     lo_p, hi_p = params.quality_index_winsor_limits
-    aggs = []
-    for i, (c, _) in enumerate(parts):
-        v = F.col(c).cast("double")
-        if params.quality_index_winsorize:
-            aggs.append(quantiles(v, [lo_p, hi_p], params).alias(f"__q{i}"))
-        else:
-            aggs.append(F.array(F.min(v), F.max(v)).alias(f"__q{i}"))
-    stats = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    stats = stats.select(
-        *by,
-        *[x for i in range(len(parts)) for x in (
-            F.col(f"__q{i}")[0].alias(f"__lo{i}"), F.col(f"__q{i}")[1].alias(f"__hi{i}"))],
-    )
+    if params.quality_index_winsorize and _method(params) == "two_pass":
+        from inspectkit.operators.quantiles import quantile_columns
+
+        qc = quantile_columns(df, [c for c, _ in parts], [lo_p, hi_p], by, 10000)
+        stats = qc.select(*by, *[x for i, (c, _) in enumerate(parts) for x in (
+            F.col(f"{c}_q0").alias(f"__lo{i}"), F.col(f"{c}_q1").alias(f"__hi{i}"))])
+    else:
+        aggs = []
+        for i, (c, _) in enumerate(parts):
+            v = F.col(c).cast("double")
+            if params.quality_index_winsorize:
+                aggs.append(quantiles(v, [lo_p, hi_p], params).alias(f"__q{i}"))
+            else:
+                aggs.append(F.array(F.min(v), F.max(v)).alias(f"__q{i}"))
+        stats = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+        stats = stats.select(
+            *by,
+            *[x for i in range(len(parts)) for x in (
+                F.col(f"__q{i}")[0].alias(f"__lo{i}"), F.col(f"__q{i}")[1].alias(f"__hi{i}"))],
+        )
     j = join_stats(df, stats, by)
     # staged projections: every sub-expression is a column used by the next
     # stage, so Catalyst keeps it computed once instead of inlining it into
@@ -111,15 +123,20 @@ def quality_index_stats(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, b
     by = list(by)
     q = quality_index(df, params, by)
     v = F.col(INDEX)
-    aggs = [
-        F.avg(v).alias("mean"),
-        (F.percentile(v, 0.5) if params.exact_quantiles else F.percentile_approx(v, 0.5, params.approx_accuracy))
-        .cast("double").alias("median"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count(v).alias("n"),
-    ]
-    return q.groupBy(*by).agg(*aggs) if by else q.agg(*aggs)
+    aggs = [F.avg(v).alias("mean")]
+    two_pass = _method(params) == "two_pass"
+    if not two_pass:
+        aggs.append((F.percentile_approx(v, 0.5, params.approx_accuracy) if _method(params) == "approx"
+                     else F.percentile(v, 0.5)).cast("double").alias("median"))
+    aggs += [F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n")]
+    out = q.groupBy(*by).agg(*aggs) if by else q.agg(*aggs)
+    if two_pass:
+        from inspectkit.operators.quantiles import exact_quantiles
+
+        med = exact_quantiles(q, INDEX, [0.5], by).withColumnRenamed("q0", "median")
+        out = join_stats(out, med, by)
+        out = out.select(*by, "mean", "median", "min", "max", "n")
+    return out
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:

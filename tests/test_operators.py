@@ -312,3 +312,33 @@ def test_presets_bucket_join_matches_broadcast_path(spark):
     assert sum(1 for p, _, _ in small if p == "q1") == 3
     assert sum(1 for p, _, _ in small if p == "from_feb") == 3
     assert sum(1 for p, _, _ in small if p == "a_only") == 1
+
+
+def test_two_pass_exact_quantiles_match_percentile(spark):
+    from inspectkit.operators.quantiles import exact_quantiles, quantile_columns
+
+    df = spark.range(3000).select(
+        (F.col("id") % 3).alias("g"),
+        F.when(F.col("id") % 4 == 0, F.lit(7.0)).when(F.col("id") % 13 == 0, F.lit(None))
+        .otherwise((F.col("id") * 7919 % 1000).cast("double")).alias("v"))
+    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    for by in ([], ["g"]):
+        for acc in (10000, 5):  # 5: brackets miss and are widened
+            got = {tuple(r[:len(by)]): [r[f"q{i}"] for i in range(len(probs))]
+                   for r in exact_quantiles(df, "v", probs, by, acc).collect()}
+            aggs = [F.percentile("v", p).alias(f"q{i}") for i, p in enumerate(probs)]
+            exp_df = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+            for r in exp_df.collect():
+                key = tuple(r[:len(by)])
+                assert got[key] == pytest.approx([r[f"q{i}"] for i in range(len(probs))])
+    qc = quantile_columns(df, ["v", "g"], [0.5]).first()
+    assert qc["g_q0"] == 1.0
+
+
+def test_quality_index_two_pass_equals_percentile(spark):
+    df = spark.range(500).select((F.col("id") % 17 * 1.5).alias("QualityScore"),
+                                 (F.col("id") % 5 / 5.0).alias("DefectRate"))
+    a = [r.QualityIndex for r in X.quality_index(df).orderBy("QualityScore", "DefectRate").collect()]
+    p2 = X.DEFAULT_PARAMS.with_(quantile_method="two_pass")
+    b = [r.QualityIndex for r in X.quality_index(df, p2).orderBy("QualityScore", "DefectRate").collect()]
+    assert a == pytest.approx(b)
