@@ -2,7 +2,8 @@
 
 W1 writes each table with the DataFrame writer (parallel, one file per
 partition, atomic job commit), so nothing passes through the driver and
-there is no row cut.  W2/W3 are small long tables assembled from the
+there is no row cut; the summaries are computed from the written rows
+table, so the input plan runs once.  W2/W3 are small long tables assembled from the
 operators' (already aggregated) outputs with ``unionByName``.
 """
 
@@ -40,16 +41,32 @@ def report_tables(df: DataFrame, params: QualityParams = DEFAULT_PARAMS) -> dict
 
 def write_report_bundle(df: DataFrame, out_dir: str, fmt: str = "parquet",
                         params: QualityParams = DEFAULT_PARAMS, mode: str = "overwrite") -> dict[str, str]:
-    """Write the six tables under ``out_dir`` (parquet or csv)."""
-    paths = {}
-    for name, t in report_tables(df, params).items():
-        p = f"{out_dir.rstrip('/')}/{name}"
+    """Write the six tables under ``out_dir`` (parquet or csv).
+
+    The rows table is written first; the five summaries are computed from
+    that written table, so the (possibly expensive) input plan runs once and
+    the summaries' lineage starts at files in the output folder.
+    """
+    spark = df.sparkSession
+    base = out_dir.rstrip("/")
+
+    def write(t: DataFrame, p: str) -> None:
         w = t.write.mode(mode)
         if fmt == "csv":
             w.option("header", True).csv(p)
         else:
             w.format(fmt).save(p)
-        paths[name] = p
+
+    paths = {"filtered_rows": f"{base}/filtered_rows"}
+    write(df, paths["filtered_rows"])
+    src = df
+    if fmt != "csv":
+        src = spark.read.format(fmt).load(paths["filtered_rows"])
+    for name, t in report_tables(src, params).items():
+        if name == "filtered_rows":
+            continue
+        paths[name] = f"{base}/{name}"
+        write(t, paths[name])
     return paths
 
 
