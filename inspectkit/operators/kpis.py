@@ -1,9 +1,8 @@
 """K1-K4: defect count, cost of poor quality, executive KPIs, KPI cube.
 
 Each is one aggregation (per ``by`` group when given).  K4 answers every
-filter-bar state at once with ``cube``: Spark expands each row into one
-row per grouping set inside the map-side partial aggregation, so only
-already-combined rows are shuffled.
+filter-bar state at once with ``cube`` over a finest-grain pre-aggregate,
+so the grouping-set expansion multiplies dimension combinations, not rows.
 """
 
 from __future__ import annotations
@@ -70,11 +69,23 @@ def kpi_cube(df: DataFrame, dims: list[str] | tuple[str, ...] | None = None) ->
     """K4: Rows, Defects and COPQ for every combination of the filter-bar
     dimensions (each dimension either fixed to a value or 'all').  A
     ``g_<dim>`` flag is 1 where the dimension is rolled up, which tells the
-    'all' cell apart from a NULL value."""
+    'all' cell apart from a NULL value.
+
+    The rows are aggregated once at the finest grain (all dimensions); the
+    2^d grouping sets are then expanded over those partial sums, whose
+    count is the number of dimension combinations, not rows."""
     dims = C.present(df, list(dims) if dims is not None else list(C.FILTER_DIMS))
+    if C.has(df, C.DEFECT_COUNT):
+        d_part = F.sum(C.DEFECT_COUNT)
+    elif C.has(df, C.DEFECT_TYPE):
+        d_part = F.count(C.DEFECT_TYPE)
+    else:
+        d_part = F.count(F.lit(1))
+    c_part = F.sum(F.col(C.COST_IMPACT).cast("double")) if C.has(df, C.COST_IMPACT) else F.lit(None).cast("double")
+    fine = df.groupBy(*dims).agg(F.count(F.lit(1)).alias("__n"), d_part.alias("__d"), c_part.alias("__c"))
     aggs = [
-        F.count(F.lit(1)).alias("Rows"),
-        defects_expr(df).alias("Defects"),
-        copq_expr(df).alias("COPQ"),
+        F.sum("__n").alias("Rows"),
+        F.coalesce(F.sum("__d"), F.lit(0)).cast("bigint").alias("Defects"),
+        F.coalesce(F.sum("__c"), F.lit(0.0)).alias("COPQ"),
     ] + [F.grouping(d).cast("bigint").alias(f"g_{d}") for d in dims]
-    return df.cube(*dims).agg(*aggs)
+    return fine.cube(*dims).agg(*aggs)

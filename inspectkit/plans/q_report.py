@@ -17,7 +17,7 @@ from inspectkit.plans.q_timeseries import _LIMITS_SQL, DAILY
 from inspectkit.session import scratch_path
 
 # Column order and types of the normalised fact built from the test tables
-# (checked against the Spark schema in tests/test_report.py).
+# (checked against the Spark schema in tests/test_plans.py).
 FACT_COLUMNS = (
     ("InspectionDate", "timestamp"), ("SupplierName", "string"), ("PartType", "string"),
     ("DefectType", "string"), ("Severity", "string"), ("Material", "string"),

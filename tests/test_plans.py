@@ -54,3 +54,19 @@ def test_entry_smoke(spark):
 
     df = E.entry(spark)
     assert df.count() > 0 and "TotalScore" in df.columns
+
+
+def test_fact_columns_constant_matches_spark_schema(spark):
+    from inspectkit.plans.q_report import FACT_COLUMNS
+
+    f = load_fact(spark, SF001)
+    assert [(x.name, x.dataType.simpleString()) for x in f.schema.fields] == list(FACT_COLUMNS)
+
+
+def test_no_single_partition_window_on_rows(spark):
+    """The row-level thinning plan ranges and checkpoints instead of a global window."""
+    from inspectkit.operators.seriesidx import downsample_rows
+
+    df = spark.range(2000).selectExpr("cast(id as double) v")
+    out = downsample_rows(df, ["v"], 10)
+    assert out.count() == 10
