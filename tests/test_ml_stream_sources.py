@@ -142,3 +142,30 @@ def test_date_bounds(spark):
     df = spark.createDataFrame([(ts(2024, 1, 2),), (None,), (ts(2023, 5, 1),)], "Date timestamp")
     r = date_bounds(df).first()
     assert (r.min_date, r.max_date) == (dt.datetime(2023, 5, 1), dt.datetime(2024, 1, 2))
+
+
+def test_stream_restart_on_same_checkpoint_adds_nothing(spark):
+    from inspectkit.plans.q_stream import events_stream
+    from inspectkit.session import scratch_path
+
+    base = scratch_path(spark, "restart")
+    for _ in range(2):  # second run: same checkpoint, no new files -> no new epochs
+        q = S.write_epochs(S.stream_daily(events_stream(spark, SF001)), f"{base}/out", f"{base}/ckpt")
+        q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    assert out.count() == out.select("day").distinct().count() > 0
+
+
+def test_stream_alert_replay_is_idempotent(spark):
+    folder = tempfile.mkdtemp(prefix="inspectkit-replay-")
+    _write_batches(spark, folder, [[(ts(2024, 1, 1 + i), 0.0, 0.01) for i in range(8)],
+                                   [(ts(2024, 1, 9), 20000.0, 0.01)]])
+    sch = spark.createDataFrame([], "Date timestamp, CostImpact double, DefectRate double").schema
+    from inspectkit.session import scratch_path
+
+    base = scratch_path(spark, "alerts-replay")
+    for _ in range(2):
+        sdf = S.stream_fact(spark, folder + "/*/", sch, max_files_per_trigger=1)
+        S.stream_alerts_query(spark, sdf, base).awaitTermination()
+    alerts = spark.read.parquet(f"{base}/alerts").collect()
+    assert [(a.key, a.epoch) for a in alerts] == [("copq_spike", 1)]
