@@ -342,3 +342,30 @@ def test_quality_index_two_pass_equals_percentile(spark):
     p2 = X.DEFAULT_PARAMS.with_(quantile_method="two_pass")
     b = [r.QualityIndex for r in X.quality_index(df, p2).orderBy("QualityScore", "DefectRate").collect()]
     assert a == pytest.approx(b)
+
+
+def test_grouped_paths_equal_single_series(spark):
+    start = dt.date(2024, 1, 1)
+    rows = []
+    for g, n, f in (("a", 40, 1.0), ("b", 60, 3.0)):
+        for i in range(n):
+            rows.append((g, start + dt.timedelta(days=i), float((i % 5) * f + i * 0.25)))
+    grouped = spark.createDataFrame(rows, "g string, period date, value double")
+    dec = {(r.g, r.period): r for r in TS.seasonal_decompose(grouped, by=["g"]).collect()}
+    for g in ("a", "b"):
+        single = grouped.filter(F.col("g") == g).drop("g")
+        for r in TS.seasonal_decompose(single).collect():
+            o = dec[(g, r.period)]
+            assert (o.trend is None) == (r.trend is None)
+            if r.trend is not None:
+                assert o.trend == pytest.approx(r.trend) and o.seasonal == pytest.approx(r.seasonal)
+    monthly = spark.createDataFrame(
+        [(g, dt.date(2023 + (m // 12), m % 12 + 1, 1), float(m * m % 7 + (5 if g == "b" else 0)))
+         for g in ("a", "b") for m in range(8)], "g string, period date, value double")
+    for method in ("linear", "ar1"):
+        got = {(r.g, r.period): r.forecast for r in CQ.forecast_copq(None, 3, method, by=["g"], series=monthly).collect()}
+        for g in ("a", "b"):
+            one = CQ.forecast_copq(None, 3, method, series=monthly.filter(F.col("g") == g).drop("g")).collect()
+            assert len(one) == 3
+            for r in one:
+                assert got[(g, r.period)] == pytest.approx(r.forecast)
