@@ -25,9 +25,13 @@ def with_global_index(df: DataFrame, order_cols: list[str], name: str = "pos") -
     cols = list(df.columns)
     h = F.xxhash64(*[F.col(f"`{c}`") for c in cols]).alias("__h")
     keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_cols] + [F.col("__h").asc()]
+    # as many ranges as the input has partitions (at least the shuffle
+    # setting), so range sizes follow the data size instead of a constant
+    spark = df.sparkSession
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), df.rdd.getNumPartitions())
     ranged = (
         df.select("*", h)
-        .repartitionByRange(*keys)
+        .repartitionByRange(n_parts, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__mid", F.monotonically_increasing_id())
