@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inspectkit import columns as C
+from inspectkit.functions import NUMBER_PATTERN, parse_date, safe_numeric
 from inspectkit.operators import filters as FL
 from inspectkit.operators import kpis as K
 from inspectkit.operators import rootcause as P
+from inspectkit.operators.normalize import detect_date_column, normalize
 from inspectkit.operators.qindex import quality_index_stats
 from inspectkit.params import FilterState
 from inspectkit.plans.catalog import fact, register, rounded
 from inspectkit.plans.oracle import with_fact
+from inspectkit.session import scratch_path
+from inspectkit.sources.files import read_quality_csv
+from inspectkit.sources.tables import quality_raw, read_table
 
 # ---------------------------------------------------------------- N / S5
 
@@ -309,12 +314,6 @@ def q_quality_index_stats(spark, sf_dir):
 
 # ---------------------------------------------------------------- S1, N2-N4 on text derived from the tables
 
-from inspectkit.functions import NUMBER_PATTERN, parse_date, safe_numeric  # noqa: E402
-from inspectkit.operators.normalize import detect_date_column, normalize  # noqa: E402
-from inspectkit.session import scratch_path  # noqa: E402
-from inspectkit.sources.files import read_quality_csv  # noqa: E402
-from inspectkit.sources.tables import quality_raw, read_table  # noqa: E402
-
 
 def _text_lineitem(spark, sf_dir):
     """Every lineitem row with numbers and dates as text; the line number
