@@ -1,11 +1,10 @@
 """Q1-Q6: data-quality report.
 
-The whole report is two aggregations over the table: one pass that counts
-rows, NULLs per column, zero-unit and negative-cost rows, and one
-``groupBy(all columns)`` for duplicates (partial aggregation collapses
-repeated rows map-side, so a group of copies holding a third of the table
-is combined before the shuffle).  Everything else is derived from those
-1-row results, never from a collect.
+The report (Q6) is one ``groupBy(all columns)`` -- the duplicate groups,
+collapsed map-side so a group of copies holding a third of the table is
+combined before the shuffle -- with every count a sum over those groups;
+NULLs per column (Q1) are one more single-pass aggregation.  Everything is
+derived from those results, never from a collect.
 """
 
 from __future__ import annotations
@@ -87,33 +86,38 @@ def column_classes(df: DataFrame) -> DataFrame:
 def quality_report(df: DataFrame, cost_column: str | None = None) -> DataFrame:
     """Q4 + Q6: one row of row/column counts, duplicates, detected date
     column, negative costs (counted before the clamp, D3: on the raw source
-    column that normalisation maps into CostImpact) and zero-unit rows."""
+    column that normalisation maps into CostImpact) and zero-unit rows.
+
+    One aggregation of the table: rows grouped by all columns (the duplicate
+    groups, combined map-side), and every count is a sum over those groups."""
     cost_column = cost_column or cost_source_column(df)
     date_col = detect_date_column(df)
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("row_count")]
+    types = {f.name: f.dataType for f in fields}
+    groups = df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    n = F.col("__n")
     if cost_column:
         from inspectkit.functions import safe_numeric
 
-        types = {f.name: f.dataType for f in fields}
-        aggs.append(F.count(F.when(safe_numeric(cost_column, types[cost_column]) < 0, 1)).alias("negative_costs"))
-    else:
-        aggs.append(F.lit(0).cast("bigint").alias("negative_costs"))
-    if C.has(df, C.UNITS_INSPECTED):
-        aggs.append(F.count(F.when(F.col(C.UNITS_INSPECTED) == 0, 1)).alias("zero_inspected"))
+        neg = F.sum(F.when(safe_numeric(cost_column, types[cost_column]) < 0, n))
     else:
-        aggs.append(F.lit(0).cast("bigint").alias("zero_inspected"))
-    counts = df.agg(*aggs)
-    dup = duplicate_rows(df)
+        neg = F.lit(0)
+    zero = F.sum(F.when(F.col(C.UNITS_INSPECTED) == 0, n)) if C.has(df, C.UNITS_INSPECTED) else F.lit(0)
+    counts = groups.agg(
+        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("row_count"),
+        F.coalesce(F.sum(n - 1), F.lit(0)).cast("bigint").alias("duplicated_rows"),
+        F.coalesce(neg, F.lit(0)).cast("bigint").alias("negative_costs"),
+        F.coalesce(zero, F.lit(0)).cast("bigint").alias("zero_inspected"),
+    )
     n_num = sum(1 for f in fields if column_class(f.dataType) == "numeric")
     n_cat = sum(1 for f in fields if column_class(f.dataType) == "categorical")
-    return counts.crossJoin(dup).select(
+    return counts.select(
         "row_count",
         F.lit(len(fields)).cast("bigint").alias("column_count"),
         "duplicated_rows",
         F.lit(date_col).cast("string").alias("detected_date_column"),
-        F.col("negative_costs").cast("bigint").alias("negative_costs"),
-        F.col("zero_inspected").cast("bigint").alias("zero_inspected"),
+        "negative_costs",
+        "zero_inspected",
         F.lit(n_num).cast("bigint").alias("numeric_columns"),
         F.lit(n_cat).cast("bigint").alias("categorical_columns"),
     )

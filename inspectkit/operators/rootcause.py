@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inspectkit import columns as C
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
-from inspectkit.session import empty
+from inspectkit.session import empty, materialize
 
 UNKNOWN = "Unknown"  # fixed value: label for a NULL category
 
@@ -97,6 +97,9 @@ def crosstab_long(
     r = F.coalesce(F.col(row_col).cast("string"), F.lit(UNKNOWN)).alias(row_name)
     c = F.coalesce(F.col(col_col).cast("string"), F.lit(UNKNOWN)).alias(col_name)
     counts = df.groupBy(r, c).agg(F.count(F.lit(1)).alias("n"))
+    if max_rows is not None or max_cols is not None:
+        # label pairs, read by the axis cuts and the grid join: computed once
+        counts = materialize(counts)
     if max_rows is None or max_cols is None:
         # unbounded axes: the observed cells only (absent pairs are zero);
         # a full grid would be a product of two data-sized label sets

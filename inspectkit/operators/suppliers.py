@@ -5,8 +5,9 @@ aggregation collapses a hot supplier map-side before the shuffle); the
 per-supplier metrics and the monthly trend are both re-aggregations of
 those partials (rows = suppliers x months), and one global 1-row
 aggregation of min/max over the per-supplier table is broadcast back (one
-row: a proven size bound).  Identical sub-plans are shared through exchange
-reuse.  Nothing uses a window over all suppliers.
+row: a proven size bound).  The partials are checkpointed once (column
+pruning would otherwise make the three branches rescan the fact).  Nothing
+uses a window over all suppliers.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from inspectkit import columns as C
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
-from inspectkit.session import empty
+from inspectkit.session import empty, materialize
 
 # --- Fixed values: trend arrows and risk bands (right-closed bins) ---
 ARROW_UP = "↑"
@@ -157,7 +158,9 @@ def supplier_scorecard(df: DataFrame, params: QualityParams = DEFAULT_PARAMS) ->
     """V1-V5 + eligibility, unordered (use ``supplier_ranking`` for the order)."""
     if not C.has(df, C.SUPPLIER):
         return empty(df.sparkSession, SCORECARD_SCHEMA)
-    partials = supplier_month_partials(df)
+    # suppliers x months rows, read by the metrics, their min/max and the
+    # trend: computed once, so the fact is scanned once
+    partials = materialize(supplier_month_partials(df))
     s = supplier_scores(supplier_metrics(df, partials), params)
     if C.has(df, C.DATE):
         s = s.join(supplier_trend(df, params, partials), C.SUPPLIER, "left")

@@ -18,7 +18,7 @@ from inspectkit import columns as C
 from inspectkit.operators.kpis import _agg
 from inspectkit.operators.seriesidx import downsample_series
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
-from inspectkit.session import empty
+from inspectkit.session import empty, materialize
 
 PERIOD = "period"
 VALUE = "value"
@@ -56,6 +56,8 @@ def gap_filled(df: DataFrame, value: Column, freq: str = "D", by=(), date_col: s
     by = list(by)
     d = df.filter(F.col(date_col).isNotNull())
     agg = d.groupBy(*by, period_label(F.col(date_col), freq).alias(PERIOD)).agg(value.cast("double").alias(VALUE))
+    # periods x groups rows, read twice (bounds and join): computed once
+    agg = materialize(agg)
     bounds = agg.groupBy(*by).agg(F.min(PERIOD).alias("__mn"), F.max(PERIOD).alias("__mx"))
     cal = _calendar(bounds, freq, by)
     right = agg.select(*[F.col(k).alias(f"__r_{k}") for k in by + [PERIOD]], F.col(VALUE).alias("__rv"))
@@ -147,6 +149,9 @@ def seasonal_decompose(series: DataFrame, period: int | None = None, by=(), min_
         m = F.lit(int(period))
         s = s.filter(F.col("__n") >= 2 * int(period))
     s = s.withColumn("__m", m).withColumn("__h", F.floor(F.col("__m") / 2).cast("int"))
+    # the indexed series feeds the neighbour join, the values and the phase
+    # means: computed once (periods x groups rows)
+    s = materialize(s)
     nb = s.select(*by, "__i", "__m", "__h", "__n",
                   F.explode(F.sequence(-F.col("__h"), F.col("__h"))).alias("__o"))
     wgt = F.when((F.col("__m") % 2 == 0) & (F.abs(F.col("__o")) == F.col("__h")), F.lit(0.5)).otherwise(F.lit(1.0))

@@ -70,6 +70,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small aggregated intermediate that is read more
+    than once (e.g. a per-period series feeding both its calendar bounds and
+    a join).  Column pruning makes such branches differ, so exchange reuse
+    does not apply and each branch would rescan the fact; an eager checkpoint
+    into the shared checkpoint folder computes it once.  Only for results
+    whose size is bounded by groups x periods or label pairs, never rows."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
