@@ -35,7 +35,7 @@ class ClassifierResult:
 
 
 def stratified_split(df: DataFrame, label: str, test_frac: float, seed: int = 42,
-                     cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                     cols: list[str] | None = None, max_broadcast_classes: int = 100000) -> tuple[DataFrame, DataFrame]:
     """M8: exact per-class split; the same rows for the same seed whatever
     the partitioning.  Returns ``(train, test)`` with a ``__is_test`` flag dropped."""
     cols = list(cols) if cols is not None else list(df.columns)
@@ -44,9 +44,12 @@ def stratified_split(df: DataFrame, label: str, test_frac: float, seed: int = 42
     per = ranked.groupBy(label).agg(F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__n"))
     per = per.withColumn("__ntest", F.when(F.col("__n") >= 2, F.greatest(F.lit(1), F.round(F.col("__n") * test_frac)))
                          .otherwise(F.lit(0)).cast("bigint"))
-    # one row per class: small for a classification target, but not bounded
-    # by construction, so AQE decides broadcast vs shuffle by measured size
-    j = ranked.join(per, ranked[label].eqNullSafe(per[label]), "inner").drop(per[label])
+    # one row per class: its row count is checked (a tiny job on the
+    # aggregated table) and the table broadcast only under the limit, which
+    # also keeps the ranked partitions (the forest's training parallelism)
+    per = per.checkpoint(eager=True)
+    small = per.count() <= max_broadcast_classes
+    j = ranked.join(F.broadcast(per) if small else per, ranked[label].eqNullSafe(per[label]), "inner").drop(per[label])
     j = j.withColumn("__is_test", (F.col("__pos") - F.col("__start")) < F.col("__ntest"))
     drop = ["__sh", "__pos", "__start", "__n", "__ntest"]
     test = j.filter(F.col("__is_test")).drop(*drop, "__is_test")
