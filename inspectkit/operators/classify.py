@@ -72,13 +72,17 @@ def _memory_mb(text: str | None, default_mb: int = 1024) -> int:
 
 
 def forest_memory_mb(spark) -> int:
-    """Node-statistics budget per training pass: a quarter of an executor's
-    heap (the driver's in local mode), between 256 MB and 1 GB.  A larger
-    budget means fewer passes over the data per tree level."""
-    conf = spark.sparkContext.getConf()
-    key = "spark.driver.memory" if spark.sparkContext.master.startswith("local") else "spark.executor.memory"
-    heap = _memory_mb(conf.get(key, None))
-    return max(256, min(1024, heap // 4))
+    """Node-statistics budget per training task: the heap (the driver's in
+    local mode, an executor's otherwise) shared by the concurrently running
+    tasks, with a third of it for these histograms, between 32 MB and 1 GB.
+    A larger budget means fewer passes over the data per tree level; too
+    large a one exhausts the heap, since every running task holds one."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    local = sc.master.startswith("local")
+    heap = _memory_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", None))
+    slots = sc.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return max(32, min(1024, heap // (3 * max(1, slots))))
 
 
 def _impute_strategy(s: str) -> str:

@@ -25,13 +25,16 @@ def with_global_index(df: DataFrame, order_cols: list[str], name: str = "pos") -
     cols = list(df.columns)
     h = F.xxhash64(*[F.col(f"`{c}`") for c in cols]).alias("__h")
     keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_cols] + [F.col("__h").asc()]
-    # as many ranges as the input has partitions (at least the shuffle
-    # setting), so range sizes follow the data size instead of a constant
+    # large input (more splits than the shuffle setting): as many ranges as
+    # input partitions, so range sizes follow the data; otherwise no explicit
+    # count, and AQE coalesces the ranges of small data
     spark = df.sparkSession
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), df.rdd.getNumPartitions())
+    n_in = df.rdd.getNumPartitions()
+    n_conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    hashed = df.select("*", h)
+    ranged = hashed.repartitionByRange(n_in, *keys) if n_in > n_conf else hashed.repartitionByRange(*keys)
     ranged = (
-        df.select("*", h)
-        .repartitionByRange(n_parts, *keys)
+        ranged
         .sortWithinPartitions(*keys)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__mid", F.monotonically_increasing_id())
