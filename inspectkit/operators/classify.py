@@ -74,7 +74,7 @@ def _memory_mb(text: str | None, default_mb: int = 1024) -> int:
 def forest_memory_mb(spark) -> int:
     """Node-statistics budget per training task: the heap (the driver's in
     local mode, an executor's otherwise) shared by the concurrently running
-    tasks, with a third of it for these histograms, between 32 MB and 1 GB.
+    tasks, with half of it for these histograms, between 32 MB and 1 GB.
     A larger budget means fewer passes over the data per tree level; too
     large a one exhausts the heap, since every running task holds one."""
     sc = spark.sparkContext
@@ -82,7 +82,7 @@ def forest_memory_mb(spark) -> int:
     local = sc.master.startswith("local")
     heap = _memory_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", None))
     slots = sc.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
-    return max(32, min(1024, heap // (3 * max(1, slots))))
+    return max(32, min(1024, heap // (2 * max(1, slots))))
 
 
 def _impute_strategy(s: str) -> str:
@@ -116,6 +116,11 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
     d = d.select(*[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat],
                  LABEL)
     train, test = stratified_split(d, LABEL, params.model_test_size, params.random_state)
+    # every tree level is a pass over the training data: keep at least one
+    # partition per task slot (AQE may have coalesced small inputs)
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() < slots:
+        train = train.repartition(slots)
 
     stages = []
     num_out = []
