@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from inspectkit.llm import substring
+from inspectkit.llm import substring, suffix
 
 QUERIES = {
+    "op7_suffix_dedup": suffix.query,
     "op8_substring_dedup": substring.query,
 }
 

@@ -264,7 +264,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), s AS (
   SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d
@@ -279,6 +279,6 @@ WITH d AS (
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
-         list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(ps, i)), i -> w[i]) END, ' '), '')) AS kept_sha256
+         list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
