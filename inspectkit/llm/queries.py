@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inspectkit.llm import bpe, jaccard, substring, suffix, toxicity
+from inspectkit.llm import bpe, jaccard, sharding, substring, suffix, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
     "op3_toxicity": toxicity.query,
+    "op4_hash_tree_sharding": sharding.query,
     "op5_ngram_jaccard": jaccard.query,
     "op7_suffix_dedup": suffix.query,
     "op8_substring_dedup": substring.query,
