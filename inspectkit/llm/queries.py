@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from inspectkit.llm import bpe, jaccard, sharding, substring, suffix, toxicity
+from inspectkit.llm import bpe, contamination, jaccard, sharding, substring, suffix, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
+    "op2_decontamination": contamination.query,
     "op3_toxicity": toxicity.query,
     "op4_hash_tree_sharding": sharding.query,
     "op5_ngram_jaccard": jaccard.query,
