@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inspectkit.llm import bpe, contamination, jaccard, sharding, substring, suffix, toxicity
+from inspectkit.llm import bpe, contamination, jaccard, sharding, substring, suffix, topk, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
@@ -12,8 +12,10 @@ QUERIES = {
     "op5_ngram_jaccard": jaccard.query,
     "op7_suffix_dedup": suffix.query,
     "op8_substring_dedup": substring.query,
+    "op9_exact_topk": topk.query,
 }
 
 ORACLE_SQL = {
     "op8_substring_dedup": substring.SQL,
+    "op9_exact_topk": topk.SQL,
 }
