@@ -138,3 +138,25 @@ def with_messages(docs: DataFrame, blocks: int, messages: DataFrame, fn, schema:
         return fn(left, right)
 
     return blocked(docs, blocks).groupBy("dest").cogroup(messages.groupBy("dest")).applyInArrow(both, schema)
+
+
+def runs(batches, keys: tuple[str, ...]):
+    """Tables of the rows that share the keys, from batches sorted by them."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new), b.num_rows]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            now = tuple(c[x] for c in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(x, y - x))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)

@@ -240,28 +240,6 @@ def _stars(batches):
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _groups(batches, keys: tuple[str, ...]):
-    """Tables of the rows that share the keys, from batches sorted by them."""
-    held, last = [], None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(b.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(new), b.num_rows]
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            now = tuple(c[x] for c in cols)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(x, y - x))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _set_rows(shingle: int):
     """(grp, blk, node, members) of the nodes' representatives."""
 
@@ -288,7 +266,7 @@ def _sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def _inside(num: int, den: int):
     def run(batches):
-        for t in _groups(batches, ("grp", "blk")):
+        for t in C.runs(batches, ("grp", "blk")):
             node, sets = _sets(t)
             label = group_components(sets, num, den)
             g, b = t["grp"][0], t["blk"][0]
@@ -301,7 +279,7 @@ def _across(num: int, den: int):
     """Searches of nodes (query = 1) in one block; edges between components."""
 
     def run(batches):
-        for t in _groups(batches, ("grp", "blk")):
+        for t in C.runs(batches, ("grp", "blk")):
             asked = t["query"].to_numpy()
             index, ask = t.filter(pa.array(asked == 0)), t.filter(pa.array(asked == 1))
             if not index.num_rows or not ask.num_rows:

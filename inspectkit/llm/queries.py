@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inspectkit.llm import bpe, contamination, jaccard, sharding, substring, suffix, topk, toxicity
+from inspectkit.llm import bpe, contamination, jaccard, sharding, substring, suffix, topk, toxicity, warc
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_suffix_dedup": suffix.query,
     "op8_substring_dedup": substring.query,
     "op9_exact_topk": topk.query,
+    "op10_warc": warc.query,
 }
 
 ORACLE_SQL = {
     "op8_substring_dedup": substring.SQL,
     "op9_exact_topk": topk.SQL,
+    "op10_warc": warc.SQL,
 }
