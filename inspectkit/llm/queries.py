@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inspectkit.llm import bpe, contamination, jaccard, sharding, substring, suffix, topk, toxicity, warc
+from inspectkit.llm import bpe, contamination, jaccard, quality, sharding, substring, suffix, topk, toxicity, warc
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_hash_tree_sharding": sharding.query,
     "op5_ngram_jaccard": jaccard.query,
+    "op6_quality_resampling": quality.query,
     "op7_suffix_dedup": suffix.query,
     "op8_substring_dedup": substring.query,
     "op9_exact_topk": topk.query,

@@ -1,28 +1,73 @@
-"""Pipeline stages: (spark, docs, sf_dir) -> DataFrame with the documents' columns."""
+"""Pipeline stages: (spark, docs, sf_dir) -> DataFrame with the documents' columns.
+
+Each stage runs its operator with production parameters over all rows it is
+given and applies the operator's decisions.  Rows are matched to decisions by
+(doc_id, version of the text), null ids included, so repeated rows and rows
+that share an id with another text get their own decision.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inspectkit.llm import bpe, contamination, jaccard, quality, substring
 from inspectkit.llm import corpus as C
-from inspectkit.llm import substring
+
+#: Near duplicates of the pipeline: five words, a similarity of 0.8.
+NEAR_SHINGLE, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the columns (_id, _ver) that operators identify rows by."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_ver": F.shiftrightunsigned(F.xxhash64(t), 33).cast("int")})
+    """docs with what operators identify a row by, in names no table has."""
+    version = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 33).cast("int")
+    return docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__ver": version})
+
+
+def _matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs (keyed) joined with found (doc_id, ver, ...)."""
+    found = found.withColumnsRenamed({"doc_id": "__f_doc", "ver": "__f_ver"})
+    return docs.join(found, docs["__doc"].eqNullSafe(found["__f_doc"]) & (docs["__ver"] == found["__f_ver"]), how)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling rejects go."""
+    model = quality.fit(docs, C.load(spark, sf_dir, "labels"))
+    rejected = quality.resample(docs, model).where("not selected").select("doc_id", "ver").distinct()
+    return _matched(_keyed(docs), C.saved(rejected, "rejected"), "left_anti").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the
+    smallest id.  Of repeated rows one stays; documents without words, and rows
+    without an id, stay.  Rows that share an id share its decision."""
+    groups = jaccard.components(docs, NEAR_SHINGLE, NEAR_NUM, NEAR_DEN)
+    gone = C.saved(groups.where("component_id <> doc_id or (doc_id is not null and component_id is null)").select("doc_id").distinct(), "near-duplicates")
+    kept = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    repeats = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
+    repeats = C.saved(repeats.select("doc_id"), "repeated-ids")
+    if repeats.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(docs.columns).unionByName(kept.join(repeats, "doc_id", "left_anti").select(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated word windows leave the texts; the first occurrence stays."""
-    found = substring.dedup_substrings(docs).select(F.col("doc_id").alias("_id"), F.col("ver").alias("_ver"), "kept", "n_removed")
-    rest = _keyed(docs)
-    columns = docs.columns
-    joined = rest.withColumn("text", F.lit(None).cast("string")).alias("d").join(
-        found.alias("f"), F.col("d._id").eqNullSafe(F.col("f._id")) & (F.col("d._ver") == F.col("f._ver")))
-    out = {c: F.col(f"d.`{c}`") for c in columns} | {"text": F.col("f.kept")}
-    if "n_chars" in columns:
-        out["n_chars"] = F.length("f.kept").cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[v.alias(k) for k, v in out.items()])
+    found = substring.dedup_substrings(docs).select("doc_id", "ver", "kept")
+    joined = _matched(_keyed(docs).drop("text"), found, "inner")
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(new).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = contamination.find(docs, C.load(spark, sf_dir, "benchmark")).select("doc_id", "ver").distinct()
+    return _matched(_keyed(docs), C.saved(found, "contaminated"), "left_anti").select(docs.columns)
+
+
+def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, checked by decoding them."""
+    return bpe.digests(bpe.encode(docs, bpe.vocabulary_path()))
