@@ -54,11 +54,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated word windows leave the texts; the first occurrence stays."""
-    found = substring.dedup_substrings(docs).select("doc_id", "ver", "kept")
+    found = substring.dedup_substrings(docs).select("doc_id", "ver", F.col("kept").alias("__kept"))
     joined = _matched(_keyed(docs).drop("text"), found, "inner")
-    new = {"text": F.col("kept")}
+    new = {"text": F.col("__kept")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length("__kept").cast(docs.schema["n_chars"].dataType)
     return joined.withColumns(new).select(docs.columns)
 
 
