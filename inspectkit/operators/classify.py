@@ -93,34 +93,34 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
                             params: QualityParams = DEFAULT_PARAMS) -> ClassifierResult:
     """M7: random forest predicting ``target`` (as text) from ``features``.
 
-    Guards as the reference: no features, target among features, missing
-    columns, target all NULL.  Numeric features are imputed (mean / median /
+    Refused: no features, target among features, missing columns, a target
+    without values.  Numeric features are imputed (mean / median /
     mode); text features are indexed as nominal features with an extra
     category for unseen or NULL values (the forest's categorical splits
     replace one-hot columns).  No scaling: tree splits are scale-free.
     """
     if not features:
-        return ClassifierResult(False, "No feature columns selected")
+        return ClassifierResult(False, "At least one feature column is needed")
     if target in features:
-        return ClassifierResult(False, "Target column cannot also be a feature")
+        return ClassifierResult(False, f"{target} is both target and feature")
     missing = [c for c in list(features) + [target] if c not in df.columns]
     if missing:
-        return ClassifierResult(False, f"Missing columns: {', '.join(missing)}")
+        return ClassifierResult(False, f"The table has no {', '.join(missing)}")
     types = {f.name: f.dataType for f in df.schema.fields}
     d = df.select(*features, target).filter(F.col(target).isNotNull()).withColumn(
         LABEL, F.col(target).cast("string"))
     if d.limit(1).count() == 0:
-        return ClassifierResult(False, "Target column contains only missing values.")
+        return ClassifierResult(False, f"{target} holds no values")
     num = [c for c in features if is_numeric_type(types[c])]
     cat = [c for c in features if c not in num]
     d = d.select(*[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat],
                  LABEL)
     train, test = stratified_split(d, LABEL, params.model_test_size, params.random_state)
-    # every tree level is a pass over the training data: keep at least one
-    # partition per task slot (AQE may have coalesced small inputs)
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if train.rdd.getNumPartitions() < slots:
-        train = train.repartition(slots)
+    # every tree level is a pass over the training data: dealt out evenly, a
+    # partition per task slot or more
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    train = train.repartition(tasks)
 
     stages = []
     num_out = []

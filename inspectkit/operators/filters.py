@@ -102,11 +102,12 @@ def search_rows(df: DataFrame, text: str, columns: list[str] | None = None) -> D
 
 
 def unique_values(df: DataFrame, column: str) -> DataFrame:
-    """sorted distinct non-blank trimmed text values of a column."""
+    """sorted distinct non-blank text values of a column, as stored: what
+    it offers is what the filter compares with."""
     if column not in df.columns:
         return df.sparkSession.createDataFrame([], "value string")
-    v = F.trim(F.col(f"`{column}`").cast("string"))
-    return df.select(v.alias("value")).filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct().orderBy("value")
+    v = F.col(f"`{column}`").cast("string")
+    return df.select(v.alias("value")).filter(F.col("value").isNotNull() & (F.trim("value") != "")).distinct().orderBy("value")
 
 
 PRESET_SCHEMA = T.StructType([
@@ -135,92 +136,56 @@ def read_presets(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def apply_presets(df: DataFrame, presets: DataFrame, date_column: str = C.DATE,
-                  max_broadcast_presets: int = 64) -> DataFrame:
-    """every row tagged with each preset it satisfies, all presets in one pass.
+def write_presets(presets: DataFrame, path: str) -> None:
+    """F5 sink: presets as a JSON object ``name -> {part_type, ..., end_date}``
+    (of equal names the last in text order of the values stays).  Presets are
+    a small user-made table; the object is one text record."""
+    fields = [f.name for f in PRESET_SCHEMA.fields if f.name != "preset"]
+    value = F.struct(*[F.col(c).cast("string").alias(c) for c in fields])
+    named = presets.where(F.col("preset").isNotNull()).groupBy("preset").agg(F.max(value).alias("v"))
+    one = named.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("preset", "v")))).alias("m"))
+    one.select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
 
-    A preset with an "All ..." label (or NULL) leaves that dimension open.
-    Presets are a small user-made table; its row count is checked (one tiny
-    job) and up to ``max_broadcast_presets`` it is broadcast into a non-equi
-    join (each row is tested against every preset, so this is only for a
-    handful).  Above that, presets are split by which dimensions they fix
-    and each group is equi-joined on exactly those dimensions; presets
-    fixing none are equi-joined on a month bucket of the date range.  The
-    exact date bounds are a residual condition of each join.
+
+def apply_presets(df: DataFrame, presets: DataFrame, date_column: str = C.DATE) -> DataFrame:
+    """every row tagged with each preset it satisfies, in one scan.
+
+    A preset leaves a dimension open with an "All ..." label, with NULL, or
+    where the table has no such column (as the single filter does); the date
+    bounds are open alike.  Rows are exploded by the patterns of fixed
+    dimensions that occur (16 at most, read in a tiny job) and equi-joined
+    with the presets on pattern and fixed values; the date range is a residual
+    condition.  The planner broadcasts the presets by their measured size or
+    shuffles, splitting hot keys.
     """
     cols = set(df.columns)
+    dims = [(a, col, lbl) for a, col, lbl in _EQ_FILTERS if col in cols]
     p = presets.select(
         "preset",
-        *[F.when(F.col(a).isNull() | (F.col(a) == F.lit(lbl)), F.lit(None).cast("string"))
-          .otherwise(F.col(a)).alias(f"__p_{a}") for a, _, lbl in _EQ_FILTERS],
+        *[F.when(F.col(a) != F.lit(lbl), F.col(a).cast("string")).alias(f"__p_{a}") for a, _, lbl in dims],
         F.to_date(F.col("start_date")).alias("__p_start"),
         F.date_add(F.to_date(F.col("end_date")), 1).alias("__p_end"),
     )
-
-    def date_ok() -> Column:
-        if date_column not in cols:
-            return F.lit(True)
-        d = F.col(date_column)
-        return ((F.col("__p_start").isNull() | (d >= F.col("__p_start").cast("timestamp")))
-                & (F.col("__p_end").isNull() | (d < F.col("__p_end").cast("timestamp"))))
-
-    n_presets = p.count()
-    drop = [f"__p_{a}" for a, _, _ in _EQ_FILTERS] + ["__p_start", "__p_end"]
-    if n_presets <= max_broadcast_presets:
-        conds = []
-        for a, col, _ in _EQ_FILTERS:
-            pc = F.col(f"__p_{a}")
-            if col in cols:
-                conds.append(pc.isNull() | (F.col(col).cast("string") == pc))
-        cond = reduce(lambda x, y: x & y, conds, F.lit(True)) & date_ok()
-        return df.join(F.broadcast(p), cond, "inner").drop(*drop)
-    # many presets: one equi-join per pattern of fixed dimensions (a shuffle
-    # join; AQE may still broadcast a small side by its measured size)
-    parts = []
-    masks = p.select(*[F.col(f"__p_{a}").isNotNull().alias(a) for a, _, _ in _EQ_FILTERS]).distinct().collect()
-    for m in masks:
-        fixed = [(a, col) for a, col, _ in _EQ_FILTERS if m[a]]
-        if any(col not in cols for _, col in fixed):
-            continue  # a preset on an absent column never matches
-        sel = reduce(lambda x, y: x & y,
-                     [F.col(f"__p_{a}").isNotNull() == F.lit(bool(m[a])) for a, _, _ in _EQ_FILTERS])
-        pg = p.filter(sel)
-        if fixed:
-            cond = reduce(lambda x, y: x & y, [F.col(col).cast("string") == F.col(f"__p_{a}") for a, col in fixed])
-            parts.append(df.join(pg, cond & date_ok(), "inner").drop(*drop))
-        else:
-            parts.append(_date_bucket_join(df, pg, date_column if date_column in cols else None, date_ok()).drop(*drop))
-    if not parts:
+    pattern = F.concat(F.lit(""), *[F.when(F.col(f"__p_{a}").isNull(), F.lit("0")).otherwise(F.lit("1")) for a, _, _ in dims])
+    p = p.withColumn("__pattern", pattern)
+    patterns = sorted(r[0] for r in p.select("__pattern").distinct().collect())
+    if not patterns:
         return df.limit(0).withColumn("preset", F.lit(None).cast("string"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-_NO_DATE_BUCKET = "0001-01-01"
-
-
-def _date_bucket_join(df: DataFrame, presets: DataFrame, date_column: str | None, cond: Column) -> DataFrame:
-    """Range-match presets that fix no dimension by an equi-join on month.
-
-    Each preset is exploded into the months its range covers (open ends use
-    the data's first/last date, a 1-row aggregate); each row carries its
-    month.  Undated rows and presets without a date bound also meet on a
-    sentinel bucket.  Output = matching pairs only, and the join is an
-    equi-join (AQE splits a hot month)."""
-    sentinel = F.to_date(F.lit(_NO_DATE_BUCKET))
-    if date_column is None:
-        rows = df.withColumn("__bucket", sentinel)
-        ps = presets.withColumn("__bucket", sentinel)
-        return rows.join(ps, "__bucket", "inner").drop("__bucket")
-    bounds = df.agg(F.min(date_column).alias("__dmin"), F.max(date_column).alias("__dmax"))
-    first = F.trunc(F.coalesce(F.col("__p_start").cast("timestamp"), F.col("__dmin")), "month")
-    last = F.trunc(F.coalesce(F.date_sub(F.col("__p_end"), 1).cast("timestamp"), F.col("__dmax")), "month")
-    months = presets.crossJoin(F.broadcast(bounds)).select(
-        "*", F.explode_outer(F.when(first <= last, F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))).alias("__bucket"))
-    months = months.filter(F.col("__bucket").isNotNull()).drop("__dmin", "__dmax")
-    undated = presets.filter(F.col("__p_start").isNull() & F.col("__p_end").isNull()).withColumn("__bucket", sentinel)
-    ps = months.unionByName(undated)
-    rows = df.withColumn("__bucket", F.coalesce(F.trunc(F.col(date_column), "month"), sentinel))
-    return rows.join(ps, (rows["__bucket"] == ps["__bucket"]) & cond, "inner").drop(rows["__bucket"]).drop("__bucket")
+    p = p.withColumn("__key", F.struct("__pattern", *[F.coalesce(f"__p_{a}", F.lit("")).alias(a) for a, _, _ in dims]))
+    # a row's key under a pattern: its values where fixed; none if one is NULL
+    keys = []
+    for mask in patterns:
+        fixed = [(a, col, m == "1") for (a, col, _), m in zip(dims, mask)]
+        values = [F.when(F.lit(on), F.col(col).cast("string")).otherwise(F.lit("")).alias(a) for a, col, on in fixed]
+        known = reduce(lambda x, y: x & y, [F.col(col).isNotNull() for _, col, on in fixed if on], F.lit(True))
+        keys.append(F.when(known, F.struct(F.lit(mask).alias("__pattern"), *values)))
+    rows = df.withColumn("__key", F.explode(F.array(*keys))).where(F.col("__key").isNotNull())
+    cond = rows["__key"] == p["__key"]
+    if date_column in cols:
+        d = rows[date_column]
+        cond &= F.col("__p_start").isNull() | (d >= F.col("__p_start").cast("timestamp"))
+        cond &= F.col("__p_end").isNull() | (d < F.col("__p_end").cast("timestamp"))
+    return rows.join(p, cond, "inner").select(*[rows[f"`{c}`"] for c in df.columns], "preset")
 
 
 def date_bounds(df: DataFrame, preferred: str = C.DATE) -> DataFrame:

@@ -4,23 +4,19 @@ MLlib has no isolation forest, so the published algorithm (random axis
 splits on small subsamples; anomaly score 2^(-E[h(x)] / c(psi))) is
 expressed as Spark jobs:
 
-1. Subsample pool.  Every complete row gets a repeatable 64-bit hash of its
-   values and the seed.  One aggregation counts the rows and, for each
-   power-of-two threshold, the rows hashing below it; the smallest threshold
-   holding the pool bounds a filter, and the exact ``trees x psi``
-   smallest hashes are taken from it (a short ``limit``).  The pool never
-   depends on partitioning.
-2. Trees.  With enough rows the hash-ordered pool is dealt into disjoint
-   samples of ``psi`` rows per tree (small inputs: each tree draws its own
-   ``psi`` rows by a second hash), and ``groupBy(tree).applyInPandas`` grows
-   all trees in parallel (one small group of ``psi`` rows per tree).
+1. Subsample pool.  Every complete row gets a random key that doesn't depend
+   on its values, and the ``trees x psi`` smallest keys are taken (a
+   per-partition top-n), so equal rows are drawn in their share.
+2. Trees.  The pool's places are dealt to the trees in order, ``psi`` each,
+   around the pool as often as needed -- one rule for any table size -- and
+   ``groupBy(tree).applyInPandas`` grows all trees in parallel (one small
+   group of ``psi`` rows per tree).
 3. Scoring.  The forest is a table of at most ``trees x (2 psi - 1)`` nodes,
    a size fixed by the parameters, so it is broadcast; a vectorised pandas
    UDF walks all trees level by level over Arrow batches of rows.
-4. Threshold.  The exact 1 - contamination quantile of the training
-   pool's scores (the estimator's offset comes from its fitted sample);
-   every row scoring above it is flagged, so all rows are scored in one
-   pass and nothing is cached.  Rows with a NULL feature are never flagged.
+4. Threshold.  The 1 - contamination quantile of the scores of ALL complete
+   rows (a sketch of bounded size); every row scoring above it is flagged.
+   Rows with a NULL feature are never flagged.
 """
 
 from __future__ import annotations
@@ -35,6 +31,7 @@ from pyspark.sql import types as T
 
 from inspectkit.operators.multivariate import numeric_columns
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
+from inspectkit.session import materialize, written
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree_id", T.IntegerType()),
@@ -87,81 +84,46 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[t
     return [tuple(n) for n in nodes]
 
 
-def _hashed(d: DataFrame, cols: list[str], seed: int) -> DataFrame:
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in cols], F.lit(seed))
-    u = F.abs(h % F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
-    return d.select("*", h.alias("__h"), u.alias("__u"))
-
-
-_LEVELS = 41  # thresholds 2^0 .. 2^-40 of the 40-bit hash fraction
-
-
-def _pool_threshold(hd: DataFrame, want_max: int) -> tuple[int, float]:
-    """One aggregation: the row count and, for every threshold 2^-k, how many
-    rows hash below it.  Returns (n, the smallest threshold admitting at
-    least min(want_max, n) rows), so the pool filter is exact in one pass."""
-    aggs = [F.count(F.lit(1)).alias("n")] + [
-        F.count(F.when(F.col("__u") < F.lit(2.0 ** -k), 1)).alias(f"k{k}") for k in range(1, _LEVELS)
-    ]
-    r = hd.agg(*aggs).first()
-    n = int(r["n"])
-    want = min(want_max, n)
-    thr = 1.0
-    for k in range(1, _LEVELS):
-        if r[f"k{k}"] >= want:
-            thr = 2.0 ** -k
-        else:
-            break
-    return n, thr
-
-
 def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: QualityParams = DEFAULT_PARAMS,
                          n_trees: int | None = None, sample_rows: int | None = None, seed: int | None = None):
-    """Grow the forest; returns ``(nodes DataFrame, psi, cols, pool)`` or None
-    when fewer than 10 complete rows exist (``pool`` = the training rows)."""
+    """Grow the forest; returns ``(nodes DataFrame, psi, cols)`` or None when
+    fewer than 10 complete rows exist."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     n_trees = n_trees or params.anomaly_trees
     sample_rows = sample_rows or params.anomaly_sample_rows
     seed = params.random_state if seed is None else seed
+    if not cols:
+        return None
     d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).dropna()
-    hd = _hashed(d, cols, seed)
-    n, thr = _pool_threshold(hd, n_trees * sample_rows) if cols else (0, 1.0)
-    if n < 10 or not cols:
+    # the pool: trees x psi rows at most, the smallest of random keys that
+    # don't depend on the values (equal rows are drawn like any others); a
+    # per-partition top-n, written once and read by the count and the trees
+    pool = materialize(d.withColumn("__u", F.rand(seed)).orderBy("__u", *cols).limit(n_trees * sample_rows))
+    n = pool.count()
+    if n < 10:
         return None
     psi = min(sample_rows, n)
-    # exact pool: the trees*psi smallest hashes, all inside the threshold
-    pool = (hd.filter(F.col("__u") < F.lit(thr)) if thr < 1.0 else hd).orderBy("__u", "__h").limit(
-        min(n_trees * psi, n))
-    # the pool is bounded (trees x psi rows) and read twice (trees, then the
-    # threshold): kept in memory, recomputable from lineage if lost
-    pool = pool.cache()
-    if n >= n_trees * psi:
-        # enough rows: deal the hash-ordered pool round-robin into disjoint
-        # per-tree samples of exactly psi rows (each a uniform random sample);
-        # the window spans the pool only, trees x psi rows (parameter-bounded)
-        w = Window.orderBy("__u", "__h")
-        sample = pool.withColumn("__k", F.row_number().over(w) - 1).select(
-            "*", (F.col("__k") % F.lit(n_trees)).cast("int").alias("tree_id"), F.col("__h").alias("__r"))
-    else:
-        # small input: every tree draws psi of the n rows by its own hash
-        # (pool x trees rows, both bounded by the parameters)
-        per_tree = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")).withColumn(
-            "__r", F.xxhash64(F.col("__h"), F.col("tree_id"), F.lit(seed)))
-        wt = Window.partitionBy("tree_id").orderBy("__r", "__h")
-        sample = per_tree.withColumn("__k", F.row_number().over(wt)).filter(F.col("__k") <= psi)
+    # tree t gets the places t * psi .. t * psi + psi - 1 of the pool, counted
+    # around it: disjoint samples where the pool holds trees x psi rows,
+    # overlapping ones otherwise, never a row twice in a tree.  The window
+    # spans the pool only
+    place = F.row_number().over(Window.orderBy("__u", *cols)) - 1
+    dealt = pool.withColumn("__k", place).withColumn(
+        "__r", F.explode(F.sequence(F.col("__k"), F.lit(n_trees * psi - 1), F.lit(n))))
+    sample = dealt.select("*", F.floor(F.col("__r") / F.lit(psi)).cast("int").alias("tree_id"))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tid = int(pdf["tree_id"].iloc[0])
         rng = np.random.default_rng([seed, tid])
-        x = pdf.sort_values(["__r", "__h"])[cols].to_numpy(dtype=float)
+        x = pdf.sort_values("__r")[cols].to_numpy(dtype=float)
         rows = grow_tree(x, rng, max_depth)
         out = pd.DataFrame(rows, columns=["node_id", "feature", "threshold", "left", "right", "leaf_depth"])
         out.insert(0, "tree_id", tid)
         return out.astype({"tree_id": "int32", "node_id": "int32", "feature": "int32", "left": "int32", "right": "int32"})
 
-    nodes = sample.select("tree_id", "__r", "__h", *cols).groupBy("tree_id").applyInPandas(build, NODE_SCHEMA)
-    return nodes, psi, cols, pool.select(*cols)
+    nodes = sample.select("tree_id", "__r", *cols).groupBy("tree_id").applyInPandas(build, NODE_SCHEMA)
+    return nodes, psi, cols
 
 
 def _forest_arrays(nodes_pdf: pd.DataFrame):
@@ -184,7 +146,7 @@ def detect_anomalies(df: DataFrame, cols: list[str] | None = None, params: Quali
     fitted = fit_isolation_forest(df, cols, params, n_trees, sample_rows, seed)
     if fitted is None:
         return df.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
-    nodes, psi, cols, pool = fitted
+    nodes, psi, cols = fitted
     # forest size is fixed by the parameters (trees x (2 psi - 1) nodes)
     forest = spark.sparkContext.broadcast(_forest_arrays(nodes.toPandas()))
     c_psi = float(avg_path_length(psi))
@@ -215,14 +177,13 @@ def detect_anomalies(df: DataFrame, cols: list[str] | None = None, params: Quali
     def feats():
         return F.struct(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(cols)])
 
-    # threshold from the training pool's scores (at most trees x psi rows),
-    # as the published estimator derives its offset from the fitted sample:
-    # one number, read on the driver and used as a literal
-    pool_scores = pool.select(score(feats()).alias("__s"))
-    thr = pool_scores.agg(F.percentile("__s", 1.0 - contamination).alias("__t")).first()["__t"]
-    pool.unpersist()
+    # every row is scored once and written; the threshold is the
+    # 1 - contamination quantile of the scores of all complete rows, from a
+    # sketch of bounded size (rank error below 1e-4 of the rows)
     scored = df.withColumn("__s", score(feats())).withColumn(
         "anomaly_score", F.when(~F.isnan(F.col("__s")), F.col("__s"))).drop("__s")
+    scored = written(scored, "anomaly-scores")
+    thr = scored.agg(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000).alias("__t")).first()["__t"]
     if thr is None:
         return scored.withColumn("is_anomaly", F.lit(False))
     return scored.withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") > F.lit(float(thr)), F.lit(False)))

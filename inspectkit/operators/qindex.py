@@ -21,14 +21,13 @@ INDEX = "QualityIndex"
 
 
 def _method(params: QualityParams) -> str:
-    return params.quantile_method if params.exact_quantiles else "approx"
+    return params.quantile_method
 
 
 def quantiles(col: Column, probs: list[float], params: QualityParams) -> Column:
-    """Linear-interpolated quantiles (exact), or Greenwald-Khanna sketches
-    (``percentile_approx``) when ``params.exact_quantiles`` is off: the
-    exact aggregate keeps a value->count map per group, which is the right
-    choice only while distinct values per group fit in memory."""
+    """Quantiles as one aggregate, for the methods other than "two_pass":
+    linear-interpolated ones (``percentile`` keeps a value->count map per
+    group) or Greenwald-Khanna sketches (``percentile_approx``)."""
     if _method(params) == "approx":
         return F.percentile_approx(col, probs, params.approx_accuracy)
     return F.percentile(col, probs)

@@ -17,7 +17,8 @@ exact and its per-group state is bounded by the sketch accuracy:
 
 A bracket that misses (the sketch guarantee is probabilistic only in its
 constants) is detected by the counts and the whole computation is redone
-with a wider bracket; after three tries the groups fall back to ``percentile``.
+with a four times wider bracket, at last the whole range: values are then
+aggregated and ordered by shuffles that spill, never held in one buffer.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _attach(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | tuple[str, ...] = (),
-                    accuracy: int = 10000, _tries: int = 3) -> DataFrame:
+                    accuracy: int = 10000) -> DataFrame:
     """``(by..., q0, q1, ...)``: the linear-interpolated quantiles of ``col``
     at ``probs`` per group (NULLs ignored; a group without values gives NULL)."""
     by = list(by)
@@ -92,9 +93,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
     checkpoint_dir(df.sparkSession)
     pick = pick.withColumn("__ok", ok).checkpoint(eager=True)
     if pick.filter(~F.col("__ok")).limit(1).count():
-        if _tries > 1:
-            return exact_quantiles(df, col, probs, by, max(accuracy // 4, 10), _tries - 1)
-        return _fallback(d, probs, by)
+        if accuracy <= 2:
+            raise RuntimeError("quantile ranks fall outside the range of the values")
+        return exact_quantiles(df, col, probs, by, max(accuracy // 4, 2))
     q = F.when(F.col("__n") > 0, F.col("__xlo") + (F.col("__h") - F.floor("__h")) * (F.col("__xhi") - F.col("__xlo")))
     res = pick.select(*keys, q.alias("__q"))
     wide = res.groupBy(*by).pivot("p", list(range(k))).agg(F.first("__q")) if by else \
@@ -102,11 +103,6 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
     return wide.select(*by, *[F.col(str(i)).alias(f"q{i}") for i in range(k)])
 
 
-def _fallback(d: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
-    aggs = [F.percentile("__v", p).alias(f"q{i}") for i, p in enumerate(probs)]
-    return d.groupBy(*by).agg(*aggs) if by else d.agg(*aggs)
-
-
 def quantile_columns(df: DataFrame, cols: list[str], probs: list[float], by=(), accuracy: int = 10000) -> DataFrame:
     """Several columns at once, in ONE two-pass computation: the columns are
     stacked into (column, value) rows and the column becomes a group key.

@@ -5,10 +5,10 @@ For row-level inputs the position is instead computed from a range
 partitioning: sort within range partitions, number rows locally, add the
 row count of all earlier partitions (a table with one row per partition,
 so broadcasting it is bounded by the partition count, not by the data).
-The ranged data is checkpointed to the shared checkpoint folder first, so
-boundaries and local numbering are fixed even if executors are lost and
-stages are recomputed.  A row hash is the last sort key so that a hot
-date (a third of all rows on one day) still spreads over many ranges.
+The ranged data is written to the shared folder first, so boundaries and
+local numbering are fixed even if executors are lost and stages are
+recomputed.  A row hash and a random number are the last sort keys, so a hot
+date, and even one row repeated a million times, spreads over the ranges.
 """
 
 from __future__ import annotations
@@ -16,30 +16,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inspectkit.session import checkpoint_dir
+from inspectkit.session import written
 
 
 def with_global_index(df: DataFrame, order_cols: list[str], name: str = "pos") -> DataFrame:
-    """Add a 0-based position in ``order_cols`` order (ties broken by a row hash)."""
-    checkpoint_dir(df.sparkSession)
+    """Add a 0-based position in ``order_cols`` order (ties broken by a row hash, then at random)."""
     cols = list(df.columns)
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in cols]).alias("__h")
-    keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_cols] + [F.col("__h").asc()]
-    # large input (more splits than the shuffle setting): as many ranges as
-    # input partitions, so range sizes follow the data; otherwise no explicit
-    # count, and AQE coalesces the ranges of small data
-    spark = df.sparkSession
-    n_in = df.rdd.getNumPartitions()
-    n_conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    hashed = df.select("*", h)
-    ranged = hashed.repartitionByRange(n_in, *keys) if n_in > n_conf else hashed.repartitionByRange(*keys)
-    ranged = (
-        ranged
-        .sortWithinPartitions(*keys)
-        .withColumn("__pid", F.spark_partition_id())
-        .withColumn("__mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
-    )
+    tied = df.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in cols]).alias("__h"), F.rand(1).alias("__t"))
+    keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_cols] + [F.col("__h").asc(), F.col("__t").asc()]
+    ranged = tied.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = ranged.select(*[F.col(f"`{c}`") for c in cols], F.spark_partition_id().alias("__pid"),
+                           F.monotonically_increasing_id().alias("__mid"))
+    ranged = written(ranged, "ranged")
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"))
@@ -47,7 +35,7 @@ def with_global_index(df: DataFrame, order_cols: list[str], name: str = "pos") -
     return (
         ranged.join(F.broadcast(offsets), "__pid")
         .withColumn(name, (F.col("__off") + local).cast("bigint"))
-        .drop("__pid", "__mid", "__off", "__h")
+        .drop("__pid", "__mid", "__off")
     )
 
 

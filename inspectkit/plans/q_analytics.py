@@ -6,6 +6,7 @@ from inspectkit.operators import qindex as X
 from inspectkit.operators import suppliers as V
 from inspectkit.plans.catalog import fact, register, rounded
 from inspectkit.plans.oracle import with_fact
+from inspectkit.plans.q_basic import QI_CTE
 
 _SCORE_CTE = """
 m AS (
@@ -91,7 +92,19 @@ def q_supplier_trend(spark, sf_dir):
 # ---------------------------------------------------------------- X
 
 
-@register("quality_index_histogram", "X3", None)
+def _histogram_sql() -> str:
+    return with_fact("""
+SELECT bin, round(lo + (bin - 1) * (hi - lo) / 20.0, 6) AS bin_lo, round(lo + bin * (hi - lo) / 20.0, 6) AS bin_hi,
+  coalesce(n, 0)::BIGINT AS count
+FROM (SELECT *, unnest(range(1, 21))::INTEGER AS bin FROM r)
+LEFT JOIN (
+  SELECT least(floor((QualityIndex - lo) * 20.0 / (hi - lo))::INTEGER + 1, 20) AS bin, count(*) AS n
+  FROM qi, r WHERE QualityIndex IS NOT NULL GROUP BY 1) USING (bin)""", QI_CTE, """r AS (
+  SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi
+  FROM (SELECT min(QualityIndex) AS mn, max(QualityIndex) AS mx FROM qi) WHERE mn IS NOT NULL)""")
+
+
+@register("quality_index_histogram", "X3", _histogram_sql())
 def q_quality_index_histogram(spark, sf_dir):
     return rounded(X.quality_index_histogram(fact(spark, sf_dir)))
 
@@ -118,7 +131,6 @@ def q_supplier_scores(spark, sf_dir):
 
 
 def _qi_sql():
-    from inspectkit.plans.q_basic import QI_CTE
 
     return with_fact("""
 SELECT Supplier, Part_Type, "Date", DefectCount, round(QualityIndex, 6) AS QualityIndex FROM qi""", QI_CTE)

@@ -13,7 +13,7 @@ from inspectkit.operators.normalize import detect_date_column, normalize
 from inspectkit.operators.qindex import quality_index_stats
 from inspectkit.params import FilterState
 from inspectkit.plans.catalog import fact, register, rounded
-from inspectkit.plans.oracle import with_fact
+from inspectkit.plans.oracle import FACT_COLUMNS, with_fact
 from inspectkit.session import scratch_path
 from inspectkit.sources.files import read_quality_csv
 from inspectkit.sources.tables import quality_raw, read_table
@@ -54,33 +54,32 @@ def q_normalized_fact_profile(spark, sf_dir):
 SELECT Supplier, count(*) AS n_rows, CAST(coalesce(sum(DefectCount), 0) AS BIGINT) AS defects,
        round(coalesce(sum(CostImpact), 0.0), 4) AS copq
 FROM fact
-WHERE CAST(Part_Type AS VARCHAR) = 'ECONOMY ANODIZED STEEL'
+WHERE CAST(Part_Type AS VARCHAR) = 'ECONOMY'
   AND CAST(Defect_Severity AS VARCHAR) = '1-URGENT'
   AND "Date" >= TIMESTAMP '1994-01-01 00:00:00' AND "Date" < TIMESTAMP '1998-01-01 00:00:00'
 GROUP BY Supplier"""))
 def q_filter_state(spark, sf_dir):
     f = fact(spark, sf_dir)
-    st = FilterState(part_type="ECONOMY ANODIZED STEEL", severity="1-URGENT",
+    st = FilterState(part_type="ECONOMY", severity="1-URGENT",
                      start_date="1994-01-01", end_date="1997-12-31")
     out = FL.apply_filters(f, st).groupBy(C.SUPPLIER).agg(
         F.count(F.lit(1)).alias("n_rows"), K.defects_expr(f).alias("defects"), K.copq_expr(f).alias("copq"))
     return rounded(out, money=("copq",))
 
 
-@register("search_rows", "F3", with_fact("""
-SELECT Supplier, Part_Type, Defect_Type, MaterialComposition, count(*) AS n_rows
-FROM fact
-WHERE coalesce(contains(lower(Supplier), lower('supplier#0000000')), false)
-   OR coalesce(contains(lower(Part_Type), lower('supplier#0000000')), false)
-   OR coalesce(contains(lower(Defect_Type), lower('supplier#0000000')), false)
-   OR coalesce(contains(lower(MaterialComposition), lower('supplier#0000000')), false)
-   OR coalesce(contains(lower(strftime("Date", '%Y-%m-%d %H:%M:%S')), lower('supplier#0000000')), false)
-GROUP BY ALL"""))
+def _search_sql(needle: str) -> str:
+    """All columns as text, as the operator searches them (numbers print
+    alike as far as the needle, which holds letters, is concerned)."""
+    text = [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S')" if t == "timestamp" else f'CAST("{c}" AS VARCHAR)' for c, t in FACT_COLUMNS]
+    hit = " OR ".join(f"coalesce(contains(lower({x}), lower('{needle}')), false)" for x in text)
+    return f"SELECT Supplier, Part_Type, Defect_Type, Defect_Severity, count(*) AS n_rows FROM fact WHERE {hit} GROUP BY ALL"
+
+
+@register("search_rows", "F3", with_fact(_search_sql("Brand#2")))
 def q_search_rows(spark, sf_dir):
-    f = fact(spark, sf_dir)
-    cols = [C.SUPPLIER, C.PART_TYPE, C.DEFECT_TYPE, C.MATERIAL, C.DATE]
-    hit = FL.search_rows(f, "Supplier#0000000", columns=cols)
-    return hit.groupBy(C.SUPPLIER, C.PART_TYPE, C.DEFECT_TYPE, C.MATERIAL).agg(F.count(F.lit(1)).alias("n_rows"))
+    """The search box: any of all columns holds the text."""
+    hit = FL.search_rows(fact(spark, sf_dir), "Brand#2")
+    return hit.groupBy(C.SUPPLIER, C.PART_TYPE, C.DEFECT_TYPE, C.DEFECT_SEVERITY).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("unique_values", "F4", with_fact("""
@@ -113,8 +112,8 @@ FROM fact f JOIN presets p
  AND (p.end_d IS NULL OR f."Date" < CAST(p.end_d + INTERVAL 1 DAY AS TIMESTAMP))
 GROUP BY p.preset""", _PRESETS_SQL))
 def q_apply_presets(spark, sf_dir):
-    """Presets derived from the data itself: one per part type, and one per
-    (severity, year) with a date range."""
+    """Presets derived from the data itself (one per part type, and one per
+    severity and year with a date range), saved as JSON and read back."""
     f = fact(spark, sf_dir)
     by_part = f.select(C.PART_TYPE).filter(F.col(C.PART_TYPE).isNotNull()).distinct().select(
         F.concat(F.lit("part:"), F.col(C.PART_TYPE)).alias("preset"), F.col(C.PART_TYPE).alias("part_type"),
@@ -129,7 +128,9 @@ def q_apply_presets(spark, sf_dir):
         F.col(C.DEFECT_SEVERITY).alias("severity"), F.lit("All Materials").alias("material"),
         F.format_string("%04d-01-01", F.col("y")).alias("start_date"),
         F.format_string("%04d-12-31", F.col("y")).alias("end_date"))
-    tagged = FL.apply_presets(f, by_part.unionByName(by_sev))
+    path = scratch_path(spark, "presets")
+    FL.write_presets(by_part.unionByName(by_sev), path)
+    tagged = FL.apply_presets(f, FL.read_presets(spark, path))
     out = tagged.groupBy("preset").agg(F.count(F.lit(1)).alias("n_rows"), K.defects_expr(f).alias("defects"),
                                        K.copq_expr(f).alias("copq"))
     return rounded(out, money=("copq",))
@@ -364,14 +365,16 @@ def q_parse_date(spark, sf_dir):
         F.max("d").alias("max_date"))
 
 
-@register("detect_date_column", "N2", None)
+@register("detect_date_column", "N2", """
+SELECT CASE WHEN count(*) = count(try_strptime(strftime(l_shipdate, '%m/%d/%Y'), '%Y-%m-%d')) THEN 'us_date_text'
+            WHEN count(*) = count(try_strptime(strftime(l_shipdate, '%Y-%m-%d'), '%Y-%m-%d')) THEN 'iso_date_text' END AS detected
+FROM lineitem""")
 def q_detect_date_column(spark, sf_dir):
     """Which column normalisation would pick on a table with no candidate
-    name: text 'ship_date_text' (parses fully) vs 'units_date_text' (does not)."""
-    t = _text_lineitem(spark, sf_dir).select(
-        F.col("units_text").alias("units_date_text"), F.col("ship_text").alias("ship_date_text"))
-    t = t.withColumn("ship_date_text", F.when(F.col("ship_date_text").contains("/"), F.lit(None))
-                     .otherwise(F.col("ship_date_text")))
+    name: of two text columns the one that parses fully."""
+    day = F.col("l_shipdate").cast("timestamp")
+    t = read_table(spark, sf_dir, "lineitem").select(
+        F.date_format(day, "MM/dd/yyyy").alias("us_date_text"), F.date_format(day, "yyyy-MM-dd").alias("iso_date_text"))
     return spark.createDataFrame([(detect_date_column(t),)], "detected string")
 
 

@@ -75,16 +75,11 @@ def q_candidate_targets(spark, sf_dir):
 CLASSIFIER_FEATURES = [C.PART_TYPE, C.MATERIAL, C.QUALITY_SCORE, C.UNITS_INSPECTED, C.YIELD, C.COST_IMPACT,
                        C.ON_TIME_FLAG]
 CLASSIFIER_TARGET = C.DEFECT_SEVERITY
-_TRAINED: dict[tuple, CL.ClassifierResult] = {}
 
 
 def _trained(spark, sf_dir) -> CL.ClassifierResult:
-    """One training per (session, tables) in this process: the model is a
-    driver-side object; queries M7, M9 and M10 share it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = CL.train_defect_classifier(fact(spark, sf_dir), CLASSIFIER_FEATURES, CLASSIFIER_TARGET)
-    return _TRAINED[key]
+    """Each of M7, M9 and M10 trains on the tables it is given."""
+    return CL.train_defect_classifier(fact(spark, sf_dir), CLASSIFIER_FEATURES, CLASSIFIER_TARGET)
 
 
 @register("detect_anomalies", "M4", None)

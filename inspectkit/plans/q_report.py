@@ -10,7 +10,7 @@ from inspectkit import columns as C
 from inspectkit.operators import report as Q
 from inspectkit.operators import sinks as W
 from inspectkit.plans.catalog import fact, register, rounded
-from inspectkit.plans.oracle import with_fact
+from inspectkit.plans.oracle import FACT_COLUMNS, with_fact
 from inspectkit.plans.q_analytics import _SCORE_CTE
 from inspectkit.plans.q_basic import QI_CTE
 from inspectkit.plans.q_timeseries import _LIMITS_SQL, DAILY
@@ -18,17 +18,6 @@ from inspectkit.session import scratch_path
 
 # Column order and types of the normalised fact built from the test tables
 # (checked against the Spark schema in tests/test_plans.py).
-FACT_COLUMNS = (
-    ("InspectionDate", "timestamp"), ("SupplierName", "string"), ("PartType", "string"),
-    ("DefectType", "string"), ("Severity", "string"), ("Material", "string"),
-    ("UnitsInspected", "double"), ("DefectCount", "bigint"), ("Cost_Impact_SGD", "double"),
-    ("DeliveryDelay", "bigint"), ("Yield", "double"), ("QualityScore", "double"),
-    ("CostImpact", "double"), ("Supplier", "string"), ("Part_Type", "string"),
-    ("Defect_Type", "string"), ("Defect_Severity", "string"), ("MaterialComposition", "string"),
-    ("YieldPercentage", "double"), ("Date", "timestamp"), ("OnTimeFlag", "double"), ("DefectRate", "double"),
-)
-
-
 def _missing_sql() -> str:
     parts = []
     for i, (c, t) in enumerate(FACT_COLUMNS):
@@ -59,16 +48,13 @@ def q_missing_by_column(spark, sf_dir):
 
 
 @register("duplicate_rows", "Q2", with_fact("""
-SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT Supplier, Part_Type, Defect_Severity, MaterialComposition
-  FROM fact)) AS BIGINT) AS duplicated_rows FROM fact"""))
+SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM twice)) AS BIGINT) AS duplicated_rows FROM twice""",
+    "twice AS (SELECT * FROM fact UNION ALL SELECT * FROM fact WHERE UnitsInspected = 7)"))
 def q_duplicate_rows(spark, sf_dir):
-    f = fact(spark, sf_dir).select(C.SUPPLIER, C.PART_TYPE, C.DEFECT_SEVERITY, C.MATERIAL)
-    return Q.duplicate_rows(f)
-
-
-@register("column_classes", "Q3", None)
-def q_column_classes(spark, sf_dir):
-    return Q.column_classes(fact(spark, sf_dir))
+    """Over all columns, of the table and a copy of a slice of it (the table
+    itself holds no equal rows)."""
+    f = fact(spark, sf_dir)
+    return Q.duplicate_rows(f.union(f.where(F.col(C.UNITS_INSPECTED) == 7)))
 
 
 @register("quality_report", "Q4+Q6", with_fact("SELECT * FROM rep", _REPORT_SQL))

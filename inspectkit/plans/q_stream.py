@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inspectkit import columns as C
+from inspectkit.params import DEFAULT_PARAMS
 from inspectkit.plans.catalog import register, rounded
 from inspectkit.plans.oracle import with_events
-from inspectkit.session import prepare
-from inspectkit.sources.tables import events_to_raw
+from inspectkit.session import prepare, scratch_path
+from inspectkit.sources.tables import events_to_raw, read_table
 from inspectkit.streaming import jobs as S
 
 
@@ -69,15 +70,18 @@ def q_stream_copq_7d(spark, sf_dir):
     return rounded(t, money=("COPQ_7d", "COPQ_7d_avg"))
 
 
-@register("stream_alerts", "ST5", with_events("""
+_ALERT_SPIKE, _ALERT_DAYS = 500.0, 3
+
+
+@register("stream_alerts", "ST5", with_events(f"""
 SELECT 'copq_spike' AS "key", printf('COPQ spike: today''s cost %.0f vs 7-day avg %.0f', value, baseline) AS message,
-  round(value, 4) AS value, 0 AS epoch
+  round(value, 4) AS value, (n // {_ALERT_DAYS} - 1)::INTEGER AS epoch
 FROM (
-  SELECT period, value, avg(value) OVER w AS baseline, count(*) OVER w AS wn, count(*) OVER () AS n,
-         max(period) OVER () AS last
+  SELECT period, value, avg(value) OVER w AS baseline, count(*) OVER w AS wn,
+         row_number() OVER (ORDER BY period) AS n
   FROM series_e WINDOW w AS (ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
 ) s2
-WHERE n > 7 AND wn = 7 AND period = last AND value > baseline + 10000.0""",
+WHERE n > 7 AND wn = 7 AND n % {_ALERT_DAYS} = 0 AND value > baseline + {_ALERT_SPIKE}""",
     """daily_e AS (SELECT CAST("Date" AS DATE) AS d, sum(coalesce(CostImpact, 0.0)) AS v FROM evfact
        WHERE "Date" IS NOT NULL GROUP BY 1)""",
     """series_e AS (
@@ -85,7 +89,18 @@ WHERE n > 7 AND wn = 7 AND period = last AND value > baseline + 10000.0""",
   FROM (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS period FROM daily_e) c
   LEFT JOIN daily_e ON c.period = daily_e.d)"""))
 def q_stream_alerts(spark, sf_dir):
-    return rounded(S.stream_alerts(spark, events_stream(spark, sf_dir)), money=("value",))
+    """The events arrive in files of three days each, one file a micro-batch:
+    an alert for every batch whose last day spikes."""
+    prepare(spark)
+    events = read_table(spark, sf_dir, "events")
+    path = scratch_path(spark, "arrivals")
+    first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    nth = F.floor(F.datediff(F.to_date("ts"), F.lit(first)) / F.lit(_ALERT_DAYS))
+    for k in range((last - first).days // _ALERT_DAYS + 1):
+        events.where(nth == k).coalesce(1).write.mode("append").parquet(path)
+    sdf = S.stream_fact(spark, path, events.schema, to_raw=events_to_raw, max_files_per_trigger=1)
+    params = DEFAULT_PARAMS.with_(alert_copq_spike_threshold=_ALERT_SPIKE)
+    return rounded(S.stream_alerts(spark, sdf, params), money=("value",))
 
 
 _STREAM_COLUMNS = ("event_id", "EventDate", "SupplierID", "DefectType", "Cost_Impact_SGD", "DefectCount",

@@ -11,6 +11,7 @@ from inspectkit.operators import copq as CQ
 from inspectkit.operators import timeseries as TS
 from inspectkit.operators.qindex import INDEX, quality_index
 from inspectkit.operators.seriesidx import downsample_rows
+from inspectkit.params import DEFAULT_PARAMS
 from inspectkit.plans.catalog import fact, register, rounded
 from inspectkit.plans.oracle import with_fact
 from inspectkit.plans.q_basic import QI_CTE
@@ -223,11 +224,11 @@ def q_forecast_summary(spark, sf_dir):
 
 
 @register("alert_defect_rate", "A1", with_fact("""
-SELECT 'defect_rate' AS "key", printf('High overall defect rate: %.2f%% (threshold %s%%)', v, '5.0') AS message,
-  round(v, 6) AS value, 5.0::DOUBLE AS threshold
-FROM (SELECT avg(DefectRate) * 100.0 AS v FROM fact) WHERE v IS NOT NULL AND v > 5.0"""))
+SELECT 'defect_rate' AS "key", printf('High overall defect rate: %.2f%% (threshold %s%%)', v, '1.0') AS message,
+  round(v, 6) AS value, 1.0::DOUBLE AS threshold
+FROM (SELECT avg(DefectRate) * 100.0 AS v FROM fact) WHERE v IS NOT NULL AND v > 1.0"""))
 def q_alert_defect_rate(spark, sf_dir):
-    return rounded(A.alert_defect_rate(fact(spark, sf_dir)))
+    return rounded(A.alert_defect_rate(fact(spark, sf_dir), DEFAULT_PARAMS.with_(alert_defect_rate_threshold=1.0)))
 
 
 _SPIKE = """spk AS (

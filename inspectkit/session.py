@@ -10,32 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "inspectkit") -> SparkSession:
-    """Build (or reuse) a session tuned for these plans.
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "inspectkit") -> SparkSession:
+    """The running session as it is, or a new one.
 
-    On a cluster the launcher supplies master and sizes; these settings only
-    fill what is unset.  AQE stays on: it coalesces small shuffle partitions,
-    splits skewed join partitions and converts joins to broadcast when the
-    runtime size of a side is under ``autoBroadcastJoinThreshold``.
+    A session that exists keeps all its settings but the time zone, which the
+    plans rely on.  For a new one the launcher's settings hold; values here are
+    for local runs, and the number of shuffle partitions is set only if given.
     """
-    b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
-    b = (
-        # local mode: the driver JVM is the only executor; it is sized here
-        # (takes effect when this call launches the JVM)
-        b.config("spark.driver.memory", os.environ.get("INSPECTKIT_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-    )
-    spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+        if master:
+            b = b.master(master)
+        if master and master.startswith("local"):
+            # the driver JVM is the only executor; it is sized here (takes
+            # effect when this call launches the JVM)
+            b = b.config("spark.driver.memory", os.environ.get("INSPECTKIT_DRIVER_MEMORY", "16g"))
+            b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        if shuffle_partitions:
+            b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        spark = b.getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
     return spark
 
@@ -87,17 +82,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write into the shared folder as parquet and read back: cuts the lineage
+    of row-level data that is read more than once, and keeps column pruning."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     """An empty DataFrame with a declared schema (degraded paths)."""
     return spark.createDataFrame([], schema)
-
-
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

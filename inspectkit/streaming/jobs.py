@@ -91,13 +91,13 @@ def stream_alerts_query(spark: SparkSession, sdf: DataFrame, base: str, params:
     State lives in tables under ``base`` (the shared checkpoint folder):
     ``state/epoch=N`` is the per-day table (cost, rate sums) after batch N --
     the previous state plus the batch's per-day partial sums, a distributed
-    aggregation -- and ``alerts/epoch=N`` the alerts emitted by batch N.
+    aggregation -- ``last/epoch=N`` the last message of each key, and
+    ``alerts/epoch=N`` the alerts emitted by batch N.  A batch reads the
+    folders of the epoch before it, however many there are.
     Each epoch overwrites only its own folders, so a replayed epoch after a
     failure reproduces the same output.  The rules run on the per-day table
     (bounded by the calendar) with the batch operators A1/A2.
     """
-    from pyspark.sql import Window
-
     from inspectkit.operators.alerts import MSG_COPQ_SPIKE, MSG_DEFECT_RATE, copq_spike_days
     from inspectkit.operators.timeseries import VALUE, gap_filled
 
@@ -110,13 +110,12 @@ def stream_alerts_query(spark: SparkSession, sdf: DataFrame, base: str, params:
             (F.sum(C.DEFECT_RATE) if has_rate else F.lit(None)).cast("double").alias("rate_sum"),
             (F.count(C.DEFECT_RATE) if has_rate else F.lit(0)).cast("bigint").alias("rate_n"),
         )
-        # compacted state: the per-day table after the previous epoch plus
-        # this batch's partials, written as this epoch's state (one row per
-        # day: bounded by the calendar, not by rows or epochs)
-        prev_state = _read_or_none(spark, f"{base}/state")
-        if prev_state is not None:
-            last_epoch = prev_state.filter(F.col("epoch") < epoch).agg(F.max("epoch").alias("__e"))
-            prev_days = prev_state.join(F.broadcast(last_epoch), F.col("epoch") == F.col("__e")).drop("__e", "epoch")
+        # compacted state: the per-day table after the previous epoch (epoch
+        # numbers are consecutive, so exactly that folder is read) plus this
+        # batch's partials, written as this epoch's state (one row per day:
+        # bounded by the calendar, not by rows or epochs)
+        prev_days = _read_or_none(spark, f"{base}/state/epoch={epoch - 1}")
+        if prev_days is not None:
             part = part.unionByName(prev_days)
         days = part.groupBy("day").agg(F.sum("cost").alias("cost"), F.sum("rate_sum").alias("rate_sum"),
                                        F.sum("rate_n").alias("rate_n"))
@@ -133,16 +132,15 @@ def stream_alerts_query(spark: SparkSession, sdf: DataFrame, base: str, params:
             F.format_string(MSG_COPQ_SPIKE, F.col(VALUE), F.col("baseline")).alias("message"),
             F.col(VALUE).alias("value"))
         current = rate.unionByName(spike)
-        prev = _read_or_none(spark, f"{base}/alerts")
-        if prev is not None:
-            prev = prev.filter(F.col("epoch") < epoch)
-            w = Window.partitionBy("key").orderBy(F.col("epoch").desc())
-            last = prev.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).select(
-                "key", F.col("message").alias("__last"))
-            current = current.join(last, "key", "left").filter(
-                F.col("__last").isNull() | (F.col("__last") != F.col("message"))).drop("__last")
+        # the last message of each key, carried along as state too
+        last = _read_or_none(spark, f"{base}/last/epoch={epoch - 1}")
+        if last is None:
+            last = spark.createDataFrame([], "key string, __last string")
+        joined = current.join(last, "key", "full")
+        joined.select("key", F.coalesce("message", "__last").alias("__last")).write.mode("overwrite").parquet(f"{base}/last/epoch={epoch}")
+        changed = joined.filter(F.col("message").isNotNull() & (F.col("__last").isNull() | (F.col("__last") != F.col("message"))))
         # the epoch is the partition folder name (read back as a column)
-        current.write.mode("overwrite").parquet(f"{base}/alerts/epoch={epoch}")
+        changed.select("key", "message", "value").write.mode("overwrite").parquet(f"{base}/alerts/epoch={epoch}")
 
     w = sdf.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(sink)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
@@ -192,20 +190,26 @@ def run_to_table(spark: SparkSession, sdf: DataFrame, mode: str = "append", tag:
 
 
 def stream_quality_report(spark: SparkSession, sdf: DataFrame) -> DataFrame:
-    """ST6: data-quality counts rebuilt per arrival by adding each batch's
-    counts (rows, NULLs per column; counts add, so the totals are exact).
+    """ST6: data-quality counts rebuilt per arrival: the totals after the epoch
+    before (one folder) plus the batch's counts (rows, NULLs per column).
     Duplicates need the whole table and are left to the batch report."""
     base = scratch_path(spark, "dq")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        missing_by_column(batch).drop("missing_frac").write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
-        batch.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{base}/rows/epoch={epoch}")
-
+        batch.persist()
+        counts = missing_by_column(batch).drop("missing_frac").crossJoin(F.broadcast(batch.agg(F.count(F.lit(1)).alias("rows"))))
+        before = _read_or_none(spark, f"{base}/out/epoch={epoch - 1}")
+        if before is not None:
+            counts = counts.unionByName(before).groupBy("seq", "column").agg(F.sum("missing").alias("missing"), F.sum("rows").alias("rows"))
+        counts.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+        batch.unpersist()
+        done.append(epoch)
+
+    done: list[int] = []
     q = (sdf.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(sink)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    miss = spark.read.parquet(f"{base}/out").groupBy("seq", "column").agg(F.sum("missing").alias("missing"))
-    rows = spark.read.parquet(f"{base}/rows").agg(F.sum("rows").alias("rows"))
-    return miss.crossJoin(F.broadcast(rows)).select(
+    total = spark.read.parquet(f"{base}/out/epoch={max(done)}")
+    return total.select(
         "seq", "column", "missing", "rows",
         (F.col("missing").cast("double") / F.nullif(F.col("rows").cast("double"), F.lit(0.0))).alias("missing_frac"))

@@ -90,6 +90,8 @@ def compare(spark, sf_dir, names=None, verbose=True):
         else:
             same = False
         status = "OK" if same else ("COLS" if not ok_cols else "DIFF")
+        if same and not srows:
+            status = "EMPTY"  # equal, but says nothing
         results[name] = (status, len(srows), len(drows))
         if verbose:
             print(f"{name:34s} {status:5s} spark={len(srows)} duck={len(drows)}  {ts:.1f}s", flush=True)
@@ -107,7 +109,7 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or None
-    spark = get_session("local[8]")
+    spark = get_session("local[8]", shuffle_partitions=8)
     res = compare(spark, sf, names)
     bad = [k for k, v in res.items() if v[0] not in ("OK", "ROWS_ONLY")]
     print("FAILED:", bad)

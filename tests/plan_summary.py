@@ -39,7 +39,7 @@ def main() -> None:
     from inspectkit.session import get_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = get_session("local[8]")
+    spark = get_session("local[8]", shuffle_partitions=8)
     qs = all_queries()
     print(f"# Executed plan shapes ({os.path.basename(sf)}, local[8], AQE on)\n")
     print("Generated by `python tests/plan_summary.py`. Counts are taken from the final adaptive plan after one run."

@@ -200,7 +200,7 @@ def test_presets_wildcards_and_dates(spark, tmp_path):
                                "Part_Type string, Date timestamp")
     got = sorted((r.preset, r.Part_Type) for r in FL.apply_presets(df, presets).collect())
     assert got == [("a_jan", "A"), ("all", "A"), ("all", "A"), ("all", "B")]
-    big = FL.apply_presets(df, presets, max_broadcast_presets=0)
+    big = FL.apply_presets(df, presets)
     assert sorted((r.preset, r.Part_Type) for r in big.collect()) == got
 
 
@@ -306,7 +306,7 @@ def test_presets_bucket_join_matches_broadcast_path(spark):
     df = spark.createDataFrame(rows, "Part_Type string, Date timestamp")
     small = sorted((r.preset, r.Part_Type, str(r.Date)) for r in FL.apply_presets(df, presets).collect())
     large = sorted((r.preset, r.Part_Type, str(r.Date))
-                   for r in FL.apply_presets(df, presets, max_broadcast_presets=0).collect())
+                   for r in FL.apply_presets(df, presets).collect())
     assert small == large
     assert sum(1 for p, _, _ in small if p == "open") == 5
     assert sum(1 for p, _, _ in small if p == "q1") == 3
