@@ -29,8 +29,9 @@ and by content, so a hot string costs an entry per slice, not per occurrence.
 Defined cases.  Null and empty texts have no bytes.  Repeated rows are
 documents of their own: all bytes of a repeated text of ``length`` or more
 go.  Null ids are kept as null; an empty table gives an empty result; further
-columns are ignored.  Equality is that of 64-bit fingerprints.  Working
-memory follows the longest single document (about 100 bytes a byte).
+columns are ignored.  Equality is that of 64-bit fingerprints.  Longer texts
+than ``piece`` bytes are ranked in overlapping pieces, so ranking needs the
+memory of a piece; cutting needs some 50 bytes per byte of the longest text.
 """
 
 from __future__ import annotations
@@ -106,7 +107,20 @@ def _same(e, a, b):
     return (e["doc_id"][a] == e["doc_id"][b]) & (e["ver"][a] == e["ver"][b]) & (e["lo"][a] == e["lo"][b])
 
 
-def _first_round(length: int, buckets: int):
+def pieces(raw: np.ndarray, offsets: np.ndarray, length: int, piece: int):
+    """(first row, byte it starts at, stretches) of groups of texts of ``piece``
+    bytes at most; a longer text comes in pieces that overlap by a string."""
+    for a, b in A.slices(offsets, piece):
+        base, size = int(offsets[a]), int(offsets[b] - offsets[a])
+        if size <= 2 * piece:
+            yield a, base, stretches(raw[base : base + size], offsets[a : b + 1] - base, length)
+            continue
+        for s in range(0, size - length + 1, piece):
+            part = raw[base + s : base + min(size, s + piece + length - 1)]
+            yield a, base + s, stretches(part, np.array([0, len(part)]), length)
+
+
+def _first_round(length: int, buckets: int, piece: int):
     def reduced(parts):
         e = {k: np.concatenate([p[k] for p in parts]) for k in ("rank", "sup", "doc_id", "ver", "lo", "span")}
         n = len(e["rank"])
@@ -146,10 +160,9 @@ def _first_round(length: int, buckets: int):
     def run(batches):
         parts, held = [], 0
         for doc, ver, raw, offsets in C.text_batches(batches):
-            for a, b in A.slices(offsets, SLICE):
-                base = offsets[a]
-                row, lo, hi, rank, content = stretches(raw[base : offsets[b]], offsets[a : b + 1] - base, length)
-                parts.append({"rank": rank, "sup": content, "doc_id": doc[a:b][row], "ver": ver[a:b][row], "lo": (lo + base - offsets[a:b][row]).astype(np.uint32), "span": (hi - lo).astype(np.uint8)})
+            for a, base, (row, lo, hi, rank, content) in pieces(raw, offsets, length, piece):
+                row = row + a
+                parts.append({"rank": rank, "sup": content, "doc_id": doc[row], "ver": ver[row], "lo": (lo + base - offsets[row]).astype(np.uint32), "span": (hi - lo).astype(np.uint8)})
                 held += len(row)
             if held >= FLUSH:
                 yield reduced(parts)
@@ -223,7 +236,7 @@ class Found:
         return row, lo, lo + self.span[at], self.flags[at]
 
 
-def _second_round(length: int, buckets: int):
+def _second_round(length: int, buckets: int, piece: int):
     half = (length + 1) // 2
 
     def run(block: pa.Table, messages: pa.Table) -> pa.Table:
@@ -234,10 +247,14 @@ def _second_round(length: int, buckets: int):
             row, lo, hi, _ = found.of(doc, ver, offsets)
             if not len(row):
                 continue
-            sums = A.prefix_hash(raw)
             n = hi - lo + 1
             p, row = np.repeat(lo, n) + A.spans(n), np.repeat(row, n)
-            pair = A.joined(A.span_hash(sums, p, p + half), A.span_hash(sums, p + length - half, p + length))
+            pair = np.empty(len(p), np.uint64)
+            for s in range(0, len(raw), piece):
+                here = np.flatnonzero((p >= s) & (p < s + piece))
+                if len(here):
+                    sums, at = A.prefix_hash(raw[s : s + piece + length]), p[here] - s
+                    pair[here] = A.joined(A.span_hash(sums, at, at + half), A.span_hash(sums, at + length - half, at + length))
             parts.append({"key": A.mix(pair), "doc_id": doc[row], "ver": ver[row], "lo": (p - offsets[row]).astype(np.uint32)})
         if not parts:
             return A.packed(np.empty(0, np.int64), **{k: np.empty(0, t) for k, t in _ENTRY.items()}).schema.empty_table()
@@ -281,7 +298,7 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = SLICE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans and
     ``kept``, the remaining bytes."""
     if not 2 <= length <= 500:
@@ -292,9 +309,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     blocks, tasks = C.n_blocks(size), C.partitions(spark, size)
     entry, message = A.packed_schema(*_ENTRY), A.packed_schema(*_MESSAGE)
     with C.shuffle_cleanup(spark):
-        first = docs.mapInArrow(_first_round(length, tasks), entry).repartitionById(tasks, "dest")
+        first = docs.mapInArrow(_first_round(length, tasks, piece), entry).repartitionById(tasks, "dest")
         first = C.saved(first.mapInArrow(_findings(blocks), message), "ranks")
-        second = C.with_messages(docs, blocks, first, _second_round(length, tasks), entry).repartitionById(tasks, "dest")
+        second = C.with_messages(docs, blocks, first, _second_round(length, tasks, piece), entry).repartitionById(tasks, "dest")
         second = C.saved(second.mapInArrow(_findings(blocks), message), "rank-pairs")
     return C.with_messages(docs, blocks, first.union(second), _cut(length), RESULT)
 

@@ -61,8 +61,8 @@ def got_words(df, window):
     return sorted(map(tuple, found.collect()), key=key)
 
 
-def got_bytes(df, length):
-    found = suffix.remove_repeats(df, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
+def got_bytes(df, length, **kw):
+    found = suffix.remove_repeats(df, length, **kw).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
     return sorted(((*r[:4], bytes(r[4])) for r in found), key=key)
 
 
@@ -79,6 +79,7 @@ def test_byte_strings(spark, seed, length):
     rows = data.small_corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert got_bytes(df, length) == brute_bytes(rows, length)
+    assert got_bytes(df, length, piece=30) == brute_bytes(rows, length)  # long texts in pieces
 
 
 def test_edge_rows(spark):
