@@ -23,6 +23,12 @@ from inspectkit.params import DEFAULT_PARAMS, QualityParams
 
 LABEL = "__label_text"
 
+# --- Fixed values: error sentences ---
+ERROR_NO_FEATURES = "No feature columns selected"
+ERROR_TARGET_IS_FEATURE = "Target column cannot also be a feature"
+ERROR_MISSING = "Missing columns: "
+ERROR_NO_TARGET = "Target column contains only missing values."
+
 
 @dataclass
 class ClassifierResult:
@@ -100,17 +106,17 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
     replace one-hot columns).  No scaling: tree splits are scale-free.
     """
     if not features:
-        return ClassifierResult(False, "At least one feature column is needed")
+        return ClassifierResult(False, ERROR_NO_FEATURES)
     if target in features:
-        return ClassifierResult(False, f"{target} is both target and feature")
+        return ClassifierResult(False, ERROR_TARGET_IS_FEATURE)
     missing = [c for c in list(features) + [target] if c not in df.columns]
     if missing:
-        return ClassifierResult(False, f"The table has no {', '.join(missing)}")
+        return ClassifierResult(False, ERROR_MISSING + ", ".join(missing))
     types = {f.name: f.dataType for f in df.schema.fields}
     d = df.select(*features, target).filter(F.col(target).isNotNull()).withColumn(
         LABEL, F.col(target).cast("string"))
     if d.limit(1).count() == 0:
-        return ClassifierResult(False, f"{target} holds no values")
+        return ClassifierResult(False, ERROR_NO_TARGET)
     num = [c for c in features if is_numeric_type(types[c])]
     cat = [c for c in features if c not in num]
     d = d.select(*[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat],

@@ -4,9 +4,10 @@ MLlib has no isolation forest, so the published algorithm (random axis
 splits on small subsamples; anomaly score 2^(-E[h(x)] / c(psi))) is
 expressed as Spark jobs:
 
-1. Subsample pool.  Every complete row gets a random key that doesn't depend
-   on its values, and the ``trees x psi`` smallest keys are taken (a
-   per-partition top-n), so equal rows are drawn in their share.
+1. Subsample pool.  Every complete row gets a random key of its own, and the
+   ``trees x psi`` smallest keys are taken (a per-partition top-n).  Equal rows
+   are counted and get as many independent keys, so they are drawn in their
+   share, and the pool doesn't depend on the partitioning.
 2. Trees.  The pool's places are dealt to the trees in order, ``psi`` each,
    around the pool as often as needed -- one rule for any table size -- and
    ``groupBy(tree).applyInPandas`` grows all trees in parallel (one small
@@ -95,10 +96,19 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: Q
     if not cols:
         return None
     d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).dropna()
-    # the pool: trees x psi rows at most, the smallest of random keys that
-    # don't depend on the values (equal rows are drawn like any others); a
-    # per-partition top-n, written once and read by the count and the trees
-    pool = materialize(d.withColumn("__u", F.rand(seed)).orderBy("__u", *cols).limit(n_trees * sample_rows))
+    # the pool: trees x psi rows at most, those with the smallest random keys.
+    # Every row has a key of its own, equal rows too, and the keys are the same
+    # whatever the partitioning: equal rows are counted, and the j-th smallest
+    # of c exponential draws is the sum of E_i / (c - i + 1) for i <= j, with
+    # E_i hashed from (values, i).  A group needs no more draws than the pool
+    # holds.  A per-partition top-n, written once, read by count and trees
+    most = n_trees * sample_rows
+    equal = d.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    drawn = equal.withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), F.least("__n", F.lit(most)))))
+    unit = (F.shiftrightunsigned(F.xxhash64(*cols, "__j", F.lit(seed)), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+    so_far = Window.partitionBy(*cols).orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = drawn.withColumn("__u", F.sum(-F.log(unit) / (F.col("__n") - F.col("__j") + 1)).over(so_far))
+    pool = materialize(keyed.select(*cols, "__u", "__j").orderBy("__u", *cols, "__j").limit(most))
     n = pool.count()
     if n < 10:
         return None
@@ -107,7 +117,7 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: Q
     # around it: disjoint samples where the pool holds trees x psi rows,
     # overlapping ones otherwise, never a row twice in a tree.  The window
     # spans the pool only
-    place = F.row_number().over(Window.orderBy("__u", *cols)) - 1
+    place = F.row_number().over(Window.orderBy("__u", *cols, "__j")) - 1
     dealt = pool.withColumn("__k", place).withColumn(
         "__r", F.explode(F.sequence(F.col("__k"), F.lit(n_trees * psi - 1), F.lit(n))))
     sample = dealt.select("*", F.floor(F.col("__r") / F.lit(psi)).cast("int").alias("tree_id"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from inspectkit import columns as C
 from inspectkit.functions import is_numeric_type, is_temporal_type
 from inspectkit.operators.normalize import cost_source_column, detect_date_column
+from inspectkit.session import materialize
 
 # --- Fixed values: warning texts (rule order as in the reference) ---
 MSG_EMPTY = "Dataset is empty."
@@ -63,9 +64,17 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     )
 
 
+def _row_hashes(df: DataFrame) -> list[Column]:
+    """128 hash bits of a row: equal rows, equal bits; NULLs are told apart by
+    their places.  Rows are compared by these instead of shuffling every
+    column (and the raw alias columns next to their canonical copies)."""
+    nulls = F.concat(F.lit(""), *[F.when(_q(c).isNull(), F.lit("0")).otherwise(F.lit("1")) for c in df.columns])
+    return [F.xxhash64(F.lit(k), nulls, *[_q(c) for c in df.columns]).alias(f"__h{k}") for k in (1, 2)]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Q2: rows equal to an earlier row in every column (NULLs equal)."""
-    g = df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    g = df.groupBy(*_row_hashes(df)).agg(F.count(F.lit(1)).alias("__n"))
     return g.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicated_rows"))
 
 
@@ -88,27 +97,27 @@ def quality_report(df: DataFrame, cost_column: str | None = None) -> DataFrame:
     column, negative costs (counted before the clamp, D3: on the raw source
     column that normalisation maps into CostImpact) and zero-unit rows.
 
-    One aggregation of the table: rows grouped by all columns (the duplicate
-    groups, combined map-side), and every count is a sum over those groups."""
+    One aggregation of the table: rows grouped by 128 hash bits of all columns
+    (the duplicate groups, combined map-side), and every count is a sum over
+    those groups."""
     cost_column = cost_column or cost_source_column(df)
     date_col = detect_date_column(df)
     fields = df.schema.fields
     types = {f.name: f.dataType for f in fields}
-    groups = df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    n = F.col("__n")
     if cost_column:
         from inspectkit.functions import safe_numeric
 
-        neg = F.sum(F.when(safe_numeric(cost_column, types[cost_column]) < 0, n))
+        negative = safe_numeric(cost_column, types[cost_column]) < 0
     else:
-        neg = F.lit(0)
-    zero = F.sum(F.when(F.col(C.UNITS_INSPECTED) == 0, n)) if C.has(df, C.UNITS_INSPECTED) else F.lit(0)
-    counts = groups.agg(
-        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("row_count"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).cast("bigint").alias("duplicated_rows"),
-        F.coalesce(neg, F.lit(0)).cast("bigint").alias("negative_costs"),
-        F.coalesce(zero, F.lit(0)).cast("bigint").alias("zero_inspected"),
-    )
+        negative = F.lit(False)
+    zero = F.col(C.UNITS_INSPECTED) == 0 if C.has(df, C.UNITS_INSPECTED) else F.lit(False)
+    groups = df.groupBy(*_row_hashes(df)).agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(negative).alias("__neg"), F.count_if(zero).alias("__zero"))
+    counts = groups.agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a) for a, c in (
+            ("row_count", F.col("__n")), ("duplicated_rows", F.col("__n") - 1),
+            ("negative_costs", F.col("__neg")), ("zero_inspected", F.col("__zero")))
+    ])
     n_num = sum(1 for f in fields if column_class(f.dataType) == "numeric")
     n_cat = sum(1 for f in fields if column_class(f.dataType) == "categorical")
     return counts.select(
@@ -132,7 +141,8 @@ def quality_warnings(df: DataFrame, cost_column: str | None = None) -> DataFrame
     )
     high = high.select(F.array_join(F.slice(F.col("__cols.column"), 1, HIGH_MISSING_LISTED), ", ").alias("__high"),
                        F.size("__cols").alias("__nh"))
-    r = rep.crossJoin(high)
+    # one row, read by every rule: computed once
+    r = materialize(rep.crossJoin(high))
     missing_fields = [c for c in C.ESSENTIAL_COLUMNS if c not in df.columns]
 
     def rule(seq: int, code: str, cond: Column, msg: Column) -> DataFrame:

@@ -21,6 +21,7 @@ from inspectkit.operators.rootcause import defect_cost_by_part, defect_pareto, r
 from inspectkit.operators.suppliers import supplier_scorecard
 from inspectkit.operators.timeseries import monthly_copq, out_of_control, trend_by_period
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
+from inspectkit.session import written
 
 BUNDLE_TABLES = ("filtered_rows", "kpis", "pareto", "supplier_scores", "drilldown", "monthly_copq")
 KPI_METRICS = ("Rows", "Defects", "COPQ", "OnTimeRate", "YieldPct", "QualityIndex")
@@ -44,8 +45,9 @@ def write_report_bundle(df: DataFrame, out_dir: str, fmt: str = "parquet",
     """Write the six tables under ``out_dir`` (parquet or csv).
 
     The rows table is written first; the five summaries are computed from
-    that written table, so the (possibly expensive) input plan runs once and
-    the summaries' lineage starts at files in the output folder.
+    that written table (for csv, which loses types, from a parquet copy in the
+    shared folder), so the (possibly expensive) input plan runs once and the
+    summaries' lineage starts at files.
     """
     spark = df.sparkSession
     base = out_dir.rstrip("/")
@@ -58,9 +60,11 @@ def write_report_bundle(df: DataFrame, out_dir: str, fmt: str = "parquet",
             w.format(fmt).save(p)
 
     paths = {"filtered_rows": f"{base}/filtered_rows"}
-    write(df, paths["filtered_rows"])
-    src = df
-    if fmt != "csv":
+    if fmt == "csv":
+        src = written(df, "report-rows")
+        write(src, paths["filtered_rows"])
+    else:
+        write(df, paths["filtered_rows"])
         src = spark.read.format(fmt).load(paths["filtered_rows"])
     for name, t in report_tables(src, params).items():
         if name == "filtered_rows":

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inspectkit import columns as C
+from inspectkit.operators.normalize import normalize
 from inspectkit.params import DEFAULT_PARAMS
-from inspectkit.plans.catalog import register, rounded
-from inspectkit.plans.oracle import with_events
+from inspectkit.plans.catalog import fact, register, rounded
+from inspectkit.plans.oracle import EVENTS_CTE, with_events, with_fact
 from inspectkit.session import prepare, scratch_path
 from inspectkit.sources.tables import events_to_raw, read_table
 from inspectkit.streaming import jobs as S
@@ -37,6 +38,19 @@ def q_stream_ingest(spark, sf_dir):
     return rounded(out, money=("copq",))
 
 
+@register("append_batch", "ST1 append", with_fact("""
+SELECT Defect_Type, count(*) AS n_rows, count(QualityScore) AS n_scored, count(event_id) AS n_events,
+  CAST(sum(DefectCount) AS BIGINT) AS defects
+FROM (SELECT * FROM fact UNION ALL BY NAME SELECT * FROM evfact) GROUP BY Defect_Type""", EVENTS_CTE))
+def q_append_batch(spark, sf_dir):
+    """The quality fact and the events as an arriving batch with other columns."""
+    events = normalize(events_to_raw(read_table(spark, sf_dir, "events")))
+    both = S.append_batch(fact(spark, sf_dir), events)
+    return both.groupBy(C.DEFECT_TYPE).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(C.QUALITY_SCORE).alias("n_scored"), F.count("event_id").alias("n_events"),
+        F.sum(C.DEFECT_COUNT).alias("defects"))
+
+
 @register("stream_kpis", "ST2", with_events("""
 SELECT count(*) AS "Rows", CAST(coalesce(sum(DefectCount), 0) AS BIGINT) AS Defects,
   round(coalesce(sum(CostImpact), 0.0), 4) AS COPQ FROM evfact"""))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -59,6 +61,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
                 "set spark.checkpoint.dir to a folder every executor can reach"
             )
         d = tempfile.mkdtemp(prefix="inspectkit-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(d)

@@ -43,6 +43,12 @@ def stream_fact(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return normalize(sdf)
 
 
+def append_batch(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """ST1 for an arriving batch with other columns: rows of both, matched by
+    column name; columns that one side lacks are NULL in its rows."""
+    return table.unionByName(batch, allowMissingColumns=True)
+
+
 def stream_kpis(sdf: DataFrame) -> DataFrame:
     """ST2: running Rows / Defects / COPQ / rate means (complete or update mode)."""
     aggs = [F.count(F.lit(1)).alias("Rows"), defects_expr(sdf).alias("Defects"), copq_expr(sdf).alias("COPQ")]

@@ -169,3 +169,78 @@ def test_stream_alert_replay_is_idempotent(spark):
         S.stream_alerts_query(spark, sdf, base).awaitTermination()
     alerts = spark.read.parquet(f"{base}/alerts").collect()
     assert [(a.key, a.epoch) for a in alerts] == [("copq_spike", 1)]
+
+
+def test_flagged_share_with_identical_rows(spark):
+    """A third of equal rows is drawn in its share: about the contamination is
+    flagged, whatever the seed."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [tuple(map(float, v)) for v in rng.normal(size=(2100, 3))] + [(0.1, 0.2, 0.3)] * 900
+    df = spark.createDataFrame(rows, "a double, b double, c double").coalesce(2).cache()
+    for seed in range(5):
+        s = FR.anomaly_summary(FR.detect_anomalies(df, n_trees=20, sample_rows=64, seed=seed)).first()
+        assert abs(s.anomaly_pct - 10.0) < 1.0
+    df.unpersist()
+
+
+def test_forest_pool_draws_equal_rows_in_their_share(spark):
+    df = spark.createDataFrame([(float(i), 0.0) for i in range(700)] + [(-1.0, 5.0)] * 300, "a double, b double")
+    nodes, psi, _ = FR.fit_isolation_forest(df, n_trees=10, sample_rows=50, seed=3)
+    assert psi == 50 and nodes.select("tree_id").distinct().count() == 10
+
+
+def test_stream_state_reads_one_epoch(spark, tmp_path):
+    """Each batch reads the epoch before it only: older folders may be gone."""
+    import shutil
+
+    src, base = str(tmp_path / "in"), str(tmp_path / "state")
+    for k in range(5):
+        spark.createDataFrame([(ts(2024, 1, k + 1), 10.0 * k)], "Date timestamp, CostImpact double").coalesce(1).write.mode("append").parquet(src)
+        sdf = S.stream_fact(spark, src, spark.read.parquet(src).schema)
+        S.stream_alerts_query(spark, sdf, base).awaitTermination()
+        if k > 1:
+            shutil.rmtree(f"{base}/state/epoch={k - 2}")
+    last = spark.read.parquet(f"{base}/state/epoch=4").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("c")).first()
+    assert (last.n, last.c) == (5, 100.0)
+
+
+def test_session_keeps_the_launchers_settings(spark):
+    from inspectkit.session import get_session
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "4000")
+        assert get_session("local[2]", shuffle_partitions=8).conf.get("spark.sql.shuffle.partitions") == "4000"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_pca_scores_have_the_explained_variances(spark):
+    """Against the eigenvalues of the correlation matrix."""
+    import numpy as np
+
+    from inspectkit.operators.multivariate import pca_projection
+
+    x = np.random.default_rng(2).normal(size=(200, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0.3, 0], [0, 0, 1, 2], [0, 0, 0, 0.5]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
+    scores, ratio = pca_projection(df, 3)
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1]
+    assert np.allclose([r.explained_ratio for r in ratio.orderBy("component").collect()], values[:3] / 4)
+    got = np.array([tuple(r) for r in scores.collect()])
+    assert np.allclose((got**2).sum(0) / 199, values[:3]) and np.allclose(got.T @ got, np.diag(np.diag(got.T @ got)), atol=1e-8)
+
+
+def test_classifier_invariants(spark):
+    """Split counts, importances that sum to one, a prediction for every row."""
+    from inspectkit.params import DEFAULT_PARAMS
+
+    rows = [(float(i % 7), "u" if i % 3 else "v", "yes" if (i % 7) > 3 else "no") for i in range(300)]
+    df = spark.createDataFrame(rows, "f double, g string, t string")
+    r = CL.train_defect_classifier(df, ["f", "g"], "t", DEFAULT_PARAMS.with_(classifier_trees=5))
+    m = r.metrics.first()
+    assert m.test_rows + m.train_rows == 300 and m.accuracy > 0.95 and r.classes == ["no", "yes"]
+    assert abs(sum(x.importance for x in r.importance.collect()) - 1.0) < 1e-9
+    scored = CL.score_defects(r.model, df)
+    assert scored.count() == 300 and scored.where("prediction is null").isEmpty()

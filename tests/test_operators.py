@@ -369,3 +369,32 @@ def test_grouped_paths_equal_single_series(spark):
             assert len(one) == 3
             for r in one:
                 assert got[(g, r.period)] == pytest.approx(r.forecast)
+
+
+def test_presets_on_an_absent_column_skip_the_dimension(spark, tmp_path):
+    """As the single filter does, for any number of presets."""
+    df = spark.createDataFrame([("A", ts(2024, 1, 5)), ("B", None)], "Part_Type string, Date timestamp")
+    few = [("p", "A", "Crack", None, "Steel", None, None), ("open", None, "Crack", None, None, None, None)]
+    for n in (0, 62, 63, 200):
+        presets = spark.createDataFrame(few + [(f"x{i}", f"none{i}", None, None, None, None, None) for i in range(n)], FL.PRESET_SCHEMA)
+        path = str(tmp_path / f"presets{n}")
+        FL.write_presets(presets, path)
+        back = FL.read_presets(spark, path)
+        assert back.count() == n + 2
+        got = sorted((r.preset, r.Part_Type) for r in FL.apply_presets(df, back).collect())
+        assert got == [("open", "A"), ("open", "B"), ("p", "A")]
+
+
+def test_global_positions_spread_identical_rows(spark):
+    from inspectkit.operators.seriesidx import with_global_index
+
+    df = spark.createDataFrame([(1, "same")] * 20000 + [(i, "x") for i in range(2000)], "k int, v string").repartition(4)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = with_global_index(df, ["k"])
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sorted(r.pos for r in out.select("pos").collect()) == list(range(22000))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert max(sizes) < 22000 // 2
