@@ -57,7 +57,7 @@ def q_duplicate_rows(spark, sf_dir):
     return Q.duplicate_rows(f.union(f.where(F.col(C.UNITS_INSPECTED) == 7)))
 
 
-@register("quality_report", "Q3+Q4+Q6", with_fact("SELECT * FROM rep", _REPORT_SQL))
+@register("quality_report", "Q3 + Q4 + Q6", with_fact("SELECT * FROM rep", _REPORT_SQL))
 def q_quality_report(spark, sf_dir):
     return Q.quality_report(fact(spark, sf_dir))
 
