@@ -10,8 +10,10 @@ largest keys are taken.
 
 The weight is measured against ``cut``, the log ratio per n-gram that separates
 target from other labelled text best of those that keep a share ``KEEP`` of the
-labelled target rows or more, and divided by ``temperature`` before
-the noise; k is the number of documents above the cut.  So documents near the
+labelled target rows or more, the log odds of the labelled shares are added
+(so a few n-grams don't outweigh what is known beforehand), and the sum is
+divided by ``temperature`` before the noise; k is the number of documents
+above the cut.  So documents near the
 cut are sampled, and those far from it are as good as certain.
 
 Learning.  The raw model counts every whole text of the corpus.  Target model
@@ -55,11 +57,13 @@ _KIND[0x80:] = _WORD
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
     _KIND[_a:_b] = _WORD
 _KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_REPEAT = np.uint64(0x2545F4914F6CDD1D)
 
 
 def buckets_of(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, row) of the n-grams of consecutive texts; a token is a run of
-    letters and digits, or of signs."""
+    letters and digits, or of signs.  A token twice in a row is the same pair
+    whichever token it is."""
     if not len(raw):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     kind = _KIND[raw]
@@ -72,7 +76,7 @@ def buckets_of(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.n
     token = kind[start] != _SPACE
     start, h = start[token], h[token]
     row = np.searchsorted(offsets, start, side="right") - 1
-    pair = A.mix(A.joined(h[:-1], h[1:]))[row[1:] == row[:-1]]
+    pair = np.where(h[1:] == h[:-1], _REPEAT, A.mix(A.joined(h[:-1], h[1:])))[row[1:] == row[:-1]]
     value = np.concatenate([h, pair])
     return (value % np.uint64(buckets)).astype(np.int64), np.concatenate([row, row[1:][row[1:] == row[:-1]]])
 
@@ -122,6 +126,7 @@ def _weighed(shared, buckets: int):
 class Model:
     ratio: np.ndarray
     cut: float
+    prior: float = 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS, smoothing: float = SMOOTHING) -> Model:
@@ -144,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample_rows:
     shared = spark.sparkContext.broadcast(ratio)
     seen = rows.mapInArrow(_weighed(shared, buckets), "label boolean, n_grams long, log_weight double").where("n_grams > 0").toPandas()
     mean = (seen.log_weight / seen.n_grams).to_numpy(float)
-    return Model(ratio, _best_cut(mean, seen.label.to_numpy(bool)))
+    label = seen.label.to_numpy(bool)
+    return Model(ratio, _best_cut(mean, label), float(np.log((label.sum() + 1) / ((~label).sum() + 1))))
 
 
 def _best_cut(value: np.ndarray, label: np.ndarray) -> float:
@@ -196,7 +202,7 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
 def resample(docs: DataFrame, model: Model, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
     """doc_id, ver, n_grams, log_weight, key and selected of every row: the k
     (by default as many as lie above the cut) largest keys are selected."""
-    margin = F.col("log_weight") - F.lit(model.cut) * F.col("n_grams")
+    margin = F.col("log_weight") - F.lit(model.cut) * F.col("n_grams") + F.lit(model.prior)
     rows = weigh(docs, model).withColumn("margin", margin)
     rows = C.saved(rows.withColumn("key", F.col("margin") / F.lit(temperature) + _gumbel()), "weights")
     if k is None:
