@@ -18,6 +18,13 @@ Plan.
    of these edges are the groups in which inverted lists are built.  Parts
    are reduced to one entry in each slice before the shuffle, and stars hold
    one edge per entry, never pairs.
+   With J below ``SPARSE`` the parts get so small that a passage many
+   documents share would fill some alone and join them all.  There, sets go
+   on only if a share J of their members occurs in another set (no other can
+   link; members are compared by 32 bits within their bucket, which can only
+   let more sets through), and parts hold twice as many members: of d // 2 + 1
+   parts one differs in at most one member, so leaving out one of ``LEAVES``
+   sections of each part in turn finds an equal rest.
 3. T-occurrence search inside each group.  A document already in the group's
    largest component needs no search of its own: every pair that could still
    matter has a member outside it, and all of those search the whole group.
@@ -47,6 +54,7 @@ from inspectkit.llm import graph
 SHINGLE, NUM, DEN = 3, 90, 100
 BLOCK_MEMBERS, BLOCK_NODES = 4_000_000, 8192
 PIVOTS = 8
+SPARSE, LEAVES = 0.85, 5
 FLUSH = 1 << 20
 
 
@@ -117,6 +125,28 @@ def signatures(value: np.ndarray, first: np.ndarray, num: int, den: int):
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
+def rests(value: np.ndarray, first: np.ndarray, num: int, den: int, leaves: int = LEAVES):
+    """(signature, row) of all parts without one of their sections."""
+    size, row = np.diff(first), A.row_of(first)
+    bounds, parts = size_classes(num, den, int(size.max()) if len(size) else 1)
+    own = np.searchsorted(bounds, np.maximum(size, 1), side="right") - 1
+    scrambled, out = A.mix(value), []
+    for step in (0, 1):
+        kind = own + step
+        k = np.where(size > 0, (parts[kind] - 1) // 2 + 1, 0)
+        base = np.concatenate([[0], np.cumsum(k)])
+        cell = ((value >> np.uint64(11)) % np.maximum(k[row] * leaves, 1).astype(np.uint64)).astype(np.int64)
+        sums = np.zeros(base[-1] * leaves, np.uint64)
+        np.add.at(sums, base[row] * leaves + cell, scrambled)
+        sums = sums.reshape(-1, leaves)
+        rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
+        owner = np.repeat(np.arange(len(size)), k)
+        place = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
+        label = (kind[owner].astype(np.uint64) << np.uint64(40)) + (place << np.uint64(4))
+        out.append((A.mix(A.mix(rest) + label[:, None] + np.arange(leaves, dtype=np.uint64)[None, :]).ravel(), np.repeat(owner, leaves)))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
 class Lists:
     """Inverted lists of some sets."""
 
@@ -191,30 +221,98 @@ def _scan(shingle: int):
     return run
 
 
+def _reduced_parts(parts, buckets: int) -> pa.RecordBatch:
+    """One entry per part hash of a slice; the others as edges to its least node."""
+    key, node = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    head = node[np.flatnonzero(new)][np.cumsum(new) - 1]
+    other = np.flatnonzero(node != head)
+    pairs = np.unique(np.stack([node[other], head[other]]), axis=1) if len(other) else np.empty((2, 0), np.int64)
+    one = np.flatnonzero(new)
+    return A.packed(
+        np.concatenate([(key[one] >> np.uint64(9)) % np.uint64(buckets), A.mix(pairs[0].view(np.uint64)) % np.uint64(buckets)]).astype(np.int64),
+        key=np.concatenate([key[one], np.zeros(pairs.shape[1], np.uint64)]),
+        node=np.concatenate([node[one], pairs[0]]), peer=np.concatenate([node[one], pairs[1]]),
+    )
+
+
+def _flushed(found, buckets: int):
+    parts, held = [], 0
+    for key, node in found:
+        parts.append((key, node))
+        held += len(key)
+        if held >= FLUSH:
+            yield _reduced_parts(parts, buckets)
+            parts, held = [], 0
+    if held:
+        yield _reduced_parts(parts, buckets)
+
+
 def _parts(shingle: int, num: int, den: int, buckets: int):
+    def found(batches):
+        for doc, ver, raw, offsets in C.text_batches(batches):
+            value, first = members(raw, offsets, shingle)
+            key, row = signatures(value, first, num, den)
+            yield key, nodes(value, first)[row]
+
+    return lambda batches: _flushed(found(batches), buckets)
+
+
+def _rests(num: int, den: int, buckets: int):
+    """The same from stored sets (node, members), in slices of bounded size."""
+
+    def found(batches):
+        for b in batches:
+            node = b.column(b.schema.get_field_index("node")).to_numpy()
+            raw, offsets = A.bytes_of(b.column(b.schema.get_field_index("members")))
+            for x, y in A.slices(offsets, A.SLICE_BYTES // 4):
+                value = raw[offsets[x] : offsets[y]].view(np.uint64)
+                key, row = rests(value, (offsets[x : y + 1] - offsets[x]) // 8, num, den)
+                yield key, node[x:y][row]
+
+    return lambda batches: _flushed(found(batches), buckets)
+
+
+_MEMBER = {"key": np.uint32, "node": np.int64, "state": np.uint8}
+#: Of a member in a slice: held by one set, the first of several, a count of those known to be shared.
+ONE, FIRST = 0, 1
+
+
+def _members_of(shingle: int, buckets: int):
+    """Members by bucket, one entry each in a slice, and what the slice knows."""
+
     def reduced(parts):
-        key, node = (np.concatenate(p) for p in zip(*parts))
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-        other = np.flatnonzero(node != head)
-        pairs = np.unique(np.stack([node[other], head[other]]), axis=1) if len(other) else np.empty((2, 0), np.int64)
-        one = np.flatnonzero(new)
+        value, node = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((node, value))
+        value, node = value[order], node[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])  # equal sets count once
+        value, node = value[new], node[new]
+        opens = np.ones(len(value), bool)
+        opens[1:] = value[1:] != value[:-1]
+        group = np.cumsum(opens) - 1
+        several = np.bincount(group)[group] > 1
+        one = np.flatnonzero(opens)
+        state = np.where(several[one], FIRST, ONE).astype(np.uint8)
+        known, times = np.unique(node[several], return_counts=True)
+        # counts of 200 at most an entry, so they fit the state
+        full = np.repeat(known, times // 200 + 1)
+        rest = np.full(len(full), 200)
+        rest[np.cumsum(times // 200 + 1) - 1] = times % 200
+        dest = np.concatenate([(value[one] >> np.uint64(32)) % np.uint64(buckets), A.mix(full.view(np.uint64)) % np.uint64(buckets)])
         return A.packed(
-            np.concatenate([(key[one] >> np.uint64(9)) % np.uint64(buckets), A.mix(pairs[0].view(np.uint64)) % np.uint64(buckets)]).astype(np.int64),
-            key=np.concatenate([key[one], np.zeros(pairs.shape[1], np.uint64)]),
-            node=np.concatenate([node[one], pairs[0]]), peer=np.concatenate([node[one], pairs[1]]),
-        )
+            dest.astype(np.int64), key=np.concatenate([value[one].astype(np.uint32), np.zeros(len(full), np.uint32)]),
+            node=np.concatenate([node[one], full]), state=np.concatenate([state, (rest + 2).astype(np.uint8)]))
 
     def run(batches):
         parts, held = [], 0
         for doc, ver, raw, offsets in C.text_batches(batches):
             value, first = members(raw, offsets, shingle)
-            key, row = signatures(value, first, num, den)
-            parts.append((key, nodes(value, first)[row]))
-            held += len(key)
+            parts.append((value, np.repeat(nodes(value, first), np.diff(first))))
+            held += len(value)
             if held >= FLUSH:
                 yield reduced(parts)
                 parts, held = [], 0
@@ -224,6 +322,40 @@ def _parts(shingle: int, num: int, den: int, buckets: int):
     return run
 
 
+def _shared_members(buckets: int):
+    """(dest, node, n): members of a node that occur in another set, by bucket."""
+
+    def run(batches):
+        e = A.gathered(batches, **_MEMBER)
+        known = e["state"] >= 2
+        node, n = [e["node"][known]], [e["state"][known].astype(np.int64) - 2]
+        key, one, owner = e["key"][~known], e["state"][~known] == ONE, e["node"][~known]
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            new = np.ones(len(key), bool)
+            new[1:] = key[order][1:] != key[order][:-1]
+            group = np.cumsum(new) - 1
+            weight = np.bincount(group, np.where(one[order], 1, 2))
+            found = order[(weight[group] > 1) & one[order]]
+            node.append(owner[found])
+            n.append(np.ones(len(found), np.int64))
+        node, n = np.concatenate(node), np.concatenate(n)
+        order = np.argsort(node, kind="stable")
+        node, n = node[order], n[order]
+        at = np.flatnonzero(np.diff(node, prepend=node[0] - 1 if len(node) else 0)) if len(node) else np.empty(0, np.int64)
+        total = np.add.reduceat(n, at) if len(at) else n
+        node = node[at]
+        yield A.packed((A.mix(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), node=node, n=total)
+
+    return run
+
+
+def _summed(batches):
+    e = A.gathered(batches, node=np.int64, n=np.int64)
+    node, at = np.unique(e["node"], return_inverse=True)
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.bincount(at, e["n"], minlength=len(node)).astype(np.int64))], names=["node", "shared"])
+
+
 def _stars(batches):
     e = A.gathered(batches, key=np.uint64, node=np.int64, peer=np.int64)
     decided = e["node"] != e["peer"]
@@ -240,8 +372,8 @@ def _stars(batches):
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _set_rows(shingle: int):
-    """(grp, blk, node, members) of the nodes' representatives."""
+def _set_rows(shingle: int, *keys: str):
+    """(keys..., node, members) of the nodes' representatives."""
 
     def run(batches):
         for b in batches:
@@ -250,8 +382,8 @@ def _set_rows(shingle: int):
             for x, y in A.slices(offsets):
                 value, first = members(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], shingle)
                 same = nodes(value, first) == want[x:y]
-                out = [b.column(b.schema.get_field_index(c)).slice(x, y - x) for c in ("grp", "blk", "node")]
-                rows = pa.RecordBatch.from_arrays([*out, A.binary(value, np.diff(first))], names=["grp", "blk", "node", "members"])
+                out = [b.column(b.schema.get_field_index(c)).slice(x, y - x) for c in (*keys, "node")]
+                rows = pa.RecordBatch.from_arrays([*out, A.binary(value, np.diff(first))], names=[*keys, "node", "members"])
                 yield rows.filter(pa.array(same))
 
     return run
@@ -329,19 +461,34 @@ def components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int
     tasks = C.partitions(spark, size)
     with C.shuffle_cleanup(spark):
         rows = C.saved(docs.mapInArrow(_scan(shingle), "doc_id long, n long, node long"), "sets")
-        stars = docs.mapInArrow(_parts(shingle, num, den, tasks), A.packed_schema("key", "node", "peer"))
+        classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+        ids = docs.select(F.coalesce("doc_id", F.lit(int(A.NULL_ID))).alias("doc_id"), "text")
+        stored = None
+        if num < SPARSE * den:
+            found = docs.mapInArrow(_members_of(shingle, tasks), A.packed_schema(*_MEMBER)).repartitionById(tasks, "dest")
+            found = found.mapInArrow(_shared_members(tasks), A.packed_schema("node", "n")).repartitionById(tasks, "dest")
+            shared = C.saved(found.mapInArrow(_summed, "node long, shared long"), "shared")
+            # equal sets in several slices share all members; more sets is safe
+            able = C.saved(classes.join(shared, "node").where(F.col("shared") * den >= F.col("n") * num), "able")
+            able = able.select("node", F.col("rep").alias("doc_id"))
+            stored = ids.join(able, "doc_id").select("node", "text").mapInArrow(_set_rows(shingle), "node long, members binary")
+            stored = C.saved(stored, "able-sets")
+            stars = stored.mapInArrow(_rests(num, den, tasks), A.packed_schema("key", "node", "peer"))
+        else:
+            stars = docs.mapInArrow(_parts(shingle, num, den, tasks), A.packed_schema("key", "node", "peer"))
         stars = stars.repartitionById(tasks, "dest").mapInArrow(_stars, "u long, v long")
         groups = C.saved(graph.components(stars).toDF("node", "grp"), "groups")
 
-        classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
         placed = groups.join(classes, "node")
         need = F.greatest(F.sum("n") / F.lit(block_members), F.count(F.lit(1)) / F.lit(block_nodes))
         cut = placed.groupBy("grp").agg(F.ceil(need).alias("blocks"))
         placed = placed.join(cut, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("blk"), "node", "rep", "blocks")
         many = placed.where("blocks > 1").select("grp").distinct()
-        wanted = placed.select("grp", "blk", "node", F.col("rep").alias("doc_id"))
-        ids = docs.select(F.coalesce("doc_id", F.lit(int(A.NULL_ID))).alias("doc_id"), "text")
-        sets = ids.join(wanted, "doc_id").select("grp", "blk", "node", "text").mapInArrow(_set_rows(shingle), "grp long, blk long, node long, members binary")
+        if stored is None:
+            wanted = placed.select("grp", "blk", "node", F.col("rep").alias("doc_id"))
+            sets = ids.join(wanted, "doc_id").select("grp", "blk", "node", "text").mapInArrow(_set_rows(shingle, "grp", "blk"), "grp long, blk long, node long, members binary")
+        else:
+            sets = stored.join(placed.select("grp", "blk", "node"), "node").select("grp", "blk", "node", "members")
         sets = sets.repartition(tasks, "grp", "blk").sortWithinPartitions("grp", "blk")
         inside = "grp long, blk long, node long, comp long"
         if not many.isEmpty():

@@ -50,6 +50,22 @@ def test_groups_in_blocks(spark):
 def test_edge_rows(spark):
     df = data.documents(spark)
     assert got(df) == brute(data.pairs(df))
+    assert got(df, 5, 80) == brute(data.pairs(df), 5, 80)
+
+
+def test_rests_find_all_links():
+    """Sets that link share a part's rest, whatever their sizes."""
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        n = int(rng.integers(1, 90))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone, more = int(rng.integers(0, n // 6 + 2)), int(rng.integers(0, n // 6 + 2))
+        y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+        same = len(np.intersect1d(x, y))
+        if not len(y) or same * 100 < 80 * (len(x) + len(y) - same):
+            continue
+        key, row = jaccard.rests(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), 80, 100)
+        assert set(key[row == 0]) & set(key[row == 1])
 
 
 def test_empty_table(spark):
