@@ -1,8 +1,7 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick.
 
-Texts are folded first: lower case, accents of lookalike alphabets and
-homoglyphs to Latin letters, and digits or signs that stand for letters inside
-words.  An Aho-Corasick automaton over the lexicon finds all entries in one
+Texts are folded first: lower case, homoglyphs of other alphabets to Latin
+letters, digits and signs that stand for letters to those letters.  An Aho-Corasick automaton over the lexicon finds all entries in one
 pass; a match counts if it is a whole word and no exception phrase covers it.
 The matched weights are normalised by the text's length and mapped to 0..1 by
 a logistic curve.
@@ -10,7 +9,8 @@ a logistic curve.
 Learning.  From at most ``sample_rows`` labelled rows (chosen by a hash of the
 id; a documented bound), never from labels held out: a word's weight is its
 smoothed log-odds of being in toxic against other texts, kept if it is
-``min_z`` standard errors above zero, the ``max_terms`` surest at most; word
+``min_weight`` or more and ``min_z`` standard errors above zero, at most the
+``max_terms`` with the highest weight less one standard error; word
 beginnings (written with a final *) are learned alike for words too rare to be
 seen, and a word counts with the best entry that matches it.
 Exception phrases are pairs of words around a lexicon word seen in
@@ -20,7 +20,7 @@ is the lexicon, its phrases and two numbers for each sampled row, all bounded.
 
 Scoring is a map over the whole texts, no shuffle.
 
-Defined cases.  Null and empty texts have no words and get the score of a text
+Defined cases.  Null and empty texts have length 0 and get the score of a text
 without matches.  Null ids are scored too, and held_out is null for them.
 Labels with nulls are ignored; ids labelled twice count as often.  Without
 usable labels the lexicon is empty and every score is the prior.  An empty table gives an empty result;
@@ -44,11 +44,13 @@ from inspectkit.llm import corpus as C
 
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 5_000
+MIN_WEIGHT = 2.0  # log-odds: frequent words of slight tendency say little, however sure
 MIN_Z = 2.6
 STEM = range(4, 11)
 MIN_STEM_Z = 4.0
 MIN_PHRASE = 3
 THRESHOLD = 0.7
+UNIT = 6  # characters: about a word and a space
 
 # Letters that look like a Latin letter, and what stands for a
 # letter inside a word.
@@ -59,19 +61,25 @@ HOMOGLYPHS = {
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
+DIGITS = {d: c for d, c in SUBSTITUTES.items() if d.isdigit()}
+
 _FOLD = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + i): chr(0x61 + i) for i in range(26)})
+_LOOKALIKE = re.compile("[\u0131\u0250-\uffff]")
 _WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"(?<![^\W_])[013457@$]*[^\W\d_][^\W_@$]*(?:[013457@$]+[^\W_]*)*")
-_SUBSTITUTE = str.maketrans(SUBSTITUTES)
-_HAS_SUBSTITUTE = re.compile(r"[^\W\d_][013457@$]|[013457@$][^\W\d_]")
+_SIGN = re.compile(r"[@$](?=[^\W\d_])")
 
 
 def fold(text: str) -> str:
+    """Lower case, lookalikes and digits as letters (in numbers too), and signs
+    before a letter as letters."""
     s = text.lower()
-    if not s.isascii():
+    if not s.isascii() and _LOOKALIKE.search(s):
         s = s.translate(_FOLD)
-    if _HAS_SUBSTITUTE.search(s):
-        s = _MIXED.sub(lambda m: m[0].translate(_SUBSTITUTE), s)
+    for digit, letter in DIGITS.items():
+        if digit in s:
+            s = s.replace(digit, letter)
+    if "$" in s or "@" in s:
+        s = _SIGN.sub(lambda m: SUBSTITUTES[m[0]], s)
     return s
 
 
@@ -96,9 +104,9 @@ class Matcher:
             self.automaton.make_automaton()
 
     def matches(self, text: str) -> tuple[int, int, float]:
-        """(words, matches, weight of the matches)."""
+        """(length in units of UNIT characters, matches, their weight)."""
         s = fold(text)
-        n = len(_WORD.findall(s))
+        n = -(-len(s) // UNIT)
         if not self.lexicon.weights or not n:
             return n, 0, 0.0
         best, end, exceptions = {}, len(s), self.lexicon.exceptions
@@ -122,7 +130,7 @@ class Matcher:
 
 
 def features(n: int, total: float) -> tuple[float, float]:
-    """Matched weight a word, and against the root of the length (long texts
+    """Matched weight a unit of length, and against the root of the length (long texts
     gather chance matches, which grow slower than that)."""
     return math.log1p(100.0 * total / max(n, 1)), math.log1p(total / math.sqrt(max(n, 1)))
 
@@ -152,7 +160,7 @@ def terms(found: list[str]) -> set[str]:
 _COUNTS = "term string, n long, toxic long"
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, min_z: float = MIN_Z, min_phrase: int = MIN_PHRASE) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, min_weight: float = MIN_WEIGHT, min_z: float = MIN_Z, min_phrase: int = MIN_PHRASE) -> Lexicon:
     """Learn from the rows of ``labels`` (doc_id, toxic) given."""
     spark = docs.sparkSession
     chosen = labels.where("doc_id is not null and toxic is not null").select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] > 0).alias("label"))
@@ -167,8 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     words = rows.mapInArrow(_counts(terms), _COUNTS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"))
     inside, outside = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
     weight = F.log(inside / (toxic + 1.0)) - F.log(outside / (n - toxic + 1.0))
-    words = words.select("term", weight.alias("w"), (weight / F.sqrt(1 / inside + 1 / outside)).alias("z")).where(F.col("z") >= F.when(F.col("term").endswith("*"), max(MIN_STEM_Z, min_z)).otherwise(min_z))
-    weights = {r.term: r.w for r in words.orderBy(F.desc("z"), "term").limit(max_terms).collect()}
+    words = words.select("term", weight.alias("w"), F.sqrt(1 / inside + 1 / outside).alias("e")).where(F.col("w") >= min_weight)
+    words = words.where(F.col("w") / F.col("e") >= F.when(F.col("term").endswith("*"), max(MIN_STEM_Z, min_z)).otherwise(min_z))
+    weights = {r.term: r.w for r in words.orderBy(F.desc(F.col("w") - F.col("e")), "term").limit(max_terms).collect()}
 
     def pairs(found: list[str]) -> set[str]:
         return {f"{a} {b}" for a, b in zip(found, found[1:]) if a in weights or b in weights}
@@ -204,7 +213,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50)
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """One row per row: doc_id, n_words, n_matches, weight, score (0 to 1)."""
+    """One row per row: doc_id, n_units, n_matches, weight, score (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
@@ -214,9 +223,9 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             n = [f[0] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([matcher.score(f[0], f[2]) for f in found], pa.float64())],
-                names=["doc_id", "n_words", "n_matches", "weight", "score"])
+                names=["doc_id", "n_units", "n_matches", "weight", "score"])
 
-    return C.texts(docs).mapInArrow(run, "doc_id long, n_words long, n_matches long, weight double, score double")
+    return C.texts(docs).mapInArrow(run, "doc_id long, n_units long, n_matches long, weight double, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -227,4 +236,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = C.load(spark, sf_dir, "documents"), C.load(spark, sf_dir, "labels")
     lexicon = fit(docs, labels.where(~held_out()))
     found = score(docs, lexicon)
-    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "n_matches")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_units", "n_matches")

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.1"
 
 
 def test_fold():
-    assert toxicity.fold("1d10t ѕcum TR4SH 2024 $tupid ａb") == "idiot scum trash 2024 stupid ab"
+    assert toxicity.fold("1d10t ѕcum TR4SH 2024 $tupid ａb") == "idiot scum trash 2o2a stupid ab"
 
 
 def test_matching():
@@ -36,7 +36,7 @@ def test_held_out_accuracy(spark):
 def test_toxicity_edge_rows(spark):
     df = data.documents(spark)
     labels = spark.createDataFrame([(1, None, 0), (3, 1, 1), (None, 1, 1), (8, 1, None)], "doc_id long, quality int, toxic int")
-    lexicon = toxicity.fit(df, labels, min_z=0.1)
+    lexicon = toxicity.fit(df, labels, min_weight=0.1, min_z=0.1)
     rows = toxicity.score(df, lexicon).collect()
     assert len(rows) == df.count() and all(0 <= r.score <= 1 for r in rows)
     none = toxicity.fit(df, labels.limit(0))
