@@ -55,6 +55,7 @@ SHINGLE, NUM, DEN = 3, 90, 100
 BLOCK_MEMBERS, BLOCK_NODES = 4_000_000, 8192
 PIVOTS = 8
 SPARSE, LEAVES = 0.85, 5
+MERGED = 64  # lists merged or probed at a time
 FLUSH = 1 << 20
 
 
@@ -153,7 +154,7 @@ class Lists:
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets])
         value = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.size)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
         order = np.argsort(value, kind="stable")
         ordered = value[order]
         self.ids = owner[order]
@@ -176,18 +177,24 @@ class Lists:
         length = self.start[lists + 1] - self.start[lists]
         lists = lists[np.argsort(length, kind="stable")]
         length = np.sort(length)
-        n_long = int(min(need - 1, need / (0.02 * np.log2(length[-1] + 1) + 1)))
+        # merging a posting is far cheaper than probing for one
+        n_long = int(min(need - 1, need / (np.log2(length[-1] + 1) + 1)))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
         count = self.start[short + 1] - self.start[short]
-        ids = self.ids[np.repeat(self.start[short], count) + A.spans(count)]
-        ids, times = np.unique(ids[open_[ids]], return_counts=True)
+        counts = np.zeros(len(self.size), np.int64)
+        for a in range(0, len(short), MERGED):
+            c = count[a : a + MERGED]
+            counts += np.bincount(self.ids[np.repeat(self.start[short[a : a + MERGED]], c) + A.spans(c)], minlength=len(counts))
+        ids = np.flatnonzero((counts >= max(1, need - n_long)) & open_)
+        times = counts[ids]
         keep = (times >= need - n_long) & (self.size[ids] * den >= num * len(x)) & (len(x) * den >= num * self.size[ids])
         ids, times = ids[keep], times[keep]
         if n_long and len(ids):
-            probe = (long[:, None] * len(self.size) + ids[None, :]).ravel()
-            at = np.searchsorted(self.posting, probe)
-            found = (at < len(self.posting)) & (self.posting[np.minimum(at, len(self.posting) - 1)] == probe)
-            times = times + found.reshape(n_long, len(ids)).sum(0)
+            for a in range(0, n_long, MERGED):
+                probe = (long[a : a + MERGED, None] * len(self.size) + ids[None, :]).ravel()
+                at = np.searchsorted(self.posting, probe)
+                found = (at < len(self.posting)) & (self.posting[np.minimum(at, len(self.posting) - 1)] == probe)
+                times = times + found.reshape(-1, len(ids)).sum(0)
         return ids[times * den >= num * (len(x) + self.size[ids] - times)]
 
 
