@@ -89,7 +89,7 @@ def text_batches(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
     """(doc_id, ver, bytes, offsets) of bounded slices of (doc_id, ver, text) batches."""
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        doc, ver = A.ids_of(col["doc_id"]), col["ver"].to_numpy(zero_copy_only=False).astype(np.int32)
+        doc, ver = A.ids_of(col["doc_id"]), col["ver"].to_numpy(zero_copy_only=False)
         raw, offsets = A.bytes_of(col["text"])
         for a, b in A.slices(offsets):
             yield doc[a:b], ver[a:b], raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]

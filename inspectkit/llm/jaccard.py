@@ -44,7 +44,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inspectkit.llm import arrays as A
@@ -223,7 +223,7 @@ def _scan(shingle: int):
     def run(batches):
         for doc, ver, raw, offsets in C.text_batches(batches):
             value, first = members(raw, offsets, shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.diff(first).astype(np.int64)), pa.array(nodes(value, first))], names=["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(ver), pa.array(np.diff(first).astype(np.int64)), pa.array(nodes(value, first))], names=["doc_id", "ver", "n", "node"])
 
     return run
 
@@ -460,15 +460,27 @@ def _between_blocks(sets: DataFrame, labels: DataFrame, tasks: int, num: int, de
     return labels
 
 
+def version(text: Column) -> Column:
+    """All 64 hash bits of a text, null as empty: one id may be that of many rows."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, block_members: int = BLOCK_MEMBERS, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    found = decisions(docs, shingle, num, den, block_members, block_nodes)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def decisions(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, block_members: int = BLOCK_MEMBERS, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, ver, n, and (rep_id, rep_ver), the
+    least (doc_id, ver) of its component (null, and no component, if n is 0)."""
     spark: SparkSession = docs.sparkSession
-    docs = C.versioned(docs)
+    docs = C.texts(docs).select("doc_id", version(F.col("text")).alias("ver"), "text")
     _, size = C.measure(docs)
     tasks = C.partitions(spark, size)
     with C.shuffle_cleanup(spark):
-        rows = C.saved(docs.mapInArrow(_scan(shingle), "doc_id long, n long, node long"), "sets")
-        classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+        rows = C.saved(docs.mapInArrow(_scan(shingle), "doc_id long, ver long, n long, node long"), "sets")
+        classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "ver")).alias("rep"), F.first("n").alias("n"))
         ids = docs.select(F.coalesce("doc_id", F.lit(int(A.NULL_ID))).alias("doc_id"), "text")
         stored = None
         if num < SPARSE * den:
@@ -477,7 +489,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int
             shared = C.saved(found.mapInArrow(_summed, "node long, shared long"), "shared")
             # equal sets in several slices share all members; more sets is safe
             able = C.saved(classes.join(shared, "node").where(F.col("shared") * den >= F.col("n") * num), "able")
-            able = able.select("node", F.col("rep").alias("doc_id"))
+            able = able.select("node", "rep.doc_id")
             stored = ids.join(able, "doc_id").select("node", "text").mapInArrow(_set_rows(shingle), "node long, members binary")
             stored = C.saved(stored, "able-sets")
             stars = stored.mapInArrow(_rests(num, den, tasks), A.packed_schema("key", "node", "peer"))
@@ -492,7 +504,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int
         placed = placed.join(cut, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("blk"), "node", "rep", "blocks")
         many = placed.where("blocks > 1").select("grp").distinct()
         if stored is None:
-            wanted = placed.select("grp", "blk", "node", F.col("rep").alias("doc_id"))
+            wanted = placed.select("grp", "blk", "node", "rep.doc_id")
             sets = ids.join(wanted, "doc_id").select("grp", "blk", "node", "text").mapInArrow(_set_rows(shingle, "grp", "blk"), "grp long, blk long, node long, members binary")
         else:
             sets = stored.join(placed.select("grp", "blk", "node"), "node").select("grp", "blk", "node", "members")
@@ -507,13 +519,12 @@ def components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int
         else:
             labels = C.saved(sets.mapInArrow(_inside(num, den), inside), "labels")
     rooted = classes.join(labels.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = rooted.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = rooted.join(least, "comp").select("node", "component_id")
-    out = rows.join(of_node, "node", "left")
+    least = rooted.groupBy("comp").agg(F.min("rep").alias("least"))
+    of_node = rooted.join(least, "comp").select("node", "least")
     null_id = F.lit(int(A.NULL_ID))
-    return out.select(
-        F.nullif("doc_id", null_id).alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")), null_id).alias("component_id"),
+    return rows.join(of_node, "node", "left").select(
+        F.nullif("doc_id", null_id).alias("doc_id"), "ver", "n",
+        F.nullif(F.col("least.doc_id"), null_id).alias("rep_id"), F.col("least.ver").alias("rep_ver"),
     )
 
 

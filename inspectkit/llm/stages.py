@@ -39,17 +39,21 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the
-    smallest id.  Of repeated rows one stays; documents without words, and rows
-    without an id, stay.  Rows that share an id share its decision."""
-    groups = jaccard.components(docs, NEAR_SHINGLE, NEAR_NUM, NEAR_DEN)
-    gone = C.saved(groups.where("component_id <> doc_id or (doc_id is not null and component_id is null)").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    repeats = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
-    repeats = C.saved(repeats.select("doc_id"), "repeated-ids")
+    smallest id (none before all), of those the one with the least version.
+    Of repeated rows one stays; documents without words stay, each row of them
+    if it has no id either.  Versions are 64 bits here: an id, or no id, may be
+    that of any share of the rows."""
+    found = jaccard.decisions(docs, NEAR_SHINGLE, NEAR_NUM, NEAR_DEN)
+    stays = F.expr("n = 0 or (doc_id <=> rep_id and ver = rep_ver)").alias("stays")
+    decided = found.groupBy("doc_id", "ver", stays, F.expr("n > 0 or doc_id is not null").alias("once")).agg(F.count(F.lit(1)).alias("rows"))
+    decided = C.saved(decided.where("not stays or (once and rows > 1)"), "near-duplicates")
+    keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__ver": jaccard.version(F.col("text"))})
+    kept = _matched(keyed, decided.where("not stays").select("doc_id", "ver"), "left_anti")
+    repeats = decided.where("stays").select("doc_id", "ver")
     if repeats.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(docs.columns).unionByName(kept.join(repeats, "doc_id", "left_anti").select(docs.columns))
+    once = _matched(kept, repeats, "left_semi").dropDuplicates(["__doc", "text"])
+    return once.select(docs.columns).unionByName(_matched(kept, repeats, "left_anti").select(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,26 @@ def test_empty_table(spark):
     docs = data.empty(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def near(seed, change=()):
+    """A text of 200 words, and copies of it with some words changed."""
+    words = [f"w{seed}x{k}" for k in range(200)]
+    for k in change:
+        words[k] = f"changed{k}"
+    return " ".join(words)
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Each (id, text) has its own decision: of a group one row stays, whatever its id."""
+    rows = [
+        (0, near(1)), (1, near(1, [50])), (1, near(2)), (5, near(2, [7])),  # U of id 1 is its group's least
+        (1, near(3)), (1, near(4)), (1, near(4)),  # clean; clean and repeated
+        (None, near(5)), (None, near(5)), (None, near(5, [9])), (None, near(6)), (9, near(6, [3])),
+        (None, None), (None, None), (8, ""), (8, None), (8, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = data.pairs(stages.near_duplicates(spark, docs, SF))
+    sure = [(0, near(1)), (1, near(2)), (1, near(3)), (1, near(4)), (None, near(6)), (None, None), (None, None), (8, ""), (8, None)]
+    (one,) = [r for r in kept if r in rows[7:10]]
+    assert sorted(kept, key=repr) == sorted([*sure, one], key=repr)
