@@ -140,9 +140,8 @@ def with_messages(docs: DataFrame, blocks: int, messages: DataFrame, fn, schema:
     return blocked(docs, blocks).groupBy("dest").cogroup(messages.groupBy("dest")).applyInArrow(both, schema)
 
 
-def runs(batches, keys: tuple[str, ...]):
-    """Tables of the rows that share the keys, from batches sorted by them."""
-    held, last = [], None
+def pieces(batches, keys: tuple[str, ...]):
+    """(key values, slice of a batch) of neighbouring rows that share the keys."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -152,11 +151,17 @@ def runs(batches, keys: tuple[str, ...]):
             new[1:] |= c[1:] != c[:-1]
         cuts = [0, *np.flatnonzero(new), b.num_rows]
         for x, y in zip(cuts[:-1], cuts[1:]):
-            now = tuple(c[x] for c in cols)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(x, y - x))
-            last = now
+            yield tuple(c[x] for c in cols), b.slice(x, y - x)
+
+
+def runs(batches, keys: tuple[str, ...]):
+    """Tables of the rows that share the keys, from batches sorted by them."""
+    held, last = [], None
+    for now, piece in pieces(batches, keys):
+        if held and now != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(piece)
+        last = now
     if held:
         yield pa.Table.from_batches(held)

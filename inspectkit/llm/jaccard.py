@@ -32,7 +32,9 @@ Plan.
 4. Groups above ``block_members`` members or ``block_nodes`` nodes are cut
    into blocks.  Blocks are
    searched inside; then a few pivots of the group's largest component search
-   all blocks, and then every node still outside it does.
+   all blocks, and then every node still outside it searches the blocks with
+   which it shares an equal part or rest.  A task holds a block's lists, and
+   the searches pass by them.
 
 Defined cases.  Null and empty texts, and texts without words, have an empty
 set and link with nothing.  Null ids sort before all ids and come back as
@@ -414,20 +416,31 @@ def _inside(num: int, den: int):
     return run
 
 
+def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
+    raw, offsets = A.bytes_of(batch.column(batch.schema.get_field_index("members")))
+    return [raw[x:y].view(np.uint64) for x, y in zip(offsets[:-1], offsets[1:])]
+
+
 def _across(num: int, den: int):
-    """Searches of nodes (query = 1) in one block; edges between components."""
+    """Searches of nodes (query = 1) in one block; edges between components.
+    A block's index comes first and is held, its searches pass by."""
 
     def run(batches):
-        for t in C.runs(batches, ("grp", "blk")):
-            asked = t["query"].to_numpy()
-            index, ask = t.filter(pa.array(asked == 0)), t.filter(pa.array(asked == 1))
-            if not index.num_rows or not ask.num_rows:
+        block, held, lists = None, [], None
+        for (grp, blk, query), piece in C.pieces(batches, ("grp", "blk", "query")):
+            if (grp, blk) != block:
+                block, held, lists = (grp, blk), [], None
+            if query == 0:
+                held.append(piece)
+                continue
+            if not held and lists is None:
                 continue
-            comp = index["comp"].to_numpy()
-            lists = Lists([np.frombuffer(s, np.uint64) for s in index["members"].to_pylist()])
+            if lists is None:
+                comp = np.concatenate([h.column(h.schema.get_field_index("comp")).to_numpy() for h in held])
+                lists, held = Lists([s for h in held for s in _views(h)]), []
             found = set()
-            for c, s in zip(ask["comp"].to_numpy(), ask["members"].to_pylist()):
-                for d in np.unique(comp[lists.linked(np.frombuffer(s, np.uint64), comp != c, num, den)]):
+            for c, s in zip(piece.column(piece.schema.get_field_index("comp")).to_numpy(), _views(piece)):
+                for d in np.unique(comp[lists.linked(s, comp != c, num, den)]):
                     found.add((int(c), int(d)))
             if found:
                 yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in sorted(found)], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
@@ -435,14 +448,36 @@ def _across(num: int, den: int):
     return run
 
 
+def _keys(num: int, den: int):
+    """(grp, blk, node, key): what a set shares with each set it links with."""
+
+    def run(batches):
+        for b in batches:
+            raw, offsets = A.bytes_of(b.column(b.schema.get_field_index("members")))
+            for x, y in A.slices(offsets, A.SLICE_BYTES // 4):
+                value, first = raw[offsets[x] : offsets[y]].view(np.uint64), (offsets[x : y + 1] - offsets[x]) // 8
+                key, row = (rests if num < SPARSE * den else signatures)(value, first, num, den)
+                of = [b.column(b.schema.get_field_index(c)).slice(x, y - x).take(pa.array(row)) for c in ("grp", "blk", "node")]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(key.view(np.int64))], names=["grp", "blk", "node", "key"])
+
+    return run
+
+
 def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     roots = graph.components(edges).select(F.col("node").alias("comp"), "root")
     return labels.join(roots, "comp", "left").select("grp", "blk", "node", F.coalesce("root", "comp").alias("comp"))
 
 
+def _routes(chosen: DataFrame, keys: DataFrame) -> DataFrame:
+    """(grp, blk, node): the blocks that hold a key of a chosen node."""
+    own = chosen.select("grp", "node").join(keys.select("grp", "node", "key"), ["grp", "node"])
+    return own.join(keys.select("grp", "blk", "key").distinct(), ["grp", "key"]).select("grp", "blk", "node").distinct()
+
+
 def _between_blocks(sets: DataFrame, labels: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
     """Links across the blocks of large groups: pivots first, then outsiders."""
     blocks = labels.select("grp", "blk").distinct()
+    keys = C.saved(sets.mapInArrow(_keys(num, den), "grp long, blk long, node long, key long"), "keys")
     for pivots_only in (True, False):
         sizes = labels.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
         leader = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("leader"))
@@ -452,10 +487,14 @@ def _between_blocks(sets: DataFrame, labels: DataFrame, tasks: int, num: int, de
             chosen = marked.where("comp = leader").withColumn("k", order).where(F.col("k") <= PIVOTS)
         else:
             chosen = marked.where("comp <> leader")
-        asks = chosen.select("grp", "node", "comp").join(sets.select("grp", "node", "members"), ["grp", "node"])
-        asks = asks.join(blocks, "grp").select("grp", "blk", F.lit(1).alias("query"), "comp", "members")
+        asks = chosen.select("grp", "node", "comp")
+        if pivots_only:
+            asks = asks.join(blocks, "grp")
+        else:  # to the blocks that hold one of its keys
+            asks = asks.join(_routes(chosen, keys), ["grp", "node"])
+        asks = asks.join(sets.select("grp", "node", "members"), ["grp", "node"]).select("grp", "blk", F.lit(1).alias("query"), "comp", "members")
         index = sets.join(labels.select("node", "comp"), "node").select("grp", "blk", F.lit(0).alias("query"), "comp", "members")
-        rows = index.union(asks).repartition(tasks, "grp", "blk").sortWithinPartitions("grp", "blk")
+        rows = index.union(asks).repartition(tasks, "grp", "blk").sortWithinPartitions("grp", "blk", "query")
         labels = C.saved(_relabel(labels, rows.mapInArrow(_across(num, den), "u long, v long")), "labels")
     return labels
 

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inspectkit.llm import graph, jaccard
@@ -47,6 +48,30 @@ def test_groups_in_blocks(spark):
     assert got(df, 1, 60, block_members=20) == brute(rows, 1, 60)
 
 
+def test_searches_pass_by_a_block():
+    """Across blocks, each batch of searches is answered before the next is read."""
+    rng = np.random.default_rng(11)
+    sets = [np.sort(rng.integers(0, 1 << 60, 40).astype(np.uint64)) for _ in range(20)]
+    read = []
+
+    def batches():
+        for query, start in [(0, 0), (1, 100), (1, 200), (1, 300)]:
+            read.append(start)
+            rows = [{"grp": 1, "blk": 0, "query": query, "comp": start + i, "members": s.tobytes()} for i, s in enumerate(sets)]
+            yield pa.RecordBatch.from_pylist(rows)
+
+    for k, out in enumerate(jaccard._across(80, 100)(batches())):
+        assert len(read) == k + 2
+        assert out.to_pylist() == [{"u": 100 * (k + 1) + i, "v": i} for i in range(20)]
+    assert k == 2
+
+
+def test_searches_go_where_a_key_is_shared(spark):
+    keys = spark.createDataFrame([(1, 0, 10, 7), (1, 1, 11, 7), (1, 1, 12, 7), (1, 2, 13, 8), (2, 5, 14, 7)], "grp long, blk long, node long, key long")
+    to = jaccard._routes(spark.createDataFrame([(1, 10), (1, 13)], "grp long, node long"), keys)
+    assert sorted(map(tuple, to.collect())) == [(1, 0, 10), (1, 1, 10), (1, 2, 13)]
+
+
 def test_edge_rows(spark):
     df = data.documents(spark)
     assert got(df) == brute(data.pairs(df))
