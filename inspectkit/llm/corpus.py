@@ -40,6 +40,19 @@ def versioned(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int").alias("ver"), "text")
 
 
+def labelled(docs: DataFrame, chosen: DataFrame, sample_rows: int) -> DataFrame:
+    """(text, label) of the rows of ``docs`` with a chosen (doc_id, label): one
+    row per distinct (doc_id, text), label; at most ``sample_rows``, by a hash."""
+    docs = texts(docs).select("doc_id", F.xxhash64("text").alias("ver"), "text").join(F.broadcast(chosen), "doc_id")
+    key = ["doc_id", "ver", "label"]
+    keys = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("doc_id", "ver"), *key).limit(sample_rows)
+    keys = saved(keys, "labelled-keys")
+    rows = docs.join(F.broadcast(keys), key)
+    if not keys.where("n > 1").isEmpty():
+        rows = rows.where("n = 1").union(rows.where("n > 1").dropDuplicates(key))
+    return saved(rows.select("text", "label"), "labelled")
+
+
 def measure(docs: DataFrame) -> tuple[int, int]:
     """(rows, UTF-8 bytes) of the texts: one aggregate row for sizing."""
     n, b = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()

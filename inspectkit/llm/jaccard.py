@@ -499,6 +499,15 @@ def _between_blocks(sets: DataFrame, labels: DataFrame, tasks: int, num: int, de
     return labels
 
 
+def _representatives(ids: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """The text of each wanted node, once: rows that share an id are told apart
+    by version, and of a repeated row one is taken."""
+    found = ids.join(wanted, ["doc_id", "ver"])
+    if not repeated:
+        return found
+    return found.where("copies = 1").union(found.where("copies > 1").dropDuplicates(["node"]))
+
+
 def version(text: Column) -> Column:
     """All 64 hash bits of a text, null as empty: one id may be that of many rows."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
@@ -519,8 +528,10 @@ def decisions(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int
     tasks = C.partitions(spark, size)
     with C.shuffle_cleanup(spark):
         rows = C.saved(docs.mapInArrow(_scan(shingle), "doc_id long, ver long, n long, node long"), "sets")
-        classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "ver")).alias("rep"), F.first("n").alias("n"))
-        ids = docs.select(F.coalesce("doc_id", F.lit(int(A.NULL_ID))).alias("doc_id"), "text")
+        copies = rows.where("n > 0").groupBy("node", "doc_id", "ver", "n").agg(F.count(F.lit(1)).alias("copies"))
+        classes = C.saved(copies.groupBy("node", "n").agg(F.min(F.struct("doc_id", "ver", "copies")).alias("rep")), "classes")
+        repeated = not classes.where("rep.copies > 1").isEmpty()
+        ids = docs.select(F.coalesce("doc_id", F.lit(int(A.NULL_ID))).alias("doc_id"), "ver", "text")
         stored = None
         if num < SPARSE * den:
             found = docs.mapInArrow(_members_of(shingle, tasks), A.packed_schema(*_MEMBER)).repartitionById(tasks, "dest")
@@ -528,8 +539,8 @@ def decisions(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int
             shared = C.saved(found.mapInArrow(_summed, "node long, shared long"), "shared")
             # equal sets in several slices share all members; more sets is safe
             able = C.saved(classes.join(shared, "node").where(F.col("shared") * den >= F.col("n") * num), "able")
-            able = able.select("node", "rep.doc_id")
-            stored = ids.join(able, "doc_id").select("node", "text").mapInArrow(_set_rows(shingle), "node long, members binary")
+            able = able.select("node", "rep.*")
+            stored = _representatives(ids, able, repeated).select("node", "text").mapInArrow(_set_rows(shingle), "node long, members binary")
             stored = C.saved(stored, "able-sets")
             stars = stored.mapInArrow(_rests(num, den, tasks), A.packed_schema("key", "node", "peer"))
         else:
@@ -543,8 +554,8 @@ def decisions(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int
         placed = placed.join(cut, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("blk"), "node", "rep", "blocks")
         many = placed.where("blocks > 1").select("grp").distinct()
         if stored is None:
-            wanted = placed.select("grp", "blk", "node", "rep.doc_id")
-            sets = ids.join(wanted, "doc_id").select("grp", "blk", "node", "text").mapInArrow(_set_rows(shingle, "grp", "blk"), "grp long, blk long, node long, members binary")
+            wanted = placed.select("grp", "blk", "node", "rep.*")
+            sets = _representatives(ids, wanted, repeated).select("grp", "blk", "node", "text").mapInArrow(_set_rows(shingle, "grp", "blk"), "grp long, blk long, node long, members binary")
         else:
             sets = stored.join(placed.select("grp", "blk", "node"), "node").select("grp", "blk", "node", "members")
         sets = sets.repartition(tasks, "grp", "blk").sortWithinPartitions("grp", "blk")

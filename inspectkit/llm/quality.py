@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample_rows:
     docs = C.texts(docs)
     chosen = labels.where("doc_id is not null and quality is not null").select(labels["doc_id"].cast("long").alias("doc_id"), (labels["quality"] > 0).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = C.saved(docs.join(F.broadcast(chosen), "doc_id").select("text", "label"), "labelled")
+    rows = C.labelled(docs, chosen, sample_rows)
     raw, target = counts(docs, buckets), counts(rows.where("label"), buckets)
     if not target.sum():
         return Model(np.zeros(buckets), 0.0)

@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     spark = docs.sparkSession
     chosen = labels.where("doc_id is not null and toxic is not null").select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] > 0).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = C.saved(C.texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "label"), "labelled")
+    rows = C.labelled(docs, chosen, sample_rows)
     n, toxic = rows.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("long"))).first()
     toxic = toxic or 0
     if not toxic or toxic == n:

@@ -134,3 +134,12 @@ def test_graph_components(spark):
     found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert {n for n, r in found.items() if r == 1} == set(range(1, 41)) and found[103] == found[101] == 100
     assert graph.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_representatives_of_a_hot_id(spark):
+    """A node meets its own row only, once, though many rows have that id."""
+    rows = [(None, 1, "a")] * 3 + [(None, v, f"t{v}") for v in range(2, 50)] + [(4, 9, "b")]
+    ids = spark.createDataFrame([(-1 if d is None else d, v, t) for d, v, t in rows], "doc_id long, ver long, text string")
+    wanted = spark.createDataFrame([(100, -1, 1, 3), (101, -1, 7, 1), (102, 4, 9, 1)], "node long, doc_id long, ver long, copies long")
+    found = jaccard._representatives(ids, wanted, True).select("node", "text")
+    assert sorted(map(tuple, found.collect())) == [(100, "a"), (101, "t7"), (102, "b")]

@@ -93,3 +93,13 @@ def test_kth_largest(spark, k, monkeypatch):
 def test_ties_are_all_taken(spark):
     rows = spark.range(1000).select(F.lit(1.5).alias("key"))
     assert quality.kth_largest(rows.union(rows).union(rows).union(rows).union(rows).union(rows), "key", 10) == 1.5
+
+
+def test_sample_of_labelled_rows_is_bounded(spark):
+    """Rows of a hot labelled id count one for each text, and are bounded too."""
+    rows = [(1, f"text {i % 30}") for i in range(300)] + [(2, "other"), (3, "not labelled")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    chosen = spark.createDataFrame([(1, True), (1, True), (2, False)], "doc_id long, label boolean")
+    assert C.labelled(docs, chosen, 10).count() == 10
+    every = [tuple(r) for r in C.labelled(docs, chosen, 1000).collect()]
+    assert sorted(every) == sorted([(f"text {i}", True) for i in range(30)] + [("other", False)])
