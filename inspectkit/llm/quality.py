@@ -25,8 +25,8 @@ Plan.  Two maps over the texts (counts, weights).  The k-th largest key is
 found by counting keys in ever finer bins, each a small aggregate; keys never
 gather in one place.
 
-Defined cases.  Null and empty texts have no n-grams, a weight of 0 and are
-above the cut.  Rows tied with the k-th key are all taken, repeated rows
+Defined cases.  Null and empty texts have no n-grams, a weight of 0, no prior
+and are above the cut.  Rows tied with the k-th key are all taken, repeated rows
 alike.  Null ids are scored like others.  Without labelled target rows all
 weights are 0.  An empty table gives an empty result; further columns are
 ignored.
@@ -202,7 +202,8 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
 def resample(docs: DataFrame, model: Model, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
     """doc_id, ver, n_grams, log_weight, key and selected of every row: the k
     (by default as many as lie above the cut) largest keys are selected."""
-    margin = F.col("log_weight") - F.lit(model.cut) * F.col("n_grams") + F.lit(model.prior)
+    prior = F.when(F.col("n_grams") > 0, F.lit(model.prior)).otherwise(F.lit(0.0))
+    margin = F.col("log_weight") - F.lit(model.cut) * F.col("n_grams") + prior
     rows = weigh(docs, model).withColumn("margin", margin)
     rows = C.saved(rows.withColumn("key", F.col("margin") / F.lit(temperature) + _gumbel()), "weights")
     if k is None:

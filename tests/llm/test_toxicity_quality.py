@@ -103,3 +103,15 @@ def test_sample_of_labelled_rows_is_bounded(spark):
     assert C.labelled(docs, chosen, 10).count() == 10
     every = [tuple(r) for r in C.labelled(docs, chosen, 1000).collect()]
     assert sorted(every) == sorted([(f"text {i}", True) for i in range(30)] + [("other", False)])
+
+
+def test_texts_without_n_grams_among_mostly_bad_labels(spark):
+    """The labelled shares say nothing about a text that has no n-grams."""
+    rows = [(i, f"clean words about rivers and hills number {i} " * 5) for i in range(4)]
+    rows += [(i, f"buy now !!! $$$ cheap {i} " * 9) for i in range(4, 40)] + [(40, None), (41, ""), (42, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model.prior < -1
+    kept = {r.doc_id for r in quality.resample(docs, model).where("selected").collect()}
+    assert kept == {0, 1, 2, 3, 40, 41, 42}
