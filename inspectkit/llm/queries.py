@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inspectkit.llm import bpe, contamination, jaccard, quality, sharding, substring, suffix, topk, toxicity, warc
+from inspectkit.llm import bpe, contamination, copies, jaccard, quality, sharding, substring, suffix, topk, toxicity, warc
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_substring_dedup": substring.query,
     "op9_exact_topk": topk.query,
     "op10_warc": warc.query,
+    "op13_exact_dedup": copies.query,
 }
 
 ORACLE_SQL = {
     "op8_substring_dedup": substring.SQL,
     "op9_exact_topk": topk.SQL,
     "op10_warc": warc.SQL,
+    "op13_exact_dedup": copies.SQL,
 }
