@@ -102,8 +102,9 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
-    """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts.
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray = _SEPARATOR):
+    """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts, or the runs of bytes
+    that ``apart`` (a flag per byte) does not separate.
 
     Returns (starts, ends, hashes, first): byte spans, 64-bit hashes of the
     words (ASCII upper case folded if ``lower``) and, for each text, the index
@@ -111,7 +112,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
     n = len(raw)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    letter = ~_SEPARATOR[raw]
+    letter = ~apart[raw]
     begins = letter.copy()
     begins[1:] &= ~letter[:-1]
     cuts = offsets[(offsets > 0) & (offsets < n)]
@@ -128,6 +129,8 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
     longest = int((ends - starts).max())
     np.minimum(place, longest, out=place)
     table = _WORD_LOWER_BYTE if lower else _WORD_BYTE
+    if apart is not _SEPARATOR:
+        table = np.where(apart, np.uint64(0), _LOWER_BYTE if lower else _BYTE)
     h = np.add.reduceat(table[raw[starts[0] :]] * powers(longest + 1)[place], starts - starts[0])
     return starts, ends, mix(h + (ends - starts).astype(np.uint64) * _K3), first
 
