@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inspectkit.llm import bpe, contamination, copies, jaccard, quality, search, sharding, substring, suffix, topk, toxicity, warc
+from inspectkit.llm import bpe, contamination, copies, jaccard, quality, search, sharding, spelling, substring, suffix, topk, toxicity, warc
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring.query,
     "op9_exact_topk": topk.query,
     "op10_warc": warc.query,
+    "op11_spelling_variants": spelling.query,
     "op12_ranked_search": search.query,
     "op13_exact_dedup": copies.query,
 }
