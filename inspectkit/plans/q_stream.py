@@ -55,10 +55,19 @@ def q_append_batch(spark, sf_dir):
 SELECT count(*) AS "Rows", CAST(coalesce(sum(DefectCount), 0) AS BIGINT) AS Defects,
   round(coalesce(sum(CostImpact), 0.0), 4) AS COPQ FROM evfact"""))
 def q_stream_kpis(spark, sf_dir):
-    t = S.run_to_table(spark, S.stream_kpis(events_stream(spark, sf_dir)), "complete", "kpis")
+    t = S.run_to_table(spark, S.stream_kpis(events_stream(spark, sf_dir)), "update", "kpis")
     return rounded(t, money=("COPQ",))
 
 
+@register("stream_kpis_by_type", "ST2 keyed", with_events("""
+SELECT Defect_Type, count(*) AS "Rows", CAST(coalesce(sum(DefectCount), 0) AS BIGINT) AS Defects,
+  round(coalesce(sum(CostImpact), 0.0), 4) AS COPQ FROM evfact GROUP BY 1"""))
+def q_stream_kpis_by_type(spark, sf_dir):
+    """The rows that batches changed, upserted by defect type."""
+    kpis = S.stream_kpis(events_stream(spark, sf_dir), [C.DEFECT_TYPE])
+    return rounded(S.run_to_table(spark, kpis, "update", "kpis", [C.DEFECT_TYPE]), money=("COPQ",))
+
+
 _WM = """wm AS (SELECT max("Date") - INTERVAL 1 DAY AS wm FROM evfact)"""
 
 
@@ -103,18 +112,18 @@ WHERE n > 7 AND wn = 7 AND n % {_ALERT_DAYS} = 0 AND value > baseline + {_ALERT_
   FROM (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS period FROM daily_e) c
   LEFT JOIN daily_e ON c.period = daily_e.d)"""))
 def q_stream_alerts(spark, sf_dir):
-    """The events arrive in files of three days each, one file a micro-batch:
-    an alert for every batch whose last day spikes."""
-    prepare(spark)
-    events = read_table(spark, sf_dir, "events")
-    path = scratch_path(spark, "arrivals")
-    first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
-    nth = F.floor(F.datediff(F.to_date("ts"), F.lit(first)) / F.lit(_ALERT_DAYS))
-    for k in range((last - first).days // _ALERT_DAYS + 1):
-        events.where(nth == k).coalesce(1).write.mode("append").parquet(path)
-    sdf = S.stream_fact(spark, path, events.schema, to_raw=events_to_raw, max_files_per_trigger=1)
+    """Alerts on change, the rules evaluated after every third day.  A second
+    stream brings one heartbeat, a row without values two days after the last
+    event, as sources send to let the watermark pass their last day."""
+    events = events_stream(spark, sf_dir)
+    last = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    path = scratch_path(spark, "heartbeat")
+    beat = spark.range(1).select(F.lit(last).cast("timestamp").alias("ts"))
+    beat.select((F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias(C.DATE)).write.parquet(path)
+    beats = spark.readStream.schema(f"{C.DATE} timestamp").parquet(path)
     params = DEFAULT_PARAMS.with_(alert_copq_spike_threshold=_ALERT_SPIKE)
-    return rounded(S.stream_alerts(spark, sdf, params), money=("value",))
+    found = S.stream_alerts(spark, events.unionByName(beats, allowMissingColumns=True), params, _ALERT_DAYS)
+    return rounded(found.select("key", "message", "value", "epoch"), money=("value",))
 
 
 _STREAM_COLUMNS = ("event_id", "EventDate", "SupplierID", "DefectType", "Cost_Impact_SGD", "DefectCount",

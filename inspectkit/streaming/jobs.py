@@ -2,11 +2,13 @@
 
 The reference appends one fabricated row on a timer and recomputes every
 view over the whole table.  Here arriving files are the stream: rows are
-normalised statelessly (ST1), KPIs are a running aggregate (ST2), daily and
-7-day windows are event-time aggregates with a watermark (ST3, ST4; rows
-later than the watermark are dropped), alerts keep per-key state in tables and emit
-only on change (ST5), and the data-quality counts are added batch by batch
-(ST6).  Sinks are files in the shared checkpoint folder, one folder per
+normalised statelessly (ST1), KPIs are running aggregates of which a batch hands on
+only the rows it changed, upserted by key (ST2), daily sums are an event-time
+aggregate with a watermark (ST3; rows later than the watermark are dropped), the
+7-day windows are a second aggregate over the finished days (ST4), alerts on
+change keep their state per alert key (ST5, ``alert_state``), and the data-quality
+counts are a running aggregate too (ST6).  All state is Spark's own and belongs
+to the checkpoint.  Sinks are files in the shared checkpoint folder, one folder per
 micro-batch epoch written idempotently, so a restarted query that replays
 an epoch overwrites instead of duplicating.
 """
@@ -20,12 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inspectkit import columns as C
-from inspectkit.operators.alerts import KEY_COPQ_SPIKE, KEY_DEFECT_RATE
 from inspectkit.operators.kpis import copq_expr, defects_expr
 from inspectkit.operators.normalize import normalize
-from inspectkit.operators.report import missing_by_column
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
 from inspectkit.session import scratch_path
+from inspectkit.streaming.alert_state import start_alerts
 
 
 def stream_fact(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -49,14 +50,16 @@ def append_batch(table: DataFrame, batch: DataFrame) -> DataFrame:
     return table.unionByName(batch, allowMissingColumns=True)
 
 
-def stream_kpis(sdf: DataFrame) -> DataFrame:
-    """ST2: running Rows / Defects / COPQ / rate means (complete or update mode)."""
+def stream_kpis(sdf: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """ST2: running Rows / Defects / COPQ / rate means, per ``by`` key if given.
+    In update mode a batch hands on the keys it changed; ``run_to_table`` or
+    ``current_rows`` upsert them."""
     aggs = [F.count(F.lit(1)).alias("Rows"), defects_expr(sdf).alias("Defects"), copq_expr(sdf).alias("COPQ")]
     if C.has(sdf, C.ON_TIME_FLAG):
         aggs.append((F.avg(C.ON_TIME_FLAG) * 100.0).alias("OnTimeRate"))
     if C.has(sdf, C.DEFECT_RATE):
         aggs.append((F.avg(C.DEFECT_RATE) * 100.0).alias("DefectRatePct"))
-    return sdf.agg(*aggs)
+    return sdf.groupBy(*by).agg(*aggs)
 
 
 def stream_daily(sdf: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -69,98 +72,28 @@ def stream_daily(sdf: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def stream_copq_7d(sdf: DataFrame, delay: str = "1 day") -> DataFrame:
-    """ST4: 7-day COPQ sums sliding by one day, and their daily average."""
-    w = sdf.withWatermark(C.DATE, delay).groupBy(F.window(C.DATE, "7 days", "1 day").alias("w"))
-    return w.agg(copq_expr(sdf).alias("COPQ_7d")).select(
+    """ST4: 7-day COPQ sums sliding by one day, and their daily average.
+
+    Two chained stateful aggregates: rows are summed per day, and the finished
+    days (one row each) fall into seven windows, so no row is multiplied and
+    the first state holds one entry per open day."""
+    day = F.window(C.DATE, "1 day").alias("d")
+    days = sdf.withWatermark(C.DATE, delay).groupBy(day).agg(copq_expr(sdf).alias("cost"))
+    w = days.groupBy(F.window("d", "7 days", "1 day").alias("w")).agg(F.sum("cost").alias("COPQ_7d"))
+    return w.select(
         F.to_date(F.col("w.start")).alias("start_day"), F.to_date(F.col("w.end")).alias("end_day"),
         "COPQ_7d", (F.col("COPQ_7d") / 7.0).alias("COPQ_7d_avg"))
 
 
-ALERT_OUT = "key string, message string, value double"
+ALERT_OUT = "key string, message string, value double, day date, epoch int, emitted_at timestamp"
 
 
-def _read_or_none(spark: SparkSession, path: str):
-    from pyspark.sql.utils import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def stream_alerts_query(spark: SparkSession, sdf: DataFrame, base: str, params: QualityParams = DEFAULT_PARAMS,
-                        available_now: bool = True):
-    """ST5: after every micro-batch, evaluate the alert rules on everything
-    seen so far and emit an alert only if its message differs from the last
-    one emitted for that key.
-
-    State lives in tables under ``base`` (the shared checkpoint folder):
-    ``state/epoch=N`` is the per-day table (cost, rate sums) after batch N --
-    the previous state plus the batch's per-day partial sums, a distributed
-    aggregation -- ``last/epoch=N`` the last message of each key, and
-    ``alerts/epoch=N`` the alerts emitted by batch N.  A batch reads the
-    folders of the epoch before it, however many there are.
-    Each epoch overwrites only its own folders, so a replayed epoch after a
-    failure reproduces the same output.  The rules run on the per-day table
-    (bounded by the calendar) with the batch operators A1/A2.
-    """
-    from inspectkit.operators.alerts import MSG_COPQ_SPIKE, MSG_DEFECT_RATE, copq_spike_days
-    from inspectkit.operators.timeseries import VALUE, gap_filled
-
-    thr_rate = float(params.alert_defect_rate_threshold)
-    has_rate = C.has(sdf, C.DEFECT_RATE)
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        part = batch.filter(F.col(C.DATE).isNotNull()).groupBy(F.to_date(C.DATE).alias("day")).agg(
-            copq_expr(batch).alias("cost"),
-            (F.sum(C.DEFECT_RATE) if has_rate else F.lit(None)).cast("double").alias("rate_sum"),
-            (F.count(C.DEFECT_RATE) if has_rate else F.lit(0)).cast("bigint").alias("rate_n"),
-        )
-        # compacted state: the per-day table after the previous epoch (epoch
-        # numbers are consecutive, so exactly that folder is read) plus this
-        # batch's partials, written as this epoch's state (one row per day:
-        # bounded by the calendar, not by rows or epochs)
-        prev_days = _read_or_none(spark, f"{base}/state/epoch={epoch - 1}")
-        if prev_days is not None:
-            part = part.unionByName(prev_days)
-        days = part.groupBy("day").agg(F.sum("cost").alias("cost"), F.sum("rate_sum").alias("rate_sum"),
-                                       F.sum("rate_n").alias("rate_n"))
-        days.write.mode("overwrite").parquet(f"{base}/state/epoch={epoch}")
-        days = spark.read.parquet(f"{base}/state/epoch={epoch}")
-        rate = days.agg((F.sum("rate_sum") / F.nullif(F.sum("rate_n").cast("double"), F.lit(0.0)) * 100.0)
-                        .alias("value")).filter(F.col("value") > F.lit(thr_rate)).select(
-            F.lit(KEY_DEFECT_RATE).alias("key"),
-            F.format_string(MSG_DEFECT_RATE, F.col("value"), F.lit(repr(thr_rate))).alias("message"), "value")
-        series = gap_filled(days.withColumn("__d", F.col("day").cast("timestamp")), F.sum("cost"), "D",
-                            date_col="__d")
-        spike = copq_spike_days(None, params, series=series).filter(F.col("is_last")).select(
-            F.lit(KEY_COPQ_SPIKE).alias("key"),
-            F.format_string(MSG_COPQ_SPIKE, F.col(VALUE), F.col("baseline")).alias("message"),
-            F.col(VALUE).alias("value"))
-        current = rate.unionByName(spike)
-        # the last message of each key, carried along as state too
-        last = _read_or_none(spark, f"{base}/last/epoch={epoch - 1}")
-        if last is None:
-            last = spark.createDataFrame([], "key string, __last string")
-        joined = current.join(last, "key", "full")
-        joined.select("key", F.coalesce("message", "__last").alias("__last")).write.mode("overwrite").parquet(f"{base}/last/epoch={epoch}")
-        changed = joined.filter(F.col("message").isNotNull() & (F.col("__last").isNull() | (F.col("__last") != F.col("message"))))
-        # the epoch is the partition folder name (read back as a column)
-        changed.select("key", "message", "value").write.mode("overwrite").parquet(f"{base}/alerts/epoch={epoch}")
-
-    w = sdf.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(sink)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    return w.start()
-
-
-def stream_alerts(spark: SparkSession, sdf: DataFrame, params: QualityParams = DEFAULT_PARAMS) -> DataFrame:
-    """Run ST5 to the end of the available input; the emitted alerts."""
+def stream_alerts(spark: SparkSession, sdf: DataFrame, params: QualityParams = DEFAULT_PARAMS, every: int = 1) -> DataFrame:
+    """Run ST5 to the end of the available input; the emitted alerts with the
+    time of their emission (the alert history)."""
     base = scratch_path(spark, "alerts")
-    stream_alerts_query(spark, sdf, base, params).awaitTermination()
-    out = _read_or_none(spark, f"{base}/alerts")
-    if out is None:
-        return spark.createDataFrame([], ALERT_OUT + ", epoch int")
-    return out
+    start_alerts(sdf, f"{base}/out", f"{base}/ckpt", params, every).awaitTermination()
+    return spark.read.schema(ALERT_OUT).parquet(f"{base}/out")
 
 
 def write_epochs(sdf: DataFrame, out: str, checkpoint: str, mode: str = "append", name: str | None = None,
@@ -177,45 +110,47 @@ def write_epochs(sdf: DataFrame, out: str, checkpoint: str, mode: str = "append"
     return w.start()
 
 
-def run_to_table(spark: SparkSession, sdf: DataFrame, mode: str = "append", tag: str = "stream") -> DataFrame:
+def current_rows(changes: DataFrame, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Upsert the rows of all epochs by key: of each key those of its last epoch."""
+    last = changes.groupBy(*keys).agg(F.max("epoch").alias("__e"))
+    if not keys:
+        return changes.join(F.broadcast(last), F.col("epoch") == F.col("__e")).drop("__e", "epoch")
+    for k in keys:
+        last = last.withColumnRenamed(k, f"__k_{k}")
+    same = [changes[k].eqNullSafe(last[f"__k_{k}"]) for k in keys]
+    return changes.join(last, [*same, changes["epoch"] == last["__e"]], "left_semi").drop("epoch")
+
+
+def run_to_table(spark: SparkSession, sdf: DataFrame, mode: str = "append", tag: str = "stream",
+                 keys: list[str] | tuple[str, ...] = (), base: str | None = None) -> DataFrame:
     """Run ``sdf`` with ``availableNow`` to completion and return what the
-    sink holds: every epoch for append mode, the last epoch for complete mode."""
-    base = scratch_path(spark, tag)
+    sink holds: every epoch for append mode, the current row of each key for update mode,
+    the last epoch for complete mode.  ``base``: folder to go on from."""
+    base = base or scratch_path(spark, tag)
     q = write_epochs(sdf, f"{base}/out", f"{base}/ckpt", mode)
     q.awaitTermination()
-    from pyspark.sql.utils import AnalysisException
-
-    try:
-        res = spark.read.parquet(f"{base}/out")
-    except AnalysisException:
+    if not _has_epochs(spark, f"{base}/out"):
         return spark.createDataFrame([], sdf.schema)
-    if mode == "complete":
-        last = res.agg(F.max("epoch").alias("__e"))
-        res = res.join(F.broadcast(last), F.col("epoch") == F.col("__e")).drop("__e")
-    return res.drop("epoch")
+    schema = T.StructType([*sdf.schema.fields, T.StructField("epoch", T.IntegerType())])
+    res = spark.read.schema(schema).parquet(f"{base}/out")
+    if mode == "append":
+        return res.drop("epoch")
+    return current_rows(res, keys if mode == "update" else ())
 
 
-def stream_quality_report(spark: SparkSession, sdf: DataFrame) -> DataFrame:
-    """ST6: data-quality counts rebuilt per arrival: the totals after the epoch
-    before (one folder) plus the batch's counts (rows, NULLs per column).
-    Duplicates need the whole table and are left to the batch report."""
-    base = scratch_path(spark, "dq")
+def _has_epochs(spark: SparkSession, path: str) -> bool:
+    """Has the sink written any batch?  A stream without data writes none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        counts = missing_by_column(batch).drop("missing_frac").crossJoin(F.broadcast(batch.agg(F.count(F.lit(1)).alias("rows"))))
-        before = _read_or_none(spark, f"{base}/out/epoch={epoch - 1}")
-        if before is not None:
-            counts = counts.unionByName(before).groupBy("seq", "column").agg(F.sum("missing").alias("missing"), F.sum("rows").alias("rows"))
-        counts.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
-        batch.unpersist()
-        done.append(epoch)
-
-    done: list[int] = []
-    q = (sdf.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(sink)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    total = spark.read.parquet(f"{base}/out/epoch={max(done)}")
-    return total.select(
-        "seq", "column", "missing", "rows",
-        (F.col("missing").cast("double") / F.nullif(F.col("rows").cast("double"), F.lit(0.0))).alias("missing_frac"))
+
+def stream_quality_report(spark: SparkSession, sdf: DataFrame) -> DataFrame:
+    """ST6: rows and NULLs per column as a running aggregate (one state row);
+    a stream without data gives no rows.  Duplicates need the whole table and
+    are left to the batch report."""
+    counts = [F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"__{i}") for i, c in enumerate(sdf.columns)]
+    total = run_to_table(spark, sdf.agg(F.count(F.lit(1)).alias("rows"), *counts), "update", "dq")
+    names = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(c).alias("column"), F.col(f"__{i}").alias("missing")) for i, c in enumerate(sdf.columns)])
+    long = total.select("rows", F.explode(names).alias("c")).select("c.seq", "c.column", "c.missing", "rows")
+    share = F.col("missing").cast("double") / F.nullif(F.col("rows").cast("double"), F.lit(0.0))
+    return long.withColumn("missing_frac", share)

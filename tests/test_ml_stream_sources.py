@@ -87,23 +87,6 @@ def _write_batches(spark, folder, batches):
             .write.mode("overwrite").parquet(os.path.join(folder, f"b{i}"))
 
 
-def test_stream_alerts_emit_only_on_change(spark):
-    folder = tempfile.mkdtemp(prefix="inspectkit-stream-")
-    base = [(ts(2024, 1, 1 + i), 0.0, 0.01) for i in range(8)]
-    spike = [(ts(2024, 1, 9), 20000.0, 0.01)]
-    quiet = [(ts(2024, 1, 10), 0.0, 0.01)]
-    _write_batches(spark, folder, [base, spike, quiet])
-    schema = "Date timestamp, CostImpact double, DefectRate double"
-    from pyspark.sql import types as T  # noqa: F401
-
-    sch = spark.createDataFrame([], schema).schema
-    sdf = S.stream_fact(spark, folder + "/*/", sch, max_files_per_trigger=1)
-    out = S.stream_alerts(spark, sdf).orderBy("epoch").collect()
-    keys = [(r.key, r.epoch) for r in out]
-    # the spike appears once (epoch 1); the defect rate 1% never crosses 5%
-    assert keys == [("copq_spike", 1)]
-
-
 def test_stream_daily_equals_batch(spark):
     from inspectkit.operators.timeseries import trend_by_period
     from inspectkit.plans.q_stream import events_stream
@@ -156,21 +139,6 @@ def test_stream_restart_on_same_checkpoint_adds_nothing(spark):
     assert out.count() == out.select("day").distinct().count() > 0
 
 
-def test_stream_alert_replay_is_idempotent(spark):
-    folder = tempfile.mkdtemp(prefix="inspectkit-replay-")
-    _write_batches(spark, folder, [[(ts(2024, 1, 1 + i), 0.0, 0.01) for i in range(8)],
-                                   [(ts(2024, 1, 9), 20000.0, 0.01)]])
-    sch = spark.createDataFrame([], "Date timestamp, CostImpact double, DefectRate double").schema
-    from inspectkit.session import scratch_path
-
-    base = scratch_path(spark, "alerts-replay")
-    for _ in range(2):
-        sdf = S.stream_fact(spark, folder + "/*/", sch, max_files_per_trigger=1)
-        S.stream_alerts_query(spark, sdf, base).awaitTermination()
-    alerts = spark.read.parquet(f"{base}/alerts").collect()
-    assert [(a.key, a.epoch) for a in alerts] == [("copq_spike", 1)]
-
-
 def test_flagged_share_with_identical_rows(spark):
     """A third of equal rows is drawn in its share: about the contamination is
     flagged, whatever the seed."""
@@ -191,21 +159,6 @@ def test_forest_pool_draws_equal_rows_in_their_share(spark):
     assert psi == 50 and nodes.select("tree_id").distinct().count() == 10
 
 
-def test_stream_state_reads_one_epoch(spark, tmp_path):
-    """Each batch reads the epoch before it only: older folders may be gone."""
-    import shutil
-
-    src, base = str(tmp_path / "in"), str(tmp_path / "state")
-    for k in range(5):
-        spark.createDataFrame([(ts(2024, 1, k + 1), 10.0 * k)], "Date timestamp, CostImpact double").coalesce(1).write.mode("append").parquet(src)
-        sdf = S.stream_fact(spark, src, spark.read.parquet(src).schema)
-        S.stream_alerts_query(spark, sdf, base).awaitTermination()
-        if k > 1:
-            shutil.rmtree(f"{base}/state/epoch={k - 2}")
-    last = spark.read.parquet(f"{base}/state/epoch=4").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("c")).first()
-    assert (last.n, last.c) == (5, 100.0)
-
-
 def test_session_keeps_the_launchers_settings(spark):
     from inspectkit.session import get_session
 
