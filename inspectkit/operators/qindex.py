@@ -1,10 +1,11 @@
 """Composite quality index, its statistics, histogram and series.
 
-X1 needs two quantiles per part column.  They come from ONE aggregation
-(per group when ``by`` is given); the 1-row result is broadcast-joined back
-(its size is one row, a proven bound) and the index is plain arithmetic in
+X1 needs two quantiles per part column.  All columns share the passes of
+``quantiles.column_quantiles``; the few numbers found enter the plan as literals
+(per group, they are joined by the group key) and the index is plain arithmetic in
 the same codegen stage as the scan.  After winsorising, min = q_lo and
-max = q_hi exactly, so no second pass over the data is needed.
+max = q_hi exactly.  X2 and X3 write the index, one narrow column, before they
+count over it, so no predicate carries the index expression.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from inspectkit import columns as C
 from inspectkit.operators.seriesidx import downsample_rows
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
-from inspectkit.session import empty
+from inspectkit.operators.quantiles import column_quantiles, exact_quantiles, quantile_columns
+from inspectkit.session import empty, written
 
 INDEX = "QualityIndex"
 
@@ -52,6 +54,7 @@ def quality_index(
     params: QualityParams = DEFAULT_PARAMS,
     by: list[str] | tuple[str, ...] = (),
     name: str = INDEX,
+    stored: bool = False,
 ) -> DataFrame:
     """Add the 0-100 composite index as column ``name``.
 
@@ -60,16 +63,19 @@ def quality_index(
     quantiles, min-max scale, flip when lower is better, clip to 0..1; a
     constant or all-NULL part is 0.5 on every row; mean over non-NULL parts
     times 100; NULL when no part is non-NULL.  Statistics are per ``by`` group.
+    ``stored``: df is a written table, so its columns need no copy for the passes.
     """
     by = list(by)
     parts = [(c, hb) for c, hb in C.QUALITY_INDEX_PARTS if C.has(df, c)]
     if not parts:
         return df.withColumn(name, F.lit(None).cast("double"))
     lo_p, hi_p = params.quality_index_winsor_limits
-    if params.quality_index_winsorize and _method(params) == "two_pass":
-        from inspectkit.operators.quantiles import quantile_columns
-
-        qc = quantile_columns(df, [c for c, _ in parts], [lo_p, hi_p], by, 10000)
+    literal = params.quality_index_winsorize and _method(params) == "two_pass" and not by
+    if literal:
+        found = column_quantiles(df, [c for c, _ in parts], [lo_p, hi_p], stored=stored)
+        j = df.select("*", *[F.lit(found[c][e]).cast("double").alias(f"__{end}{i}") for i, (c, _) in enumerate(parts) for e, end in enumerate(("lo", "hi"))])
+    elif params.quality_index_winsorize and _method(params) == "two_pass":
+        qc = quantile_columns(df, [c for c, _ in parts], [lo_p, hi_p], by)
         stats = qc.select(*by, *[x for i, (c, _) in enumerate(parts) for x in (
             F.col(f"{c}_q0").alias(f"__lo{i}"), F.col(f"{c}_q1").alias(f"__hi{i}"))])
     else:
@@ -86,7 +92,8 @@ def quality_index(
             *[x for i in range(len(parts)) for x in (
                 F.col(f"__q{i}")[0].alias(f"__lo{i}"), F.col(f"__q{i}")[1].alias(f"__hi{i}"))],
         )
-    j = join_stats(df, stats, by)
+    if not literal:
+        j = join_stats(df, stats, by)
     # staged projections: every sub-expression is a column used by the next
     # stage, so Catalyst keeps it computed once instead of inlining it into
     # each CASE branch (one huge expression would exceed codegen limits)
@@ -120,22 +127,20 @@ def quality_index(
 def quality_index_stats(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, by=()) -> DataFrame:
     """Mean, median, min, max of the index (NULLs skipped)."""
     by = list(by)
-    q = quality_index(df, params, by)
+    parts = [c for c, _ in C.QUALITY_INDEX_PARTS if C.has(df, c)]
+    d = written(df.select(*by, *[c for c in parts if c not in by]), "index-parts")
+    q = written(quality_index(d, params, by, stored=True).select(*by, INDEX), "index")
     v = F.col(INDEX)
-    aggs = [F.avg(v).alias("mean")]
-    two_pass = _method(params) == "two_pass"
-    if not two_pass:
-        aggs.append((F.percentile_approx(v, 0.5, params.approx_accuracy) if _method(params) == "approx"
-                     else F.percentile(v, 0.5)).cast("double").alias("median"))
-    aggs += [F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n")]
-    out = q.groupBy(*by).agg(*aggs) if by else q.agg(*aggs)
-    if two_pass:
-        from inspectkit.operators.quantiles import exact_quantiles
-
-        med = exact_quantiles(q, INDEX, [0.5], by).withColumnRenamed("q0", "median")
-        out = join_stats(out, med, by)
-        out = out.select(*by, "mean", "median", "min", "max", "n")
-    return out
+    aggs = [F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n")]
+    if _method(params) != "two_pass":
+        median = F.percentile_approx(v, 0.5, params.approx_accuracy) if _method(params) == "approx" else F.percentile(v, 0.5)
+        aggs.append(median.cast("double").alias("median"))
+    out = q.groupBy(*by).agg(*aggs)
+    if _method(params) == "two_pass" and by:
+        out = join_stats(out, exact_quantiles(q, INDEX, [0.5], by).withColumnRenamed("q0", "median"), by)
+    elif _method(params) == "two_pass":
+        out = out.withColumn("median", F.lit(column_quantiles(q, [INDEX], [0.5], stored=True)[INDEX][0]).cast("double"))
+    return out.select(*by, "mean", "median", "min", "max", "n")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
@@ -170,7 +175,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 def quality_index_histogram(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, bins: int = 20) -> DataFrame:
     """Histogram of the index."""
-    return histogram(quality_index(df, params), INDEX, bins)
+    return histogram(written(quality_index(df, params).select(INDEX), "index"), INDEX, bins)
 
 
 def quality_index_series(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, k: int | None = None) -> DataFrame:
