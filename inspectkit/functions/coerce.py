@@ -7,7 +7,7 @@ reference's coercions do, and stay inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,31 @@ def parse_date(col: str | Column, dtype: T.DataType, formats: tuple[str, ...] |
     return F.lit(None).cast("timestamp")
 
 
+#: Spellings a date column may have; at equal votes the earlier one is taken.
+DATE_FORMATS = (
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "MM-dd-yyyy", "yyyyMMdd",
+)
+
+
+def infer_date_formats(df: DataFrame, columns: list[str], formats: tuple[str, ...] = DATE_FORMATS) -> dict[str, str | None]:
+    """One format for each text column: the one that most of its values have, by
+    a vote of all rows in one aggregation (columns x formats counts); None where no value has any."""
+    votes = [F.count(F.try_to_timestamp(F.trim(F.col(f"`{c}`")), F.lit(f))).alias(f"n{i}_{k}")
+             for i, c in enumerate(columns) for k, f in enumerate(formats)]
+    row = df.agg(*votes).first() if columns else {}
+    out = {}
+    for i, c in enumerate(columns):
+        counts = [row[f"n{i}_{k}"] for k in range(len(formats))]
+        out[c] = formats[counts.index(max(counts))] if max(counts) else None
+    return out
+
+
+def parse_date_as(col: str | Column, fmt: str | None) -> Column:
+    """Timestamps of the values that have the one format; others are NULL."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.try_to_timestamp(F.trim(c), F.lit(fmt)) if fmt else F.lit(None).cast("timestamp")
+
+
 def safe_divide(num: Column, den: Column) -> Column:
     """``num / den`` with NULL for a zero or NULL denominator (no ANSI error)."""
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))

@@ -1,25 +1,33 @@
 """Defect classifier (Spark ML random forest), stratified split,
-feature importances per source column, and scoring.
+feature importances per source column, a store of trained models, and scoring.
 
 The split is exact per class and repeatable without a per-class window
 (a hot class would put a third of the table in one task): rows are ranked
 by (class, row hash) with the range-partition offsets of ``seriesidx``,
 and each class's first round(frac * n_class) rows go to the test side.
+
+A trained model is kept in the shared folder under a name made from the
+table's version (its files, their sizes and times), the columns and the
+parameters: a table is trained on once per version, and importances and
+predictions, of batches and streams, come from the stored model.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inspectkit.functions import is_numeric_type
 from inspectkit.operators.seriesidx import with_global_index
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
+from inspectkit.session import checkpoint_dir, written
 
 LABEL = "__label_text"
 
@@ -29,6 +37,8 @@ ERROR_TARGET_IS_FEATURE = "Target column cannot also be a feature"
 ERROR_MISSING = "Missing columns: "
 ERROR_NO_TARGET = "Target column contains only missing values."
 
+MOST_LEVELS = 30  # Spark's forest grows no deeper
+
 
 @dataclass
 class ClassifierResult:
@@ -101,10 +111,14 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
 
     Refused: no features, target among features, missing columns, a target
     without values.  Numeric features are imputed (mean / median /
-    mode); text features are indexed as nominal features with an extra
-    category for unseen or NULL values (the forest's categorical splits
-    replace one-hot columns).  No scaling: tree splits are scale-free.
+    mode); text features become one-hot slots, one per value and one for
+    NULL and values not seen in training.  No scaling: tree splits are scale-free.
+    The prepared vectors are written once; every pass of the forest reads those.
     """
+    if not 0 < params.model_test_size < 1:
+        raise ValueError(f"the share of test rows must lie between 0 and 1, not {params.model_test_size}")
+    if not 0 < params.classifier_max_depth <= MOST_LEVELS:
+        raise ValueError(f"a forest has 1 to {MOST_LEVELS} levels, not {params.classifier_max_depth}")
     if not features:
         return ClassifierResult(False, ERROR_NO_FEATURES)
     if target in features:
@@ -122,68 +136,116 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
     d = d.select(*[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat],
                  LABEL)
     train, test = stratified_split(d, LABEL, params.model_test_size, params.random_state)
-    # every tree level is a pass over the training data: dealt out evenly, a
-    # partition per task slot or more
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    train = train.repartition(tasks)
-
     stages = []
-    num_out = []
     if num:
-        imp = Imputer(inputCols=num, outputCols=[f"__imp_{c}" for c in num],
-                      strategy=_impute_strategy(params.classifier_impute_strategy))
-        stages.append(imp)
-        num_out = [f"__imp_{c}" for c in num]
-    cat_out = []
+        stages.append(Imputer(inputCols=num, outputCols=[f"__imp_{c}" for c in num],
+                              strategy=_impute_strategy(params.classifier_impute_strategy)))
     if cat:
-        # indexed text features stay nominal (category metadata flows through
-        # the assembler), so the forest splits on category sets natively; one
-        # extra index holds NULL and unseen values
         stages.append(StringIndexer(inputCols=cat, outputCols=[f"__idx_{c}" for c in cat], handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        cat_out = [f"__idx_{c}" for c in cat]
-    label_idx = StringIndexer(inputCol=LABEL, outputCol="__y", handleInvalid="keep", stringOrderType="alphabetAsc")
-    stages.append(label_idx)
-    stages.append(VectorAssembler(inputCols=num_out + cat_out, outputCol="__features", handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=[f"__idx_{c}" for c in cat], outputCols=[f"__hot_{c}" for c in cat],
+                                    handleInvalid="keep", dropLast=True))
+    stages.append(StringIndexer(inputCol=LABEL, outputCol="__y", handleInvalid="keep", stringOrderType="alphabetAsc"))
+    slots = [f"__imp_{c}" for c in num] + [f"__hot_{c}" for c in cat]
+    stages.append(VectorAssembler(inputCols=slots, outputCol="__features", handleInvalid="keep"))
     prep = Pipeline(stages=stages).fit(train)
-    # bins: 32 unless an indexed feature has more categories (labels + the
-    # extra NULL/unseen index); more bins than needed only slow every pass
-    label_pos = len(stages) - 2
-    n_cat = [len(lbls) + 1 for i, st in enumerate(prep.stages)
-             if isinstance(st, StringIndexerModel) and i != label_pos for lbls in st.labelsArray]
+    # every tree level is a pass over the training data: dealt out evenly, a
+    # partition per task slot or more
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    vectors = written(prep.transform(train).select(*slots, "__features", "__y").repartition(tasks), "training-vectors")
     rf = RandomForestClassifier(featuresCol="__features", labelCol="__y", predictionCol="__pred",
                                 numTrees=params.classifier_trees, maxDepth=params.classifier_max_depth,
-                                maxBins=max([32] + n_cat), maxMemoryInMB=forest_memory_mb(df.sparkSession),
-                                cacheNodeIds=True,
-                                seed=params.random_state)
-    forest = rf.fit(prep.transform(train))
-    labels = prep.stages[label_pos].labels
+                                maxMemoryInMB=forest_memory_mb(spark), cacheNodeIds=True, seed=params.random_state)
+    forest = rf.fit(vectors.select("__features", "__y"))
+    labels = prep.stages[-2].labels
     model = PipelineModel(stages=prep.stages + [forest,
                                                 IndexToString(inputCol="__pred", outputCol="prediction", labels=labels)])
     pred = model.transform(test)
     metrics = pred.agg(
         F.count(F.lit(1)).alias("test_rows"),
         F.avg((F.col("prediction") == F.col(LABEL)).cast("double")).alias("accuracy"),
-    ).crossJoin(train.agg(F.count(F.lit(1)).alias("train_rows")))
-    importance = feature_importance(model, features, num, cat, df.sparkSession)
+    ).crossJoin(vectors.agg(F.count(F.lit(1)).alias("train_rows")))
+    importance = feature_importance(forest.featureImportances.toArray(), slot_ranges(vectors.schema, slots), num + cat, spark)
     return ClassifierResult(True, None, model, metrics, importance, list(labels))
 
 
-def feature_importance(model: PipelineModel, features, num, cat, spark) -> DataFrame:
-    """M9: forest importances per source column (D6: one vector slot per
-    source column -- numeric imputed values, then indexed categories -- so no
-    name parsing is involved).  The vector has one entry per feature: it is
-    read on the driver."""
-    rf = model.stages[-2]
-    imp = rf.featureImportances.toArray()
-    order = list(num) + list(cat)
-    out = [(c, float(imp[i])) for i, c in enumerate(order)]
+def slot_ranges(schema: T.StructType, columns: list[str]) -> list[tuple[int, int]]:
+    """First and last + 1 slot of each column in the vector assembled from
+    ``columns``: a number has one, a vector as many as its metadata says."""
+    out, at = [], 0
+    for c in columns:
+        f = schema[c]
+        size = 1
+        if not is_numeric_type(f.dataType):
+            attr = f.metadata["ml_attr"]
+            size = attr.get("num_attrs") or sum(len(a) for a in attr["attrs"].values())
+        out.append((at, at + size))
+        at += size
+    return out
+
+
+def feature_importance(importances, ranges: list[tuple[int, int]], sources: list[str], spark: SparkSession) -> DataFrame:
+    """M9: forest importances per source column (D6): its slots' added up by
+    their range, no name is parsed.  One entry per slot: read on the driver."""
+    assert ranges[-1][1] == len(importances)
+    out = [(c, float(importances[a:b].sum())) for c, (a, b) in zip(sources, ranges)]
     return spark.createDataFrame(out, "feature string, importance double").orderBy(
         F.col("importance").desc(), F.col("feature").asc())
 
 
+def table_version(df: DataFrame) -> str:
+    """A name for the contents of the files that df reads: their paths, sizes and times."""
+    spark = df.sparkSession
+    conf, version = spark._jsc.hadoopConfiguration(), hashlib.sha256()
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        version.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return version.hexdigest()[:24]
+
+
+def model_path(df: DataFrame, features: list[str], target: str, params: QualityParams = DEFAULT_PARAMS) -> str:
+    """Where the model of this version of the table, these columns and parameters is kept."""
+    what = repr((table_version(df), list(features), target, sorted(asdict(params).items())))
+    return f"{checkpoint_dir(df.sparkSession).rstrip('/')}/models/{hashlib.sha256(what.encode()).hexdigest()[:24]}"
+
+
+def save_classifier(result: ClassifierResult, path: str) -> None:
+    """Keep a trained model with its metrics and importances.  The model comes last:
+    a folder with one is complete."""
+    result.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    result.importance.coalesce(1).write.mode("overwrite").parquet(f"{path}/importance")
+    result.model.write().overwrite().save(f"{path}/model")
+
+
+def load_classifier(spark: SparkSession, path: str) -> ClassifierResult | None:
+    """The model kept under ``path``; None if there is none."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/model/metadata/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return None
+    model = PipelineModel.load(f"{path}/model")
+    importance = spark.read.parquet(f"{path}/importance").orderBy(F.col("importance").desc(), F.col("feature").asc())
+    return ClassifierResult(True, None, model, spark.read.parquet(f"{path}/metrics"), importance, list(model.stages[-1].getLabels()))
+
+
+def trained_classifier(df: DataFrame, features: list[str], target: str, params: QualityParams = DEFAULT_PARAMS,
+                       again: bool = False) -> ClassifierResult:
+    """The stored model of this version of the table, trained and stored first where
+    there is none (or ``again``)."""
+    path = model_path(df, features, target, params)
+    found = None if again else load_classifier(df.sparkSession, path)
+    if found is None:
+        found = train_defect_classifier(df, features, target, params)
+        if not found.success:
+            return found
+        save_classifier(found, path)
+        found = load_classifier(df.sparkSession, path)
+    return found
+
+
 def score_defects(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Apply a trained model to new rows (adds ``prediction``)."""
+    """Apply a trained model to new rows, a batch or a stream (adds
+    ``prediction``)."""
     out = model.transform(df)
     return out.drop(*[c for c in out.columns if c.startswith("__")])

@@ -9,6 +9,7 @@ where the column maps 1:1 onto a source column.
 from __future__ import annotations
 
 import datetime as _dt
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -189,7 +190,7 @@ def apply_presets(df: DataFrame, presets: DataFrame, date_column: str = C.DATE)
 
 def date_bounds(df: DataFrame, preferred: str = C.DATE) -> DataFrame:
     """min and max of the date column, NULLs ignored (one aggregation;
-    parquet footers can answer it with ``spark.sql.parquet.aggregatePushdown``)."""
+    ``bounds_from_footers`` reads no rows of a stored table)."""
     from inspectkit.operators.normalize import detect_date_column
 
     col = preferred if preferred in df.columns else detect_date_column(df)
@@ -198,6 +199,38 @@ def date_bounds(df: DataFrame, preferred: str = C.DATE) -> DataFrame:
     return df.agg(F.min(col).alias("min_date"), F.max(col).alias("max_date"))
 
 
+@contextmanager
+def footer_aggregates(spark: SparkSession):
+    """Parquet tables opened and queried inside answer MIN, MAX and COUNT from
+    the statistics in their files' footers (the V2 reader pushes them down)."""
+    settings = {"spark.sql.parquet.aggregatePushdown": "true",
+                "spark.sql.sources.useV1SourceList": ",".join(
+                    x for x in spark.conf.get("spark.sql.sources.useV1SourceList").split(",") if x.strip() != "parquet")}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def bounds_from_footers(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """F6 for a stored table: (min_value, max_value) of a DATE or numeric column, from
+    the footers, one task per file group and no row read.  Footers say nothing sure about
+    timestamps and text: those are aggregated from the column."""
+    with footer_aggregates(spark):
+        one = bounds_plan(spark, path, column)
+        row = one.first()  # planned and run while the settings hold
+    return spark.createDataFrame([tuple(row)], one.schema)
+
+
+def bounds_plan(spark: SparkSession, path: str, column: str) -> DataFrame:
+    c = f"`{column}`"
+    return spark.read.parquet(path).agg(F.min(c).alias("min_value"), F.max(c).alias("max_value"))
+
+
 def top_rows(df: DataFrame, column: str, ascending: bool = True, n: int = 100,
              tiebreak: list[str] | None = None) -> DataFrame:
     """the first ``n`` rows sorted by ``column`` (NULLs last both ways);

@@ -4,10 +4,11 @@ MLlib has no isolation forest, so the published algorithm (random axis
 splits on small subsamples; anomaly score 2^(-E[h(x)] / c(psi))) is
 expressed as Spark jobs:
 
-1. Subsample pool.  Every complete row gets a random key of its own, and the
-   ``trees x psi`` smallest keys are taken (a per-partition top-n).  Equal rows
-   are counted and get as many independent keys, so they are drawn in their
-   share, and the pool doesn't depend on the partitioning.
+1. Subsample pool.  Every complete row gets a random key of its own, equal rows too, and
+   the ``trees x psi`` smallest keys are taken: a per-partition top-n of the rows
+   below a limit, merged; no row is shuffled before.  The draw follows the seed and
+   the partitioning; a table that fits the pool is drawn whole, and its trees don't
+   depend on the partitioning.
 2. Trees.  The pool's places are dealt to the trees in order, ``psi`` each,
    around the pool as often as needed -- one rule for any table size -- and
    ``groupBy(tree).applyInPandas`` grows all trees in parallel (one small
@@ -85,6 +86,22 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[t
     return [tuple(n) for n in nodes]
 
 
+def pool_plan(d: DataFrame, most: int, total: int, seed: int) -> DataFrame:
+    """The ``most`` of ``total`` rows with the smallest random keys, a key of its own for
+    every row, equal rows too.  Rows whose key cannot be among them never leave their
+    partition: the limit below which they are taken is eight deviations high."""
+    share = min(1.0, (most + 8 * math.sqrt(most) + 64) / max(total, 1))
+    return d.withColumn("__u", F.rand(seed)).where(F.col("__u") < share).orderBy("__u").limit(most)
+
+
+def drawn_pool(d: DataFrame, most: int, seed: int) -> DataFrame:
+    total = d.count()
+    pool = materialize(pool_plan(d, most, total, seed))
+    if pool.count() < min(most, total):  # too few below the limit: all keys
+        pool = materialize(pool_plan(d, most, 0, seed))
+    return pool
+
+
 def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: QualityParams = DEFAULT_PARAMS,
                          n_trees: int | None = None, sample_rows: int | None = None, seed: int | None = None):
     """Grow the forest; returns ``(nodes DataFrame, psi, cols)`` or None when
@@ -96,19 +113,11 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, params: Q
     if not cols:
         return None
     d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).dropna()
-    # the pool: trees x psi rows at most, those with the smallest random keys.
-    # Every row has a key of its own, equal rows too, and the keys are the same
-    # whatever the partitioning: equal rows are counted, and the j-th smallest
-    # of c exponential draws is the sum of E_i / (c - i + 1) for i <= j, with
-    # E_i hashed from (values, i).  A group needs no more draws than the pool
-    # holds.  A per-partition top-n, written once, read by count and trees
-    most = n_trees * sample_rows
-    equal = d.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    drawn = equal.withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), F.least("__n", F.lit(most)))))
-    unit = (F.shiftrightunsigned(F.xxhash64(*cols, "__j", F.lit(seed)), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
-    so_far = Window.partitionBy(*cols).orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
-    keyed = drawn.withColumn("__u", F.sum(-F.log(unit) / (F.col("__n") - F.col("__j") + 1)).over(so_far))
-    pool = materialize(keyed.select(*cols, "__u", "__j").orderBy("__u", *cols, "__j").limit(most))
+    pool = drawn_pool(d, n_trees * sample_rows, seed)
+    # inside the pool, keys by value and place among equal rows: a table that the pool
+    # holds whole gives the same trees however it is partitioned
+    place = F.row_number().over(Window.partitionBy(*cols).orderBy("__u"))
+    pool = pool.withColumn("__j", place).withColumn("__u", F.xxhash64(*cols, "__j", F.lit(seed)))
     n = pool.count()
     if n < 10:
         return None
@@ -151,7 +160,9 @@ def detect_anomalies(df: DataFrame, cols: list[str] | None = None, params: Quali
     """M4: add ``anomaly_score`` (higher = more isolated) and ``is_anomaly``
     to every row.  Rows with a NULL feature get a NULL score and False."""
     spark = df.sparkSession
-    contamination = params.anomaly_contamination if contamination is None else min(max(contamination, 0.01), 0.5)
+    contamination = params.anomaly_contamination if contamination is None else contamination
+    if not 0 < contamination < 1:
+        raise ValueError(f"the share to flag must lie between 0 and 1, not {contamination}")
     cols = list(cols) if cols is not None else numeric_columns(df)
     fitted = fit_isolation_forest(df, cols, params, n_trees, sample_rows, seed)
     if fitted is None:

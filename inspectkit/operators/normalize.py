@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inspectkit import columns as C
-from inspectkit.functions import is_temporal_type, parse_date, safe_divide, safe_numeric
+from inspectkit.functions import infer_date_formats, is_temporal_type, parse_date, parse_date_as, safe_divide, safe_numeric
 
 
 def _check_case(df: DataFrame) -> None:
@@ -79,8 +79,9 @@ def detect_date_column(df: DataFrame) -> str | None:
     return None
 
 
-def normalize(df: DataFrame, date_formats: tuple[str, ...] | None = None) -> DataFrame:
-    """N1..N8 in order, as one lazy projection."""
+def normalize(df: DataFrame, date_formats: tuple[str, ...] | None = None, infer_date_format: bool = False) -> DataFrame:
+    """N1..N8 in order, as one lazy projection.  ``infer_date_format``: dates
+    in text are read by the one format that most of them have (an aggregation of the rows)."""
     df = alias_columns(df)
     cols = list(df.columns)
     date_col = detect_date_column(df)
@@ -92,6 +93,8 @@ def normalize(df: DataFrame, date_formats: tuple[str, ...] | None = None) -> Dat
     upd: dict[str, Column] = {}
     if C.DATE in cols:
         upd[C.DATE] = parse_date(C.DATE, types[C.DATE], date_formats)
+        if infer_date_format and isinstance(types[C.DATE], T.StringType):
+            upd[C.DATE] = parse_date_as(C.DATE, infer_date_formats(df, [C.DATE])[C.DATE])
     if C.ON_TIME_FLAG not in cols and C.DELIVERY_DELAY in cols:
         delay = safe_numeric(C.DELIVERY_DELAY, types[C.DELIVERY_DELAY])
         upd[C.ON_TIME_FLAG] = (F.coalesce(delay.cast("double"), F.lit(999999.0)) <= 0).cast("double")

@@ -22,7 +22,12 @@ from inspectkit.session import empty, written
 INDEX = "QualityIndex"
 
 
+METHODS = ("two_pass", "percentile", "approx")
+
+
 def _method(params: QualityParams) -> str:
+    if params.quantile_method not in METHODS:
+        raise ValueError(f"unknown quantile method {params.quantile_method!r}")
     return params.quantile_method
 
 

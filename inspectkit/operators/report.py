@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,18 @@ MSG_ZERO_UNITS = "%d rows have zero units inspected; defect rate missing."
 HIGH_MISSING_FRACTION = 0.4
 HIGH_MISSING_LISTED = 8
 
+# --- Fixed values: lines of the text report ---
+TEXT_ROWS = "Rows: %s"
+TEXT_COLUMNS = "Columns: %d"
+TEXT_DATE = "Detected date column: %s"
+TEXT_DUPLICATES = "Duplicate rows: %s"
+TEXT_WARNINGS = "Key warnings:"
+TEXT_NO_WARNING = "• No major issues detected."
+TEXT_MISSING = "Top missing-value columns:"
+TEXT_NO_MISSING = "• None"
+WARNINGS_LISTED = 12
+MISSING_LISTED = 10
+
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -132,10 +144,12 @@ def quality_report(df: DataFrame, cost_column: str | None = None) -> DataFrame:
     )
 
 
-def quality_warnings(df: DataFrame, cost_column: str | None = None) -> DataFrame:
-    """Q5: ``(seq, code, message)`` in rule order, built from Q1 and Q6."""
-    rep = quality_report(df, cost_column)
-    miss = missing_by_column(df)
+def quality_warnings(df: DataFrame, cost_column: str | None = None, rep: DataFrame | None = None,
+                     miss: DataFrame | None = None) -> DataFrame:
+    """Q5: ``(seq, code, message)`` in rule order, built from Q1 and Q6 (``miss`` and
+    ``rep`` where they are known)."""
+    rep = quality_report(df, cost_column) if rep is None else rep
+    miss = missing_by_column(df) if miss is None else miss
     high = miss.filter(F.col("missing_frac") > HIGH_MISSING_FRACTION).agg(
         F.sort_array(F.collect_list(F.struct("seq", "column"))).alias("__cols")
     )
@@ -161,3 +175,28 @@ def quality_warnings(df: DataFrame, cost_column: str | None = None) -> DataFrame
         rule(7, "zero_inspected", F.col("zero_inspected") > 0, F.format_string(MSG_ZERO_UNITS, F.col("zero_inspected"))),
     ]
     return reduce(lambda a, b: a.unionByName(b), rules)
+
+
+def report_text(df: DataFrame, cost_column: str | None = None) -> DataFrame:
+    """Q6 as text: (seq, line) in order -- counts, the first warnings, the columns with most
+    missing values (ties in column order).  Put together from Q1, Q5 and Q6 without a
+    collect; seq leaves room in each section."""
+    spark = df.sparkSession
+    rep, miss = materialize(quality_report(df, cost_column)), materialize(missing_by_column(df))
+    number = lambda c: F.format_number(c, 0)
+    counts = [F.format_string(TEXT_ROWS, number("row_count")), F.format_string(TEXT_COLUMNS, "column_count"),
+              F.format_string(TEXT_DATE, F.coalesce("detected_date_column", F.lit("None"))),
+              F.format_string(TEXT_DUPLICATES, number("duplicated_rows"))]
+    head = rep.select(F.explode(F.array(*[F.struct(F.lit(i).alias("seq"), c.alias("line")) for i, c in enumerate(counts)])).alias("l")).select("l.*")
+    fixed = spark.createDataFrame([(10, ""), (11, TEXT_WARNINGS), (100, ""), (101, TEXT_MISSING)], "seq int, line string")
+    bullet = lambda text: F.concat(F.lit("• "), text)
+    # a handful of warnings and one row per column: windows over these are small
+    warned = materialize(quality_warnings(df, cost_column, rep, miss)).withColumn("k", F.row_number().over(Window.orderBy("seq")))
+    warned = warned.where(F.col("k") <= WARNINGS_LISTED).select((F.col("k") + 20).alias("seq"), bullet(F.col("message")).alias("line"))
+    none = warned.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(21).alias("seq"), F.lit(TEXT_NO_WARNING).alias("line"))
+    lacking = miss.withColumn("k", F.row_number().over(Window.orderBy(F.desc("missing"), "seq")))
+    lacking = lacking.where(F.col("k") <= MISSING_LISTED).select(
+        (F.col("k") + 110).alias("seq"), bullet(F.format_string("%s: %s", F.col("column"), number("missing"))).alias("line"))
+    if not df.columns:
+        lacking = spark.createDataFrame([(111, TEXT_NO_MISSING)], "seq int, line string")
+    return reduce(lambda a, b: a.unionByName(b), [head, fixed, warned, none, lacking]).select(F.col("seq").cast("int").alias("seq"), "line")

@@ -61,6 +61,7 @@ def all_queries() -> dict[str, Query]:
         q_basic,
         q_ml,
         q_report,
+        q_stored,
         q_stream,
         q_timeseries,
     )

@@ -11,6 +11,9 @@ from inspectkit.operators import multivariate as M
 from inspectkit.plans.catalog import fact, register, rounded
 from inspectkit.plans.oracle import with_fact
 from inspectkit.plans.q_report import FACT_COLUMNS
+from inspectkit.operators.normalize import normalize
+from inspectkit.sources.tables import quality_raw, read_table
+from inspectkit.streaming import jobs as S
 
 NUMERIC = [c for c, t in FACT_COLUMNS if t in ("double", "bigint")]
 
@@ -77,9 +80,10 @@ CLASSIFIER_FEATURES = [C.PART_TYPE, C.MATERIAL, C.QUALITY_SCORE, C.UNITS_INSPECT
 CLASSIFIER_TARGET = C.DEFECT_SEVERITY
 
 
-def _trained(spark, sf_dir) -> CL.ClassifierResult:
-    """Each of M7, M9 and M10 trains on the tables it is given."""
-    return CL.train_defect_classifier(fact(spark, sf_dir), CLASSIFIER_FEATURES, CLASSIFIER_TARGET)
+def _trained(spark, sf_dir, again: bool = False) -> CL.ClassifierResult:
+    """M7 trains on the table it is given and stores the model; M9, M10 and the stream
+    load it, or train where this version of the table has none yet."""
+    return CL.trained_classifier(fact(spark, sf_dir), CLASSIFIER_FEATURES, CLASSIFIER_TARGET, again=again)
 
 
 @register("detect_anomalies", "M4", None)
@@ -109,7 +113,7 @@ def q_stratified_split(spark, sf_dir):
 
 @register("train_defect_classifier", "M7", None)
 def q_train_defect_classifier(spark, sf_dir):
-    r = _trained(spark, sf_dir)
+    r = _trained(spark, sf_dir, again=True)
     if not r.success:
         return spark.createDataFrame([(r.error,)], "error string")
     return rounded(r.metrics)
@@ -125,3 +129,14 @@ def q_score_defects(spark, sf_dir):
     r = _trained(spark, sf_dir)
     scored = CL.score_defects(r.model, fact(spark, sf_dir))
     return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("stream_score_defects", "M10 on a stream", None)
+def q_stream_score_defects(spark, sf_dir):
+    """Arriving line items, joined with the stored orders, parts and suppliers, are
+    scored by the stored model."""
+    r = _trained(spark, sf_dir)
+    lines = spark.readStream.schema(read_table(spark, sf_dir, "lineitem").schema).parquet(f"{sf_dir}/[l]ineitem.parquet")
+    scored = CL.score_defects(r.model, normalize(quality_raw(spark, sf_dir, lines))).select("prediction")
+    done = S.run_to_table(spark, scored, "append", "scored")
+    return done.groupBy("prediction").agg(F.count(F.lit(1)).alias("rows"))

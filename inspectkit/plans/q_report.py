@@ -62,7 +62,7 @@ def q_quality_report(spark, sf_dir):
     return Q.quality_report(fact(spark, sf_dir))
 
 
-@register("quality_warnings", "Q5", with_fact("""
+_WARNINGS_SQL = """
 SELECT 3 AS seq, 'duplicates' AS code, format('{:,} duplicate rows detected.', duplicated_rows) AS message
   FROM rep WHERE duplicated_rows > 0
 UNION ALL SELECT 5, 'high_missing', 'High missingness (>40%) in: ' || string_agg("column", ', ' ORDER BY seq)
@@ -71,11 +71,30 @@ UNION ALL SELECT 5, 'high_missing', 'High missingness (>40%) in: ' || string_agg
 UNION ALL SELECT 6, 'negative_costs', CAST(negative_costs AS VARCHAR) || ' rows have negative costs; set to 0.'
   FROM rep WHERE negative_costs > 0
 UNION ALL SELECT 7, 'zero_inspected', CAST(zero_inspected AS VARCHAR) || ' rows have zero units inspected; defect rate missing.'
-  FROM rep WHERE zero_inspected > 0""", _REPORT_SQL, _missing_sql()))
+  FROM rep WHERE zero_inspected > 0"""
+
+
+@register("quality_warnings", "Q5", with_fact(_WARNINGS_SQL, _REPORT_SQL, _missing_sql()))
 def q_quality_warnings(spark, sf_dir):
     return Q.quality_warnings(fact(spark, sf_dir))
 
 
+@register("report_text", "Q6 text", with_fact("""
+SELECT seq, line FROM (
+  SELECT 0 AS seq, format('Rows: {:,}', row_count) AS line FROM rep
+  UNION ALL SELECT 1, 'Columns: ' || column_count FROM rep
+  UNION ALL SELECT 2, 'Detected date column: ' || detected_date_column FROM rep
+  UNION ALL SELECT 3, format('Duplicate rows: {:,}', duplicated_rows) FROM rep
+  UNION ALL SELECT unnest([10, 11, 100, 101]), unnest(['', 'Key warnings:', '', 'Top missing-value columns:'])
+  UNION ALL SELECT CAST(20 + row_number() OVER (ORDER BY seq) AS INTEGER), '• ' || message FROM warn
+  UNION ALL SELECT 21, '• No major issues detected.' FROM (SELECT count(*) AS n FROM warn) WHERE n = 0
+  UNION ALL SELECT CAST(110 + k AS INTEGER), '• ' || "column" || format(': {:,}', missing) FROM (
+    SELECT *, row_number() OVER (ORDER BY missing DESC, seq) AS k FROM miss) WHERE k <= 10)""",
+    _REPORT_SQL, _missing_sql(), f"warn AS ({_WARNINGS_SQL})"))
+def q_report_text(spark, sf_dir):
+    return Q.report_text(fact(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- W
 
 

@@ -2,8 +2,8 @@
 
 from inspectkit.sources.files import (  # noqa: F401
     list_jdbc_tables,
-    list_spark_tables,
     quote_identifier,
+    files_not_utf8,
     read_jdbc_query,
     read_jdbc_table,
     read_quality_csv,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TEXT_EXTENSIONS = (".csv", ".txt")
-_REPLACEMENT_CHAR = "�"
 
 
 def read_quality_csv(
@@ -21,31 +20,44 @@ def read_quality_csv(
 ) -> DataFrame:
     """Comma-separated text with a header.
 
-    Spark never fails on bad UTF-8; it substitutes U+FFFD.  If any string
-    cell holds that character the file is read again as ISO-8859-1 (the
-    reference's latin-1 fallback).  The probe is a short-circuiting
-    ``limit(1)`` job.  Give ``schema`` in production: inference is an extra
-    full pass over the files.
+    Each file is read as UTF-8 if all its bytes are UTF-8, else as ISO-8859-1
+    (the reference's latin-1 fallback), so one file of a folder does not decide
+    for the others, and a true U+FFFD is just a character.  The bytes are
+    checked line by line in one scan, split like any text; only the names of
+    files that fail reach the driver.  Give ``schema`` in production: inference is an
+    extra full pass over the files.
     """
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext and ext not in _TEXT_EXTENSIONS:
         raise ValueError(f"Unsupported file format: {ext}")
 
-    def _read(encoding: str) -> DataFrame:
+    def _read(paths: list[str], encoding: str, schema=None) -> DataFrame:
         r = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
         r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        return r.csv(path)
-
-    df = _read("UTF-8")
-    text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if text_cols:
-        bad = reduce(
-            lambda a, b: a | b,
-            [F.col(f"`{c}`").contains(_REPLACEMENT_CHAR) for c in text_cols],
-        )
-        if df.filter(bad).limit(1).count() > 0:
-            df = _read("ISO-8859-1")
-    return df
+        return r.csv(paths)
+
+    other = files_not_utf8(spark, path)
+    if not other:
+        return _read([path], "UTF-8", schema)
+    files = _file_names(spark, path)
+    parts = [([f for f in files if f not in other], "UTF-8"), (sorted(other), "ISO-8859-1")]
+    parts = [_read(names, encoding, schema) for names, encoding in parts if names]
+    if schema is None and len(parts) == 2:  # types of both kinds together, column by column
+        types = _read([path], "UTF-8").schema
+        if [len(p.columns) for p in parts] == [len(types)] * 2:
+            parts = [p.select(*[F.col(f"`{c}`").cast(t.dataType) for c, t in zip(p.columns, types)]) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _file_names(spark: SparkSession, path: str) -> list[str]:
+    return sorted(spark.read.text(path).inputFiles())
+
+
+def files_not_utf8(spark: SparkSession, path: str) -> set[str]:
+    """Names of the files that hold a line whose bytes are not UTF-8 (Spark's
+    text source keeps a line's bytes as they are)."""
+    lines = spark.read.text(path).select(F.is_valid_utf8("value").alias("ok"), F.input_file_name().alias("file"))
+    return {r.file for r in lines.where(~F.col("ok")).select("file").distinct().collect()}
 
 
 def quote_identifier(identifier: str) -> str:
@@ -112,9 +124,3 @@ def list_jdbc_tables(
     """
     df = read_jdbc_query(spark, url, catalog_query, properties)
     return [r[0] for r in df.collect()]
-
-
-def list_spark_tables(spark: SparkSession) -> DataFrame:
-    """Tables of the Spark catalog as a DataFrame."""
-    rows = [(t.name, t.database, t.tableType) for t in spark.catalog.listTables()]
-    return spark.createDataFrame(rows, "name string, database string, table_type string")

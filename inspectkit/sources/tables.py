@@ -26,14 +26,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def quality_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw quality records (alias names) derived from the star schema.
+def quality_raw(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Raw quality records (alias names) derived from the star schema; ``lines``:
+    line items that arrive as a stream, in place of the stored table.
 
     The NULLs are injected on purpose (fixed rule of the test fixtures):
     the source tables contain none.
     """
     prepare(spark)
-    li = read_table(spark, sf_dir, "lineitem").select(
+    lines = read_table(spark, sf_dir, "lineitem") if lines is None else lines
+    li = lines.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_shipdate",
     )
