@@ -10,8 +10,9 @@ letters, two different words are one edit apart if p + s >= longest - 1.
 
 Plan.  Occurrences are counted per task first.  The trie is cut into subtries
 by the counts of its first levels; a word goes to its own subtrie, and as a
-question to each that the budget can reach there (21 for four levels).  How many
-levels: as few as leave ``SUBTRIE`` words at most in any one; a class that no
+question there and to those that the budget reaches by a surplus first (10 for
+four levels): of two words in different subtries one meets the other, and both
+get to know.  How many levels: as few as leave ``SUBTRIE`` words at most in any one; a class that no
 level divides (the words of one full vector) is cut into parts, each asked by
 all.  A task holds one subtrie at a time and takes the questions in chunks,
 each chunk's search carried down as arrays.  What it returns is one row for a
@@ -108,20 +109,20 @@ def paths(v: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def reach(v: np.ndarray, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, path keys) of all that a surplus and a deficit of one can reach."""
+def reach(v: np.ndarray, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, path keys, own path?) of what a surplus and a deficit of one can
+    reach: each word's own path, and of the others those that differ by the
+    surplus first.  Of two words on different paths, one finds the other."""
     v = v[:, :levels]
-    for up in range(-1, levels):
-        for down in range(-1, levels):
-            if up == down and up >= 0:
-                continue
+    yield np.arange(len(v)), paths(v)[-1], True
+    for up in range(levels):
+        for down in (-1, *range(up + 1, levels)):
             rows = np.flatnonzero(v[:, down] > 0) if down >= 0 else np.arange(len(v))
             w = v[rows].copy()
-            if up >= 0:
-                w[:, up] += 1
+            w[:, up] += 1
             if down >= 0:
                 w[:, down] -= 1
-            yield rows, paths(w)[-1]
+            yield rows, paths(w)[-1], False
 
 
 def _levels(words: DataFrame) -> tuple[int, int]:
@@ -155,6 +156,16 @@ class Matrix:
         row, col = np.repeat(np.arange(len(words)), short), A.spans(short)
         self.front[row, col] = codes[np.repeat(first, short) + col]
         self.back[row, col] = codes[np.repeat(first + self.size - 1, short) - col]
+        self.head, self.tail = (_packed(x) for x in (self.front, self.back))
+        self.unused = np.where(self.size >= 7, 0, np.where(self.size >= 5, 21, 63)).astype(np.uint64)
+
+
+def _packed(letters: np.ndarray) -> np.ndarray:
+    """The first three letters of each row in 63 bits, the first in the highest."""
+    out = np.zeros(len(letters), np.uint64)
+    for k in range(3):
+        out = out << np.uint64(21) | (letters[:, k] & np.uint32((1 << 21) - 1) if k < letters.shape[1] else np.zeros(len(letters), np.uint32)).astype(np.uint64)
+    return out
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,18 +188,25 @@ def one_edit(a: str, b: str) -> bool:
 
 def verified(asked: Matrix, held: Matrix, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs (asked word i, held word j) are exactly one edit apart."""
+    # p + s >= longest - 1: three letters (of five or six, two) at one end are equal
+    unused = asked.unused[i]
+    near = (asked.head[i] ^ held.head[j]) >> unused == 0
+    near |= (asked.tail[i] ^ held.tail[j]) >> unused == 0
+    near = np.flatnonzero(near)
+    all_pairs, i, j = np.zeros(len(i), bool), i[near], j[near]
     la, lb = asked.size[i], held.size[j]
     longest = np.maximum(la, lb)
     out = np.zeros(len(i), bool)
-    near = np.abs(la - lb) <= 1
-    short = np.flatnonzero(near & (longest <= WIDE))
+    close = np.abs(la - lb) <= 1
+    short = np.flatnonzero(close & (longest <= WIDE))
     p = _common(asked.front[i[short]], held.front[j[short]])
     s = _common(asked.back[i[short]], held.back[j[short]])
     same = (p == la[short]) & (p == lb[short])
     out[short] = ~same & (p + s >= longest[short] - 1)
-    for k in np.flatnonzero(near & (longest > WIDE)).tolist():
+    for k in np.flatnonzero(close & (longest > WIDE)).tolist():
         out[k] = one_edit(asked.words[i[k]], held.words[j[k]])
-    return out
+    all_pairs[near] = out
+    return all_pairs
 
 
 class Trie:
@@ -210,8 +228,7 @@ class Trie:
             at = np.flatnonzero(new)
             self.keys.append(parent[at] * self.base + v[at, level])
         self.first = np.append(np.flatnonzero(new), len(v))
-        self.rank = np.empty(len(v), np.int64)
-        self.rank[sorted(range(len(v)), key=self.words.__getitem__)] = np.arange(len(v))
+        self.rank = ranks(self.words)
         self.matrix = Matrix(self.words, 0xFFFFFFFF)
 
     def leaves(self, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -234,10 +251,10 @@ class Trie:
                 if hit.any():
                     stack.append((level + 1, row[hit], at[hit], surplus - (step > 0), deficit - (step < 0)))
 
-    def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, number of near words, the best of them) for rows that have any."""
+    def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row of words, held word) for all pairs that are near."""
         asked, v = Matrix(words, 0xFFFFFFFE), vectors(words)
-        rows, found = [], []
+        rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for row, leaf in self.leaves(v):
             size = self.first[leaf + 1] - self.first[leaf]
             ends = np.cumsum(size)
@@ -250,12 +267,22 @@ class Trie:
                     rows.append(i[a : a + PAIRS][ok])
                     found.append(j[a : a + PAIRS][ok])
                 x = y
-        none = np.empty(0, np.int64)
-        row, j = np.concatenate(rows or [none]), np.concatenate(found or [none])
-        order = np.lexsort((self.rank[j], -self.n[j], row))
-        row, j = row[order], j[order]
-        at = np.flatnonzero(np.diff(row, prepend=-1))
-        return row[at], np.diff(np.append(at, len(row))), j[at]
+        return np.concatenate(rows), np.concatenate(found)
+
+
+def ranks(words: list[str]) -> np.ndarray:
+    """Place of each word in code-point order."""
+    out = np.empty(len(words), np.int64)
+    out[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    return out
+
+
+def best_of(row: np.ndarray, other: np.ndarray, n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number of others, the best of them) from pairs: the largest n, ties to the first rank."""
+    order = np.lexsort((rank[other], -n[other], row))
+    row, other = row[order], other[order]
+    at = np.flatnonzero(np.diff(row, prepend=-1))
+    return row[at], np.diff(np.append(at, len(row))), other[at]
 
 
 _ENTRY = "key long, part int, kind int, word string, n long"
@@ -274,10 +301,10 @@ def near_words(words: DataFrame) -> DataFrame:
             v = vectors(text)
             part = np.fromiter((zlib.crc32(w.encode()) % parts for w in text), np.int32, len(text))
             yield pa.RecordBatch.from_arrays([pa.array(paths(v[:, :levels])[-1].view(np.int64)), pa.array(part), pa.array(np.zeros(len(text), np.int32)), b.column(0), n], names=["key", "part", "kind", "word", "n"])
-            for rows, key in reach(v, levels):
-                took, one = b.column(0).take(pa.array(rows)), np.ones(len(rows), np.int32)
+            for rows, key, own in reach(v, levels):
+                took, count, one = b.column(0).take(pa.array(rows)), n.take(pa.array(rows)), np.ones(len(rows), np.int32)
                 for k in range(parts):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(one * np.int32(k)), pa.array(one), took, pa.nulls(len(rows), pa.int64())], names=["key", "part", "kind", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(one * np.int32(k)), pa.array(one if own else 2 * one), took, count], names=["key", "part", "kind", "word", "n"])
 
     def search(batches):
         trie, now, held = None, None, ([], [])
@@ -293,12 +320,19 @@ def near_words(words: DataFrame) -> DataFrame:
                 if not held[0]:
                     continue  # nobody lives there
                 trie = Trie(held[0], np.array(held[1], np.int64))
+            counts = piece.column(4).to_numpy()
             for a in range(0, len(text), CHUNK):
-                asked = text[a : a + CHUNK]
-                row, count, best = trie.near(asked)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([asked[k] for k in row.tolist()], pa.string()), pa.array(count), pa.array(trie.n[best]),
-                    pa.array([trie.words[k] for k in best.tolist()], pa.string())], names=["word", "n_near", "best_n", "best"])
+                asked, n = text[a : a + CHUNK], counts[a : a + CHUNK]
+                row, held_word = trie.near(asked)
+                yield answer(asked, trie.words, trie.n, best_of(row, held_word, trie.n, trie.rank))
+                if kind == 2:  # from another path: nobody asks the other way round
+                    yield answer(trie.words, asked, n, best_of(held_word, row, n, ranks(asked)))
+
+    def answer(words, others, n, found):
+        row, count, best = found
+        return pa.RecordBatch.from_arrays([
+            pa.array([words[k] for k in row.tolist()], pa.string()), pa.array(count), pa.array(n[best]),
+            pa.array([others[k] for k in best.tolist()], pa.string())], names=["word", "n_near", "best_n", "best"])
 
     tasks = C.partitions(spark, 0)
     dealt = words.select("word", "n").repartition(tasks).mapInArrow(entries, _ENTRY)
