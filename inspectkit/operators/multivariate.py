@@ -129,7 +129,8 @@ def candidate_targets(df: DataFrame, max_categories: int = 50, exact_band: float
     cols = [(i, c) for i, c in enumerate(df.columns) if c != C.DATE]
     q = lambda c: F.col(f"`{c}`")
     approx = df.agg(*[F.approx_count_distinct(q(c), 0.02).alias(f"a{i}") for i, c in cols]).first()
-    # rsd 0.02: an estimate above max*(1+band) is far outside any plausible error
+    # the estimate's standard deviation is 2 %: a column of max_categories values is
+    # estimated 15 % too high, seven and a half deviations, once in 10^13
     cand = [(i, c) for i, c in cols if approx[f"a{i}"] <= max_categories * (1 + exact_band) + 1]
     if not cand:
         return empty(df.sparkSession, "seq int, column string, n_distinct bigint")

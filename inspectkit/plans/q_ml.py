@@ -49,7 +49,36 @@ def q_top_correlations(spark, sf_dir):
     return M.top_correlations(fact(spark, sf_dir))
 
 
-@register("pca_explained_variance", "M3", None)
+def _leading(k: int, matrix: str) -> list[str]:
+    """CTEs of the largest eigenvalue l{k} and its vector v{k} of a symmetric matrix: the
+    matrix is squared until only the leading component is left."""
+    square = "list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b)))"
+    scaled = "list_transform(mm, lambda r: list_transform(r, lambda x: x / mx))"
+    most = "list_max(list_transform(mm, lambda r: list_max(list_transform(r, lambda x: abs(x)))))"
+    unit = "list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)))"
+    return [
+        f"""sq{k} AS (
+  SELECT 0 AS k, m FROM {matrix}
+  UNION ALL SELECT k + 1, {scaled} FROM (SELECT k, mm, {most} AS mx FROM (SELECT k, {square} AS mm FROM sq{k} WHERE k < 16)))""",
+        f"""v{k} AS (SELECT {unit} AS v FROM (
+  SELECT list_extract(m, list_position(list_transform(m, lambda r: list_dot_product(r, r)), list_max(list_transform(m, lambda r: list_dot_product(r, r))))) AS r
+  FROM sq{k} WHERE k = 16))""",
+        f"l{k} AS (SELECT list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM {matrix}, v{k})",
+    ]
+
+
+def _pca_sql(cols: list[str]) -> str:
+    cell = lambda i, j: f"c{min(i, j)}_{max(i, j)} / (s{i} * s{j})"
+    rows = ", ".join("[" + ", ".join(cell(i, j) for j in range(len(cols))) + "]" for i in range(len(cols)))
+    rest = "list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1), lambda j: m[i][j] - l * v[i] * v[j]))"
+    ctes = [f"r1 AS (SELECT [{rows}] AS m FROM cagg)", *_leading(1, "r1"), f"r2 AS (SELECT {rest} AS m FROM r1, v1, l1)", *_leading(2, "r2")]
+    sql = with_fact(f"""
+SELECT 1 AS component, round(l / {len(cols)}, 6) AS explained_ratio FROM l1
+UNION ALL SELECT 2, round(l / {len(cols)}, 6) FROM l2""", _CORR, *ctes)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("pca_explained_variance", "M3", _pca_sql(NUMERIC))
 def q_pca_explained_variance(spark, sf_dir):
     _, ratio = M.pca_projection(fact(spark, sf_dir), 2)
     return rounded(ratio)
