@@ -1,9 +1,12 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Documents and benchmark items are compared as normalised UTF-8: ASCII and
-Latin-1 letters lowered, every run of ASCII characters that are neither letters
-nor digits one space.  An item is found in a document when some region of it is within the
-item's edit budget, ``budget`` of the item's length.
+Documents and benchmark items are compared as normalised UTF-8: letters
+lowered in every script (those with a simple lower-case letter of their own), every run of
+separators one space.  Separators are ASCII characters that are neither letters nor digits, and
+characters of the Unicode classes separator, punctuation and control.  An item is found in a
+document when some region of it is within the item's edit budget, ``budget``
+of the item's length; an item below ``MIN_BUDGET`` bytes has a budget of 0 and is found only
+between word boundaries.
 
 Method.  An alignment with at most e edits keeps len - q + 1 - q * e of the
 item's q-grams, all on diagonals at most e apart.  The q-grams that a slice of
@@ -19,14 +22,16 @@ bounded whatever its size.  No shuffle, but for the least distance of each
 (document, item).
 
 Defined cases.  Null and empty texts hold nothing.  Items with fewer than
-``min_item`` normalised bytes, and null items, are not searched.  Repeated
+``min_item`` normalised bytes (8: one q-gram), and null items, are not searched.  Repeated
 rows are each reported; (doc_id, item_id) pairs come once for each row.  An
 empty table or benchmark gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,7 @@ from inspectkit.llm import corpus as C
 
 Q = 8  # bytes: a q-gram is one 64-bit number
 BUDGET = 0.10
-MIN_ITEM = 32
+MIN_ITEM, MIN_BUDGET = 8, 32
 BLOCK_BYTES = 8 << 20
 SLICE = 2 << 20
 _FILTER_BITS = 20
@@ -51,6 +56,61 @@ for _a, _b in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 
+_WIDE = 0xC4  # the first byte of a character beyond Latin-1
+_CLASSES = ("Zs", "Zl", "Zp", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Cc", "Cf")
+_LATIN_GAP = np.zeros(256, bool)  # second byte of a separator U+0080 to U+00BF
+for _a in range(0x80, 0xC0):
+    _LATIN_GAP[_a] = unicodedata.category(chr(_a)) in _CLASSES
+
+
+@functools.cache
+def _folds() -> np.ndarray:
+    """Per code point up to U+1FFFF what it is compared as: 0x20 for separators, else
+    the lower-case letter or itself; never one with more bytes than it has."""
+    size = lambda c: len(c.encode("utf-8", "surrogatepass"))
+    out = np.arange(0x20000, dtype=np.uint32)
+    for k in range(0x100, 0x20000):
+        c = chr(k)
+        if unicodedata.category(c) in _CLASSES:
+            out[k] = 0x20
+            continue
+        low = c.casefold() if len(c.casefold()) == 1 else c.lower()
+        if len(low) == 1 and low != c:
+            if size(low) <= size(c):
+                out[k] = ord(low)
+            else:
+                out[ord(low)] = k
+    return out
+
+
+def _fold_wide(s: np.ndarray, keep: np.ndarray) -> None:
+    """Characters beyond Latin-1, in place: bytes that a shorter character
+    leaves over are marked in ``keep``."""
+    at = np.flatnonzero(s >= _WIDE)
+    if not len(at):
+        return
+    lead, n = s[at].astype(np.uint32), np.where(s[at] >= 0xF0, 4, np.where(s[at] >= 0xE0, 3, 2))
+    byte = lambda k: (s[np.minimum(at + k, len(s) - 1)] & 0x3F).astype(np.uint32)
+    code = np.where(n == 2, (lead & 0x1F) << 6 | byte(1), np.where(
+        n == 3, (lead & 0x0F) << 12 | byte(1) << 6 | byte(2), (lead & 0x07) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3)))
+    folds = _folds()
+    to = np.where(code < len(folds), folds[np.minimum(code, len(folds) - 1)], code)
+    some = to != code
+    at, n, to = at[some], n[some], to[some]
+    gap = to == 0x20
+    for k in range(4):
+        s[(at + k)[gap & (n > k)]] = 0x20
+    at, n, to = at[~gap], n[~gap], to[~gap]
+    size = np.where(to < 0x80, 1, np.where(to < 0x800, 2, np.where(to < 0x10000, 3, 4)))
+    head = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[size]
+    for k in range(4):
+        rows = size > k
+        rest = to[rows] >> (6 * (size[rows] - 1 - k)).astype(np.uint32)
+        s[at[rows] + k] = (head[rows] | rest if k == 0 else rest & 0x3F | 0x80).astype(np.uint8)
+        over = (size <= k) & (n > k)
+        keep[at[over] + k] = False
+
+
 def normalised(raw: np.ndarray, offsets: np.ndarray):
     """(bytes, offsets, source positions) with runs of separators as one space;
     every text starts and ends without one."""
@@ -58,6 +118,11 @@ def normalised(raw: np.ndarray, offsets: np.ndarray):
     # U+00C0 to U+00DE but the multiplication sign: 0xC3 and a second byte
     upper = (s[1:] >= 0x80) & (s[1:] <= 0x9E) & (s[1:] != 0x97) & (s[:-1] == 0xC3)
     s[1:][upper] += 0x20
+    mark = np.flatnonzero(s[:-1] == 0xC2)
+    mark = mark[_LATIN_GAP[s[mark + 1]]]
+    s[mark], s[mark + 1] = 0x20, 0x20
+    whole = np.ones(len(s), bool)
+    _fold_wide(s, whole)
     gap = s == 0x20
     keep = ~gap
     lead = np.zeros(len(s), bool)
@@ -65,7 +130,7 @@ def normalised(raw: np.ndarray, offsets: np.ndarray):
     cuts = offsets[:-1][offsets[:-1] < len(s)]
     lead[cuts] = False
     keep |= lead
-    at = np.flatnonzero(keep)
+    at = np.flatnonzero(keep & whole)
     ends = np.searchsorted(at, offsets)
     # a space that ends a text goes
     last = ends[1:][np.diff(ends) > 0] - 1
@@ -97,6 +162,7 @@ class Items:
                 self.text.append(s)
         size = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.minimum((size * budget).astype(np.int64), (size - Q) // Q)
+        self.edits[size < MIN_BUDGET] = 0
         self.least = size - Q + 1 - Q * self.edits
         g = [grams(t) for t in self.text]
         value = np.concatenate(g) if g else np.empty(0, np.uint64)
@@ -161,10 +227,16 @@ def banded_distance(item: np.ndarray, region: np.ndarray, edits: int) -> tuple[i
     return int(d[at]), start, min(max(len(item) + at - edits, start), len(region))
 
 
+def _character_end(raw: np.ndarray, at: int) -> int:
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
 def _search(shared, budget: float, min_item: int):
     def run(batches):
         items = Items(*shared.value, budget, min_item)
-        for doc, ver, raw, offsets in C.text_batches(batches) if items.ids else ():
+        for doc, ver, raw, offsets in C.text_batches(batches, SLICE) if items.ids else ():
             for a, b in A.slices(offsets, SLICE):
                 base = offsets[a]
                 s, ends, source = normalised(raw[base : offsets[b]], offsets[a : b + 1] - base)
@@ -175,14 +247,27 @@ def _search(shared, budget: float, min_item: int):
                     low, high = diagonal - e, diagonal + 2 * (e + 1) + len(text) + e
                     first = max(0, int(np.searchsorted(ends, max(low, 0), side="right")) - 1)
                     for row in range(first, min(len(ends) - 1, int(np.searchsorted(ends, high)))):
+                        if found.get((row, item), (1,))[0] == 0:
+                            continue
                         x, y = max(low, int(ends[row])), min(high, int(ends[row + 1]))
                         if y - x < len(text) - e:
                             continue
+                        if len(text) < MIN_BUDGET:  # one space on either side, or an end of the text
+                            u, v = max(x - 1, int(ends[row])), min(y + 1, int(ends[row + 1]))
+                            first_word = int(u == ends[row])
+                            whole = b" " * first_word + s[u:v].tobytes() + b" " * int(v == ends[row + 1])
+                            place = whole.find(b" " + text.tobytes() + b" ")
+                            if place >= 0:
+                                place += u + 1 - first_word
+                                found[row, item] = (0, int(source[place]), int(source[place + len(text) - 1]) + 1)
+                            continue
                         exact = s[x:y].tobytes().find(text.tobytes())
                         distance, start, stop = (0, exact, exact + len(text)) if exact >= 0 else banded_distance(text, s[x:y], e)
                         if distance <= e and distance < found.get((row, item), (e + 1,))[0]:
                             found[row, item] = (distance, int(source[min(x + start, y - 1)]), int(source[max(x + stop, x + 1) - 1]) + 1)
                 if found:
+                    part = raw[base : offsets[b]]
+                    found = {k: (d, p, _character_end(part, q)) for k, (d, p, q) in found.items()}
                     rows = [(int(doc[a + r]), int(ver[a + r]), items.ids[i], d, p + int(base - offsets[a + r]), q + int(base - offsets[a + r])) for (r, i), (d, p, q) in sorted(found.items())]
                     cols = list(zip(*rows))
                     types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
