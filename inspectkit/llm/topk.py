@@ -11,11 +11,13 @@ first and with more, shorter ones for the pairs still open; pairs whose bound
 is below the k-th best score so far leave, and the rest are computed exactly.
 The bound with a margin for rounding never drops a pair that belongs.
 
-Plan.  The stated queries are cut into blocks of about ``block`` rows by a
-hash of their id; a block is sent to all tasks, whose scan of the candidates
-keeps the k best of each query.  So what is sent and kept is bounded, a block
-costs one scan without shuffle, and k rows per task and query meet in the
-final ranking.
+Plan.  Candidates are dealt to shards of ``shard_rows`` rows at most, by their place.
+Queries stay a table; each goes to the shards in two steps of ``FAN`` copies, so
+none passes through the driver, and the plan is the same for any number of
+them.  A task holds one shard and takes the queries block by block.  Rounds
+cover 1, 64, 4096 ... shards: the k-th best score of a query so far is the floor
+that its next shards start with, so what a round returns stays near ``FAN`` times
+the result.
 
 Defined cases.  Vectors that are null or hold null or non-finite components,
 and rows with a null id, take no part.  Scores are between vectors of equal
@@ -40,6 +42,8 @@ K, SCALE = 10, 1024.0
 QUERY_BLOCK = 1024
 SEGMENTS = (1, 4, 16)
 CHUNK = 2048
+SHARD_ROWS, LEAST_ROWS = 16384, 512
+FAN = 64
 _EXACT = float(1 << 53)
 
 
@@ -72,13 +76,14 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Best:
-    """The k best candidates of every query of a block."""
+    """The k best candidates of every query of a block, with at least its floor."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.x, self.k = ids, x, k
         self.levels = [statistics(x, s) for s in SEGMENTS]
         self.norm = np.sqrt((x * x).sum(axis=1))
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor
+        self.open = np.zeros(len(SEGMENTS) + 1, np.int64)  # pairs: all, and open after each level
         self.query = np.empty(0, np.int64)
         self.cand = np.empty(0, np.int64)
         self.score = np.empty(0, object)
@@ -97,9 +102,11 @@ class Best:
         slack = 1e-9 * np.outer(norm + 1, self.norm + 1) + 1e-6
         open_ = ids[:, None] != self.ids[None, :]
         rows = np.arange(len(ids))
-        for segments, own in zip(SEGMENTS, self.levels):
+        self.open[0] += open_.sum()
+        for level, (segments, own) in enumerate(zip(SEGMENTS, self.levels)):
             bound = statistics(x[rows], segments) @ own.T + slack[rows]
             open_[rows] &= bound >= self.floor[None, :]
+            self.open[level + 1] += open_[rows].sum()
             rows = rows[open_[rows].any(axis=1)]
             if not len(rows):
                 return
@@ -121,44 +128,84 @@ class Best:
         self.query, self.cand, self.score = query[keep], cand[keep], score[keep]
 
 
-def _scan(shared, k: int, scale: float):
+_FOUND = "query_id long, vec_id long, score long"
+
+
+def _searcher(k: int, scale: float, block: int):
+    """From rows sorted by (sh, kind): a shard's candidates (kind 0), then its queries."""
+
+    def best_of(shard, ids, x, floor):
+        best = Best(ids, x, k, floor)
+        step, a = 64, 0  # a few first, so that floors are up for the rest
+        while a < len(shard[0]):
+            best.add(shard[0][a : a + step], shard[1][a : a + step])
+            a, step = a + step, min(CHUNK, step * 4)
+        return best
+
     def run(batches):
-        blocks = {d: Best(ids, x, k) for d, (ids, x) in shared.value.items()}
-        for batch in batches:
-            for d, ids, x in vectors(batch.column(0), batch.column(1), scale):
-                if d not in blocks:
-                    continue
-                step, a = 64, 0  # a few first, so that floors are up for the rest
-                while a < len(ids):
-                    blocks[d].add(ids[a : a + step], x[a : a + step])
-                    a, step = a + step, min(CHUNK, step * 4)
-        for best in blocks.values():
-            if len(best.query):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(best.ids[best.query]), pa.array(best.cand), pa.array([int(s) for s in best.score], pa.int64())], names=["query_id", "vec_id", "score"])
+        shard, now = {}, None
+        for (sh, kind), piece in C.pieces(batches, ("sh", "kind")):
+            if sh != now:
+                shard, now = {}, sh
+            ids, lists = piece.column(2), piece.column(3)
+            if kind == 0:
+                for d, own, x in vectors(ids, lists, scale):
+                    shard.setdefault(d, []).append((own, x))
+                continue
+            shard = {d: v if isinstance(v, tuple) else tuple(map(np.concatenate, zip(*v))) for d, v in shard.items()}
+            for a in range(0, len(ids), block):
+                # of one block, by length; floors are found again by id
+                floors = dict(zip(ids[a : a + block].to_pylist(), piece.column(4)[a : a + block].to_pylist()))
+                for d, own, x in vectors(ids[a : a + block], lists[a : a + block], scale):
+                    if d not in shard:
+                        continue
+                    floor = np.array([-np.inf if floors[i] is None else np.nextafter(float(floors[i]), -np.inf) for i in own.tolist()])
+                    best = best_of(shard[d], own, x, floor)
+                    if len(best.query):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(best.ids[best.query]), pa.array(best.cand), pa.array([int(s) for s in best.score], pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(rows: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, block: int = QUERY_BLOCK) -> DataFrame:
+def _round(dealt: DataFrame, asked: DataFrame, low: int, high: int, k: int, scale: float, block: int) -> DataFrame:
+    """Best of the shards low <= sh < high for the queries (vec_id, embedding, floor)."""
+    tasks = C.partitions(dealt.sparkSession, 0)
+    fan = math.ceil((high - low) / FAN)
+    sent = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
+    if fan > 1:
+        sent = sent.repartition(tasks, "vec_id", "part")
+    first = F.lit(low) + F.col("part") * FAN
+    sh = F.explode(F.sequence(first, F.least(first + FAN - 1, F.lit(high - 1)))).alias("sh")
+    sent = sent.select(sh, F.lit(1).alias("kind"), "vec_id", "embedding", "floor")
+    held = dealt.where(F.col("sh").between(low, high - 1)).select("sh", F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(None).cast("long").alias("floor"))
+    rows = held.unionByName(sent).repartition(min(high - low, 4 * tasks), "sh").sortWithinPartitions("sh", "kind")
+    return rows.mapInArrow(_searcher(k, scale, block), _FOUND)
+
+
+def search(rows: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows (vec_id,
     embedding) for every row that ``is_query`` holds for."""
-    spark = rows.sparkSession
-    asked = rows.where(is_query).select(rows["vec_id"].cast("long").alias("vec_id"), rows["embedding"])
+    asked = rows.where(is_query).select(rows["vec_id"].cast("long").alias("vec_id"), rows["embedding"]).where("vec_id is not null").dropDuplicates(["vec_id"])
+    asked = C.saved(asked, "queries")
     rows = rows.select(rows["vec_id"].cast("long").alias("vec_id"), rows["embedding"])
-    blocks = max(1, math.ceil(asked.count() / block))
-    found = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        one = {}
-        for d, ids, x in vectors(part["vec_id"].combine_chunks(), part["embedding"], scale):
-            _, first = np.unique(ids, return_index=True)
-            one[d] = (ids[first], x[first])
-        shared = spark.sparkContext.broadcast(one)
-        out = rows.mapInArrow(_scan(shared, k, scale), "query_id long, vec_id long, score long")
-        found = out if found is None else found.union(out)
+    n, tasks = rows.count(), C.partitions(rows.sparkSession, 0)
+    shards = max(1, math.ceil(n / shard_rows), min(tasks, n // LEAST_ROWS))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    dealt = C.saved(rows.withColumn("sh", place), "vectors")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, low, high = None, 0, 1
+    while low < shards:
+        high = min(high, shards)
+        reach = asked.withColumn("floor", F.lit(None).cast("long"))
+        if best is not None:
+            floors = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
+            reach = asked.join(floors, "vec_id", "left")
+        found = _round(dealt, reach, low, high, k, scale, block)
+        found = found if best is None else best.drop("rank").unionByName(found)
+        best = C.saved(found.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        low, high = high, high * FAN
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

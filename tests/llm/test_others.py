@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -72,6 +73,78 @@ def test_decontamination(spark):
     assert all(normal(texts[r.doc_id].encode()[r.start : r.stop].decode()) == normal(dict(items)[r.item_id]) for r in got if r.distance == 0)
 
 
+def plain_normal(t):
+    """Folding and separators, character by character."""
+    out = []
+    for c in t:
+        kind = unicodedata.category(c)
+        if c.isascii() and not c.isalnum() or kind[0] == "Z" or kind[0] == "P" and not c.isascii() or kind in ("Cc", "Cf"):
+            out.append(" ")
+            continue
+        low = c.casefold() if ord(c) > 0xFF and len(c.casefold()) == 1 else c.lower()
+        same = len(low) != 1 or len(low.encode()) > len(c.encode()) or c == "\xb5"
+        out.append(c if same else low)
+    return " ".join("".join(out).split())
+
+
+def test_normalised_in_every_script():
+    texts = ["ПРИВЕТ, мир!", "ΟΔΥΣΣΕΥΣ οδυσσευς", "a\u00a0b\u2003c\u200bd", "«цитата» — да…", "Ÿ ÿ ẞ ß K Å Ω µ", "ԱԲ աբ ა Ა", "中文，句子。", "😀 x😀", "é ÉÀÞ×÷", "\u00ad\u0085 tab\tx", "ȺȾ ⱥⱦ", "𐐀𐐨"]
+    for t in texts:
+        got = normal(t).decode()
+        assert got == " ".join(got.split(" ")) and normal(got).decode() == got
+        assert got.replace("Ⱥ", "ⱥ").replace("Ⱦ", "ⱦ") == plain_normal(t).replace("Ⱥ", "ⱥ").replace("Ⱦ", "ⱦ"), t
+    assert normal("ПРИВЕТ МИР") == normal("привет\u00a0мир") and normal("ΣΟΦΟΣ") == normal("σοφος")
+    raw = [t.encode() for t in texts]
+    s, ends, source = contamination.normalised(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [s[a:b].tobytes() for a, b in zip(ends, ends[1:])] == [normal(t) for t in texts]  # many texts at once
+
+
+def test_decontamination_of_short_and_recased_items(spark):
+    items = [
+        (1, "What is the capital of France?"), (2, "ПРИМЕР ДЛИННОГО ВОПРОСА НА РУССКОМ ЯЗЫКЕ"), (3, "Ποιος είναι ο βασιλιάς της Ισπανίας σήμερα"),
+        (4, "ΑΒΓΔ εζ"), (5, "one two"), (6, "cat dogs!"),
+    ]
+    rows = [
+        (1, "He asked: what is the\u00a0capital of FRANCE? Nobody knew."), (2, "x what is the capital of francex"), (3, "что " + items[1][1].lower() + " ."),
+        (4, "— «Пример длинного\u2003вопроса на русском языке»"), (5, items[2][1].upper()), (6, "αβγδ ΕΖ και"), (7, "αβγδ ΕΖη"), (8, "hot cat dogs"), (9, "scat dogs, cat dogs"),
+        (10, "what is the capitol of France?"), (11, "one two"),
+    ]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contamination.find(docs, bench).collect()}
+    # below 8 bytes (5) nothing is searched; short items need their words whole
+    assert set(got) == {(1, 1), (3, 2), (4, 2), (5, 3), (6, 4), (8, 6), (9, 6)}
+    texts = dict(rows)
+    assert texts[1].encode()[got[1, 1].start : got[1, 1].stop].decode() == "what is the\u00a0capital of FRANCE"
+    assert texts[9].encode()[got[9, 6].start : got[9, 6].stop].decode() == "cat dogs" and got[9, 6].start == 11
+    assert texts[4].encode()[got[4, 2].start : got[4, 2].stop].decode() == "Пример длинного\u2003вопроса на русском языке"
+
+
+def test_decontamination_beyond_ascii(spark):
+    """Brute force over Cyrillic, Greek, no-break spaces and signs, changed and recased."""
+    rng = random.Random(8)
+    letters = "абвгдежзАБВαβγδΣσς\u00a0\u2003 —é"
+    items = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(30, 90)))) for i in range(12)]
+    rows = []
+    for d in range(40):
+        t = list("".join(rng.choice(letters) for _ in range(rng.randrange(80))))
+        leak = list(items[rng.randrange(12)][1])
+        for _ in range(rng.randrange(4)):
+            leak[rng.randrange(len(leak))] = rng.choice(letters)
+        t = "".join(t + leak)
+        rows.append((d, t.upper() if d % 3 == 0 else t.lower() if d % 3 == 1 else t))
+    want = []
+    for d, t in rows:
+        for i, s in items:
+            p = normal(s)
+            e = min(int(len(p) * contamination.BUDGET), (len(p) - contamination.Q) // contamination.Q)
+            n = edit_distance(p, normal(t))
+            if len(p) >= contamination.MIN_BUDGET and n <= e:
+                want.append((d, i, n))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in contamination.find(docs, bench).collect())
+    assert got == sorted(want) and len(want) > 15
+
+
 def test_decontamination_edge_rows(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     assert contamination.find(data.documents(spark), bench).collect() == []
@@ -107,7 +180,8 @@ def test_movement_stays_in_changed_subtrees(spark):
     assert 2.2 < weights[5] / (5000 / 18) < 3.8
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FAN", 3)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=24).astype(float).tolist()) for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(200)]  # ties
@@ -119,8 +193,8 @@ def test_topk(spark):
         if q % 20 == 0:
             near = sorted((-int(x @ y), c) for c, y in good if c != q and len(x) == len(y))[:10]
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(near)]
-    for block in (1024, 7):
-        got = topk.search(df, df["vec_id"] % 20 == 0, block=block)
+    for block, shard_rows in ((1024, 16384), (7, 16384), (5, 40)):  # the last: 16 shards, four rounds
+        got = topk.search(df, df["vec_id"] % 20 == 0, block=block, shard_rows=shard_rows)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.search(df.limit(0), df["vec_id"] % 20 == 0).collect() == []
 
