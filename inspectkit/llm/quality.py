@@ -11,10 +11,10 @@ largest keys are taken.
 The weight is measured against ``cut``, the log ratio per n-gram that separates
 target from other labelled text best of those that keep a share ``KEEP`` of the
 labelled target rows or more, the log odds of the labelled shares are added
-(so a few n-grams don't outweigh what is known beforehand), and the sum is
-divided by ``temperature`` before the noise; k is the number of documents
-above the cut.  So documents near the
-cut are sampled, and those far from it are as good as certain.
+(so a few n-grams don't outweigh what is known beforehand).  ``k`` is a
+parameter, by default the number of documents above the cut; at a ``temperature`` of 1
+documents are drawn in proportion to their weights.  So documents near the
+k-th key are sampled, and long texts far from it are as good as certain.
 
 Learning.  The raw model counts every whole text of the corpus.  Target model
 and cut come from at most ``sample_rows`` labelled rows (chosen by a hash of
@@ -48,8 +48,10 @@ BUCKETS = 1 << 14
 SAMPLE_ROWS = 20_000
 SMOOTHING = 1.0
 KEEP = 0.995
-TEMPERATURE = 0.1
+TEMPERATURE = 1.0
+SEED = 6
 BINS, FEW = 4096, 4096
+SLICE = 1 << 20
 
 _SPACE, _WORD, _SIGN = 0, 1, 2
 _KIND = np.full(256, _SIGN, np.uint8)
@@ -88,7 +90,7 @@ def _counted(buckets: int):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             raw, offsets = A.bytes_of(batch.column(batch.schema.get_field_index("text")))
-            for a, b in A.slices(offsets):
+            for a, b in A.slices(offsets, SLICE):
                 total += np.bincount(buckets_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets)[0], minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
@@ -100,22 +102,23 @@ def counts(docs: DataFrame, buckets: int) -> np.ndarray:
     """n-grams of all texts by bucket."""
     rows = docs.select("text").mapInArrow(_counted(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
-    for r in rows.collect():  # one row per bucket
-        out[r.bucket] = r.n
+    with C.shuffle_cleanup(docs.sparkSession):
+        for r in rows.collect():  # one row per bucket
+            out[r.bucket] = r.n
     return out
 
 
-def _weighed(shared, buckets: int):
+def _weighed(shared, buckets: int, keep_text: bool = False):
     def run(batches):
         ratio = shared.value
         for batch in batches:
             raw, offsets = A.bytes_of(batch.column(batch.schema.get_field_index("text")))
             n, w = [], []
-            for a, b in A.slices(offsets):
+            for a, b in A.slices(offsets, SLICE):
                 bucket, row = buckets_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets)
                 n.append(np.bincount(row, minlength=b - a))
                 w.append(np.bincount(row, ratio[bucket], minlength=b - a))
-            rest = [(c, batch.column(i)) for i, c in enumerate(batch.schema.names) if c != "text"]
+            rest = [(c, batch.column(i)) for i, c in enumerate(batch.schema.names) if keep_text or c != "text"]
             n, w = (np.concatenate(x) if x else np.zeros(0) for x in (n, w))
             yield pa.RecordBatch.from_arrays([*(x for _, x in rest), pa.array(n.astype(np.int64)), pa.array(w.astype(np.float64))], names=[*(c for c, _ in rest), "n_grams", "log_weight"])
 
@@ -174,8 +177,8 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     return C.versioned(docs).mapInArrow(_weighed(shared, len(model.ratio)), "doc_id long, ver int, n_grams long, log_weight double")
 
 
-def _gumbel() -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "ver", F.lit("gumbel")), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+def _gumbel(seed: int) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "ver", F.lit(seed)), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(-F.log(u))
 
 
@@ -199,20 +202,46 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
             k -= r.n
 
 
-def resample(docs: DataFrame, model: Model, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
-    """doc_id, ver, n_grams, log_weight, key and selected of every row: the k
-    (by default as many as lie above the cut) largest keys are selected."""
+def _keyed(rows: DataFrame, model: Model, temperature: float, seed: int) -> DataFrame:
+    """rows (doc_id, ver, n_grams, log_weight) with margin and key."""
     prior = F.when(F.col("n_grams") > 0, F.lit(model.prior)).otherwise(F.lit(0.0))
     margin = F.col("log_weight") - F.lit(model.cut) * F.col("n_grams") + prior
-    rows = weigh(docs, model).withColumn("margin", margin)
-    rows = C.saved(rows.withColumn("key", F.col("margin") / F.lit(temperature) + _gumbel()), "weights")
+    return rows.withColumn("margin", margin).withColumn("key", F.col("margin") / F.lit(temperature) + _gumbel(seed))
+
+
+def _drawn(docs: DataFrame, model: Model, temperature: float, k: int | None, seed: int) -> tuple[DataFrame, Column]:
+    """(stored weights and keys of all rows, whether a key is among the k largest)."""
+    with C.shuffle_cleanup(docs.sparkSession):
+        rows = C.saved(_keyed(weigh(docs, model), model, temperature, seed), "weights")
     if k is None:
         k = rows.where("margin >= 0").count()
     least = kth_largest(rows, "key", k)
-    selected = F.lit(False) if least is None else F.col("key") >= F.lit(least)
+    return rows, F.lit(False) if least is None else F.col("key") >= F.lit(least)
+
+
+def resample(docs: DataFrame, model: Model, temperature: float = TEMPERATURE, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, ver, n_grams, log_weight, key and selected of every row: the k
+    (by default as many as lie above the cut) largest keys are selected."""
+    rows, selected = _drawn(docs, model, temperature, k, seed)
     return rows.select("doc_id", "ver", "n_grams", "log_weight", "key", selected.alias("selected"))
 
 
+def sample(docs: DataFrame, model: Model, temperature: float = TEMPERATURE, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of docs that ``resample`` selects, with all their columns.  A row's
+    key follows from its id and text alone, so it is computed again beside the text
+    and compared with the k-th largest; nothing is joined or shuffled."""
+    _, selected = _drawn(docs, model, temperature, k, seed)
+    shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
+    other = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("other")
+    rows = docs.select(other, docs["text"].cast("string").alias("text"))
+    schema = f"other {rows.schema['other'].dataType.simpleString()}, text string, n_grams long, log_weight double"
+    rows = rows.mapInArrow(_weighed(shared, len(model.ratio), keep_text=True), schema)
+    whole = F.coalesce("text", F.lit(""))
+    rows = rows.withColumns({"doc_id": F.col("other.doc_id").cast("long"), "ver": C.version(whole)})
+    kept = _keyed(rows, model, temperature, seed).where(selected)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"other.`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.load(spark, sf_dir, "documents")
     return resample(docs, fit(docs, C.load(spark, sf_dir, "labels"))).drop("ver")

@@ -1,5 +1,8 @@
 """Toxicity (3) and quality (6): held-out accuracy and defined cases."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +118,61 @@ def test_texts_without_n_grams_among_mostly_bad_labels(spark):
     assert model.prior < -1
     kept = {r.doc_id for r in quality.resample(docs, model).where("selected").collect()}
     assert kept == {0, 1, 2, 3, 40, 41, 42}
+
+
+def naive(lexicon, text):
+    """(matches, weight), word by word: the best entry that a word equals or begins with,
+    unless the word and a neighbour are an exception."""
+    s = toxicity.fold(text)
+    spans = [(m.start(), m.group()) for m in re.finditer(r"[^\W_]+", s)]
+    words, n, total = [w for _, w in spans], 0, 0.0
+    for i, w in enumerate(words):
+        entries = [v for t, v in lexicon.weights.items() if t == w or t.endswith("*") and w.startswith(t[:-1])]
+        pairs = [" ".join(words[max(i - 1, 0) : i + 1]) if i else "", " ".join(words[i : i + 2])]
+        if entries and max(entries) > 0 and not any(p in lexicon.exceptions for p in pairs if " " in p):
+            n, total = n + 1, total + max(entries)
+    return n, total
+
+
+def test_matcher_equals_a_naive_one():
+    rng = random.Random(6)
+    parts = ["bad", "scum", "ug", "ly", "0k", "b4d", "$cum", "fine", "é", "сat"]
+    vocabulary = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(30)]
+    for _ in range(40):
+        terms = {toxicity.fold(w) for w in rng.sample(vocabulary, 8)}
+        weights = {t: rng.choice([2.0, 2.5, 3.0]) for t in terms if re.fullmatch(r"[^\W_]+", t)} | {f"{toxicity.fold(w)[:4]}*": 2.2 for w in rng.sample(vocabulary, 4) if len(w) >= 5}
+        weights = {t: v for t, v in weights.items() if re.fullmatch(r"[^\W_]+\*?", t)}
+        folded = [w for x in vocabulary for w in re.findall(r"[^\W_]+", toxicity.fold(x))]
+        exceptions = frozenset(f"{rng.choice(folded)} {rng.choice(folded)}" for _ in range(60))
+        lexicon = toxicity.Lexicon(weights, exceptions, 0.0, (1.0, 1.0))
+        matcher = toxicity.Matcher(lexicon)
+        for _ in range(20):
+            gap = rng.choice([" ", "  ", ", ", " " * 200, "-_-"])
+            text = gap.join(rng.choice(vocabulary) for _ in range(rng.randrange(12)))
+            _, n, total = matcher.matches(text)
+            assert (n, pytest.approx(total)) == naive(lexicon, text), text
+
+
+def test_gumbel_draws_differ_near_the_cut_and_follow_the_weights(spark):
+    """Two seeds select different documents; inclusion follows the weights."""
+    docs = spark.createDataFrame([(i, ("good " if i % 3 else "bad ") * (1 + i % 4) + f"x{i}") for i in range(400)], "doc_id long, text string")
+    ratio = np.zeros(quality.BUCKETS)
+    for word, value in (("good", 0.8), ("bad", -0.8)):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        ratio[quality.buckets_of(raw, np.array([0, len(raw)]), quality.BUCKETS)[0]] = value
+    model = quality.Model(ratio, 0.0)
+    drawn = {}
+    for seed in range(12):
+        rows = quality.resample(docs, model, temperature=1.0, k=100, seed=seed).collect()
+        drawn[seed] = {r.doc_id for r in rows if r.selected}
+        weight = {r.doc_id: r.log_weight for r in rows}
+        assert len(drawn[seed]) == 100
+        kept = {r.doc_id for r in quality.sample(docs, model, temperature=1.0, k=100, seed=seed).collect()} if seed < 2 else drawn[seed]
+        assert kept == drawn[seed]
+    assert drawn[0] != drawn[1]
+    times = {d: sum(d in s for s in drawn.values()) for d in weight}
+    groups = {}
+    for d, w in weight.items():
+        groups.setdefault(round(w, 1), []).append(times[d])
+    means = [np.mean(groups[w]) for w in sorted(groups) if len(groups[w]) >= 20]
+    assert len(means) > 3 and all(b > a - 0.2 for a, b in zip(means, means[1:])) and means[-1] > means[0] + 5
