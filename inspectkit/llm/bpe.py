@@ -143,7 +143,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.specials is None or "<" not in text:
+        if self.specials is None or not any(token in text for token in self.special):
             return self.plain(text)
         parts = self.specials.split(text)
         return b"".join(np.array([self.special[p]], "<u4").tobytes() if i % 2 else self.plain(p) for i, p in enumerate(parts))

@@ -13,7 +13,7 @@ smoothed log-odds of being in toxic against other texts, kept if it is
 ``max_terms`` with the highest weight less one standard error; word
 beginnings (written with a final *) are learned alike for words too rare to be
 seen, and a word counts with the best entry that matches it.
-Exception phrases are pairs of words around a lexicon word seen in
+Exception phrases are pairs of a matched word and a neighbour, seen in
 ``min_phrase`` other texts and in no toxic one.  The curve is a ridge logistic
 regression on the same rows.  Word counts run on Spark; what reaches the driver
 is the lexicon, its phrases and two numbers for each sampled row, all bounded.
@@ -22,7 +22,7 @@ Scoring is a map over the whole texts, no shuffle.
 
 Defined cases.  Null and empty texts have length 0 and get the score of a text
 without matches.  Null ids are scored too, and held_out is null for them.
-Labels with nulls are ignored; ids labelled twice count as often.  Without
+Labels with nulls are ignored; an id labelled twice alike counts once.  Without
 usable labels the lexicon is empty and every score is the prior.  An empty table gives an empty result;
 further columns are ignored.
 """
@@ -83,6 +83,11 @@ def fold(text: str) -> str:
     return s
 
 
+def _word_end(s: str, a: int) -> int:
+    found = _WORD.match(s, a)
+    return found.end() if found else a
+
+
 @dataclass(frozen=True)
 class Lexicon:
     weights: dict[str, float]
@@ -120,9 +125,16 @@ class Matcher:
         return n, len(best), sum(best.values())
 
     def _excepted(self, s: str, a: int) -> bool:
-        before, here = _WORD.findall(s[max(0, a - 64) : a])[-1:], _WORD.findall(s[a : a + 129])[:2]
-        near = [*before, *here]
-        return any(f"{x} {y}" in self.lexicon.exceptions for x, y in zip(near, near[1:]))
+        """Do the word at a and the one before or after it make an exception?"""
+        i = a
+        while i and not s[i - 1].isalnum():
+            i -= 1
+        j = i
+        while j and s[j - 1].isalnum():
+            j -= 1
+        here, k = _WORD.match(s, a), _WORD.search(s, _word_end(s, a))
+        near = [s[j:i], here[0] if here else "", k[0] if k else ""]
+        return any(x and y and f"{x} {y}" in self.lexicon.exceptions for x, y in zip(near, near[1:]))
 
     def score(self, n: int, total: float) -> float:
         x = self.lexicon.intercept + sum(w * v for w, v in zip(self.lexicon.slopes, features(n, total)))
@@ -179,8 +191,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     words = words.where(F.col("w") / F.col("e") >= F.when(F.col("term").endswith("*"), max(MIN_STEM_Z, min_z)).otherwise(min_z))
     weights = {r.term: r.w for r in words.orderBy(F.desc(F.col("w") - F.col("e")), "term").limit(max_terms).collect()}
 
+    def matched(word: str) -> bool:
+        return word in weights or any(k < len(word) and f"{word[:k]}*" in weights for k in STEM)
+
     def pairs(found: list[str]) -> set[str]:
-        return {f"{a} {b}" for a, b in zip(found, found[1:]) if a in weights or b in weights}
+        hit = [matched(w) for w in found]
+        return {f"{a} {b}" for a, b, x, y in zip(found, found[1:], hit, hit[1:]) if x or y}
 
     phrases = rows.mapInArrow(_counts(pairs), _COUNTS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"))
     phrases = phrases.where((F.col("t") == 0) & (F.col("n") >= min_phrase)).orderBy(F.desc("n"), "term").limit(max_terms)

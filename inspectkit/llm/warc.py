@@ -139,6 +139,7 @@ def _results(rows: DataFrame, *more: str) -> DataFrame:
 
 
 _M, _E = len(MAGIC), len(END)
+BUCKET = 4 << 20  # offsets that are joined together
 
 
 def _numbered(batches):
@@ -219,6 +220,17 @@ def _reached(edges: DataFrame) -> DataFrame:
     return reached
 
 
+def _bucket(at: Column) -> Column:
+    return F.floor(at / F.lit(float(BUCKET))).cast("long")
+
+
+def _over_buckets(ranges: DataFrame, low: str, high: str) -> DataFrame:
+    """One row for each bucket of offsets that the range [low, high) touches, so that
+    offsets meet the ranges near them and not all of their file."""
+    last = _bucket(F.greatest(F.col(high) - 1, F.col(low)))
+    return ranges.withColumn("bucket", F.explode(F.sequence(_bucket(F.col(low)), last)))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type
     and refers_to."""
@@ -236,7 +248,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     placed = rows.select("file", "block", "line", (F.col("rel") + F.col("base")).alias("at"), F.when(F.col("next") >= 0, F.col("next") + F.col("base")).otherwise(-1).alias("next"), "size", "head_size", "length")
     spans = rows.groupBy("file", "block").agg(F.min(F.col("rel") + F.col("base")).alias("low"), F.max(F.col("stop") + F.col("base")).alias("high"))
-    entry = spans.join(entries, "file").where("at >= low and at < high").groupBy("file", "block").agg(F.min("at").alias("entry"))
+    entries = entries.withColumn("bucket", _bucket(F.col("at")))
+    entry = _over_buckets(spans, "low", "high").join(entries, ["file", "bucket"]).where("at >= low and at < high").groupBy("file", "block").agg(F.min("at").alias("entry"))
     walked = placed.join(entry, ["file", "block"], "left").repartition("file", "block").sortWithinPartitions("file", "block")
     walked = C.saved(walked.mapInArrow(_walk, "file long, block long, line long, at long, next long, size long, head_size long, length long, passed boolean"), "walked")
     whole_size = F.col("head_size") + F.col("length") + 2 * _E
@@ -251,7 +264,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def _put_together(spark: SparkSession, path: str, walked: DataFrame, broken: DataFrame) -> DataFrame:
     """Records whose payload holds the magic, from their fragments."""
-    parts = walked.join(broken.withColumnRenamed("next", "end"), "file").where("at >= start and at < end").select("file", "block", "line", "start", "at")
+    ranges = _over_buckets(broken.withColumnRenamed("next", "end"), "start", "end")
+    parts = walked.withColumn("bucket", _bucket(F.col("at"))).join(ranges, ["file", "bucket"]).where("at >= start and at < end").select("file", "block", "line", "start", "at")
     parts = C.saved(parts, "parts")
     values = _fragments(spark, path).withColumns({"size": F.octet_length("value").cast("long"), "head_size": F.lit(0).cast("long"), "length": F.lit(None).cast("long")})
     values = values.mapInArrow(_numbered, "file long, block long, value string, size long, head_size long, length long, line long, rel long, next long, stop long")
