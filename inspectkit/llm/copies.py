@@ -7,7 +7,7 @@ their whole text hashed (SHA-256); the groups of that hash are the answer.
 
 Plan.  Every refinement is an aggregate of one number per row, combined before
 its shuffle.  Which groups have company goes back to the rows as a bitmap of
-hashed keys: at most ``MOST_BITS`` bits (16 MB) whatever the input, so it is
+hashed keys: at most ``corpus.MOST_BITS`` bits (16 MB) whatever the input, so it is
 broadcast and no text is ever shuffled.  A key that meets another's bit keeps
 its rows one round longer and changes nothing.  The last scan writes a narrow
 table (id, hash, what the caller wants beside them); groups are aggregated
@@ -32,8 +32,6 @@ from inspectkit.llm import corpus as C
 from inspectkit.llm.arrays import NULL_ID
 
 PREFIX = 128  # characters
-MOST_BITS = 1 << 27
-BITS_A_KEY = 64
 HOT = 1000
 
 
@@ -49,27 +47,12 @@ def by_prefix(text: Column) -> Column:
     return F.xxhash64(F.octet_length(text), lowered(F.substring(text, 1, PREFIX)))
 
 
-class Company:
+class Company(C.KeyBitmap):
     """Bitmap of the keys that more than one row has."""
 
     def __init__(self, keys: DataFrame):
-        many = C.saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "company")
-        self.bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_A_KEY * many.count()).bit_length()))
-        at = self.position(F.col("key"))
-        bitmap = many.groupBy(F.bitmap_bucket_number(at).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
-        self.bitmap = C.saved(bitmap, "bitmap")
-
-    def position(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.bits)) + 1
-
-    def mark(self, rows: DataFrame, key: Column) -> DataFrame:
-        """rows with ``__open``: false where no other row has the key."""
-        rows = rows.withColumn("__at", self.position(key)).withColumn("__part", F.bitmap_bucket_number("__at"))
-        bit = F.bitmap_bit_position("__at")
-        byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        is_set = F.getbit(byte, (bit % 8).cast("int")) == 1
-        marked = rows.join(F.broadcast(self.bitmap), "__part", "left").withColumn("__open", F.coalesce(is_set, F.lit(False)))
-        return marked.drop("__at", "__part", "__bits")
+        many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        super().__init__(C.saved(many, "company"))
 
 
 def _open(rows: DataFrame, text: Column) -> DataFrame:

@@ -14,13 +14,16 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectkit.llm import arrays as A
 from inspectkit.session import scratch_path
 
 BLOCK_BYTES = 4 << 20
+BATCH = "8m"
+MOST_BITS = 1 << 27
+BITS_A_KEY = 64
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,9 +38,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def version(text: Column) -> Column:
+    """31 hash bits of a text that is not null."""
+    return F.shiftrightunsigned(F.xxhash64(text), 33).cast("int")
+
+
 def versioned(docs: DataFrame) -> DataFrame:
     """(doc_id, ver, text): ver tells apart texts that share a doc_id."""
-    return texts(docs).select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int").alias("ver"), "text")
+    return texts(docs).select("doc_id", version(F.col("text")).alias("ver"), "text")
 
 
 def labelled(docs: DataFrame, chosen: DataFrame, sample_rows: int) -> DataFrame:
@@ -72,17 +80,49 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class KeyBitmap:
+    """A stored table of distinct keys (one long column, ``key``) as a bitmap of their
+    hashes: some 64 bits a key and MOST_BITS (16 MB) at most, so it can be
+    broadcast whatever the number of keys.  No key of the table is missed; of
+    other keys few share a bit (more, once the bitmap no longer grows)."""
+
+    def __init__(self, keys: DataFrame):
+        self.bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_A_KEY * keys.count()).bit_length()))
+        at = self.position(F.col("key"))
+        bitmap = keys.groupBy(F.bitmap_bucket_number(at).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+        self.bitmap = saved(bitmap, "bitmap")
+
+    def position(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits)) + 1
+
+    def mark(self, rows: DataFrame, key: Column) -> DataFrame:
+        """rows with ``__open``: false where the key is none of the table's."""
+        rows = rows.withColumn("__at", self.position(key)).withColumn("__part", F.bitmap_bucket_number("__at"))
+        bit = F.bitmap_bit_position("__at")
+        byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        is_set = F.getbit(byte, (bit % 8).cast("int")) == 1
+        marked = rows.join(F.broadcast(self.bitmap), "__part", "left").withColumn("__open", F.coalesce(is_set, F.lit(False)))
+        return marked.drop("__at", "__part", "__bits")
+
+
 @contextmanager
-def shuffle_cleanup(spark: SparkSession):
-    """Shuffle files of the jobs inside go when each job ends (their results
-    are tables in the shared folder by then), so rounds don't add up on disk."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, new: dict[str, str]):
+    """The jobs inside run with these settings."""
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def shuffle_cleanup(spark: SparkSession):
+    """Shuffle files of the jobs inside go when each job ends (their results
+    are tables in the shared folder by then), so rounds don't add up on disk;
+    and texts go to Python workers in batches of ``BATCH`` bytes (or one text)."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": BATCH})
 
 
 def ident(doc_id: np.ndarray, ver: np.ndarray) -> np.ndarray:
@@ -98,13 +138,13 @@ def n_blocks(size: int) -> int:
     return max(1, math.ceil(size / BLOCK_BYTES))
 
 
-def text_batches(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, ver, bytes, offsets) of bounded slices of (doc_id, ver, text) batches."""
+def text_batches(batches, most: int = A.SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_id, ver, bytes, offsets) of slices of (doc_id, ver, text) batches, of ``most`` bytes or one text."""
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         doc, ver = A.ids_of(col["doc_id"]), col["ver"].to_numpy(zero_copy_only=False)
         raw, offsets = A.bytes_of(col["text"])
-        for a, b in A.slices(offsets):
+        for a, b in A.slices(offsets, most):
             yield doc[a:b], ver[a:b], raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 

@@ -32,9 +32,11 @@ Plan.
 4. Groups above ``block_members`` members or ``block_nodes`` nodes are cut
    into blocks.  Blocks are
    searched inside; then a few pivots of the group's largest component search
-   all blocks, and then every node still outside it searches the blocks with
-   which it shares an equal part or rest.  A task holds a block's lists, and
-   the searches pass by them.
+   all blocks, and then every node still outside it searches the blocks that hold
+   one of its rare parts.  For that, sets are cut twice as fine: sets that link
+   share at least d + 2 of 2 (d + 1) parts, so one of the d + 1 rarest of each,
+   and what the whole group shares sends nobody anywhere.  A task holds a
+   block's lists, and the searches pass by them.
 
 Defined cases.  Null and empty texts, and texts without words, have an empty
 set and link with nothing.  Null ids sort before all ids and come back as
@@ -55,10 +57,11 @@ from inspectkit.llm import graph
 
 SHINGLE, NUM, DEN = 3, 90, 100
 BLOCK_MEMBERS, BLOCK_NODES = 4_000_000, 8192
+SLICE = 1 << 20
 PIVOTS = 8
 SPARSE, LEAVES = 0.85, 5
 MERGED = 64  # lists merged or probed at a time
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 
 def members(raw: np.ndarray, offsets: np.ndarray, shingle: int):
@@ -150,6 +153,28 @@ def rests(value: np.ndarray, first: np.ndarray, num: int, den: int, leaves: int
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
+def fine_parts(value: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """(key, row, size class, kept) of all parts of all sets, cut twice as fine as ``signatures``
+    does: of 2 (d + 1) parts two sets that link differ in d at most, so they share d + 2,
+    and one of these is among the d + 1 (``kept``) rarest of either, in any order of all keys."""
+    size, row = np.diff(first), A.row_of(first)
+    bounds, parts = size_classes(num, den, int(size.max()) if len(size) else 1)
+    own = np.searchsorted(bounds, np.maximum(size, 1), side="right") - 1
+    scrambled, out = A.mix(value), []
+    for step in (0, 1):
+        kind = own + step
+        k = np.where(size > 0, 2 * parts[kind], 0)
+        base = np.concatenate([[0], np.cumsum(k)])
+        slot = base[row] + ((value >> np.uint64(11)) % np.maximum(k[row], 1).astype(np.uint64)).astype(np.int64)
+        sums = np.zeros(base[-1], np.uint64)
+        np.add.at(sums, slot, scrambled)
+        owner = np.repeat(np.arange(len(size)), k)
+        place = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
+        label = (kind[owner].astype(np.uint64) << np.uint64(32)) + place
+        out.append((A.mix(A.mix(sums + np.uint64(1)) ^ label), owner, kind[owner], parts[kind[owner]]))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
+
+
 class Lists:
     """Inverted lists of some sets."""
 
@@ -223,7 +248,7 @@ def group_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 def _scan(shingle: int):
     def run(batches):
-        for doc, ver, raw, offsets in C.text_batches(batches):
+        for doc, ver, raw, offsets in C.text_batches(batches, SLICE):
             value, first = members(raw, offsets, shingle)
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(ver), pa.array(np.diff(first).astype(np.int64)), pa.array(nodes(value, first))], names=["doc_id", "ver", "n", "node"])
 
@@ -262,7 +287,7 @@ def _flushed(found, buckets: int):
 
 def _parts(shingle: int, num: int, den: int, buckets: int):
     def found(batches):
-        for doc, ver, raw, offsets in C.text_batches(batches):
+        for doc, ver, raw, offsets in C.text_batches(batches, SLICE):
             value, first = members(raw, offsets, shingle)
             key, row = signatures(value, first, num, den)
             yield key, nodes(value, first)[row]
@@ -277,7 +302,7 @@ def _rests(num: int, den: int, buckets: int):
         for b in batches:
             node = b.column(b.schema.get_field_index("node")).to_numpy()
             raw, offsets = A.bytes_of(b.column(b.schema.get_field_index("members")))
-            for x, y in A.slices(offsets, A.SLICE_BYTES // 4):
+            for x, y in A.slices(offsets, SLICE):
                 value = raw[offsets[x] : offsets[y]].view(np.uint64)
                 key, row = rests(value, (offsets[x : y + 1] - offsets[x]) // 8, num, den)
                 yield key, node[x:y][row]
@@ -318,7 +343,7 @@ def _members_of(shingle: int, buckets: int):
 
     def run(batches):
         parts, held = [], 0
-        for doc, ver, raw, offsets in C.text_batches(batches):
+        for doc, ver, raw, offsets in C.text_batches(batches, SLICE):
             value, first = members(raw, offsets, shingle)
             parts.append((value, np.repeat(nodes(value, first), np.diff(first))))
             held += len(value)
@@ -388,7 +413,7 @@ def _set_rows(shingle: int, *keys: str):
         for b in batches:
             raw, offsets = A.bytes_of(b.column(b.schema.get_field_index("text")))
             want = b.column(b.schema.get_field_index("node")).to_numpy()
-            for x, y in A.slices(offsets):
+            for x, y in A.slices(offsets, SLICE):
                 value, first = members(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], shingle)
                 same = nodes(value, first) == want[x:y]
                 out = [b.column(b.schema.get_field_index(c)).slice(x, y - x) for c in (*keys, "node")]
@@ -449,20 +474,30 @@ def _across(num: int, den: int):
 
 
 def _keys(num: int, den: int):
-    """(grp, blk, node, key): what a set shares with each set it links with."""
+    """(grp, blk, node, kind, kept, key): the fine parts of the sets."""
 
     def run(batches):
         for b in batches:
             raw, offsets = A.bytes_of(b.column(b.schema.get_field_index("members")))
-            for x, y in A.slices(offsets, A.SLICE_BYTES // 4):
+            for x, y in A.slices(offsets, SLICE):
                 value, first = raw[offsets[x] : offsets[y]].view(np.uint64), (offsets[x : y + 1] - offsets[x]) // 8
-                key, row = (rests if num < SPARSE * den else signatures)(value, first, num, den)
+                key, row, kind, kept = fine_parts(value, first, num, den)
                 of = [b.column(b.schema.get_field_index(c)).slice(x, y - x).take(pa.array(row)) for c in ("grp", "blk", "node")]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(key.view(np.int64))], names=["grp", "blk", "node", "key"])
+                yield pa.RecordBatch.from_arrays([*of, pa.array(kind.astype(np.int32)), pa.array(kept.astype(np.int32)), pa.array(key.view(np.int64))], names=["grp", "blk", "node", "kind", "kept", "key"])
 
     return run
 
 
+def _rare_keys(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(grp, blk, node, key): of each set and size class the parts that fewest
+    sets of the group have, as many as suffice to meet every set it links with."""
+    keys = C.saved(sets.mapInArrow(_keys(num, den), "grp long, blk long, node long, kind int, kept int, key long"), "keys")
+    held = keys.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("grp", "node", "kind").orderBy("n", "key"))
+    ranked = keys.join(held, ["grp", "key"]).withColumn("nth", nth)
+    return C.saved(ranked.where(F.col("nth") <= F.col("kept")).select("grp", "blk", "node", "key"), "rare-keys")
+
+
 def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     roots = graph.components(edges).select(F.col("node").alias("comp"), "root")
     return labels.join(roots, "comp", "left").select("grp", "blk", "node", F.coalesce("root", "comp").alias("comp"))
@@ -477,7 +512,7 @@ def _routes(chosen: DataFrame, keys: DataFrame) -> DataFrame:
 def _between_blocks(sets: DataFrame, labels: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
     """Links across the blocks of large groups: pivots first, then outsiders."""
     blocks = labels.select("grp", "blk").distinct()
-    keys = C.saved(sets.mapInArrow(_keys(num, den), "grp long, blk long, node long, key long"), "keys")
+    keys = _rare_keys(sets, num, den)
     for pivots_only in (True, False):
         sizes = labels.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
         leader = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("leader"))
@@ -534,7 +569,7 @@ def decisions(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int
         ids = docs.select(F.coalesce("doc_id", F.lit(int(A.NULL_ID))).alias("doc_id"), "ver", "text")
         stored = None
         if num < SPARSE * den:
-            found = docs.mapInArrow(_members_of(shingle, tasks), A.packed_schema(*_MEMBER)).repartitionById(tasks, "dest")
+            found = docs.mapInArrow(_members_of(shingle, 2 * tasks), A.packed_schema(*_MEMBER)).repartitionById(2 * tasks, "dest")
             found = found.mapInArrow(_shared_members(tasks), A.packed_schema("node", "n")).repartitionById(tasks, "dest")
             shared = C.saved(found.mapInArrow(_summed, "node long, shared long"), "shared")
             # equal sets in several slices share all members; more sets is safe

@@ -72,6 +72,59 @@ def test_searches_go_where_a_key_is_shared(spark):
     assert sorted(map(tuple, to.collect())) == [(1, 0, 10), (1, 1, 10), (1, 2, 13)]
 
 
+def test_rare_fine_parts_meet_all_links():
+    """Sets that link have one of their rarest parts in common, in any order of the keys."""
+    rng = np.random.default_rng(17)
+    tried = 0
+    while tried < 300:
+        n, num = int(rng.integers(1, 120)), int(rng.choice([60, 80, 90]))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone, more = int(rng.integers(0, n // 6 + 2)), int(rng.integers(0, n // 6 + 2))
+        y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+        same = len(np.intersect1d(x, y))
+        if not len(y) or same * 100 < num * (len(x) + len(y) - same):
+            continue
+        tried += 1
+        key, row, kind, kept = jaccard.fine_parts(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), num, 100)
+        for salt in range(3):
+            order = np.argsort((key * np.uint64(2 * salt + 3)) ^ np.uint64(salt))
+            chosen = []
+            for r in (0, 1):
+                mine = set()
+                for c in np.unique(kind[row == r]):
+                    at = order[(row[order] == r) & (kind[order] == c)]
+                    mine |= set(key[at[: kept[at[0]]]].tolist())
+                chosen.append(mine)
+            assert chosen[0] & chosen[1]
+
+
+def test_shared_boilerplate_sends_few_searches(spark, monkeypatch):
+    """400 documents that share 80 % of their words, in 20 blocks: what all hold sends
+    nobody anywhere (by any shared part it was 399 searchers x 20 blocks)."""
+    sent, real = [], jaccard._routes
+
+    def counted(*args):
+        found = real(*args)
+        sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_routes", counted)
+    base = [f"b{k}" for k in range(160)]
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(400):
+        own = [f"u{d}x{k}" for k in range(40)]
+        at = sorted(rng.choice(200, 40, replace=False).tolist())
+        words = base.copy()
+        for k, w in zip(at, own):
+            words.insert(min(k, len(words)), w)
+        rows.append((d, " ".join(words)))
+    rows += [(500 + d, rows[d][1] + " tail") for d in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df, 1, 90, block_nodes=20) == brute(rows, 1, 90)
+    assert sent and max(sent) < 430 * 3
+
+
 def test_edge_rows(spark):
     df = data.documents(spark)
     assert got(df) == brute(data.pairs(df))
