@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from inspectkit.llm import arrays as A
 from inspectkit.llm import corpus as C
 
+SLICE = 1 << 20  # bytes of text whose words are looked at together
 WINDOW = 20
 #: Difference covers: every residue modulo the period is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -92,7 +93,7 @@ def _anchors(window: int, period: int, buckets: int):
 
     def run(batches):
         parts, held = [], 0
-        for doc, ver, raw, offsets in C.text_batches(batches):
+        for doc, ver, raw, offsets in C.text_batches(batches, SLICE):
             _, _, h, first = A.words(raw, offsets)
             hashes, row = A.windows(h, size), A.row_of(first)
             place = np.arange(len(h)) - first[:-1][row]
