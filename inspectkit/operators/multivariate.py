@@ -3,7 +3,8 @@
 M1 is two aggregations over the whole table (means, then sums of centred
 products for every column pair): partial aggregates per partition, merged
 once.  M3 uses Spark ML, whose PCA builds the p x p covariance with a tree
-aggregation (p = number of numeric columns, not rows).
+aggregation (p = number of numeric columns, not rows).  What several passes
+read is written once, so the input's own joins run once.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inspectkit import columns as C
 from inspectkit.functions import is_numeric_type
-from inspectkit.session import empty
+from inspectkit.session import empty, written
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -29,6 +31,12 @@ def complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return sel.filter(cond)
 
 
+def written_complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The complete rows, written once, as columns x0, x1, ..."""
+    d = complete_rows(df, cols)
+    return written(d.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(cols)]), "complete-rows")
+
+
 def correlation_long(df: DataFrame, cols: list[str] | None = None, digits: int | None = 3) -> DataFrame:
     """M1: Pearson r for every ordered column pair ``(col_a, col_b, corr)``
     after listwise deletion; a constant column gives NULL (never an error).
@@ -41,8 +49,8 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None, digits: int |
     cols = list(cols) if cols is not None else numeric_columns(df)
     if len(cols) < 2:
         return empty(df.sparkSession, "seq_a int, col_a string, seq_b int, col_b string, corr double")
-    d = complete_rows(df, cols)
-    x = [F.col(f"`{c}`") for c in cols]
+    d = written_complete_rows(df, cols)
+    x = [F.col(f"x{i}") for i in range(len(cols))]
     first = d.agg(F.count(F.lit(1)).alias("__n"),
                   *[F.avg(v).alias(f"__m{i}") for i, v in enumerate(x)],
                   *[(F.min(v) == F.max(v)).alias(f"__k{i}") for i, v in enumerate(x)]).first()
@@ -98,11 +106,11 @@ def pca_projection(df: DataFrame, k: int = 2, cols: list[str] | None = None):
     empty_ratio = empty(spark, "component int, explained_ratio double")
     if len(cols) < 2:
         return empty_scores, empty_ratio
-    d = complete_rows(df, cols)
+    d = written_complete_rows(df, cols)
     if d.limit(3).count() < 3:
         return empty_scores, empty_ratio
     k = min(k, len(cols))
-    va = VectorAssembler(inputCols=cols, outputCol="__x")
+    va = VectorAssembler(inputCols=d.columns, outputCol="__x")
     x = va.transform(d)
     sc = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True).fit(x)
     z = sc.transform(x)
@@ -124,11 +132,14 @@ def candidate_targets(df: DataFrame, max_categories: int = 50, exact_band: float
     column) over all columns; only columns whose estimate is at most a
     margin above the threshold get an exact ``count(distinct)`` in a second
     (lazy) pass, so exact distinct sets are never built for
-    high-cardinality columns.
+    high-cardinality columns.  Both passes read the columns as written once.
     """
-    cols = [(i, c) for i, c in enumerate(df.columns) if c != C.DATE]
-    q = lambda c: F.col(f"`{c}`")
-    approx = df.agg(*[F.approx_count_distinct(q(c), 0.02).alias(f"a{i}") for i, c in cols]).first()
+    # a column without a type has no values, and files have no such columns
+    cols = [(i, f.name) for i, f in enumerate(df.schema.fields) if f.name != C.DATE and not isinstance(f.dataType, T.NullType)]
+    if not cols:
+        return empty(df.sparkSession, "seq int, column string, n_distinct bigint")
+    d = written(df.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in cols]), "target-columns")
+    approx = d.agg(*[F.approx_count_distinct(f"x{i}", 0.02).alias(f"a{i}") for i, c in cols]).first()
     # the estimate's standard deviation is 2 %: a column of max_categories values is
     # estimated 15 % too high, seven and a half deviations, once in 10^13
     cand = [(i, c) for i, c in cols if approx[f"a{i}"] <= max_categories * (1 + exact_band) + 1]
@@ -137,7 +148,7 @@ def candidate_targets(df: DataFrame, max_categories: int = 50, exact_band: float
     # exact pass on the few low-cardinality candidates only: Spark rewrites the
     # distinct aggregates into (column, value) partial aggregation, which stays
     # small map-side because every candidate has few values
-    ex = df.agg(*[F.count_distinct(q(c)).alias(f"e{i}") for i, c in cand])
+    ex = d.agg(*[F.count_distinct(F.col(f"x{i}")).alias(f"e{i}") for i, c in cand])
     cells = [F.struct(F.lit(i).alias("seq"), F.lit(c).alias("column"), F.col(f"e{i}").cast("bigint").alias("n_distinct"))
              for i, c in cand]
     out = ex.select(F.explode(F.array(*cells)).alias("t")).select("t.*")
