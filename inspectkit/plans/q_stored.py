@@ -13,7 +13,7 @@ from inspectkit.params import FilterState
 from inspectkit.plans.catalog import fact, register, rounded
 from inspectkit.plans.oracle import with_fact
 from inspectkit.plans.q_basic import _TEXT_CTE, _text_lineitem
-from inspectkit.session import prepare, scratch_path
+from inspectkit.session import prepare, scratch_path, written
 from inspectkit.sources.tables import quality_raw
 
 _CELL = """((k & 8) = 0 OR Part_Type = p) AND ((k & 4) = 0 OR Defect_Type = d)
@@ -28,10 +28,13 @@ FROM fact, range(16) t(k), chosen GROUP BY k""", """chosen AS (
   SELECT min(Part_Type) AS p, min(Defect_Type) AS d, min(Defect_Severity) AS s, min(MaterialComposition) AS m FROM fact)"""))
 def q_kpi_cube_lookup(spark, sf_dir):
     """The fact arrives in three batches, each aggregated alone and kept; all 16
-    combinations of fixed and open filters are answered from the kept cells."""
+    combinations of fixed and open filters are answered from the kept cells.  The
+    fact's columns are written once; batches and choice read those."""
     f, path = fact(spark, sf_dir), scratch_path(spark, "cube")
+    arrives = F.pmod(F.xxhash64(C.SUPPLIER, C.DATE), F.lit(3)).alias("arrives")
+    f = written(f.select(*C.FILTER_DIMS, C.DEFECT_COUNT, C.COST_IMPACT, arrives), "cube-columns")
     for batch in range(3):
-        Q.write_cube(f.where(F.pmod(F.xxhash64(C.SUPPLIER, C.DATE), F.lit(3)) == batch), path, batch)
+        Q.write_cube(f.where(F.col("arrives") == batch).drop("arrives"), path, batch)
     one = f.agg(*[F.min(c).alias(c) for c in C.FILTER_DIMS]).first()
     names = ("part_type", "defect_type", "severity", "material")
     states = [FilterState(**{n: one[c] for i, (n, c) in enumerate(zip(names, C.FILTER_DIMS)) if k >> (3 - i) & 1}) for k in range(16)]
