@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inspectkit import columns as C
-from inspectkit.operators.qindex import INDEX, quality_index
+from inspectkit.operators.qindex import INDEX, index_columns, quality_index
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
 
 
@@ -47,11 +47,17 @@ def total_copq(df: DataFrame, by=()) -> DataFrame:
     return _agg(df, by, copq_expr(df).alias("COPQ"))
 
 
-def executive_kpis(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, by=()) -> DataFrame:
+KPI_COLUMNS = (C.DEFECT_COUNT, C.DEFECT_TYPE, C.COST_IMPACT, C.ON_TIME_FLAG, C.YIELD)
+
+
+def executive_kpis(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, by=(), stored: bool = False) -> DataFrame:
     """K3: Rows, Defects, COPQ, OnTimeRate (mean x 100), YieldPct (mean),
-    QualityIndex (mean of X1 with NULLs skipped).  Absent inputs give NULL."""
+    QualityIndex (mean of X1 with NULLs skipped).  Absent inputs give NULL.
+    The columns read are written once, unless df is a written table (``stored``)."""
     by = list(by)
-    q = quality_index(df, params, by)
+    if not stored:
+        df = index_columns(df, [*by, *[c for c in KPI_COLUMNS if c != C.DEFECT_TYPE or not C.has(df, C.DEFECT_COUNT)]])
+    q = quality_index(df, params, by, stored=True)
     aggs = [
         F.count(F.lit(1)).cast("double").alias("Rows"),
         defects_expr(df).cast("double").alias("Defects"),

@@ -4,8 +4,10 @@ X1 needs two quantiles per part column.  All columns share the passes of
 ``quantiles.column_quantiles``; the few numbers found enter the plan as literals
 (per group, they are joined by the group key) and the index is plain arithmetic in
 the same codegen stage as the scan.  After winsorising, min = q_lo and
-max = q_hi exactly.  X2 and X3 write the index, one narrow column, before they
-count over it, so no predicate carries the index expression.
+max = q_hi exactly.  X2 to X4 write the index, one narrow column, before they
+count over it or sort by it, so no predicate or sort key carries the index expression.  Who reads rows and
+index writes the columns it needs first (``index_columns``, ``stored``): the
+quantile passes and the index itself then share one computation of the rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from inspectkit import columns as C
 from inspectkit.operators.seriesidx import downsample_rows
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
 from inspectkit.operators.quantiles import column_quantiles, exact_quantiles, quantile_columns
-from inspectkit.session import empty, written
+from inspectkit.session import empty, written, written_columns
 
 INDEX = "QualityIndex"
 
@@ -83,6 +85,8 @@ def quality_index(
         qc = quantile_columns(df, [c for c, _ in parts], [lo_p, hi_p], by)
         stats = qc.select(*by, *[x for i, (c, _) in enumerate(parts) for x in (
             F.col(f"{c}_q0").alias(f"__lo{i}"), F.col(f"{c}_q1").alias(f"__hi{i}"))])
+        # a file's size is known: the rows are not shuffled by group for a small table
+        stats = written(stats, "index-bounds")
     else:
         aggs = []
         for i, (c, _) in enumerate(parts):
@@ -129,11 +133,15 @@ def quality_index(
     return j.withColumn(name, idx).drop(*drop)
 
 
+def index_columns(df: DataFrame, others: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The parts of the index and ``others``, those that df has, written once."""
+    return written_columns(df, [*others, *[c for c, _ in C.QUALITY_INDEX_PARTS]], "index-parts")
+
+
 def quality_index_stats(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, by=()) -> DataFrame:
     """Mean, median, min, max of the index (NULLs skipped)."""
     by = list(by)
-    parts = [c for c, _ in C.QUALITY_INDEX_PARTS if C.has(df, c)]
-    d = written(df.select(*by, *[c for c in parts if c not in by]), "index-parts")
+    d = index_columns(df, by)
     q = written(quality_index(d, params, by, stored=True).select(*by, INDEX), "index")
     v = F.col(INDEX)
     aggs = [F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n")]
@@ -180,15 +188,19 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 def quality_index_histogram(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, bins: int = 20) -> DataFrame:
     """Histogram of the index."""
-    return histogram(written(quality_index(df, params).select(INDEX), "index"), INDEX, bins)
+    return histogram(written(quality_index(index_columns(df), params, stored=True).select(INDEX), "index"), INDEX, bins)
 
 
-def quality_index_series(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, k: int | None = None) -> DataFrame:
+def quality_index_series(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, k: int | None = None,
+                         digits: int | None = None) -> DataFrame:
     """(Date, index) for rows where both are non-NULL, in date order,
-    thinned to ``k`` evenly spaced rows (all rows when there are fewer)."""
+    thinned to ``k`` evenly spaced rows (all rows when there are fewer).
+    ``digits``: the index is rounded before."""
     if not C.has(df, C.DATE):
         return empty(df.sparkSession, "Date timestamp, QualityIndex double, pos bigint")
     k = params.max_points_line_chart if k is None else k
-    q = quality_index(df, params).select(C.DATE, INDEX)
+    # filter, sort keys and sampling of the ranges read the index as a column
+    index = F.col(INDEX) if digits is None else F.round(INDEX, digits).alias(INDEX)
+    q = written(quality_index(index_columns(df, [C.DATE]), params, stored=True).select(C.DATE, index), "index")
     q = q.filter(F.col(C.DATE).isNotNull() & F.col(INDEX).isNotNull())
     return downsample_rows(q, [C.DATE, INDEX], k)

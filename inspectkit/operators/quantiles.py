@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inspectkit.session import checkpoint_dir, materialize, written
+from inspectkit.session import checkpoint_dir, written
 
 K = 16384
 HELD = 1_000_000
@@ -178,8 +178,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
     k = len(probs)
     st = st.select(*by, "__n", *[
         x for i in range(k) for x in (F.col("__br")[i].alias(f"__L{i}"), F.col("__br")[k + i].alias(f"__U{i}"))])
-    # a sketch draws at random: both passes below must see the same brackets
-    j = _attach(d, materialize(st), by)
+    # a sketch draws at random: both passes below must see the same brackets, in a
+    # file, whose size is known: the rows are not shuffled by group for a small table
+    j = _attach(d, written(st, "quantile-brackets"), by)
     # per row and p: below the bracket, or inside it (then keep the value)
     rows = j.select(*by, "__n", "__v", F.explode(F.array(*[
         F.struct(F.lit(i).alias("p"), F.col(f"__L{i}").alias("L"), F.col(f"__U{i}").alias("U")) for i in range(k)

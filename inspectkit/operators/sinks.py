@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 
 from inspectkit import columns as C
 from inspectkit.operators.copq import copq_what_if
-from inspectkit.operators.kpis import executive_kpis
+from inspectkit.operators.kpis import KPI_COLUMNS, executive_kpis
+from inspectkit.operators.qindex import index_columns
 from inspectkit.operators.rootcause import defect_cost_by_part, defect_pareto, root_cause_drilldown
 from inspectkit.operators.suppliers import supplier_scorecard
 from inspectkit.operators.timeseries import monthly_copq, out_of_control, trend_by_period
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
-from inspectkit.session import written
+from inspectkit.session import written, written_columns
 
 BUNDLE_TABLES = ("filtered_rows", "kpis", "pareto", "supplier_scores", "drilldown", "monthly_copq")
 KPI_METRICS = ("Rows", "Defects", "COPQ", "OnTimeRate", "YieldPct", "QualityIndex")
+NARRATIVE_COLUMNS = (C.PART_TYPE, C.DEFECT_TYPE, C.DEFECT_COUNT, C.COST_IMPACT, C.SUPPLIER, C.DATE, C.UNITS_INSPECTED, C.ON_TIME_FLAG)
 WHAT_IF_METRICS = ("baseline_copq", "reduction_pct", "estimated_savings", "projected_copq")
 
 
@@ -82,8 +84,10 @@ def _long(df: DataFrame, section: str, metrics: tuple[str, ...]) -> DataFrame:
 
 
 def report_summary(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, top: int = 5) -> DataFrame:
-    """KPIs, top Pareto entries and the what-if as ``(section, seq, metric, value)``."""
-    kpis = _long(executive_kpis(df, params), "kpis", KPI_METRICS)
+    """KPIs, top Pareto entries and the what-if as ``(section, seq, metric, value)``.
+    The columns that they read are written once."""
+    df = index_columns(df, KPI_COLUMNS)
+    kpis = _long(executive_kpis(df, params, stored=True), "kpis", KPI_METRICS)
     par = defect_pareto(df, params=params)
     from pyspark.sql import Window
 
@@ -99,9 +103,11 @@ def report_summary(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, top: i
 def narrative_facts(df: DataFrame, params: QualityParams = DEFAULT_PARAMS, top: int = 5) -> DataFrame:
     """The facts the pages print, as ``(section, seq, label, value)``:
     highest-burden part type, top Pareto entries, top suppliers by rank,
-    and trend counts (observations, mean daily defects, out-of-control points)."""
+    and trend counts (observations, mean daily defects, out-of-control points).
+    The columns that they read are written once."""
     from pyspark.sql import Window
 
+    df = written_columns(df, NARRATIVE_COLUMNS, "narrative-columns")
     part = defect_cost_by_part(df, 1, params).select(
         F.lit("top_part_type").alias("section"), F.lit(1).alias("seq"),
         F.col(C.PART_TYPE).alias("label"), F.col("Defects").cast("double").alias("value"))

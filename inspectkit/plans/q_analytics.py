@@ -138,5 +138,6 @@ SELECT Supplier, Part_Type, "Date", DefectCount, round(QualityIndex, 6) AS Quali
 
 @register("quality_index", "X1", _qi_sql())
 def q_quality_index(spark, sf_dir):
-    q = X.quality_index(fact(spark, sf_dir))
-    return rounded(q.select("Supplier", "Part_Type", "Date", "DefectCount", X.INDEX))
+    shown = ["Supplier", "Part_Type", "Date", "DefectCount"]
+    q = X.quality_index(X.index_columns(fact(spark, sf_dir), shown), stored=True)
+    return rounded(q.select(*shown, X.INDEX))

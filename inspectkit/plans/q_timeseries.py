@@ -3,14 +3,11 @@ COPQ scenarios and forecasts, alerts, and the thinned index series."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from inspectkit import columns as C
 from inspectkit.operators import alerts as A
 from inspectkit.operators import copq as CQ
 from inspectkit.operators import timeseries as TS
-from inspectkit.operators.qindex import INDEX, quality_index
-from inspectkit.operators.seriesidx import downsample_rows
+from inspectkit.operators.qindex import quality_index_series
 from inspectkit.params import DEFAULT_PARAMS
 from inspectkit.plans.catalog import fact, register, rounded
 from inspectkit.plans.oracle import with_fact
@@ -155,9 +152,7 @@ SELECT "Date", QualityIndex, CAST(pos AS BIGINT) AS pos FROM r WHERE pos IN (SEL
        WHERE "Date" IS NOT NULL AND QualityIndex IS NOT NULL)""",
     _thin_sql("s", '"Date", QualityIndex', '"Date", QualityIndex', 2500)))
 def q_quality_index_series(spark, sf_dir):
-    q = quality_index(fact(spark, sf_dir)).select(C.DATE, F.round(INDEX, 6).alias(INDEX))
-    q = q.filter(F.col(C.DATE).isNotNull() & F.col(INDEX).isNotNull())
-    return downsample_rows(q, [C.DATE, INDEX], 2500)
+    return quality_index_series(fact(spark, sf_dir), k=2500, digits=6)
 
 
 # ---------------------------------------------------------------- C

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -93,6 +94,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_columns(df: DataFrame, names, name: str) -> DataFrame:
+    """The columns of ``names`` that df has, written once.  Files hold neither columns
+    without a type, which are added again, nor rows without a column, which get one."""
+    wanted = set(names)
+    fields = [f for f in df.schema.fields if f.name in wanted]
+    kept = [F.col(f"`{f.name}`") for f in fields if not isinstance(f.dataType, T.NullType)]
+    out = written(df.select(*(kept or [F.lit(True).alias("__row")])), name)
+    return out.withColumns({f.name: F.lit(None) for f in fields if isinstance(f.dataType, T.NullType)})
+
+
 def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     """An empty DataFrame with a declared schema (degraded paths)."""
     return spark.createDataFrame([], schema)
