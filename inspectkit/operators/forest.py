@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from inspectkit.operators.multivariate import numeric_columns
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
-from inspectkit.session import materialize, written
+from inspectkit.session import materialize, written, written_columns
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree_id", T.IntegerType()),
@@ -156,17 +156,22 @@ def _forest_arrays(nodes_pdf: pd.DataFrame):
 
 def detect_anomalies(df: DataFrame, cols: list[str] | None = None, params: QualityParams = DEFAULT_PARAMS,
                      contamination: float | None = None, seed: int | None = None,
-                     n_trees: int | None = None, sample_rows: int | None = None) -> DataFrame:
+                     n_trees: int | None = None, sample_rows: int | None = None,
+                     keep: list[str] | None = None) -> DataFrame:
     """M4: add ``anomaly_score`` (higher = more isolated) and ``is_anomaly``
-    to every row.  Rows with a NULL feature get a NULL score and False."""
+    to every row.  Rows with a NULL feature get a NULL score and False.  ``keep``:
+    the other columns to return, all by default."""
     spark = df.sparkSession
     contamination = params.anomaly_contamination if contamination is None else contamination
     if not 0 < contamination < 1:
         raise ValueError(f"the share to flag must lie between 0 and 1, not {contamination}")
     cols = list(cols) if cols is not None else numeric_columns(df)
+    keep = list(df.columns) if keep is None else list(keep)
+    # count, pool and scoring each read the rows: written once
+    df = written_columns(df, [*keep, *cols], "anomaly-rows")
     fitted = fit_isolation_forest(df, cols, params, n_trees, sample_rows, seed)
     if fitted is None:
-        return df.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
+        return df.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("double").alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
     nodes, psi, cols = fitted
     # forest size is fixed by the parameters (trees x (2 psi - 1) nodes)
     forest = spark.sparkContext.broadcast(_forest_arrays(nodes.toPandas()))
@@ -201,8 +206,8 @@ def detect_anomalies(df: DataFrame, cols: list[str] | None = None, params: Quali
     # every row is scored once and written; the threshold is the
     # 1 - contamination quantile of the scores of all complete rows, from a
     # sketch of bounded size (rank error below 1e-4 of the rows)
-    scored = df.withColumn("__s", score(feats())).withColumn(
-        "anomaly_score", F.when(~F.isnan(F.col("__s")), F.col("__s"))).drop("__s")
+    scored = df.withColumn("__s", score(feats())).select(
+        *[F.col(f"`{c}`") for c in keep], F.when(~F.isnan(F.col("__s")), F.col("__s")).alias("anomaly_score"))
     scored = written(scored, "anomaly-scores")
     thr = scored.agg(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000).alias("__t")).first()["__t"]
     if thr is None:

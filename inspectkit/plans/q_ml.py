@@ -117,13 +117,12 @@ def _trained(spark, sf_dir, again: bool = False) -> CL.ClassifierResult:
 
 @register("detect_anomalies", "M4", None)
 def q_detect_anomalies(spark, sf_dir):
-    out = FR.detect_anomalies(fact(spark, sf_dir))
-    return out.select(C.SUPPLIER, C.DATE, C.DEFECT_TYPE, C.COST_IMPACT, "anomaly_score", "is_anomaly")
+    return FR.detect_anomalies(fact(spark, sf_dir), keep=[C.SUPPLIER, C.DATE, C.DEFECT_TYPE, C.COST_IMPACT])
 
 
 @register("anomaly_summary", "M5", None)
 def q_anomaly_summary(spark, sf_dir):
-    return rounded(FR.anomaly_summary(FR.detect_anomalies(fact(spark, sf_dir))))
+    return rounded(FR.anomaly_summary(FR.detect_anomalies(fact(spark, sf_dir), keep=[])))
 
 
 @register("stratified_split", "M8", with_fact("""
