@@ -3,8 +3,9 @@
 The report (Q6) is one ``groupBy(all columns)`` -- the duplicate groups,
 collapsed map-side so a group of copies holding a third of the table is
 combined before the shuffle -- with every count a sum over those groups;
-NULLs per column (Q1) are one more single-pass aggregation.  Everything is
-derived from those results, never from a collect.
+NULLs per column (Q1) are one more single-pass aggregation, or, where a report
+needs both, sums over the same groups (equal rows miss the same columns).
+Everything is derived from those results, never from a collect.
 """
 
 from __future__ import annotations
@@ -61,7 +62,11 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__rows")] + [
         F.sum(_is_missing(f).cast("bigint")).alias(f"__m{i}") for i, f in enumerate(fields)
     ]
-    one = df.agg(*aggs)
+    return _missing_long(df.agg(*aggs), fields)
+
+
+def _missing_long(one: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Q1 from one row: ``__rows`` and the missing values ``__m<i>`` of each column."""
     stacked = one.select(
         "__rows",
         F.explode(F.array(*[
@@ -112,10 +117,14 @@ def quality_report(df: DataFrame, cost_column: str | None = None) -> DataFrame:
     One aggregation of the table: rows grouped by 128 hash bits of all columns
     (the duplicate groups, combined map-side), and every count is a sum over
     those groups."""
+    return _report_row(_duplicate_groups(df, cost_column).agg(*_report_sums()), df)
+
+
+def _duplicate_groups(df: DataFrame, cost_column: str | None, *marks: Column) -> DataFrame:
+    """Groups of equal rows: their number, and how many have negative costs or no
+    units.  ``marks`` are functions of the row, alike in equal rows."""
     cost_column = cost_column or cost_source_column(df)
-    date_col = detect_date_column(df)
-    fields = df.schema.fields
-    types = {f.name: f.dataType for f in fields}
+    types = {f.name: f.dataType for f in df.schema.fields}
     if cost_column:
         from inspectkit.functions import safe_numeric
 
@@ -123,13 +132,18 @@ def quality_report(df: DataFrame, cost_column: str | None = None) -> DataFrame:
     else:
         negative = F.lit(False)
     zero = F.col(C.UNITS_INSPECTED) == 0 if C.has(df, C.UNITS_INSPECTED) else F.lit(False)
-    groups = df.groupBy(*_row_hashes(df)).agg(
+    return df.groupBy(*_row_hashes(df), *marks).agg(
         F.count(F.lit(1)).alias("__n"), F.count_if(negative).alias("__neg"), F.count_if(zero).alias("__zero"))
-    counts = groups.agg(*[
-        F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a) for a, c in (
-            ("row_count", F.col("__n")), ("duplicated_rows", F.col("__n") - 1),
-            ("negative_costs", F.col("__neg")), ("zero_inspected", F.col("__zero")))
-    ])
+
+
+def _report_sums() -> list[Column]:
+    return [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a) for a, c in (
+        ("row_count", F.col("__n")), ("duplicated_rows", F.col("__n") - 1),
+        ("negative_costs", F.col("__neg")), ("zero_inspected", F.col("__zero")))]
+
+
+def _report_row(counts: DataFrame, df: DataFrame) -> DataFrame:
+    fields, date_col = df.schema.fields, detect_date_column(df)
     n_num = sum(1 for f in fields if column_class(f.dataType) == "numeric")
     n_cat = sum(1 for f in fields if column_class(f.dataType) == "categorical")
     return counts.select(
@@ -144,12 +158,26 @@ def quality_report(df: DataFrame, cost_column: str | None = None) -> DataFrame:
     )
 
 
+def report_and_missing(df: DataFrame, cost_column: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Q6 and Q1 from one aggregation of the table: the groups of equal rows carry a bit
+    for each column that they miss."""
+    fields = df.schema.fields
+    word = lambda at: reduce(lambda a, b: a.bitwiseOR(b), [
+        F.when(_is_missing(f), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, f in enumerate(fields[at:at + 62])])
+    words = [word(at).alias(f"__miss{at // 62}") for at in range(0, len(fields), 62)]
+    missing = [F.sum(F.when(F.col(f"__miss{i // 62}").bitwiseAND(F.lit(1 << i % 62)) != 0, F.col("__n")).otherwise(F.lit(0))).alias(f"__m{i}")
+               for i in range(len(fields))]
+    one = materialize(_duplicate_groups(df, cost_column, *words).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__rows"), *missing, *_report_sums()))
+    return _report_row(one, df), _missing_long(one, fields) if fields else missing_by_column(df)
+
+
 def quality_warnings(df: DataFrame, cost_column: str | None = None, rep: DataFrame | None = None,
                      miss: DataFrame | None = None) -> DataFrame:
     """Q5: ``(seq, code, message)`` in rule order, built from Q1 and Q6 (``miss`` and
     ``rep`` where they are known)."""
-    rep = quality_report(df, cost_column) if rep is None else rep
-    miss = missing_by_column(df) if miss is None else miss
+    if rep is None or miss is None:
+        found = report_and_missing(df, cost_column)
+        rep, miss = [known or new for known, new in zip((rep, miss), found)]
     high = miss.filter(F.col("missing_frac") > HIGH_MISSING_FRACTION).agg(
         F.sort_array(F.collect_list(F.struct("seq", "column"))).alias("__cols")
     )
@@ -182,7 +210,7 @@ def report_text(df: DataFrame, cost_column: str | None = None) -> DataFrame:
     missing values (ties in column order).  Put together from Q1, Q5 and Q6 without a
     collect; seq leaves room in each section."""
     spark = df.sparkSession
-    rep, miss = materialize(quality_report(df, cost_column)), materialize(missing_by_column(df))
+    rep, miss = report_and_missing(df, cost_column)
     number = lambda c: F.format_number(c, 0)
     counts = [F.format_string(TEXT_ROWS, number("row_count")), F.format_string(TEXT_COLUMNS, "column_count"),
               F.format_string(TEXT_DATE, F.coalesce("detected_date_column", F.lit("None"))),
