@@ -14,7 +14,7 @@ from inspectkit.operators.qindex import quality_index_stats
 from inspectkit.params import FilterState
 from inspectkit.plans.catalog import fact, register, rounded
 from inspectkit.plans.oracle import FACT_COLUMNS, with_fact
-from inspectkit.session import scratch_path
+from inspectkit.session import scratch_path, written
 from inspectkit.sources.files import read_quality_csv
 from inspectkit.sources.tables import quality_raw, read_table
 
@@ -113,8 +113,10 @@ FROM fact f JOIN presets p
 GROUP BY p.preset""", _PRESETS_SQL))
 def q_apply_presets(spark, sf_dir):
     """Presets derived from the data itself (one per part type, and one per
-    severity and year with a date range), saved as JSON and read back."""
+    severity and year with a date range), saved as JSON and read back.  The
+    columns that presets and sums read are written once."""
     f = fact(spark, sf_dir)
+    f = written(f.select(*C.FILTER_DIMS, C.DATE, C.DEFECT_COUNT, C.COST_IMPACT), "preset-columns")
     by_part = f.select(C.PART_TYPE).filter(F.col(C.PART_TYPE).isNotNull()).distinct().select(
         F.concat(F.lit("part:"), F.col(C.PART_TYPE)).alias("preset"), F.col(C.PART_TYPE).alias("part_type"),
         F.lit(None).cast("string").alias("defect_type"), F.lit(None).cast("string").alias("severity"),
