@@ -129,12 +129,14 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
     types = {f.name: f.dataType for f in df.schema.fields}
     d = df.select(*features, target).filter(F.col(target).isNotNull()).withColumn(
         LABEL, F.col(target).cast("string"))
-    if d.limit(1).count() == 0:
-        return ClassifierResult(False, ERROR_NO_TARGET)
     num = [c for c in features if is_numeric_type(types[c])]
     cat = [c for c in features if c not in num]
     d = d.select(*[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat],
                  LABEL)
+    # the check, the ranges of the split and their rows read it: written once
+    d = written(d, "labelled-rows")
+    if d.limit(1).count() == 0:
+        return ClassifierResult(False, ERROR_NO_TARGET)
     train, test = stratified_split(d, LABEL, params.model_test_size, params.random_state)
     stages = []
     if num:
@@ -150,13 +152,14 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
     stages.append(VectorAssembler(inputCols=slots, outputCol="__features", handleInvalid="keep"))
     prep = Pipeline(stages=stages).fit(train)
     # every tree level is a pass over the training data: dealt out evenly, a
-    # partition per task slot or more
+    # partition per task slot or more.  Rows find their nodes by walking the trees: kept
+    # node ids are a number per row and tree, written anew at each level
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     vectors = written(prep.transform(train).select(*slots, "__features", "__y").repartition(tasks), "training-vectors")
     rf = RandomForestClassifier(featuresCol="__features", labelCol="__y", predictionCol="__pred",
                                 numTrees=params.classifier_trees, maxDepth=params.classifier_max_depth,
-                                maxMemoryInMB=forest_memory_mb(spark), cacheNodeIds=True, seed=params.random_state)
+                                maxMemoryInMB=forest_memory_mb(spark), cacheNodeIds=False, seed=params.random_state)
     forest = rf.fit(vectors.select("__features", "__y"))
     labels = prep.stages[-2].labels
     model = PipelineModel(stages=prep.stages + [forest,
