@@ -93,12 +93,27 @@ def forest_memory_mb(spark) -> int:
     tasks, with half of it for these histograms, between 32 MB and 1 GB.
     A larger budget means fewer passes over the data per tree level; too
     large a one exhausts the heap, since every running task holds one."""
+    heap, slots = _heap_and_slots(spark)
+    return max(32, min(1024, heap // (2 * slots)))
+
+
+def _heap_and_slots(spark) -> tuple[int, int]:
+    """MB of heap of the driver in local mode, an executor otherwise, and its task slots."""
     sc = spark.sparkContext
     conf = sc.getConf()
     local = sc.master.startswith("local")
     heap = _memory_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", None))
-    slots = sc.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
-    return max(32, min(1024, heap // (2 * max(1, slots))))
+    return heap, max(1, sc.defaultParallelism if local else int(conf.get("spark.executor.cores", "1")))
+
+
+def node_ids_fit(spark, rows: int, trees: int) -> bool:
+    """Whether the forest may keep the node of each row in each tree: the old and new
+    ids, 4 bytes each, take an eighth of all heaps at most.  Beyond that they would be
+    written to disk at each level; rows then find their nodes by walking the trees, at
+    more CPU time and with the same result."""
+    heap, slots = _heap_and_slots(spark)
+    executors = max(1, spark.sparkContext.defaultParallelism // slots)
+    return 8 * rows * trees <= executors * heap * 2**20 // 8
 
 
 def _impute_strategy(s: str) -> str:
@@ -152,14 +167,14 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
     stages.append(VectorAssembler(inputCols=slots, outputCol="__features", handleInvalid="keep"))
     prep = Pipeline(stages=stages).fit(train)
     # every tree level is a pass over the training data: dealt out evenly, a
-    # partition per task slot or more.  Rows find their nodes by walking the trees: kept
-    # node ids are a number per row and tree, written anew at each level
+    # partition per task slot or more
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     vectors = written(prep.transform(train).select(*slots, "__features", "__y").repartition(tasks), "training-vectors")
     rf = RandomForestClassifier(featuresCol="__features", labelCol="__y", predictionCol="__pred",
+                                cacheNodeIds=node_ids_fit(spark, vectors.count(), params.classifier_trees),
                                 numTrees=params.classifier_trees, maxDepth=params.classifier_max_depth,
-                                maxMemoryInMB=forest_memory_mb(spark), cacheNodeIds=False, seed=params.random_state)
+                                maxMemoryInMB=forest_memory_mb(spark), seed=params.random_state)
     forest = rf.fit(vectors.select("__features", "__y"))
     labels = prep.stages[-2].labels
     model = PipelineModel(stages=prep.stages + [forest,

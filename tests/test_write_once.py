@@ -107,4 +107,8 @@ def test_training_computes_its_rows_once(spark):
     df, seen = _counted(spark)
     r = CL.train_defect_classifier(df, [C.PART_TYPE, C.YIELD], C.DEFECT_SEVERITY, DEFAULT_PARAMS.with_(classifier_trees=3, classifier_max_depth=3))
     assert r.metrics.first().test_rows == 90 and seen.value == ROWS
-    assert r.model.stages[-2].getCacheNodeIds() is False  # a number per row and tree, kept on disk
+    assert r.model.stages[-2].getCacheNodeIds()
+
+
+def test_node_ids_of_many_rows_are_not_kept(spark):
+    assert CL.node_ids_fit(spark, 100_000, 150) and not CL.node_ids_fit(spark, 25_000_000, 150)
