@@ -179,18 +179,23 @@ class Lists:
     """Inverted lists of some sets."""
 
     def __init__(self, sets: list[np.ndarray]):
+        # what a step no longer needs goes before the next: a block has millions of postings
         self.size = np.array([len(s) for s in sets])
         value = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
         order = np.argsort(value, kind="stable")
-        ordered = value[order]
-        self.ids = owner[order]
-        new = np.ones(len(order), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        self.start = np.append(np.flatnonzero(new), len(order))
-        self.value = ordered[new]
+        value = value[order]
+        self.ids = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)[order]
+        del order
+        new = np.ones(len(value), bool)
+        new[1:] = value[1:] != value[:-1]
+        self.value = value[new]
+        del value
+        self.start = np.append(np.flatnonzero(new), len(new))
         #: (list, id) of every posting as one sorted number, for binary probes
-        self.posting = np.repeat(np.arange(len(self.value)), np.diff(self.start)) * len(sets) + self.ids
+        self.posting = np.cumsum(new, dtype=np.int64)
+        self.posting -= 1
+        self.posting *= len(sets)
+        self.posting += self.ids
 
     def linked(self, x: np.ndarray, open_: np.ndarray, num: int, den: int) -> np.ndarray:
         """Ids among ``open_`` (a mask) whose set links with x."""
@@ -424,10 +429,10 @@ def _set_rows(shingle: int, *keys: str):
 
 
 def _sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    node = table["node"].to_numpy()
-    _, at = np.unique(node, return_index=True)
-    sets = table["members"].take(pa.array(at)).to_pylist()
-    return node[at], [np.frombuffer(s, np.uint64) for s in sets]
+    """(nodes in order, their sets), where the table has them."""
+    node, at = np.unique(table["node"].to_numpy(), return_index=True)
+    sets = [s for b in table.to_batches() for s in _views(b)]
+    return node, [sets[i] for i in at]
 
 
 def _inside(num: int, den: int):
@@ -437,6 +442,7 @@ def _inside(num: int, den: int):
             label = group_components(sets, num, den)
             g, b = t["grp"][0], t["blk"][0]
             yield pa.RecordBatch.from_arrays([pa.array([g.as_py()] * len(node), pa.int64()), pa.array([b.as_py()] * len(node), pa.int64()), pa.array(node), pa.array(node[label])], names=["grp", "blk", "node", "comp"])
+            t = sets = None  # not held while the next block is read
 
     return run
 
@@ -473,29 +479,76 @@ def _across(num: int, den: int):
     return run
 
 
-def _keys(num: int, den: int):
-    """(grp, blk, node, kind, kept, key): the fine parts of the sets."""
+_PART = {"key": np.uint64, "node": np.int64, "kind": np.int32, "kept": np.int32}
+#: ``n``: the sets that have a part, or less the number of a set's parts that no other has (no key then).
+_RANKED = _PART | {"n": np.int64}
+
+
+def _keys(num: int, den: int, buckets: int):
+    """The fine parts of the sets, named within their group, by bucket."""
 
     def run(batches):
         for b in batches:
             raw, offsets = A.bytes_of(b.column(b.schema.get_field_index("members")))
+            grp, node = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("grp", "node"))
             for x, y in A.slices(offsets, SLICE):
                 value, first = raw[offsets[x] : offsets[y]].view(np.uint64), (offsets[x : y + 1] - offsets[x]) // 8
                 key, row, kind, kept = fine_parts(value, first, num, den)
-                of = [b.column(b.schema.get_field_index(c)).slice(x, y - x).take(pa.array(row)) for c in ("grp", "blk", "node")]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(kind.astype(np.int32)), pa.array(kept.astype(np.int32)), pa.array(key.view(np.int64))], names=["grp", "blk", "node", "kind", "kept", "key"])
+                key = A.mix(key ^ A.mix(grp[x:y].view(np.uint64))[row])
+                yield A.packed(((key >> np.uint64(9)) % np.uint64(buckets)).astype(np.int64), key=key, node=node[x:y][row], kind=kind.astype(np.int32), kept=kept.astype(np.int32))
+
+    return run
+
+
+def _held_by(buckets: int):
+    """By node: its parts that other sets have too, with the number of sets, and how
+    many of its parts nobody else has."""
+
+    def run(batches):
+        e = A.gathered(batches, **_PART)
+        order = np.argsort(e["key"], kind="stable")
+        e = {c: v[order] for c, v in e.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = e["key"][1:] != e["key"][:-1]
+        n = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(order) else np.empty(0, np.int64)
+        many, one = n > 1, np.flatnonzero(n == 1)
+        one = one[np.lexsort((e["kind"][one], e["node"][one]))]
+        opens = np.ones(len(one), bool)
+        opens[1:] = (e["node"][one][1:] != e["node"][one][:-1]) | (e["kind"][one][1:] != e["kind"][one][:-1])
+        at = np.flatnonzero(opens)
+        out = {c: np.concatenate([v[many], v[one[at]]]) for c, v in e.items()}
+        out["n"] = np.concatenate([n[many], -np.diff(np.append(at, len(one)))])
+        yield A.packed((A.mix(out["node"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), **out)
 
     return run
 
 
-def _rare_keys(sets: DataFrame, num: int, den: int) -> DataFrame:
+def _rarest(batches):
+    """(node, key): of each set and size class the parts that fewest sets have, as many as
+    ``kept`` says; those that no other set has come first and lead nowhere."""
+    e = A.gathered(batches, **_RANKED)
+    order = np.lexsort((e["key"], e["n"], e["kind"], e["node"]))
+    e = {c: v[order] for c, v in e.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (e["node"][1:] != e["node"][:-1]) | (e["kind"][1:] != e["kind"][:-1])
+    group = np.cumsum(new) - 1
+    alone = e["n"] < 0
+    many = np.flatnonzero(~alone)
+    if len(order):
+        left = e["kept"][new] - np.bincount(group, np.where(alone, -e["n"], 0)).astype(np.int64)
+        opens = np.concatenate([[0], np.cumsum(np.bincount(group, ~alone).astype(np.int64))])[:-1]
+        many = many[np.arange(len(many)) - opens[group[many]] < left[group[many]]]
+    yield pa.RecordBatch.from_arrays([pa.array(e["node"][many]), pa.array(e["key"][many].view(np.int64))], names=["node", "key"])
+
+
+def _rare_keys(sets: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
     """(grp, blk, node, key): of each set and size class the parts that fewest
-    sets of the group have, as many as suffice to meet every set it links with."""
-    keys = C.saved(sets.mapInArrow(_keys(num, den), "grp long, blk long, node long, kind int, kept int, key long"), "keys")
-    held = keys.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("n"))
-    nth = F.row_number().over(Window.partitionBy("grp", "node", "kind").orderBy("n", "key"))
-    ranked = keys.join(held, ["grp", "key"]).withColumn("nth", nth)
-    return C.saved(ranked.where(F.col("nth") <= F.col("kept")).select("grp", "blk", "node", "key"), "rare-keys")
+    sets of the group have, as many as suffice to meet every set it links with;
+    without those that no other set has."""
+    found = sets.mapInArrow(_keys(num, den, tasks), A.packed_schema(*_PART)).repartitionById(tasks, "dest")
+    found = found.mapInArrow(_held_by(tasks), A.packed_schema(*_RANKED)).repartitionById(tasks, "dest")
+    keys = C.saved(found.mapInArrow(_rarest, "node long, key long"), "keys")
+    return C.saved(sets.select("grp", "blk", "node").join(keys, "node").select("grp", "blk", "node", "key"), "rare-keys")
 
 
 def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -512,7 +565,7 @@ def _routes(chosen: DataFrame, keys: DataFrame) -> DataFrame:
 def _between_blocks(sets: DataFrame, labels: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
     """Links across the blocks of large groups: pivots first, then outsiders."""
     blocks = labels.select("grp", "blk").distinct()
-    keys = _rare_keys(sets, num, den)
+    keys = _rare_keys(sets, tasks, num, den)
     for pivots_only in (True, False):
         sizes = labels.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
         leader = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("leader"))

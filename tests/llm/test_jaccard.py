@@ -1,11 +1,14 @@
 """N-gram Jaccard join (5) against brute force."""
 
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from inspectkit.llm import arrays as A
 from inspectkit.llm import graph, jaccard
 
 from . import data
@@ -98,6 +101,41 @@ def test_rare_fine_parts_meet_all_links():
             assert chosen[0] & chosen[1]
 
 
+def test_only_shared_parts_are_stored(spark):
+    """Of the rarest parts, those that one set alone has count and are not stored; the
+    others are those that a count of all parts gives."""
+    rng = np.random.default_rng(23)
+    base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    rows, entries = [], []
+    for i in range(40):
+        own = rng.integers(0, 1 << 63, int(rng.integers(0, 12))).astype(np.uint64)
+        s = np.unique(np.concatenate([base[rng.random(len(base)) < 0.85], own]))
+        grp, blk, node = i % 2, i % 5, int(rng.integers(-(1 << 62), 1 << 62))
+        rows.append((grp, blk, node, bytearray(s.tobytes())))
+        key, _, kind, kept = jaccard.fine_parts(s, np.array([0, len(s)]), 80, 100)
+        key = A.mix(key ^ A.mix(np.full(len(key), grp, np.int64).view(np.uint64)))
+        entries += [(grp, blk, node, int(c), int(k), int(n)) for c, k, n in zip(kind, key, kept)]
+    times, of_set = Counter(e[4] for e in entries), {}
+    for grp, blk, node, kind, key, kept in entries:
+        of_set.setdefault((grp, blk, node, kind, kept), []).append((times[key], key))
+    want = set()
+    for (grp, blk, node, _, kept), keys in of_set.items():
+        want |= {(grp, blk, node, int(np.uint64(key).view(np.int64))) for n, key in sorted(keys)[:kept] if n > 1}
+    sets = spark.createDataFrame(rows, "grp long, blk long, node long, members binary").repartition(3)
+    found = sorted(map(tuple, jaccard._rare_keys(sets, 4, 80, 100).collect()))
+    assert found == sorted(want) and 0 < len(want) < len({e[2:5] for e in entries}) // 3
+
+
+def test_lists_need_few_bytes_a_posting():
+    """Building a block's lists takes 40 bytes a posting at most beside the sets (before: over 60)."""
+    sets = [np.sort(np.random.default_rng(k).integers(0, 1 << 62, 4000).astype(np.uint64)) for k in range(100)]
+    tracemalloc.start()
+    jaccard.Lists(sets)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 40 * 400_000
+
+
 def test_shared_boilerplate_sends_few_searches(spark, monkeypatch):
     """400 documents that share 80 % of their words, in 20 blocks: what all hold sends
     nobody anywhere (by any shared part it was 399 searchers x 20 blocks)."""
