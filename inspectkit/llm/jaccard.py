@@ -22,9 +22,10 @@ Plan.
    documents share would fill some alone and join them all.  There, sets go
    on only if a share J of their members occurs in another set (no other can
    link; members are compared by 32 bits within their bucket, which can only
-   let more sets through), and parts hold twice as many members: of d // 2 + 1
-   parts one differs in at most one member, so leaving out one of ``LEAVES``
-   sections of each part in turn finds an equal rest.
+   let more sets through), and are grouped by their rare parts: cut twice as
+   fine, sets that link share at least d + 2 of 2 (d + 1) parts, so the rarest
+   part they share is among the d + 1 rarest of both.  What many sets share is
+   not, and joins nobody.
 3. T-occurrence search inside each group.  A document already in the group's
    largest component needs no search of its own: every pair that could still
    matter has a member outside it, and all of those search the whole group.
@@ -33,10 +34,8 @@ Plan.
    into blocks.  Blocks are
    searched inside; then a few pivots of the group's largest component search
    all blocks, and then every node still outside it searches the blocks that hold
-   one of its rare parts.  For that, sets are cut twice as fine: sets that link
-   share at least d + 2 of 2 (d + 1) parts, so one of the d + 1 rarest of each,
-   and what the whole group shares sends nobody anywhere.  A task holds a
-   block's lists, and the searches pass by them.
+   one of its rare parts, as in 2: what the whole group shares sends nobody
+   anywhere.  A task holds a block's lists, and the searches pass by them.
 
 Defined cases.  Null and empty texts, and texts without words, have an empty
 set and link with nothing.  Null ids sort before all ids and come back as
@@ -132,7 +131,8 @@ def signatures(value: np.ndarray, first: np.ndarray, num: int, den: int):
 
 
 def rests(value: np.ndarray, first: np.ndarray, num: int, den: int, leaves: int = LEAVES):
-    """(signature, row) of all parts without one of their sections."""
+    """(signature, row) of all parts without one of their sections: with d // 2 + 1 parts, one
+    differs in at most one member, so some rest is equal.  A filter by itself; the plan uses ``fine_parts``."""
     size, row = np.diff(first), A.row_of(first)
     bounds, parts = size_classes(num, den, int(size.max()) if len(size) else 1)
     own = np.searchsorted(bounds, np.maximum(size, 1), side="right") - 1
@@ -300,21 +300,6 @@ def _parts(shingle: int, num: int, den: int, buckets: int):
     return lambda batches: _flushed(found(batches), buckets)
 
 
-def _rests(num: int, den: int, buckets: int):
-    """The same from stored sets (node, members), in slices of bounded size."""
-
-    def found(batches):
-        for b in batches:
-            node = b.column(b.schema.get_field_index("node")).to_numpy()
-            raw, offsets = A.bytes_of(b.column(b.schema.get_field_index("members")))
-            for x, y in A.slices(offsets, SLICE):
-                value = raw[offsets[x] : offsets[y]].view(np.uint64)
-                key, row = rests(value, (offsets[x : y + 1] - offsets[x]) // 8, num, den)
-                yield key, node[x:y][row]
-
-    return lambda batches: _flushed(found(batches), buckets)
-
-
 _MEMBER = {"key": np.uint32, "node": np.int64, "state": np.uint8}
 #: Of a member in a slice: held by one set, the first of several, a count of those known to be shared.
 ONE, FIRST = 0, 1
@@ -541,13 +526,28 @@ def _rarest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(e["node"][many]), pa.array(e["key"][many].view(np.int64))], names=["node", "key"])
 
 
+def _rare_stars(buckets: int):
+    """The rarest parts of the sets as ``_parts`` gives all: one entry per part, the others as edges."""
+
+    def run(batches):
+        for b in _rarest(batches):
+            if b.num_rows:
+                yield _reduced_parts([(b.column(1).to_numpy().view(np.uint64), b.column(0).to_numpy())], buckets)
+
+    return run
+
+
+def _ranked(sets: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
+    """The fine parts of sets (grp, node, members), with the number of the group's sets that have them, by node."""
+    found = sets.mapInArrow(_keys(num, den, tasks), A.packed_schema(*_PART)).repartitionById(tasks, "dest")
+    return found.mapInArrow(_held_by(tasks), A.packed_schema(*_RANKED)).repartitionById(tasks, "dest")
+
+
 def _rare_keys(sets: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
     """(grp, blk, node, key): of each set and size class the parts that fewest
     sets of the group have, as many as suffice to meet every set it links with;
     without those that no other set has."""
-    found = sets.mapInArrow(_keys(num, den, tasks), A.packed_schema(*_PART)).repartitionById(tasks, "dest")
-    found = found.mapInArrow(_held_by(tasks), A.packed_schema(*_RANKED)).repartitionById(tasks, "dest")
-    keys = C.saved(found.mapInArrow(_rarest, "node long, key long"), "keys")
+    keys = C.saved(_ranked(sets, tasks, num, den).mapInArrow(_rarest, "node long, key long"), "keys")
     return C.saved(sets.select("grp", "blk", "node").join(keys, "node").select("grp", "blk", "node", "key"), "rare-keys")
 
 
@@ -628,9 +628,13 @@ def decisions(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int
             # equal sets in several slices share all members; more sets is safe
             able = C.saved(classes.join(shared, "node").where(F.col("shared") * den >= F.col("n") * num), "able")
             able = able.select("node", "rep.*")
-            stored = _representatives(ids, able, repeated).select("node", "text").mapInArrow(_set_rows(shingle), "node long, members binary")
+            # few texts are able, and only those meet the join
+            own = C.KeyBitmap(C.saved(able.select(F.xxhash64("doc_id", "ver").alias("key")).distinct(), "able-keys"))
+            texts = own.mark(ids, F.xxhash64("doc_id", "ver")).where("__open").drop("__open")
+            stored = _representatives(texts, able, repeated).select("node", "text").mapInArrow(_set_rows(shingle), "node long, members binary")
             stored = C.saved(stored, "able-sets")
-            stars = stored.mapInArrow(_rests(num, den, tasks), A.packed_schema("key", "node", "peer"))
+            stars = _ranked(stored.withColumn("grp", F.lit(0).cast("long")), tasks, num, den)
+            stars = stars.mapInArrow(_rare_stars(tasks), A.packed_schema("key", "node", "peer"))
         else:
             stars = docs.mapInArrow(_parts(shingle, num, den, tasks), A.packed_schema("key", "node", "peer"))
         stars = stars.repartitionById(tasks, "dest").mapInArrow(_stars, "u long, v long")

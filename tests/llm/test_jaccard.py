@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from inspectkit.llm import arrays as A
+from inspectkit.llm import corpus as C
 from inspectkit.llm import graph, jaccard
 
 from . import data
@@ -163,6 +164,52 @@ def test_shared_boilerplate_sends_few_searches(spark, monkeypatch):
     assert sent and max(sent) < 430 * 3
 
 
+def _recorded(monkeypatch):
+    """The rows of the tables that the operator writes, by their name."""
+    rows, real = {}, C.saved
+
+    def saved(df, name):
+        out = real(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "saved", saved)
+    return rows
+
+
+def test_shared_passages_join_no_groups(spark, monkeypatch):
+    """Documents made of passages that many share, each with near copies: the passages join nobody
+    (before, by equal rests of parts, all documents were one group, cut into blocks)."""
+    rng = np.random.default_rng(29)
+    passages = [[f"p{p}x{k}" for k in range(60)] for p in range(60)]
+    rows = []
+    for d in range(60):
+        words = [w for p in rng.choice(60, 4, replace=False) for w in passages[p]] + [f"u{d}x{k}" for k in range(60)]
+        rows.append((2 * d, " ".join(words)))
+        words[int(rng.integers(0, len(words)))] = "changed"
+        rows.append((2 * d + 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    written = _recorded(monkeypatch)
+    assert got(df, 1, 80, block_nodes=20) == brute(rows, 1, 80)
+    assert written["able"] == [120] and "rare-keys" not in written and "set-rows" not in written
+
+
+def test_only_texts_of_able_sets_meet_the_join(spark, monkeypatch):
+    """Of 300 texts, 298 cannot link: they meet no join (before: all did)."""
+    rows = [(d, " ".join(f"u{d}x{k}" for k in range(20))) for d in range(298)]
+    rows += [(300, " ".join(f"n{k}" for k in range(40))), (301, " ".join(f"n{k}" for k in range(41)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    met, real = [], jaccard._representatives
+
+    def counted(ids, wanted, repeated):
+        met.append(ids.count())
+        return real(ids, wanted, repeated)
+
+    monkeypatch.setattr(jaccard, "_representatives", counted)
+    assert got(df, 2, 80) == brute(rows, 2, 80)
+    assert len(met) == 1 and 2 <= met[0] < 20
+
+
 def test_edge_rows(spark):
     df = data.documents(spark)
     assert got(df) == brute(data.pairs(df))
