@@ -19,12 +19,14 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, OneHotEncoderModel, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inspectkit.functions import is_numeric_type
+from inspectkit.operators import bagged
 from inspectkit.operators.seriesidx import with_global_index
 from inspectkit.params import DEFAULT_PARAMS, QualityParams
 from inspectkit.session import checkpoint_dir, written
@@ -38,6 +40,7 @@ ERROR_MISSING = "Missing columns: "
 ERROR_NO_TARGET = "Target column contains only missing values."
 
 MOST_LEVELS = 30  # Spark's forest grows no deeper
+MOST_DRAWS = 2**24  # rows x trees up to which Spark ML's forest keeps its draws
 
 
 @dataclass
@@ -51,9 +54,11 @@ class ClassifierResult:
 
 
 def stratified_split(df: DataFrame, label: str, test_frac: float, seed: int = 42,
-                     cols: list[str] | None = None, max_broadcast_classes: int = 100000) -> tuple[DataFrame, DataFrame]:
+                     cols: list[str] | None = None, max_broadcast_classes: int = 100000,
+                     position: str | None = None) -> tuple[DataFrame, DataFrame]:
     """M8: exact per-class split; the same rows for the same seed whatever
-    the partitioning.  Returns ``(train, test)`` with a ``__is_test`` flag dropped."""
+    the partitioning.  Returns ``(train, test)`` with a ``__is_test`` flag dropped;
+    ``position``: name of a column for the rank of each row, a number of its own."""
     cols = list(cols) if cols is not None else list(df.columns)
     h = F.xxhash64(*[F.col(f"`{c}`") for c in cols], F.lit(seed)).alias("__sh")
     ranked = with_global_index(df.select("*", h), [label, "__sh"], "__pos")
@@ -67,7 +72,9 @@ def stratified_split(df: DataFrame, label: str, test_frac: float, seed: int = 42
     small = per.count() <= max_broadcast_classes
     j = ranked.join(F.broadcast(per) if small else per, ranked[label].eqNullSafe(per[label]), "inner").drop(per[label])
     j = j.withColumn("__is_test", (F.col("__pos") - F.col("__start")) < F.col("__ntest"))
-    drop = ["__sh", "__pos", "__start", "__n", "__ntest"]
+    if position:
+        j = j.withColumn(position, F.col("__pos"))
+    drop = [c for c in ("__sh", "__pos", "__start", "__n", "__ntest") if c != position]
     test = j.filter(F.col("__is_test")).drop(*drop, "__is_test")
     train = j.filter(~F.col("__is_test")).drop(*drop, "__is_test")
     return train, test
@@ -128,7 +135,8 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
     without values.  Numeric features are imputed (mean / median /
     mode); text features become one-hot slots, one per value and one for
     NULL and values not seen in training.  No scaling: tree splits are scale-free.
-    The prepared vectors are written once; every pass of the forest reads those.
+    Up to MOST_DRAWS the prepared vectors are written once and Spark ML's forest reads
+    those; beyond, the forest is grown over binned rows (``bagged``), into the same model.
     """
     if not 0 < params.model_test_size < 1:
         raise ValueError(f"the share of test rows must lie between 0 and 1, not {params.model_test_size}")
@@ -152,7 +160,7 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
     d = written(d, "labelled-rows")
     if d.limit(1).count() == 0:
         return ClassifierResult(False, ERROR_NO_TARGET)
-    train, test = stratified_split(d, LABEL, params.model_test_size, params.random_state)
+    train, test = stratified_split(d, LABEL, params.model_test_size, params.random_state, position=bagged.POSITION)
     stages = []
     if num:
         stages.append(Imputer(inputCols=num, outputCols=[f"__imp_{c}" for c in num],
@@ -170,24 +178,46 @@ def train_defect_classifier(df: DataFrame, features: list[str], target: str,
     # partition per task slot or more
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    vectors = written(prep.transform(train).select(*slots, "__features", "__y").repartition(tasks), "training-vectors")
     rf = RandomForestClassifier(featuresCol="__features", labelCol="__y", predictionCol="__pred",
-                                cacheNodeIds=node_ids_fit(spark, vectors.count(), params.classifier_trees),
-                                numTrees=params.classifier_trees, maxDepth=params.classifier_max_depth,
-                                maxMemoryInMB=forest_memory_mb(spark), seed=params.random_state)
-    forest = rf.fit(vectors.select("__features", "__y"))
+                                numTrees=params.classifier_trees, maxDepth=params.classifier_max_depth, seed=params.random_state)
+    prepared = prep.transform(train)
+    ranges = slot_ranges(prepared.schema, slots)
+    rows = train.count()
+    if rows * params.classifier_trees <= MOST_DRAWS:
+        vectors = written(prepared.select(*slots, "__features", "__y").repartition(tasks), "training-vectors")
+        forest = rf.copy({rf.cacheNodeIds: node_ids_fit(spark, rows, params.classifier_trees),
+                          rf.maxMemoryInMB: forest_memory_mb(spark)}).fit(vectors.select("__features", "__y"))
+    else:
+        forest = _grown_forest(rf, prepared, rows, num, cat, ranges, len(prep.stages[-2].labels))
     labels = prep.stages[-2].labels
     model = PipelineModel(stages=prep.stages + [forest,
                                                 IndexToString(inputCol="__pred", outputCol="prediction", labels=labels)])
-    pred = model.transform(test)
+    pred = _predicted(model, test)
     metrics = pred.agg(
         F.count(F.lit(1)).alias("test_rows"),
         F.avg((F.col("prediction") == F.col(LABEL)).cast("double")).alias("accuracy"),
-    ).crossJoin(vectors.agg(F.count(F.lit(1)).alias("train_rows")))
-    importance = feature_importance(forest.featureImportances.toArray(), slot_ranges(vectors.schema, slots), num + cat, spark)
+    ).crossJoin(spark.createDataFrame([(rows,)], "train_rows bigint"))
+    importance = feature_importance(forest.featureImportances.toArray(), ranges, num + cat, spark)
     return ClassifierResult(True, None, model, metrics, importance, list(labels))
 
 
+def _grown_forest(rf: RandomForestClassifier, prepared: DataFrame, rows: int, num: list[str], cat: list[str],
+                  ranges: list[tuple[int, int]], classes: int):
+    """``rf``'s model, grown over the binned rows: kept in as many parts as tasks run at once,
+    since each part counts all nodes."""
+    spark, seed = prepared.sparkSession, rf.getSeed()
+    numbers = [f"__imp_{c}" for c in num]
+    bounds = bagged.drawn_bounds(prepared, numbers, rows, seed)
+    columns = [bagged.Binned(b) for b in bounds] + [bagged.Binned(values=b - a) for a, b in ranges[len(num):]]
+    binned = bagged.binned_rows(prepared, numbers, [f"__idx_{c}" for c in cat], "__y", bounds)
+    binned = binned.repartition(spark.sparkContext.defaultParallelism).persist()
+    try:
+        trees = bagged.grown(binned, columns, classes, rf.getNumTrees(), rf.getMaxDepth(), seed, rf.getBootstrap())
+    finally:
+        binned.unpersist()
+    return bagged.spark_model(spark, rf, trees, columns, classes + 1)
+
+
 def slot_ranges(schema: T.StructType, columns: list[str]) -> list[tuple[int, int]]:
     """First and last + 1 slot of each column in the vector assembled from
     ``columns``: a number has one, a vector as many as its metadata says."""
@@ -265,5 +295,23 @@ def trained_classifier(df: DataFrame, features: list[str], target: str, params:
 def score_defects(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Apply a trained model to new rows, a batch or a stream (adds
     ``prediction``)."""
-    out = model.transform(df)
+    out = _predicted(model, df)
     return out.drop(*[c for c in out.columns if c.startswith("__")])
+
+
+def _predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``model.transform(df)``, with the forest's votes from ``bagged.votes``."""
+    *prep, assembler, forest, to_text = model.stages
+    out = PipelineModel(stages=prep).transform(df)
+    slots = assembler.getInputCols()
+    hot = {o: i for s in prep if isinstance(s, OneHotEncoderModel) for i, o in zip(s.getInputCols(), s.getOutputCols())}
+    values = [b - a for c, (a, b) in zip(slots, slot_ranges(out.schema, slots)) if c in hot]
+    votes = bagged.votes(forest, [c for c in slots if c not in hot], [hot[c] for c in slots if c in hot], values)
+    out = out.withColumn("__votes", votes)
+    total = F.aggregate("__votes", F.lit(0.0), lambda a, v: a + v)
+    out = out.withColumns({
+        forest.getRawPredictionCol(): array_to_vector("__votes"),
+        forest.getProbabilityCol(): array_to_vector(F.transform("__votes", lambda v: F.when(total != 0, v / total).otherwise(v))),
+        forest.getPredictionCol(): (F.array_position("__votes", F.array_max("__votes")) - 1).cast("double"),
+    })
+    return to_text.transform(out)
