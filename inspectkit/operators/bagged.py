@@ -404,14 +404,16 @@ def spark_model(spark: SparkSession, rf: RandomForestClassifier, forest: list[_T
     n = counts.sum(axis=1)
     stats = np.pad(counts, ((0, 0), (0, classes - counts.shape[1])))
     # a one-hot slot splits as Spark ML's: the category 0 goes left
-    at = [[] if s < 0 else [0.0] if hot[s] else [bounds[s][b]] for s, b in zip(slot, cut)]
+    inner = slot >= 0
+    at = np.array([0.0 if hot[s] else bounds[s][b] for s, b in zip(slot[inner], cut[inner])])
     nodes = pa.table({
         "treeID": pa.array(tree, pa.int32()), "id": pa.array(np.concatenate([np.arange(len(t.left)) for t in forest]), pa.int32()),
         "prediction": counts.argmax(axis=1).astype(float), "impurity": 1 - (counts**2).sum(axis=1) / np.maximum(n, 1) ** 2,
         "impurityStats": pa.ListArray.from_arrays(np.arange(len(stats) + 1, dtype=np.int32) * classes, stats.ravel()),
         "rawCount": n.astype(np.int64), "gain": gain, "leftChild": pa.array(left, pa.int32()),
         "rightChild": pa.array(np.where(left >= 0, left + 1, -1), pa.int32()), "featureIndex": pa.array(slot, pa.int32()),
-        "leftCategoriesOrThreshold": pa.array(at, pa.list_(pa.float64())), "numCategories": pa.array(np.where((slot >= 0) & hot[slot], 2, -1), pa.int32())})
+        "leftCategoriesOrThreshold": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(inner)]).astype(np.int32), at),
+        "numCategories": pa.array(np.where(inner & hot[slot], 2, -1), pa.int32())})
     fields = ["featureIndex", "leftCategoriesOrThreshold", "numCategories"]
     node = [c for c in nodes.column_names if c not in ("treeID", *fields)]
     data = spark.createDataFrame(nodes).select("treeID", F.struct(*node, F.struct(*fields).alias("split")).cast(f"struct<{NODE}>").alias("nodeData"))
